@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from sieveline.llm import exact_dedup, mixing, simhash
+from sieveline.llm import bpe, exact_dedup, language_id, mixing, simhash
 
 
 def queries() -> dict:
     return {
+        "op2_language_id": language_id.op2_language_id,
+        "op3_byte_bpe": bpe.op3_byte_bpe,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op9_simhash": simhash.op9_simhash,
         "op10_mix_sources": mixing.op10_mix_sources,
