@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from sieveline.llm import bpe, exact_dedup, language_id, mixing, simhash
+import corpus_pipeline
+from sieveline.llm import bpe, exact_dedup, language_id, mixing, simhash, warc
 
 
 def queries() -> dict:
     return {
+        "op1_warc": warc.op1_warc,
         "op2_language_id": language_id.op2_language_id,
         "op3_byte_bpe": bpe.op3_byte_bpe,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op9_simhash": simhash.op9_simhash,
+        "pipeline": corpus_pipeline.run,
         "op10_mix_sources": mixing.op10_mix_sources,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_warc": warc.OP1_SQL,
         "op6_exact_dedup": exact_dedup.OP6_SQL,
         "op10_mix_sources": mixing.OP10_SQL,
     }
