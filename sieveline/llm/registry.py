@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sieveline.llm import bpe, exact_dedup, language_id, mixing, simhash, warc
+from sieveline.llm import bpe, exact_dedup, language_id, mixing, simhash, toxicity, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op2_language_id": language_id.op2_language_id,
         "op3_byte_bpe": bpe.op3_byte_bpe,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op9_simhash": simhash.op9_simhash,
         "pipeline": corpus_pipeline.run,
         "op10_mix_sources": mixing.op10_mix_sources,
