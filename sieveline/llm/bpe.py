@@ -10,7 +10,9 @@ by a bounded number of bytes.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
+from contextlib import contextmanager
 from itertools import chain
 
 import pandas as pd
@@ -23,10 +25,12 @@ from sieveline.llm.common import small_batches, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Transitions and whole pieces kept by a worker; beyond, the store starts anew. It changes speed, never results.
-KEPT_MOVES, KEPT_PIECES = 400_000, 400_000
+KEPT_MOVES, KEPT_PIECES = 600_000, 600_000
 #: Bytes that may be pending before the transducer looks which tokens are certain; it emits those and goes on.
 LOOKAHEAD = 24
 _NEVER = 1 << 60
+_BYTES = [bytes((i,)) for i in range(256)]
+_UNKNOWN = (None, False)
 
 
 class Transducer:
@@ -34,16 +38,21 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
+        #: of each token and each beginning of one: the id or None, whether a longer token begins so
+        self.known: dict[bytes, tuple[int | None, bool]] = {t: (i, False) for t, i in ranks.items()}
+        for t in ranks:
+            for i in range(1, len(t)):
+                self.known[t[:i]] = (ranks.get(t[:i]), True)
         self._spines: dict[bytes, tuple | None] = {}
         self._beside: dict[tuple[bytes, bytes], bool] = {}
-        self._states: dict[tuple, int] = {}
         self._reset()
 
     def _reset(self) -> None:
         self._moves: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self._states = {(None, b""): 0}
-        self._body: list[tuple] = [(None, b"", (None,))]  # token before, bytes pending, last token at each place
+        #: what states hold: token before, bytes pending, last token at each place, places where a token may start
+        self._body: list[tuple] = [(None, b"", (None,), (0,))]
+        #: states behind an emission, where different pasts meet
+        self._met: dict[tuple, int] = {}
 
     def _spine(self, token: bytes) -> tuple | None:
         """How a token grows: the pieces at its left edge and at its right edge over time, each with the rank of the
@@ -98,39 +107,45 @@ class Transducer:
             borders.append(borders[-1] - len(last[borders[-1]]))
         return borders[::-1]
 
-    def _certain(self, tail: bytes, last: tuple) -> int:
+    def _certain(self, tail: bytes, last: tuple, live: tuple) -> int:
         """The border up to which all continuations agree: what the paths to every place share at which a token that
         ends later may start."""
-        n, sure = len(tail), 0
-        paths = [self._path(tail, last, s) for s in range(n) if tail[s:] in self.prefixes] + [self._path(tail, last, n)]
-        for borders in zip(*paths, strict=False):
+        sure = 0
+        for borders in zip(*(self._path(tail, last, s) for s in live), strict=False):
             if any(x != borders[0] for x in borders):
                 break
             sure = borders[0]
         return sure
 
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        before, tail, last = self._body[state]
-        tail += bytes((byte,))
-        n = len(tail)
-        for s in range(n):
+        before, tail, last, live = self._body[state]
+        tail += _BYTES[byte]
+        found, still = None, []
+        for s in live:
             token = tail[s:]
-            if token in self.ranks and self._spine(token) and ((s == 0 and before is None) or self.beside(before if s == 0 else last[s], token)):
-                break
-        else:
+            rank, longer = self.known.get(token, _UNKNOWN)
+            if longer:
+                still.append(s)
+            if found is None and rank is not None:
+                left = last[s] if s else before
+                if (token in self._spines or self._spine(token)) and self._spines[token] and (left is None or self._beside.get((left, token)) or self.beside(left, token)):
+                    found = token
+        if found is None:
             raise ValueError(f"no token for byte {byte}")
-        last = (*last, token)
-        out: tuple[int, ...] = ()
-        sure = self._certain(tail, last) if n > LOOKAHEAD else 0
-        if sure:
-            borders = self._path(tail, last, sure)
-            out = tuple(self.ranks[tail[a:b]] for a, b in zip(borders, borders[1:], strict=False))
-            before, tail, last = tail[borders[-2] : sure], tail[sure:], (None, *last[sure + 1 :])
-        key = (before, tail)
-        to = self._states.get(key)
+        n = len(tail)
+        still.append(n)
+        last, live = (*last, found), tuple(still)
+        sure = self._certain(tail, last, live) if n > LOOKAHEAD else 0
+        if not sure:
+            self._body.append((before, tail, last, live))
+            return len(self._body) - 1, ()
+        borders = self._path(tail, last, sure)
+        out = tuple(self.ranks[tail[a:b]] for a, b in zip(borders, borders[1:], strict=False))
+        before, tail, last = tail[borders[-2] : sure], tail[sure:], (None, *last[sure + 1 :])
+        to = self._met.get((before, tail))
         if to is None:
-            to = self._states[key] = len(self._body)
-            self._body.append((before, tail, last))
+            to = self._met[before, tail] = len(self._body)
+            self._body.append((before, tail, last, tuple(s - sure for s in live)))
         return to, out
 
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
@@ -138,28 +153,28 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        if len(self._moves) > KEPT_MOVES:
-            self._reset()
         state, out, moves = 0, [], self._moves
-        for at, byte in enumerate(piece):
+        for byte in piece:
             move = moves.get(state << 8 | byte)
             if move is None:
-                if len(self._moves) > 2 * KEPT_MOVES:  # within one very long piece: keep where we are
+                if len(moves) >= KEPT_MOVES:  # start anew from where we are
                     body = self._body[state]
                     self._reset()
-                    moves = self._moves
-                    if body[:2] != (None, b""):
-                        self._states[body[:2]] = state = len(self._body)
+                    moves, state = self._moves, 0
+                    if body[1] or body[0]:
                         self._body.append(body)
-                    else:
-                        state = 0
+                        state = 1
                 move = moves[state << 8 | byte] = self._step(state, byte)
-            state = move[0]
-            if move[1]:
-                out.extend(move[1])
-        _, tail, last = self._body[state]
-        borders = self._path(tail, last, len(tail))
-        out.extend(self.ranks[tail[a:b]] for a, b in zip(borders, borders[1:], strict=False))
+            state, emitted = move
+            if emitted:
+                out.extend(emitted)
+        _, tail, last, _ = self._body[state]
+        at, ids = len(tail), []
+        while at:
+            token = last[at]
+            ids.append(self.ranks[token])
+            at -= len(token)
+        out.extend(reversed(ids))
         return tuple(out)
 
 
@@ -215,6 +230,7 @@ class Codec:
     def __init__(self, rank_file: bytes, pattern: str):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines()) if a}
         self.by_id = {i: t for t, i in self.ranks.items()}
+        self.decimal = {i: str(i) for i in self.by_id}
         self.split = regex.compile(pattern).findall
         self.pieces = _Pieces(Transducer(self.ranks))
 
@@ -242,6 +258,16 @@ def _codec(rank_file: bytes, pattern: str) -> Codec:
     return _codecs[key]
 
 
+@contextmanager
+def _uncollected():
+    """The stores only grow and hold no cycles; walking them again and again for garbage would cost a third of the time."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def _shipped(spark: SparkSession, path: str | None):
     """The rank file, read once by the driver and broadcast: its size is that of the vocabulary."""
     with open(path or public_tokenizers.path(VOCABULARY), "rb") as f:
@@ -256,7 +282,8 @@ def encode(spark: SparkSession, text: Column, path: str | None = None, pattern:
     @F.pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:
         codec = _codec(file.value, pattern)
-        return pd.Series([codec.encode(t or "") for t in texts])
+        with _uncollected():
+            return pd.Series([codec.encode(t or "") for t in texts])
 
     return ids(text)
 
@@ -284,12 +311,13 @@ def round_trip_digests(spark: SparkSession, text: Column, path: str | None = Non
         codec = _codec(file.value, pattern)
         rows = []
         for t in texts:
-            ids = codec.encode(t or "")
+            with _uncollected():
+                ids = codec.encode(t or "")
             decoded, stream = hashlib.sha256(), Utf8Stream()
             for part in codec.decode_bytes(ids):
                 decoded.update(stream.feed(part).encode("utf-8"))
             decoded.update(stream.end().encode("utf-8"))
-            rows.append((len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), decoded.hexdigest()))
+            rows.append((len(ids), hashlib.sha256(",".join(map(codec.decimal.__getitem__, ids)).encode()).hexdigest(), decoded.hexdigest()))
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return digests(text)
