@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sieveline.llm import bpe, exact_dedup, hmm_lm, language_id, mixing, simhash, toxicity, warc
+from sieveline.llm import bpe, exact_dedup, hmm_lm, language_id, mixing, simhash, toxicity, vector_dedup, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op1_warc": warc.op1_warc,
         "op2_language_id": language_id.op2_language_id,
         "op3_byte_bpe": bpe.op3_byte_bpe,
+        "op4_vector_near_dedup": vector_dedup.op4_vector_near_dedup,
         "op5_hmm_lm": hmm_lm.op5_hmm_lm,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op8_toxicity": toxicity.op8_toxicity,
