@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sieveline.llm import bpe, exact_dedup, hmm_lm, language_id, mixing, simhash, toxicity, vector_dedup, warc
+from sieveline.llm import bpe, exact_dedup, hmm_lm, language_id, mixing, simhash, toxicity, url_filter, vector_dedup, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op4_vector_near_dedup": vector_dedup.op4_vector_near_dedup,
         "op5_hmm_lm": hmm_lm.op5_hmm_lm,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op7_url_filter": url_filter.op7_url_filter,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_simhash": simhash.op9_simhash,
         "pipeline": corpus_pipeline.run,
@@ -25,5 +26,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc": warc.OP1_SQL,
         "op6_exact_dedup": exact_dedup.OP6_SQL,
+        "op7_url_filter": url_filter.OP7_SQL,
         "op10_mix_sources": mixing.OP10_SQL,
     }
