@@ -1,11 +1,305 @@
-"""The queries of the file-perception operators and their SQL, by name."""
+"""The queries of the file-perception operators on the tables, and their SQL, by name."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sieveline.functions import text as T
+from sieveline.functions.locators import valid
+from sieveline.operators import cache, chunks, dispatch, flatten, formats, html, timeline
+from sieveline.plans import sql
+from sieveline.streaming import ingest
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _docs(spark, d):
+    return _t(spark, d, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("uri"), "text", "source", "doc_id")
+
+
+def _pages(spark, d):
+    return _t(spark, d, "pages").select(F.concat(F.lit("page/"), F.col("page_id").cast("string")).alias("uri"), "html")
+
+
+def _turns(spark, d):
+    """Conversations as chunks: one turn a chunk."""
+    c = _t(spark, d, "conversations")
+    return c.select(F.concat(F.lit("conv/"), F.col("conv_id").cast("string")).alias("uri"), F.col("turn").alias("seq"), F.concat("role", F.lit(": "), F.col("text"), F.lit("\n")).alias("chunk"), F.col("role"))
+
+
+def _flat_turns(spark, d):
+    return flatten.flatten(_turns(spark, d))
+
+
+def _cues(spark, d):
+    """Events of a user as cues: seconds since the user's first, three seconds long."""
+    e = _t(spark, d, "events")
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    sec = F.round((micros - F.min(micros).over(w)) / 1e6, 6)
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    c = e.select(F.concat(F.lit("user/"), F.col("user_id").cast("string")).alias("uri"), seq.alias("seq"), sec.alias("start_s"), (sec + 3.0).alias("end_s"), F.col("event_type").alias("text"), F.lit(None).cast("string").alias("speaker"), F.when(F.col("event_type") == "view", "captioned").otherwise("said").alias("source"), "event_type")
+    return c.withColumn("duration_s", F.round(F.max("start_s").over(Window.partitionBy("uri")) * 0.9, 6))
+
+
+def text_card(s, d):
+    return formats.text_card(_docs(s, d))
+
+
+def text_read_range(s, d):
+    return formats.text_read_range(_docs(s, d), 500, 900)
+
+
+def text_represent_budget(s, d):
+    r = formats.text_represent(_docs(s, d), 1000)
+    return r.select("uri", "text", F.col("locator.end").alias("end"), F.try_element_at("degradations", F.lit(1))["detail"].alias("detail"))
+
+
+def html_blocks(s, d):
+    return html.blocks(_pages(s, d))
+
+
+def _html_flat(s, d):
+    return html.segments(html.sections(html.blocks(_pages(s, d))))
+
+
+def html_card(s, d):
+    return html.card(_pages(s, d))
+
+
+def html_sections(s, d):
+    return html.outline(_html_flat(s, d))
+
+
+def html_segments(s, d):
+    return _html_flat(s, d).select("uri", "seq", "start", "end", "chunk", F.col("locator.start").alias("source_start"), F.col("locator.end").alias("source_end"))
+
+
+def html_barriers(s, d):
+    return html.barriers(_html_flat(s, d))
+
+
+def html_read_range(s, d):
+    flat = _html_flat(s, d)
+    ask = _pages(s, d).select("uri", F.lit(100).alias("start"), F.lit(700).alias("end"))
+    return flatten.read_range(flat, ask).select("uri", F.col("span_start"), F.col("span_end"), "text", F.col("first").alias("source_start"), F.col("last").alias("source_end"))
+
+
+def html_represent(s, d):
+    flat = _html_flat(s, d)
+    return flatten.represent(flat, html.barriers(flat), None, 2000).select("uri", "text", "n_segments", F.size("barriers").alias("n_barriers"))
+
+
+def conversation_segments(s, d):
+    return _flat_turns(s, d).select("uri", "seq", "start", "end", "chunk")
+
+
+def _with_self(s, d):
+    from sieveline.functions.locators import char_span
+
+    flat = _flat_turns(s, d)
+    return flat.withColumn("locator", char_span(F.col("seq"), F.col("seq") + 1))
+
+
+def resolve_offsets(s, d):
+    flat = _with_self(s, d)
+    n = flat.groupBy("uri").agg(F.max("end").alias("n"))
+    asks = n.select("uri", F.explode(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.floor(F.col("n") * i / 9))).alias("offset")).distinct()
+    return flatten.resolve(flat, asks).select("uri", "offset", "seq", F.col("locator.start").alias("at"))
+
+
+def resolve_spans(s, d):
+    flat = _with_self(s, d)
+    n = flat.groupBy("uri").agg(F.max("end").alias("n"))
+    asks = n.select("uri", F.floor(F.col("n") / 4).alias("span_start"), (F.floor(F.col("n") / 4) + F.floor(F.col("n") / 3) + 1).alias("span_end"))
+    return flatten.resolve_span(flat, asks).select("uri", "span_start", "span_end", "seq")
+
+
+def timeline_tile(s, d):
+    t = timeline.tile(_cues(s, d), min_width_s=1.0)
+    return t.select("uri", "seq", F.round("tile_start", 6).alias("tile_start"), F.round("tile_end", 6).alias("tile_end"))
+
+
+def timeline_clamp(s, d):
+    return timeline.clamp(_cues(s, d)).select("uri", "seq", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"))
+
+
+def _grid(s, d, every=86_400.0):
+    ends = _cues(s, d).select("uri", "duration_s").distinct()
+    return timeline.sampling_grid(ends, every)
+
+
+def sampling_grid(s, d):
+    return _grid(s, d)
+
+
+def timeline_merge(s, d):
+    frames = _grid(s, d).withColumn("text", F.lit("frame"))
+    f = frames.withColumn("text", F.concat(F.lit("(frame) "), T.timestamp(F.col("start_s"))))
+    return timeline.merge(f, _cues(s, d)).select("uri", "seq", "is_cue", F.round("start_s", 6).alias("start_s"), "line")
+
+
+def read_span(s, d):
+    asks = _cues(s, d).select("uri", F.lit(0.0).alias("from_s"), F.lit(600_000.0).alias("to_s")).distinct()
+    return timeline.read_span(_cues(s, d), asks).select("uri", "text", "degraded", "n_cues")
+
+
+def scene_barriers(s, d):
+    cuts = _cues(s, d).filter("event_type = 'error'").select("uri", F.col("start_s").alias("cut_s"))
+    return timeline.scene_barriers(_grid(s, d), cuts)
+
+
+def operation_pairs(s, d):
+    return ingest.operation_pairs(_t(s, d, "events"))
+
+
+def event_windows(s, d):
+    return ingest.stream_counts(_t(s, d, "events"))
+
+
+def mime_parse(s, d):
+    # media types drawn from what sources are called
+    src = _t(s, d, "documents").select(F.concat(F.lit("Text/X-"), F.col("source"), F.lit("+XML; charset="), F.col("lang")).alias("given"), "doc_id")
+    m = T.mime(F.col("given"))
+    return src.groupBy("given", m["type"].alias("type"), m["subtype"].alias("subtype"), m["suffix"].alias("suffix"), T.media_kind(m["type"]).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def registry_dispatch(s, d):
+    kinds = ["text/plain", "text/html", "application/json", "application/pdf", "image/png", "audio/mpeg", "video/mp4", "application/zip", "application/x-unknown", "application/epub+zip"]
+    src = _t(s, d, "documents").select(F.element_at(F.array(*map(F.lit, kinds)), (F.col("doc_id") % len(kinds) + 1).cast("int")).alias("mime"))
+    reg = dispatch.available(dispatch.handlers(s), ("ffmpeg",))
+    got = src.join(F.broadcast(dispatch.dispatch(src, reg)), "mime")
+    return got.groupBy("mime", "handler_id", "rank").agg(F.count(F.lit(1)).alias("n_sources"))
+
+
+def capability_filter(s, d):
+    have = dispatch.available(dispatch.affordances(s), ("vision",))
+    return have.groupBy("handler_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))
+
+
+def uri_split(s, d):
+    u = _t(s, d, "pages").select("page_id", F.array(F.concat(F.lit("a!"), F.col("page_id").cast("string"), F.lit(".zip")), F.col("url")).alias("parts"))
+    j = u.withColumn("uri", T.join_uri(F.col("parts")))
+    back = T.split_uri(F.col("uri"))
+    return j.select("page_id", "uri", F.size(back).alias("n"), F.element_at(back, 2).alias("member"), T.container_of(F.col("uri")).alias("container"))
+
+
+def hexdump(s, d):
+    f = _docs(s, d).select("uri", F.encode("text", "UTF-8").alias("content"))
+    return formats.binary_hexdump(f, 16, 100)
+
+
+def binary_represent(s, d):
+    f = _docs(s, d).select("uri", F.lit("application/octet-stream").alias("mime"), F.octet_length("text").cast("long").alias("size_bytes"))
+    return formats.binary_represent(f, 60).select("uri", "text", F.col("locator.end").alias("end"), F.size("degradations").alias("n_notes"))
+
+
+def _cells(s, d):
+    """Parts as a sheet: a row a part, some values of which are left empty."""
+    p = _t(s, d, "part")
+    pick = [("p_name", 0), ("p_brand", 1), ("p_retailprice", 2)]
+    cells = F.array(*(F.struct(F.lit(i).alias("col"), F.col(c).cast("string").alias("value")) for c, i in pick if c in p.columns))
+    return p.select(F.lit("book").alias("uri"), F.lit("Parts").alias("sheet"), F.lit(0).alias("sheet_no"), (F.col("p_partkey") - 1).cast("int").alias("row"), F.explode(cells).alias("c")).select("uri", "sheet", "sheet_no", "row", "c.col", "c.value", F.lit(None).cast("string").alias("formula"))
+
+
+def sheet_read_cells(s, d):
+    return formats.read_cells(_cells(s, d), "Parts", "B3:A12").select("uri", "text", F.col("locator.row").alias("row"), F.col("locator.rows").alias("rows"))
+
+
+def list_sheets(s, d):
+    return formats.list_sheets(_cells(s, d))
+
+
+def a1_names(s, d):
+    p = _t(s, d, "part").select("p_partkey")
+    n = F.col("p_partkey").cast("int")
+    name = T.to_a1(n, n * 7)
+    back = T.from_a1(name)
+    return p.select("p_partkey", name.alias("name"), back["row"].alias("row"), back["col"].alias("col"))
+
+
+def _entries(s, d):
+    """Documents as members of an archive for each source."""
+    from pyspark.sql import Window
+
+    docs = _t(s, d, "documents")
+    w = Window.partitionBy("source").orderBy("doc_id")
+    size = F.octet_length("text").cast("long")
+    e = docs.select(F.col("source").alias("uri"), (F.row_number().over(w) - 1).cast("long").alias("seq"), F.concat(F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), size.alias("size_bytes"), F.floor(size / 3).alias("compressed_bytes"), F.lit(False).alias("is_dir"), (F.col("doc_id") % 11 == 0).alias("is_symlink"), F.col("doc_id"))
+    return e.withColumn("byte_offset", F.when(F.col("uri") != "src3", F.col("doc_id") * 10))
+
+
+def archive_card(s, d):
+    return formats.archive_card(_entries(s, d))
+
+
+def archive_page(s, d):
+    return formats.archive_page(_entries(s, d), 5, 10)
+
+
+def archive_segments(s, d):
+    a = formats.archive_segments(_entries(s, d))
+    return a.select("uri", "seq", "start", "end", "chunk", F.col("locator.kind").alias("kind"), F.col("locator.start").alias("at"), F.col("locator.end").alias("to"))
+
+
+def container_limits(s, d):
+    return formats.over_limits(_entries(s, d), members=10_000, total_bytes=120_000, ratio=200.0)
+
+
+def _requests(s, d):
+    given = F.when(F.col("doc_id") % 2 == 0, F.create_map(F.lit("end"), F.lit("1000"))).otherwise(F.create_map().cast("map<string,string>"))
+    r = _docs(s, d).select("uri", F.sha2("text", 256).alias("content_hash"), given.alias("params"))
+    defaults = F.create_map(F.lit("start"), F.lit("0"), F.lit("end"), F.lit("1000"))
+    key = cache.artifact_key(F.col("content_hash"), F.lit("text"), F.lit(1), F.lit("read_range"), cache.with_defaults(F.col("params"), defaults), F.create_map().cast("map<string,string>"))
+    return r.withColumn("artifact_key", key)
+
+
+def artifact_keys(s, d):
+    return _requests(s, d).select("uri", "artifact_key")
+
+
+def cache_hits(s, d):
+    r = _requests(s, d)
+    kept = r.filter(F.col("uri").endswith("0")).select("artifact_key").distinct()
+    return cache.hits(r, kept).select("uri", F.lit(True).alias("hit")).union(cache.misses(r, kept).select("uri", F.lit(False)))
+
+
+def content_dedupe(s, d):
+    return cache.dedupe_by_content(_docs(s, d), F.col("text"))
+
+
+def _rendered(s, d):
+    flat = _flat_turns(s, d)
+    edges = flat.filter("role = 'user' and start > 0").select("uri", F.col("start").alias("barrier"))
+    return flatten.represent(flat, edges, None, None)
+
+
+def chunk_with_barriers(s, d):
+    return chunks.chunk(_rendered(s, d), 400)
+
+
+def span_payloads(s, d):
+    flat = _flat_turns(s, d)
+    spans = flat.select("uri", F.col("start").alias("span_start"), F.col("end").alias("span_end"), F.col("role").alias("payload"))
+    return chunks.payloads(chunks.chunk(_rendered(s, d), 400), spans).select("uri", "chunk", F.array_join("payloads", ",").alias("payloads"))
+
+
+def chunk_origins(s, d):
+    return chunks.origins(chunks.chunk(_rendered(s, d), 400)).select("text_hash", "n", F.size("origins").alias("n_origins"), F.element_at("origins", 1).alias("first_origin"))
+
+
+def locator_laws(s, d):
+    return _html_flat(s, d).groupBy("uri").agg(F.count_if(valid(F.col("locator"))).alias("sound"), F.count(F.lit(1)).alias("n"))
+
 
 def queries() -> dict:
-    return {}
+    return {k: globals()[k] for k in sql.SQL} | {"html_represent": html_represent}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.SQL)
