@@ -3,8 +3,8 @@
 Latent states emit word classes: the TOP most frequent tokens and the end are classes of their own, other known tokens
 share BUCKETS classes by a hash, unknown tokens are one class. Within a shared class a token has its part of the class's
 (smoothed) count, so the model is a distribution over known tokens and `unknown`, while what the driver holds, states
-times classes, does not grow with the corpus. Counts of the HEAD most frequent tokens are broadcast (a documented
-bound); the counts of all others reach their documents by a join.
+times classes, does not grow with the corpus. Counts of the most frequent tokens are broadcast (HEAD at most, a
+documented bound); the counts of all others reach their documents by a join.
 
 States start from a bounded sample; the Baum-Welch passes that follow run over every training text, cut into windows.
 Scores are exact: no window, no beam; of long texts the transfer matrices of segments are multiplied.
@@ -112,7 +112,17 @@ def vocabulary(counts: DataFrame, docs: int, head: int = HEAD, top: int = TOP, b
     """From materialized token counts and the number of training documents. To the driver come sizes, the head tokens
     and one number per bucket."""
     whole = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("s")).first()
-    first = [(r.token, r.c) for r in counts.orderBy(F.desc("c"), "token").limit(head).collect()]
+    # a cut in the counts that at most head tokens reach, from a histogram of their logarithms
+    bins = {r.b: r.n for r in counts.groupBy(F.floor(F.log2("c") * 16).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    least, room = None, head
+    for b in sorted(bins, reverse=True):
+        room -= bins[b]
+        if room < 0:
+            break
+        least = b
+    many = counts.filter(F.floor(F.log2("c") * 16) >= least) if least is not None else counts.limit(0)
+    found = many.select("token", "c").toPandas()
+    first = sorted(zip(found["token"], found["c"].tolist(), strict=True), key=lambda x: (-x[1], x[0]))
     mass = np.zeros(buckets)
     for r in counts.groupBy(F.pmod(F.xxhash64("token"), F.lit(buckets)).alias("b")).agg(F.sum(F.col("c") + ADD).alias("m")).collect():
         mass[r.b] = r.m
