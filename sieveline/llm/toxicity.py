@@ -279,7 +279,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                 c.update((w, False) for w in words)
                 c.update({(w[:i], True) for w in words for i in range(STEM_LETTERS[0], min(STEM_LETTERS[1], len(w)) + 1)})
             keys = list(got[1].keys() | got[0].keys())
-            yield pd.DataFrame({"term": [k[0] for k in keys], "stem": [k[1] for k in keys], "n1": [got[1][k] for k in keys], "n0": [got[0][k] for k in keys]})
+            if keys:
+                yield pd.DataFrame({"term": [k[0] for k in keys], "stem": [k[1] for k in keys], "n1": [got[1][k] for k in keys], "n0": [got[0][k] for k in keys]})
 
     sums = distinct.mapInPandas(count, "term string, stem boolean, n1 long, n0 long").groupBy("term", "stem").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     lift = (F.col("n1") / F.lit(float(n1))) / ((F.col("n0") + 0.5) / F.lit(float(max(n0, 1))))
