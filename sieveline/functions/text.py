@@ -108,7 +108,7 @@ def hexdump(data: Column, offset: Column) -> Column:
 
 
 def timestamp(seconds: Column) -> Column:
-    """h:mm:ss.s, as a player shows it; 59.96 seconds print as 60.0."""
+    """h:mm:ss.s, as a player shows it; 59.96 seconds print as 60.0, exact halves go up."""
     hours = F.floor(seconds / 3600)
     rest = seconds - hours * 3600
     minutes = F.floor(rest / 60)

@@ -24,13 +24,13 @@ def note(what: str, detail) -> Column:
 
 
 def decoded(files: DataFrame, content: str = "content") -> DataFrame:
-    """files with text and encoding: UTF-8, else Windows-1252 if it has no byte that is none, else UTF-8 with
+    """files with text and encoding: UTF-8, else ISO 8859-1 if that gives no control characters, else UTF-8 with
     replacements."""
     good = F.is_valid_utf8(F.col(content).cast("string"))
     hexed = F.hex(content)
-    western = ~hexed.rlike("^(?:..)*(?:81|8D|8F|90|9D|00)")
-    text = F.when(good, F.col(content).cast("string")).when(western, F.decode(F.when(western, F.col(content)), "windows-1252")).otherwise(F.make_valid_utf8(F.col(content).cast("string")))
-    return files.withColumn("text", text).withColumn("encoding", F.when(good, "utf-8").when(western, "cp1252").otherwise("utf-8/replace"))
+    western = ~hexed.rlike("^(?:..)*(?:00|[89].)")
+    text = F.when(good, F.col(content).cast("string")).when(western, F.decode(F.when(western, F.col(content)), "ISO-8859-1")).otherwise(F.make_valid_utf8(F.col(content).cast("string")))
+    return files.withColumn("text", text).withColumn("encoding", F.when(good, "utf-8").when(western, "iso-8859-1").otherwise("utf-8/replace"))
 
 
 def text_card(docs: DataFrame, excerpt: int = 1000) -> DataFrame:

@@ -16,15 +16,15 @@ import tarfile
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.functions.text import join_uri, unsafe_member
 from sieveline.operators.dispatch import ARCHIVES
-from sieveline.sources.files import HEAD, NOT_A_FOLDER, detect
+from sieveline.sources.files import HEAD, NOT_A_FOLDER, detect, record_batch
 
 ENTRY = "uri string, seq long, path string, size_bytes long, compressed_bytes long, is_dir boolean, is_symlink boolean, byte_offset long, error string"
+MEMBER = "container string, member string, content binary, error string"
 #: Limits of a container: levels, bytes of a member, bytes of a member for each stored byte, bytes of an archive.
 DEPTH, MEMBER_BYTES, RATIO, TOTAL_BYTES = 3, 1 << 30, 200, 4 << 30
 _STEP = 1 << 20
@@ -74,17 +74,15 @@ def entries(archives: DataFrame, content: str = "content") -> DataFrame:
 
     def read(batches):
         for b in batches:
-            for uri, data in zip(b["uri"], b["content"], strict=True):
+            for uri, data in zip(b["uri"].to_pylist(), b["content"].to_pylist(), strict=True):
                 rows = []
                 try:
                     rows += [{"uri": uri, "seq": i, "error": None} | e for i, (e, _) in enumerate(members(data))]
                 except _BROKEN as x:
                     rows.append({"uri": uri, "seq": len(rows), "error": f"{type(x).__name__}: {x}"})
-                if rows:
-                    f = pd.DataFrame(rows, columns=[c.split()[0] for c in ENTRY.split(", ")])
-                    yield f.astype({c: "Int64" for c in ("size_bytes", "compressed_bytes", "byte_offset")} | {c: "boolean" for c in ("is_dir", "is_symlink")})
+                yield record_batch(rows, ENTRY)
 
-    return archives.select("uri", F.col(content).alias("content")).mapInPandas(read, ENTRY)
+    return archives.select("uri", F.col(content).alias("content")).mapInArrow(read, ENTRY)
 
 
 def unpack(archives: DataFrame, member_bytes: int = MEMBER_BYTES, ratio: int = RATIO, total_bytes: int = TOTAL_BYTES) -> DataFrame:
@@ -93,7 +91,7 @@ def unpack(archives: DataFrame, member_bytes: int = MEMBER_BYTES, ratio: int = R
 
     def read(batches):
         for b in batches:
-            for uri, data in zip(b["uri"], b["content"], strict=True):
+            for uri, data in zip(b["uri"].to_pylist(), b["content"].to_pylist(), strict=True):
                 total = 0
                 try:
                     for e, open_ in members(data):
@@ -107,11 +105,11 @@ def unpack(archives: DataFrame, member_bytes: int = MEMBER_BYTES, ratio: int = R
                                 body, error = None, "archive swells past its limit"
                         except _BROKEN as x:
                             error = str(x)
-                        yield pd.DataFrame({"container": [uri], "member": [e["path"]], "content": [body], "error": [error]})
+                        yield record_batch([{"container": uri, "member": e["path"], "content": body, "error": error}], MEMBER)
                 except _BROKEN as x:
-                    yield pd.DataFrame({"container": [uri], "member": [None], "content": [None], "error": [f"{type(x).__name__}: {x}"]})
+                    yield record_batch([{"container": uri, "error": f"{type(x).__name__}: {x}"}], MEMBER)
 
-    return archives.select("uri", "content").mapInPandas(read, "container string, member string, content binary, error string")
+    return archives.select("uri", "content").mapInArrow(read, MEMBER)
 
 
 def is_folder(uri, mime_type):

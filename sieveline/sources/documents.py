@@ -15,10 +15,11 @@ import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.sources.files import record_batch
+
 BLOCKS = "uri string, seq long, level int, text string, error string"
 SLIDES = "uri string, page int, title string, body string, notes string, n_media int, error string"
 CELLS = "uri string, sheet string, sheet_no int, row int, col int, value string, formula string, error string"
@@ -186,21 +187,17 @@ def book_parts(data: bytes) -> Iterator[tuple[str, str, str]]:
 
 def _read(files: DataFrame, schema: str, rows: Callable[[bytes], Iterator[dict]]) -> DataFrame:
     """One row a thing; a file that cannot be read gives a row with uri and error alone."""
-    names = [c.split()[0] for c in schema.split(", ")]
-    ints = [c.split()[0] for c in schema.split(", ") if c.split()[1] in ("int", "long")]
 
     def read(batches):
         for b in batches:
-            for uri, data in zip(b["uri"], b["content"], strict=True):
-                out = []
+            for uri, data in zip(b["uri"].to_pylist(), b["content"].to_pylist(), strict=True):
                 try:
-                    out += [{"uri": uri} | r for r in rows(data)]
+                    out = [{"uri": uri} | r for r in rows(data)]
                 except _BROKEN as x:
                     out = [{"uri": uri, "error": f"{type(x).__name__}: {x}"}]
-                if out:
-                    yield pd.DataFrame(out, columns=names).astype({c: "Int64" for c in ints})
+                yield record_batch(out, schema)
 
-    return files.select("uri", "content").mapInPandas(read, schema)
+    return files.select("uri", "content").mapInArrow(read, schema)
 
 
 def read_word(files: DataFrame) -> DataFrame:
@@ -241,14 +238,14 @@ def by_function(rows: DataFrame, call: Callable[[dict], dict], schema: str, para
     def run(batches):
         for b in batches:
             out = []
-            for r in b.to_dict("records"):
+            for r in b.to_pylist():
                 try:
                     out.append(call(r) | {"error": None})
                 except Exception as x:  # noqa: BLE001  whatever a model's client raises is a fact about the row
                     out.append({k: r.get(k) for k in names} | {"error": f"{type(x).__name__}: {x}"})
-            yield pd.DataFrame(out, columns=names)
+            yield record_batch(out, schema)
 
-    return (rows.repartition(parallel) if parallel else rows).mapInPandas(run, schema)
+    return (rows.repartition(parallel) if parallel else rows).mapInArrow(run, schema)
 
 
 def probe_facts(probed: DataFrame) -> DataFrame:

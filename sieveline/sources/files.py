@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,9 +28,16 @@ SUFFIXES = {
 NOT_A_FOLDER = ("docx", "docm", "pptx", "pptm", "xlsx", "xlsm", "odt", "odp", "ods", "epub", "jar", "war", "apk", "whl")
 
 
+def record_batch(rows: list[dict], schema: str) -> pa.RecordBatch:
+    """Rows as an Arrow batch of a flat schema such as `uri string, n long`; absent values are null."""
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "double": pa.float64()}
+    fields = [pa.field(n, kinds[t]) for n, t in (c.split() for c in schema.split(", "))]
+    return pa.RecordBatch.from_pylist(rows, schema=pa.schema(fields))
+
+
 def walk(spark: SparkSession, root: str, pattern: str = "*", content: bool = True) -> DataFrame:
     """Files below root: uri (relative), path, length, modificationTime and, if asked, content. Content that no plan
-    selects is not read. Sort by uri where order matters."""
+    selects is not read; files of no bytes are left out, as Spark's scans do. Sort by uri where order matters."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     base = root.rstrip("/").split("://")[-1].removeprefix("file:")
     uri = F.regexp_replace("path", r"^.*?" + "".join(f"\\{c}" if not c.isalnum() else c for c in base) + "/", "")
