@@ -25,7 +25,7 @@ from sieveline.llm.common import small_batches, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Transitions and whole pieces kept by a worker; beyond, the store starts anew. It changes speed, never results.
-KEPT_MOVES, KEPT_PIECES = 600_000, 600_000
+KEPT_MOVES, KEPT_PIECES = 300_000, 400_000
 #: Bytes that may be pending before the transducer looks which tokens are certain; it emits those and goes on.
 LOOKAHEAD = 24
 _NEVER = 1 << 60
@@ -43,44 +43,41 @@ class Transducer:
         for t in ranks:
             for i in range(1, len(t)):
                 self.known[t[:i]] = (ranks.get(t[:i]), True)
-        self._spines: dict[bytes, tuple | None] = {}
-        self._beside: dict[tuple[bytes, bytes], bool] = {}
+        self.size = {i: len(t) for t, i in ranks.items()}
+        self._spines: dict[int, tuple | None] = {}
+        self._beside: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self._moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        #: the next state, or with it the tokens that come out
+        self._moves: dict[int, int | tuple[int, tuple[int, ...]]] = {}
         #: what states hold: token before, bytes pending, last token at each place, places where a token may start
         self._body: list[tuple] = [(None, b"", (None,), (0,))]
         #: states behind an emission, where different pasts meet
         self._met: dict[tuple, int] = {}
 
-    def _spine(self, token: bytes) -> tuple | None:
+    def _spine(self, rank: int, token: bytes) -> tuple | None:
         """How a token grows: the pieces at its left edge and at its right edge over time, each with the rank of the
         merge that ends it; None for a token that the merges never build."""
-        if token in self._spines:
-            return self._spines[token]
         parts = [token[i : i + 1] for i in range(len(token))]
         left, right = [], []
         while len(parts) > 1:
-            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], _NEVER), i) for i in range(len(parts) - 1))
-            if rank == _NEVER:
+            first, at = min((self.ranks.get(parts[i] + parts[i + 1], _NEVER), i) for i in range(len(parts) - 1))
+            if first == _NEVER:
                 break
             if at == 0:
-                left.append((parts[0], rank))
+                left.append((parts[0], first))
             if at == len(parts) - 2:
-                right.append((parts[-1], rank))
+                right.append((parts[-1], first))
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        whole = len(parts) == 1 and token in self.ranks
-        found = self._spines[token] = (left + [(token, _NEVER)], right + [(token, _NEVER)]) if whole else None
+        whole = len(parts) == 1
+        found = self._spines[rank] = (left + [(token, _NEVER)], right + [(token, _NEVER)]) if whole else None
         return found
 
-    def beside(self, a: bytes, b: bytes) -> bool:
+    def beside(self, a: int, b: int) -> bool:
         """Whether no merge ever crosses the border between tokens a and b: at each moment the pieces that touch there
         must be merged away from each other before (on a tie the left one goes first) they would join."""
-        known = self._beside.get((a, b))
-        if known is not None:
-            return known
-        right, left = self._spine(a)[1], self._spine(b)[0]
+        right, left = self._spines[a][1], self._spines[b][0]
         i = j = 0
         ok = True
         while True:
@@ -97,27 +94,27 @@ class Transducer:
                 j += 1
         if len(self._beside) >= KEPT_MOVES:
             self._beside.clear()
-        self._beside[a, b] = ok
+        self._beside[a << 32 | b] = ok
         return ok
 
-    def _path(self, tail: bytes, last: tuple, end: int) -> list[int]:
+    def _path(self, last: tuple, end: int) -> list[int]:
         """The token borders from end back to the start of what is pending."""
         borders = [end]
         while borders[-1] > 0:
-            borders.append(borders[-1] - len(last[borders[-1]]))
+            borders.append(borders[-1] - self.size[last[borders[-1]]])
         return borders[::-1]
 
-    def _certain(self, tail: bytes, last: tuple, live: tuple) -> int:
+    def _certain(self, last: tuple, live: tuple) -> int:
         """The border up to which all continuations agree: what the paths to every place share at which a token that
         ends later may start."""
         sure = 0
-        for borders in zip(*(self._path(tail, last, s) for s in live), strict=False):
+        for borders in zip(*(self._path(last, s) for s in live), strict=False):
             if any(x != borders[0] for x in borders):
                 break
             sure = borders[0]
         return sure
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def _step(self, state: int, byte: int) -> int | tuple[int, tuple[int, ...]]:
         before, tail, last, live = self._body[state]
         tail += _BYTES[byte]
         found, still = None, []
@@ -127,21 +124,28 @@ class Transducer:
             if longer:
                 still.append(s)
             if found is None and rank is not None:
+                spine = self._spines.get(rank, 0)
+                if spine == 0:
+                    spine = self._spine(rank, token)
+                if spine is None:
+                    continue
                 left = last[s] if s else before
-                if (token in self._spines or self._spine(token)) and self._spines[token] and (left is None or self._beside.get((left, token)) or self.beside(left, token)):
-                    found = token
+                fits = True if left is None else self._beside.get(left << 32 | rank)
+                if fits is None:
+                    fits = self.beside(left, rank)
+                if fits:
+                    found = rank
         if found is None:
             raise ValueError(f"no token for byte {byte}")
         n = len(tail)
         still.append(n)
         last, live = (*last, found), tuple(still)
-        sure = self._certain(tail, last, live) if n > LOOKAHEAD else 0
+        sure = self._certain(last, live) if n > LOOKAHEAD else 0
         if not sure:
             self._body.append((before, tail, last, live))
-            return len(self._body) - 1, ()
-        borders = self._path(tail, last, sure)
-        out = tuple(self.ranks[tail[a:b]] for a, b in zip(borders, borders[1:], strict=False))
-        before, tail, last = tail[borders[-2] : sure], tail[sure:], (None, *last[sure + 1 :])
+            return len(self._body) - 1
+        out = tuple(last[b] for b in self._path(last, sure)[1:])
+        before, tail, last = out[-1], tail[sure:], (None, *last[sure + 1 :])
         to = self._met.get((before, tail))
         if to is None:
             to = self._met[before, tail] = len(self._body)
@@ -161,19 +165,20 @@ class Transducer:
                     body = self._body[state]
                     self._reset()
                     moves, state = self._moves, 0
-                    if body[1] or body[0]:
+                    if body[1] or body[0] is not None:
                         self._body.append(body)
                         state = 1
                 move = moves[state << 8 | byte] = self._step(state, byte)
-            state, emitted = move
-            if emitted:
+            if type(move) is int:
+                state = move
+            else:
+                state, emitted = move
                 out.extend(emitted)
         _, tail, last, _ = self._body[state]
         at, ids = len(tail), []
         while at:
-            token = last[at]
-            ids.append(self.ranks[token])
-            at -= len(token)
+            ids.append(last[at])
+            at -= self.size[last[at]]
         out.extend(reversed(ids))
         return tuple(out)
 
