@@ -1,8 +1,8 @@
 """A tree of files as four questions: what is there, what is each (inspect), read a part (invoke), read all (represent).
 
-Sources are resolved once, dispatched by a join with the registry, and parsed per family; each question is a union of the
-families' answers in one schema. Nothing is computed until a frame is read, and a family that no source belongs to costs
-one empty scan.
+Sources are expanded, typed and dispatched once, by a join with the registry, and written in a folder per handler; then
+each family parses its own folder alone, and each question is a union of the families' answers in one schema. Questions
+compute nothing until they are read, and a family that no source belongs to costs one empty scan.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from sieveline.operators.dispatch import affordances, available, dispatch, handl
 from sieveline.operators.flatten import represent
 from sieveline.sources import containers, documents
 from sieveline.sources.files import sources
+from sieveline.sources.workspace import kept
 
 CARD = ("uri", "handler_id", "mime", "size_bytes", "facts", "excerpt")
 
@@ -35,10 +36,11 @@ class Perception:
         spark = files.sparkSession
         self.capabilities = tuple(capabilities)
         expanded = containers.expand(files, depth) if depth else files.select("uri", F.lit(None).cast("string").alias("container"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("error"), "content")
+        expanded = kept(expanded.select("uri", "error", "content"), "expanded")  # archives are inflated once
         told = sources(expanded.filter("content is not null").select("uri", "content"))
         registry = available(handlers(spark, extra_handlers), self.capabilities)
         by_mime = dispatch(told, registry).select("mime", "handler_id", "version")
-        self.sources = told.join(F.broadcast(by_mime), "mime")
+        self.sources = kept(told.join(F.broadcast(by_mime), "mime"), "sources", "handler_id")
         self.failed = expanded.filter("content is null").select("uri", "error")
         self.affordances = available(affordances(spark, extra_affordances), self.capabilities)
 
