@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import materialize, shared_path, small_batches, table
+from sieveline.llm.common import join_sized, materialize, shared_path, small_batches, table
 
 #: Payloads shorter than this are always stored.
 REVISIT_LEAST = 100
@@ -189,7 +189,8 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
 def plan_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = REVISIT_LEAST) -> DataFrame:
     """Rows (page_id, url, payload, payload_digest, record_type, refers_to). Of equal payloads of at least so many
     bytes the one with the smallest page_id is a response and others revisit it; rows without an id, and rows repeated
-    under the smallest id, are responses too."""
+    under the smallest id, are responses too. Payloads stay where they were read while the repeated digests are few enough
+    to be broadcast (counted first); beyond that both sides meet by a shuffle."""
     payload = F.coalesce(F.encode(F.col(html), "UTF-8"), F.lit(b""))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("payload_digest"))
     many = materialize(
@@ -197,7 +198,7 @@ def plan_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
         .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("payload_digest", "first"),
         "warc-first",
     )
-    out = rows.join(many.hint("merge"), "payload_digest", "left")
+    out = join_sized(rows, many, "payload_digest", "left")
     revisits = F.coalesce((F.col("page_id") != F.col("first")), F.lit(False))
     return out.select("page_id", "url", "payload", "payload_digest", F.when(revisits, "revisit").otherwise("response").alias("record_type"), F.when(revisits, F.col("first")).alias("refers_to"))
 
