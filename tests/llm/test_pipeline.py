@@ -1,16 +1,18 @@
 """The pipeline against a plain reading of its stages; what is registered."""
 
 import base64
+import random
 from collections import Counter
 from pathlib import Path
 
 import public_tokenizers
+import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from sieveline.llm import bpe, mixing
+from sieveline.llm import bpe, mixing, near_copies
 from tests.llm.test_operators import brute_components, brute_fingerprint, prose
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -52,6 +54,32 @@ def test_pipeline_by_brute_force(spark, tmp_path):
     assert {200, 300, 301, 302} & {r.doc_id for r in out} <= {200} and len({r.doc_id for r in out} & {200, 201}) == (1 if comp.get(201) == 200 else 2)
 
 
+def edited(text, seed, share):
+    r = random.Random(seed)
+    return " ".join(w if r.random() >= share else f"edit{r.randrange(10**6)}" for w in text.split())
+
+
+def shingles(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+@pytest.mark.parametrize("bucket", [32, 2])
+def test_near_copies_are_all_texts_of_similar_shingles(spark, bucket, monkeypatch):
+    monkeypatch.setattr(near_copies.near_copy_groups, "__defaults__", ("doc_id", "text", None, bucket, 2))
+    texts = [edited(prose(g, 150), 100 * g + k, 0.03 * k / 8) for g in range(6) for k in range(8)]
+    texts += [edited(prose(9, 200), k, 0.02 + 0.005 * (k % 4)) for k in range(40)]  # one large group
+    texts += [prose(50, 60) + " " + prose(1000 + k, 60) for k in range(40)]  # a passage in common makes no near copies
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(900, None, "en", "s", 0), (901, " ", "en", "s", 1), (902, "a b", "en", "s", 3), (903, "A  B", "en", "s", 4)]
+    sets = [shingles(t) for t in texts]
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if 5 * len(a & b) >= 4 * len(a | b)]
+    comp = brute_components(links)
+    got = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, COLUMNS), "").collect()}
+    assert got == set(comp.values()) | {900, 902} and len(set(comp.values())) < 100
+    fp = [brute_fingerprint(t) for t in texts]
+    assert sum(bin(fp[i] ^ fp[j]).count("1") <= 2 for i, j in links if i < j) < sum(i < j for i, j in links) / 2
+
+
 def test_stages_take_odd_tables(spark):
     odd = [(None, "no id at all here", "en", None, 1), (1, None, None, "s", None), (2, "", "en", "s", 0), (3, "the same", "en", "s", 8), (3, "the same", "en", "s", 8), (4, "x" * 30_000, "en", "s", 30_000), (5, prose(5), "en", "s", 0), (None, None, None, None, None)]
     for rows in (odd, []):
