@@ -233,12 +233,19 @@ def _monotone(rate: list[float], weight: list[float]) -> list[float]:
     return [p[0] for p in pools for _ in range(int(p[2]))]
 
 
+_SKETCH = np.random.default_rng(8).integers(0, 1 << 64, 4, np.uint64) | np.uint64(1)
+
+
 def _sketches(texts: pd.Series) -> pd.Series:
-    """The least hash of a text's three-word shingles: copies and near copies mostly share it, other texts do not."""
+    """Four min-hashes of a text's three-word shingles as one number: near copies mostly share all, texts that merely
+    have a passage in common do not."""
     out = []
     for t in texts:
         w = t.encode("utf-8", "surrogatepass").lower().split()
-        out.append(min((xxhash.xxh64_intdigest(b" ".join(g)) for g in zip(w, w[1:], w[2:], strict=False)), default=xxhash.xxh64_intdigest(b" ".join(w))))
+        h = np.fromiter((xxhash.xxh64_intdigest(b" ".join(g)) for g in zip(w, w[1:], w[2:], strict=False)), np.uint64)
+        if not len(h):
+            h = np.array([xxhash.xxh64_intdigest(b" ".join(w))], np.uint64)
+        out.append(xxhash.xxh64_intdigest(np.array([(h * m).min() for m in _SKETCH]).tobytes()))
     return pd.Series(np.array(out, np.uint64).view(np.int64))
 
 
@@ -253,7 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """Learn terms, their weights and the calibration from labelled documents; ids labelled twice count as toxic if one
     label says so; null ids, texts and labels are left out. Without any labels every score is 0.5 times the prior 0.
     Terms and weights are
-    learned from one document of each group of near copies. The sample is written once; narrow passes read it. To the driver come terms (MOST_TERMS at most), one weight
+    learned from one document, the least text, of each group of near copies under one label. The sample is written once; narrow passes read it. To the driver come terms (MOST_TERMS at most), one weight
     for each term and edits, and N_STEPS steps."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -264,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     of = materialize(of, "toxic-labels")
     texts = docs.select(F.col(doc_id).alias("of_id"), F.col(text).alias("t")).filter("t is not null")
     sample = materialize(join_sized(texts, of, "of_id", "inner").select("t", "y", F.pandas_udf(_sketches, "long")(F.col("t")).alias("sketch")), "toxic-sample")
-    distinct = materialize(sample.dropDuplicates(["sketch"]).select("t", "y"), "toxic-distinct")
+    distinct = materialize(sample.groupBy("sketch", "y").agg(F.min("t").alias("t")).select("t", "y"), "toxic-distinct")
     prior, _, _ = _totals(sample)
     _, n1, n0 = _totals(distinct)
     if not n1:

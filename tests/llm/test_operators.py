@@ -402,6 +402,16 @@ def test_toxicity(spark):
     assert toxicity.score(docs(spark, []), model).count() == 0
 
 
+def test_toxic_copies_of_clean_texts_count(spark):
+    clean = [(i, prose(i, 300)) for i in range(100)]
+    bad = [(1000 + i, prose(i, 300) + " zorkface") for i in range(40)]
+    labels = spark.createDataFrame([(i, int(i >= 1000)) for i, _ in clean + bad], "doc_id long, toxic int")
+    model = toxicity.fit(docs(spark, clean + bad).coalesce(1), labels)
+    assert ("zorkface", False) in model.terms
+    k = model.terms.index(("zorkface", False))
+    assert model.weights[k, 0] == min(5.0, math.log(41 / 40 / (0.5 / 100)))
+
+
 # 9 -----------------------------------------------------------------------------------------------------------------
 
 
