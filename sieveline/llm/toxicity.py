@@ -24,8 +24,9 @@ from sieveline.llm.common import fold, join_sized, materialize, small_batches, t
 
 #: The bound of the fit: about so many labelled documents are read whole (chosen by a hash of their ids).
 SAMPLE_DOCS = 40_000
-#: A term is held by so many toxic documents at least, and by this share of them; so many times as often as by others.
-LEAST_DOCS, LEAST_PART, LEAST_LIFT = 5, 0.01, 20.0
+#: A term is held by so many toxic documents at least, whatever their number; so many times as often as by others; and
+#: the log-likelihood ratio of that is so high (20: chance does it once in 100,000 terms).
+LEAST_DOCS, LEAST_LIFT, LEAST_RATIO = 5, 20.0, 20.0
 MOST_TERMS = 2000
 STEM_LETTERS = (4, 8)
 #: A term, or its misspellings, that weighs less is noise and counts 0; what counts that the sample never shows.
@@ -291,8 +292,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     sums = distinct.mapInPandas(count, "term string, stem boolean, n1 long, n0 long").groupBy("term", "stem").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     lift = (F.col("n1") / F.lit(float(n1))) / ((F.col("n0") + 0.5) / F.lit(float(max(n0, 1))))
-    least = max(LEAST_DOCS, math.ceil(LEAST_PART * n1))
-    found = sums.filter((F.col("n1") >= least) & (lift >= LEAST_LIFT)).orderBy(F.desc("n1"), "term", "stem").limit(MOST_TERMS).collect()
+    toxic_part, held = n1 / (n1 + n0), F.col("n1") + F.col("n0")
+    ratio = 2 * (F.col("n1") * F.log(F.col("n1") / (held * toxic_part)) + F.when(F.col("n0") > 0, F.col("n0") * F.log(F.col("n0") / (held * max(1 - toxic_part, 1e-9)))).otherwise(0.0))
+    found = sums.filter((F.col("n1") >= LEAST_DOCS) & (lift >= LEAST_LIFT) & (ratio >= LEAST_RATIO)).orderBy(F.desc("n1"), "term", "stem").limit(MOST_TERMS).collect()
     words = sorted(r.term for r in found if not r.stem)
     stems, chosen = {r.term for r in found if r.stem}, []
     for s in sorted(stems, key=lambda s: (len(s), s)):  # the shortest that tells

@@ -412,6 +412,14 @@ def test_toxic_copies_of_clean_texts_count(spark):
     assert model.weights[k, 0] == min(5.0, math.log(41 / 40 / (0.5 / 100)))
 
 
+def test_rare_insults_are_learned(spark):
+    rows = [(i, prose(i, 12)) for i in range(5000)]
+    bad = [(10_000 + i, prose(i + 6000, 12) + (" blivarg" if i < 6 else " zorkface")) for i in range(700)]
+    labels = spark.createDataFrame([(i, int(i >= 10_000)) for i, _ in rows + bad], "doc_id long, toxic int")
+    model = toxicity.fit(docs(spark, rows + bad), labels)
+    assert {("blivarg", False), ("zorkface", False)} <= set(model.terms)
+
+
 # 9 -----------------------------------------------------------------------------------------------------------------
 
 
