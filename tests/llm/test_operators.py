@@ -190,47 +190,112 @@ def test_bpe_in_spark(spark):
 # 4 -----------------------------------------------------------------------------------------------------------------
 
 
+def true_links(x):
+    u = np.asarray(x, float)
+    u = u / np.linalg.norm(u, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    comp = brute_components([*((i, i) for i in range(len(u))), *((int(a), int(b)) for a, b in zip(*np.nonzero(near), strict=True))])
+    return near.sum(1), comp
+
+
+def held_to(got, x, least=0.98):
+    n, comp = true_links(x)
+    assert all(got[i].n_links <= n[i] and got[i].kept == (got[i].component_id == i) for i in range(len(x)))
+    assert sum(got[i].n_links for i in range(len(x))) >= least * n.sum()
+    assert sum(got[i].component_id == comp[i] for i in range(len(x))) >= least * len(x)
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+
+
 def test_vectors_against_brute_force(spark):
     r = np.random.default_rng(1)
     base = r.normal(size=(40, 16))
     x = np.concatenate([r.normal(size=(300, 16)), np.repeat(base, 12, 0) + r.normal(size=(480, 16)) * 0.12, np.repeat(base[:2], 30, 0)]).astype(np.float32)
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    odd = [(9001, None), (9002, [0.0] * 16), (9003, [float("nan")] + [1.0] * 15), (9004, [float("inf")] + [1.0] * 15), (9005, [None] + [1.0] * 15), (9006, []), (9007, [1.0, 2.0]), (9008, [2.0, 4.0])]
-    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>")
-    got = {g.vec_id: g for g in vector_dedup.near_duplicates(df, block=128).collect()}
-    u = x.astype(float)
-    u /= np.linalg.norm(u, axis=1, keepdims=True)
-    near = u @ u.T >= 0.9
-    comp = brute_components([(int(a), int(b)) for a, b in zip(*np.nonzero(near), strict=True)])
-    found, true = 0, 0
-    for i in range(len(x)):
-        n = int(near[i].sum()) - 1
-        assert got[i].n_links <= n
-        found, true = found + got[i].n_links, true + n
-        assert got[i].kept == (got[i].component_id == i)
-    assert found >= 0.98 * true
-    assert sum(got[i].component_id == comp[i] for i in range(len(x))) >= 0.98 * len(x)
+    odd = [(9001, None), (9002, [0.0] * 16), (9003, [float("nan")] + [1.0] * 15), (9004, [float("inf")] + [1.0] * 15), (9005, [None] + [1.0] * 15), (9006, []), (9007, [1.0, 2.0]), (9008, [2.0, 4.0]), (None, [3.0, 6.5])]
+    got = {g.vec_id: g for g in vector_dedup.near_duplicates(vectors(spark, rows + odd), shard=64).collect()}
+    held_to(got, x)
+    assert got[0].recall >= vector_dedup.RECALL and got[0].audited_links > 0
     assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i, _ in odd[:6])
-    assert got[9007].n_links == 1 and got[9008].component_id == 9007 and not got[9008].kept
+    assert got[9007].n_links == 2 and got[9008].component_id == 9007 and not got[9008].kept
+    assert (got[None].n_links, got[None].component_id, got[None].kept) == (2, 9007, False)
+
 
+def test_clusters_split_across_shards_are_linked(spark, monkeypatch):
+    """Chains of near vectors that are far longer than a shard: links and components go from home to home."""
+    monkeypatch.setattr(vector_dedup, "HOME", 24)
+    monkeypatch.setattr(vector_dedup, "BUILD", 96)
+    r = np.random.default_rng(3)
+    t = np.linspace(0, 4, 400)[:, None]
+    chain = np.concatenate([np.cos(t), np.sin(t), r.normal(size=(400, 14)) * 0.02], 1)
+    x = np.concatenate([chain, r.normal(size=(300, 16))])
+    monkeypatch.setattr(vector_dedup, "DENSE_LEAST", 10_000)
+    got = {g.vec_id: g for g in vector_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), shard=16).collect()}
+    held_to(got, x)
 
-def test_graph_search_finds_what_is_in_range():
-    r = np.random.default_rng(2)
-    x = np.concatenate([r.normal(size=(200, 12)), r.normal(size=(1, 12)) + r.normal(size=(150, 12)) * 0.1])
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    adj = vector_dedup.robust_prune(x, np.random.default_rng(0))
-    assert adj.shape[1] == vector_dedup.DEGREE and (adj != np.arange(len(x))[:, None]).all()
-    found = vector_dedup.range_search(x, vector_dedup._adjacency(np.arange(len(x)), [a[a >= 0] for a in adj]))
-    true = x @ x.T >= 0.9
-    np.fill_diagonal(true, False)
-    assert not (found & ~true).any() and found.sum() >= 0.98 * true.sum()
+
+def test_dense_places_are_counted_and_their_edges_compared(spark):
+    """A tight group, a ring around it at every angle to it, and a second group that some of the first are linked with."""
+    r = np.random.default_rng(4)
+    a, b = np.eye(12)[0], np.eye(12)[1]
+    at = lambda angle, n: np.cos(angle) * a + np.sin(angle) * b + r.normal(size=(n, 12)) * 0.02
+    ring = np.concatenate([at(w, 3) for w in np.linspace(0.1, 0.9, 40)])
+    x = np.concatenate([at(0.0, 300), ring, at(0.44, 200), r.normal(size=(200, 12)), np.repeat(at(0.0, 1), 20, 0)])
+    got = {g.vec_id: g for g in vector_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), shard=32).collect()}
+    n, comp = true_links(x)
+    near = [i for i in range(len(x)) if got[i].component_id == comp[i]]
+    assert len(near) >= 0.99 * len(x) and sum(got[i].n_links for i in range(len(x))) >= 0.99 * n.sum()
+    inner = [i for i in range(300) if n[i] > 300]
+    assert all(got[i].n_links == n[i] for i in inner)
+
+
+def test_without_links_recall_is_unknown_and_below_the_bar_all_are_compared(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    far = vector_dedup.near_duplicates(vectors(spark, [(i, v.tolist()) for i, v in enumerate(r.normal(size=(200, 32)))])).collect()
+    assert {(g.n_links, g.recall, g.audited_links) for g in far} == {(0, None, 0)}
+    x = np.concatenate([np.repeat(r.normal(size=(30, 16)), 5, 0) + r.normal(size=(150, 16)) * 0.05])
+    none = spark.createDataFrame([], vector_dedup.FOUND)
+    monkeypatch.setattr(vector_dedup, "_graph_links", lambda *a: none)
+    got = {g.vec_id: g for g in vector_dedup.near_duplicates(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])).collect()}
+    held_to(got, x.astype(np.float32), 1.0)
+    assert got[0].recall == 1.0
+
+
+def test_work_on_vectors_is_in_proportion(spark):
+    """Searches that are begun or go on, for a table and one four times as large."""
+    asked = []
+
+    def count(n):
+        r = np.random.default_rng(n)
+        x = np.concatenate([r.normal(size=(n, 24)), np.repeat(r.normal(size=(n // 20, 24)), 5, 0) + r.normal(size=(n // 20 * 5, 24)) * 0.05])
+        df = vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+        real = vector_dedup.materialize
+
+        def counting(frame, name):
+            out = real(frame, name)
+            if name == "vector-ahead":
+                asked[-1] += out.count()
+            return out
+
+        vector_dedup.materialize = counting
+        asked.append(len(x))
+        try:
+            vector_dedup.near_duplicates(df, shard=64)
+        finally:
+            vector_dedup.materialize = real
+
+    count(400)
+    count(1600)
+    assert asked[1] <= 4 * asked[0] * 1.3
 
 
 def test_vectors_empty(spark):
-    df = spark.createDataFrame([], "vec_id long, embedding array<float>")
-    assert vector_dedup.near_duplicates(df).count() == 0
-    only = spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")
-    assert [tuple(r) for r in vector_dedup.near_duplicates(only).collect()] == [(1, 0, 1, True, 1.0)]
+    assert vector_dedup.near_duplicates(vectors(spark, [])).count() == 0
+    assert [tuple(r) for r in vector_dedup.near_duplicates(vectors(spark, [(1, None)])).collect()] == [(1, 0, 1, True, None, 0)]
+    assert [tuple(r)[:4] for r in vector_dedup.near_duplicates(vectors(spark, [(1, [1.0, 2.0])])).collect()] == [(1, 0, 1, True)]
 
 
 # 5 -----------------------------------------------------------------------------------------------------------------
@@ -343,7 +408,7 @@ def test_url_filter(spark):
     entries = [("l", "bad.com", 10, "add"), ("l", "bad.com", 20, "remove"), ("l", "bad.com", 30, "add"), ("l", "x.bad.com", 5, "add"), ("m", "BAD.com", 12, "add"), ("l", "z.org", 7, "add"), ("l", "z.org", 7, "remove"), ("l", None, 1, "add"), ("l", "q.org", None, "add"), ("l", "gone.org", 3, "remove"), ("l", "bad.com", 11, "add")]
     e = spark.createDataFrame(entries, "list string, key string, day int, action string")
     spans = {tuple(r) for r in url_filter.intervals(e).collect()}
-    assert spans == {("l", "bad.com", 10, 20), ("l", "bad.com", 30, None), ("l", "x.bad.com", 5, None), ("m", "bad.com", 12, None)}
+    assert spans == {("l", "bad.com", True, 10, 20), ("l", "bad.com", True, 30, None), ("l", "x.bad.com", True, 5, None), ("m", "bad.com", True, 12, None)}
     caps = [(1, "http://a.x.bad.com/p", 11), (2, "https://user@Bad.com:80/", 19), (3, "http://bad.com", 9), (4, "http://notbad.com", 15), (5, None, 15), (6, "http://bad.com", None), (7, "http://bad.com.", 25), (7, "http://bad.com.", 25), (8, "http://z.org", 8)]
     c = spark.createDataFrame(caps, "page_id int, url string, fetch_day int").withColumn("Blocked", F.lit("clash")).withColumn("rid", F.lit(1))
     got = Counter((r.page_id, r.blocked, r.n_entries, r.matched_list, r.matched_key) for r in url_filter.evaluate(c, url_filter.intervals(e)).collect())
@@ -351,6 +416,15 @@ def test_url_filter(spark):
     assert url_filter.evaluate(c.limit(0), url_filter.intervals(e.limit(0))).count() == 0
 
 
+def test_url_filter_addresses_and_hosts_alone(spark):
+    entries = [("l", "1.2.3.4", 1, "add", True), ("l", "2.3", 1, "add", True), ("l", "[::1]", 1, "add", True), ("h", "a.org", 1, "add", False), ("d", "b.org", 1, "add", True)]
+    e = spark.createDataFrame(entries, "list string, key string, day int, action string, below boolean")
+    urls = ["http://1.2.3.4/x", "http://9.1.2.3/", "http://[::1]:80/", "http://[::2]/", "http://a.org", "http://x.a.org", "http://x.b.org"]
+    c = spark.createDataFrame([(u, 5) for u in urls], "url string, fetch_day int")
+    got = {r.url: (r.host, r.blocked) for r in url_filter.evaluate(c, url_filter.intervals(e)).collect()}
+    assert [got[u] for u in urls] == [("1.2.3.4", True), ("9.1.2.3", False), ("[::1]", True), ("[::2]", False), ("a.org", True), ("x.a.org", False), ("x.b.org", True)]
+
+
 # 8 -----------------------------------------------------------------------------------------------------------------
 
 
