@@ -11,17 +11,19 @@ from pyspark.sql import functions as F
 #: White space of the contracts: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows in one Arrow batch: texts can be long, so batches stay small.
-ARROW_ROWS = 1000
+#: Rows and bytes in one Arrow batch: texts can be long, so batches stay small.
+ARROW_ROWS, ARROW_BYTES = 1000, 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset, as in tests on
-    one machine, a local folder is taken."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset and all run in one process,
+    as in tests, a local folder is taken; on a cluster that would lose rows, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sieveline-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -50,8 +52,10 @@ def drop_files(df: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch for the jobs that follow."""
+    """Bound the rows and bytes of an Arrow batch. Results are computed when they are read, so the two settings stay as
+    they are here in the caller's session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def fold(doc_id: str | Column, parts: int, part: int) -> Column:
