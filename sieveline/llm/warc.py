@@ -6,30 +6,35 @@ of a gzip member (of its length) is 0 up to 16 MiB, so that byte is left to the
 but gzip members. A larger record is followed by an empty member, which ends in 0 as well.
 
 Reading: a sequential reader inflates an archive bit by bit, splits it at member borders, frames the block by
-Content-Length and verifies block and payload digests while they pass.
+Content-Length and verifies block and payload digests while they pass: SHA-256, SHA-1 and MD5, in hex or base 32.
 """
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import join_sized, materialize, shared_path, small_batches, table
+from sieveline.llm.common import materialize, shared_path, small_batches, table
 
 #: Payloads shorter than this are always stored.
 REVISIT_LEAST = 100
 #: Payload bytes of one archive file, about; and bytes inflated at a time.
 ARCHIVE_BYTES, STEP = 32 << 20, 64 << 10
+#: Bits of the filter that tells which payloads may be repeated (16 MiB, whatever the table).
+FILTER_BITS = 27
 GZIP_LEVEL = 3
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _EMPTY = zlib.compressobj(1, zlib.DEFLATED, 31).flush()
 
-RECORD = "record_type string, record_id string, target_uri string, page_id long, refers_to long, date string, payload_bytes long, payload_digest string, block_bytes long, verified boolean, file string, record_offset long"
+RECORD = "record_type string, record_id string, target_uri string, page_id long, refers_to long, date string, payload_bytes long, payload_digest string, block_bytes long, verified boolean, file string, record_offset long, error string"
 
 
 def member(data: list[bytes]) -> bytes:
@@ -42,9 +47,9 @@ def _line(value: str | None) -> str:
     return "".join(f"%{ord(c):02X}" if c < " " or c == "\x7f" else c for c in value or "")
 
 
-def record(kind: str, page_id, uri: str | None, payload: bytes, digest: str, refers_to, refers_uri=None, date: str = "2024-01-01T00:00:00Z") -> bytes:
+def record(kind: str, page_id, uri: str | None, payload: bytes, digest: str, refers_to, date: str = "2024-01-01T00:00:00Z", length: int | None = None) -> bytes:
     """One record as a gzip member. A revisit keeps the HTTP head, with the length of the full payload, not the body."""
-    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload) if length is None else length}\r\n\r\n".encode()
     body = b"" if kind == "revisit" else payload
     block = hashlib.sha256(head)
     block.update(body)
@@ -114,83 +119,159 @@ def _page(urn: str | None) -> int | None:
     return int(got) if got.lstrip("-").isdigit() else None
 
 
-def read_archive(content: bytes, file: str = "", payloads: bool = False) -> Iterator[dict]:
-    """The records of one archive in order. A record whose framing is broken ends the archive with an error; one whose
-    digests differ comes out with verified false."""
+_ALGORITHMS = {"sha256": hashlib.sha256, "sha-256": hashlib.sha256, "sha1": hashlib.sha1, "sha-1": hashlib.sha1, "md5": hashlib.md5}
+
+
+class _Digest:
+    """A digest that a header declares, checked against the bytes that pass; nothing is known where none is declared, or
+    one of an algorithm that is not read here."""
+
+    def __init__(self, declared: str | None):
+        name, _, self.want = (declared or "").partition(":")
+        make = _ALGORITHMS.get(name.strip().lower())
+        self.hash = make() if make and self.want.strip() else None
+
+    def update(self, piece: bytes) -> None:
+        if self.hash is not None:
+            self.hash.update(piece)
+
+    def good(self) -> bool | None:
+        if self.hash is None:
+            return None
+        got, want = self.hash.digest(), self.want.strip()
+        if len(want) == 2 * len(got):
+            return want.lower() == got.hex()
+        try:
+            return base64.b32decode(want.upper() + "=" * (-len(want) % 8)) == got
+        except (binascii.Error, ValueError):
+            return False
+
+
+def read_archive(content: bytes, file: str = "", payloads: bool = False, strict: bool = True) -> Iterator[dict]:
+    """The records of one archive in order. A record whose digests differ comes out with verified false, one that
+    declares none with verified null. Where the framing is broken the archive ends with an error; if not strict, the
+    error is a row (record_type null) and reading goes on at the next gzip member that can be found."""
     src = _Inflated(memoryview(content))
     while src.open():
-        offset = src.start
-        if not src.out and not src._more() or (src.z.eof and not src.out):
-            continue  # an empty member
-        top = src.until(b"\r\n\r\n")
-        if not top.startswith(b"WARC/"):
-            raise ValueError("not a WARC record")
-        f = _fields(top)
-        n = int(f["content-length"])
-        block, payload, got, inner, kept = hashlib.sha256(), hashlib.sha256(), 0, b"", []
-        http = f.get("content-type", "").startswith("application/http")
-        body = not http
-        for piece in src.take(n):
-            block.update(piece)
-            if not body:
-                inner += piece
-                if (i := inner.find(b"\r\n\r\n")) < 0:
-                    continue
-                inner, piece, body = inner[:i], inner[i + 4 :], True
-            payload.update(piece)
-            got += len(piece)
-            if payloads:
-                kept.append(piece)
-        if src.rest() != b"\r\n\r\n":
-            raise ValueError("a record not closed by two line breaks")
-        kind = f.get("warc-type")
-        digest = f.get("warc-payload-digest", "").removeprefix("sha256:")
-        ok = f.get("warc-block-digest", "sha256:" + block.hexdigest()) == "sha256:" + block.hexdigest()
-        if kind == "revisit":
-            got = int(_fields(inner).get("content-length", got))
-        elif digest:
-            ok = ok and digest == payload.hexdigest()
-        yield {
-            "record_type": kind, "record_id": f.get("warc-record-id"), "target_uri": f.get("warc-target-uri"), "page_id": _page(f.get("warc-record-id")),
-            "refers_to": _page(f.get("warc-refers-to")), "date": f.get("warc-date"), "payload_bytes": got, "payload_digest": digest or payload.hexdigest(),
-            "block_bytes": n, "verified": ok, "file": file, "record_offset": offset,
-        } | ({"payload": b"".join(kept)} if payloads else {})
-
-
-def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
+        start = src.start
+        try:
+            yield from _read_record(src, file, payloads)
+        except (ValueError, zlib.error) as x:
+            if strict:
+                raise ValueError(f"{file}: {x}") from x
+            yield {"error": f"{type(x).__name__}: {x}", "file": file, "record_offset": start, "payload_bytes": None, "block_bytes": None}
+            src.at = content.find(b"\x1f\x8b\x08", start + 1)
+            if src.at < 0:
+                return
+
+
+def _read_record(src: _Inflated, file: str, payloads: bool) -> Iterator[dict]:
+    offset = src.start
+    if not src.out and not src._more() or (src.z.eof and not src.out):
+        return  # an empty member
+    top = src.until(b"\r\n\r\n")
+    if not top.startswith(b"WARC/"):
+        raise ValueError("not a WARC record")
+    f = _fields(top)
+    if not f.get("content-length", "").isdigit():
+        raise ValueError("a record without Content-Length")
+    n = int(f["content-length"])
+    block, declared, payload, got, inner, kept = _Digest(f.get("warc-block-digest")), _Digest(f.get("warc-payload-digest")), hashlib.sha256(), 0, b"", []
+    http = f.get("content-type", "").startswith("application/http")
+    body = not http
+    for piece in src.take(n):
+        block.update(piece)
+        if not body:
+            inner += piece
+            if (i := inner.find(b"\r\n\r\n")) < 0:
+                continue
+            inner, piece, body = inner[:i], inner[i + 4 :], True
+        payload.update(piece)
+        declared.update(piece)
+        got += len(piece)
+        if payloads:
+            kept.append(piece)
+    if src.rest() != b"\r\n\r\n":
+        raise ValueError("a record not closed by two line breaks")
+    kind, told = f.get("warc-type"), f.get("warc-payload-digest")
+    checks = [block.good()]
+    if kind == "revisit":  # the payload is elsewhere
+        length = _fields(inner).get("content-length", "")
+        got = int(length) if length.isdigit() else got
+    else:
+        checks.append(declared.good())
+    ok = False if False in checks else None if None in checks else True
+    yield {
+        "record_type": kind, "record_id": f.get("warc-record-id"), "target_uri": f.get("warc-target-uri"), "page_id": _page(f.get("warc-record-id")),
+        "refers_to": _page(f.get("warc-refers-to")), "date": f.get("warc-date"), "payload_bytes": got, "payload_digest": told.removeprefix("sha256:") if told else payload.hexdigest(),
+        "block_bytes": n, "verified": ok, "file": file, "record_offset": offset, "error": None,
+    } | ({"payload": b"".join(kept)} if payloads else {})
+
+
+def read_warc(spark: SparkSession, path: str, payloads: bool = False, strict: bool = True) -> DataFrame:
     """The records of all archives under path, one row each (with payload if asked). One task reads an archive from
-    its start to its end, as gzip demands; archives are what runs in parallel. No archive may exceed 2 GiB."""
+    its start to its end, as gzip demands; archives are what runs in parallel. No archive may exceed 2 GiB. If not
+    strict, what is damaged comes out as rows with an error, and the rest is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter("length > 0").select("path", "content")
 
     def read(batches):
         for batch in batches:
             for file, content in zip(batch["path"], batch["content"], strict=True):
                 rows, size = [], 0
-                for r in read_archive(content, file, payloads):
+                for r in read_archive(content, file, payloads, strict):
                     rows.append(r)
                     size += len(r.get("payload", b"")) + 500
                     if size > 8 << 20:
-                        yield pd.DataFrame(rows)
+                        yield pd.DataFrame(rows, dtype=object)
                         rows, size = [], 0
                 if rows:
-                    yield pd.DataFrame(rows)
+                    yield pd.DataFrame(rows, dtype=object)
 
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARCHIVE_BYTES))
 
+    names = [c.split()[0] for c in RECORD.split(", ")] + (["payload"] if payloads else [])
+
     def typed(batches):
         for out in read(batches):
-            for c in ("page_id", "refers_to"):
+            for c in ("page_id", "refers_to", "payload_bytes", "block_bytes"):
                 out[c] = out[c].astype("Int64")
-            yield out
+            yield out.reindex(columns=names)
 
     return files.mapInPandas(typed, RECORD + (", payload binary" if payloads else ""))
 
 
-def plan_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = REVISIT_LEAST) -> DataFrame:
-    """Rows (page_id, url, payload, payload_digest, record_type, refers_to). Of equal payloads of at least so many
-    bytes the one with the smallest page_id is a response and others revisit it; rows without an id, and rows repeated
-    under the smallest id, are responses too. Payloads stay where they were read while the repeated digests are few enough
-    to be broadcast (counted first); beyond that both sides meet by a shuffle."""
+def _maybe(keys: DataFrame, key: str):
+    """A function of a column that is true for every key of keys and for few others: a bitmap of 2^FILTER_BITS bits. It is
+    put together from pages of 4 KiB, so the driver gets the bitmap and no more."""
+    spark, mask = keys.sparkSession, (1 << FILTER_BITS) - 1
+    place = lambda c: F.xxhash64(c).bitwiseAND(F.lit(mask))
+
+    def page(g: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(4096, np.uint8)
+        at = g["h"].to_numpy() & 32767
+        np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        return pd.DataFrame({"page": [int(g["page"].iat[0])], "bits": [bits.tobytes()]})
+
+    pages = keys.select(place(key).alias("h")).distinct().withColumn("page", F.shiftright("h", 15)).groupBy("page").applyInPandas(page, "page long, bits binary").collect()
+    whole = np.zeros(max(1, (mask + 1) >> 15) * 4096, np.uint8)
+    for r in pages:
+        whole[r.page * 4096 : (r.page + 1) * 4096] = np.frombuffer(r.bits, np.uint8)
+    held = spark.sparkContext.broadcast(whole)
+
+    @F.pandas_udf("boolean")
+    def told(h: pd.Series) -> pd.Series:
+        x = h.to_numpy()
+        return pd.Series((held.value[x >> 3] >> (x & 7)) & 1 == 1)
+
+    return lambda c: told(place(c))
+
+
+def plan_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = REVISIT_LEAST, few: int = 100_000) -> DataFrame:
+    """Rows (page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to). Of equal payloads of at least
+    so many bytes the one with the smallest page_id is a response and others revisit it (without a payload of their own);
+    rows without an id, and rows repeated under the smallest id, are responses too. Repeated digests are broadcast if they
+    are few (counted first). Beyond that a filter of a fixed size keeps payloads that are not repeated where they were
+    read, and only the others meet their digests by a shuffle."""
     payload = F.coalesce(F.encode(F.col(html), "UTF-8"), F.lit(b""))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("payload_digest"))
     many = materialize(
@@ -198,38 +279,49 @@ def plan_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
         .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("payload_digest", "first"),
         "warc-first",
     )
-    out = join_sized(rows, many, "payload_digest", "left")
+    if many.count() <= few:
+        out = rows.join(F.broadcast(many), "payload_digest", "left")
+    else:
+        told = rows.withColumn("maybe", _maybe(many, "payload_digest")(F.col("payload_digest")))
+        out = told.filter("not maybe").drop("maybe").withColumn("first", F.lit(None).cast("long")).unionByName(told.filter("maybe").drop("maybe").join(many.hint("merge"), "payload_digest", "left"))
     revisits = F.coalesce((F.col("page_id") != F.col("first")), F.lit(False))
-    return out.select("page_id", "url", "payload", "payload_digest", F.when(revisits, "revisit").otherwise("response").alias("record_type"), F.when(revisits, F.col("first")).alias("refers_to"))
+    return out.select(
+        "page_id", "url", F.when(~revisits, F.col("payload")).otherwise(F.lit(b"")).alias("payload"), F.length("payload").cast("long").alias("payload_bytes"), "payload_digest",
+        F.when(revisits, "revisit").otherwise("response").alias("record_type"), F.when(revisits, F.col("first")).alias("refers_to"),
+    )
 
 
-def write_warc(records: DataFrame, path: str, mean_bytes: float) -> None:
-    """Write planned records as gzip archives under path; by the mean size of a payload, none of them holds many more
-    records than ARCHIVE_BYTES."""
+def write_warc(records: DataFrame, path: str) -> None:
+    """Write planned records as gzip archives under path. A task begins a new archive as soon as one holds ARCHIVE_BYTES,
+    so none is longer than that and its last record, whatever the sizes of payloads are."""
 
     def members(batches):
+        archive, size = 0, 0
         for b in batches:
-            out = []
+            out, of = [], []
             for i in range(len(b)):
                 page, to = b["page_id"].iat[i], b["refers_to"].iat[i]
                 data = record(
                     b["record_type"].iat[i], None if pd.isna(page) else int(page), b["url"].iat[i], b["payload"].iat[i], b["payload_digest"].iat[i], None if pd.isna(to) else int(to),
+                    length=int(b["payload_bytes"].iat[i]),
                 )
                 if data[-1]:
                     data += _EMPTY
                 out.append(data[:-1])
-            yield pd.DataFrame({"value": out})
+                of.append(archive)
+                size += len(data)
+                if size >= ARCHIVE_BYTES:
+                    archive, size = archive + 1, 0
+            yield pd.DataFrame({"value": out, "archive": of})
 
     small_batches(records.sparkSession)
-    made = records.mapInPandas(members, "value binary").select(F.col("value").cast("string").alias("value"))
-    made.write.option("lineSep", "\0").option("maxRecordsPerFile", max(1, int(ARCHIVE_BYTES // max(1.0, mean_bytes)))).text(path)
+    made = records.mapInPandas(members, "value binary, archive int").select(F.col("value").cast("string").alias("value"), "archive")
+    made.write.option("lineSep", "\0").partitionBy("archive").text(path)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
-    pages = table(spark, sf_dir, "pages")
-    mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0.0
-    write_warc(plan_records(pages), path, mean)
+    write_warc(plan_records(table(spark, sf_dir, "pages")), path)
     return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
 
 
