@@ -1,13 +1,15 @@
 """A hidden Markov language model: Baum-Welch counts summed over partitions, exact likelihood by scaled recursion.
 
-Latent states emit word classes: the TOP most frequent tokens and the end are classes of their own, other known tokens
-share BUCKETS classes by a hash, unknown tokens are one class. Within a shared class a token has its part of the class's
-(smoothed) count, so the model is a distribution over known tokens and `unknown`, while what the driver holds, states
-times classes, does not grow with the corpus. Counts of the most frequent tokens are broadcast (HEAD at most, a
-documented bound); the counts of all others reach their documents by a join.
-
-States start from a bounded sample; the Baum-Welch passes that follow run over every training text, cut into windows.
-Scores are exact: no window, no beam; of long texts the transfer matrices of segments are multiplied.
+In the first passes latent states emit word classes: the TOP most frequent tokens and the end are classes of their own,
+other known tokens share BUCKETS classes by a hash. States start from the neighbourhoods of the most frequent classes,
+counted over all training texts: classes that stand beside the same classes begin in one state. Each pass runs over every
+training text, cut into windows, and only sums of states by classes come to the driver.
+
+The last pass gathers what every token does: rows (token, expected count in each state), summed by Spark, as many as there
+are tokens in the training texts. From these every known token has emission probabilities of its own, so the model is a
+distribution over known tokens and `unknown`. Those of the HEAD most frequent tokens are broadcast (a documented bound);
+all others reach their documents by a join. Scores are exact: no window, no beam; of long texts the transfer matrices of
+segments are multiplied.
 """
 
 from __future__ import annotations
@@ -24,13 +26,16 @@ from pyspark.sql import functions as F
 from sieveline.llm.common import fold, free_name, materialize, small_batches, table
 
 STATES, TOP, BUCKETS, HEAD = 8, 4000, 1024, 200_000
-#: Training documents, about, from which states start; rounds there; Baum-Welch passes over all training texts.
-START_DOCS, START_ROUNDS, PASSES = 1500, 12, 2
+#: Classes whose neighbourhoods start the states, how much a state prefers its own; Baum-Welch passes over all training
+#: texts, the last of which gathers every token.
+NEIGHBOURS, PREFERS, PASSES = 512, 8.0, 4
 #: Tokens in a training window, and in a segment of the exact recursion over long texts.
 WINDOW, SEGMENT = 256, 512
-#: Counts that a state borrows from the corpus as a whole.
-SMOOTH = 200.0
+#: Counts that a state borrows from the corpus as a whole; occurrences in all states that a token borrows.
+SMOOTH, BORROWED = 200.0, 0.5
 ADD = 0.1
+#: Expected counts below this are left to smoothing.
+TRACE = 1e-3
 UNKNOWN, END, FIRST = 0, 1, 2
 FLUSH = 400_000
 
@@ -70,35 +75,32 @@ class _Head(dict):
 
 
 class Vocabulary:
-    """Of the corpus: sizes, the head's tokens with class, base and within-class logarithms."""
+    """Of the corpus: sizes, the head's tokens with their classes. A text is coded as places of head tokens, then the
+    end, then the tail's buckets."""
 
     def __init__(self, n: int, v: int, docs: int, singles: int, head: list[tuple[str, int]], mass: np.ndarray, top: int):
         self.n, self.v, self.docs = n, v, docs
-        self.top, self.buckets = top, len(mass)
+        self.buckets = len(mass)
         self.z = n + ADD * (v + 1)
         #: what unknown tokens get: the part that tokens seen once have of all (Good-Turing), or all of it
         self.unknown = 1.0 if n == 0 else min(0.5, max(ADD / self.z, singles / n))
         self.tokens = [t.encode("utf-8") for t, _ in head]
-        c = np.array([x for _, x in head], np.float64)
-        self.base = np.log10((c + ADD) / self.z)
-        self.mass = mass
+        self.end = len(head)
+        self.c = np.array([*(x for _, x in head), docs], np.float64)
+        self.base = np.log10((self.c + ADD) / self.z)
+        bucket = np.array([_bucket(t, self.buckets) for t in self.tokens], np.int64)
         own = np.arange(len(head)) < top
-        b = np.array([_bucket(t, self.buckets) for t in self.tokens], np.int64)
-        self.cls = np.where(own, FIRST + np.arange(len(head)), FIRST + top + b).astype(np.uint16)
-        self.within = np.where(own, 0.0, np.log10((c + ADD) / np.maximum(mass[b], ADD))) if len(head) else c
-        whole = FIRST + top + self.buckets
-        share = np.zeros(whole)
+        #: the class of each place of a code
+        self.cls = np.concatenate([np.where(own, FIRST + np.arange(len(head)), FIRST + top + bucket), [END], FIRST + top + np.arange(self.buckets)]).astype(np.int64)
+        share = np.zeros(FIRST + top + self.buckets)
         share[END] = docs + ADD if docs else 0.0
-        share[FIRST : FIRST + min(top, len(head))] = (c + ADD)[:top]
+        share[FIRST : FIRST + min(top, len(head))] = (self.c[:-1] + ADD)[:top]
         share[FIRST + top :] = mass
         total = share.sum()
         #: the corpus's distribution over classes
         self.prior = share / total * (1 - self.unknown) if total else share
         self.prior[UNKNOWN] = self.unknown
 
-    def base_of_end(self) -> float:
-        return float(np.log10((self.docs + ADD) / self.z))
-
     def index(self) -> _Head:
         if not hasattr(self, "_index"):
             self._index = _Head((t, i) for i, t in enumerate(self.tokens))
@@ -108,20 +110,24 @@ class Vocabulary:
         return {k: v for k, v in self.__dict__.items() if k != "_index"}
 
 
-def vocabulary(counts: DataFrame, docs: int, head: int = HEAD, top: int = TOP, buckets: int = BUCKETS) -> Vocabulary:
-    """From materialized token counts and the number of training documents. To the driver come sizes, the head tokens
-    and one number per bucket."""
-    whole = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("s")).first()
-    # a cut in the counts that at most head tokens reach, from a histogram of their logarithms
-    bins = {r.b: r.n for r in counts.groupBy(F.floor(F.log2("c") * 16).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
+def _frequent(counts: DataFrame, head: int) -> tuple[DataFrame, float | None]:
+    """The rows of counts from a cut on that at most head tokens reach, by a histogram of their logarithms."""
+    place = F.floor(F.log2("c") * 16)
+    bins = {r.b: r.n for r in counts.groupBy(place.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each sixteenth of a power of two
     least, room = None, head
     for b in sorted(bins, reverse=True):
         room -= bins[b]
         if room < 0:
             break
         least = b
-    many = counts.filter(F.floor(F.log2("c") * 16) >= least) if least is not None else counts.limit(0)
-    found = many.select("token", "c").toPandas()
+    return (counts.filter(place >= least) if least is not None else counts.limit(0)), least
+
+
+def vocabulary(counts: DataFrame, docs: int, head: int = HEAD, top: int = TOP, buckets: int = BUCKETS) -> Vocabulary:
+    """From materialized token counts and the number of training documents. To the driver come sizes, the head tokens
+    and one number per bucket."""
+    whole = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("s")).first()
+    found = _frequent(counts, head)[0].select("token", "c").toPandas()
     first = sorted(zip(found["token"], found["c"].tolist(), strict=True), key=lambda x: (-x[1], x[0]))
     mass = np.zeros(buckets)
     for r in counts.groupBy(F.pmod(F.xxhash64("token"), F.lit(buckets)).alias("b")).agg(F.sum(F.col("c") + ADD).alias("m")).collect():
@@ -154,6 +160,10 @@ class Chain:
     def counts(self, seqs: list[np.ndarray], fresh: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected starts, moves and emissions of windows; those that are not fresh go on inside a text and start from
         the long-run states."""
+        return self.states(seqs, fresh)[:3]
+
+    def states(self, seqs: list[np.ndarray], fresh: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]:
+        """counts, the probabilities of states (step, window, state), and the order of the windows there."""
         k = len(self.start)
         order = sorted(range(len(seqs)), key=lambda i: -len(seqs[i]))
         x, alive = _padded(seqs)
@@ -183,7 +193,7 @@ class Chain:
         flat = x[there]
         for s in range(k):
             ends[:, s] = np.bincount(flat, gamma[..., s][there], len(self.emit))
-        return gamma[0][fresh_of].sum(0), moves * self.move, ends
+        return gamma[0][fresh_of].sum(0), moves * self.move, ends, gamma, order
 
     def log10(self, seqs: list[np.ndarray]) -> np.ndarray:
         """The exact log10 probability of each sequence."""
@@ -263,51 +273,105 @@ def _e_step(chain: Chain, seqs: list[np.ndarray], most: int = 2048):
     return total
 
 
-def started(seqs: list[np.ndarray], prior: np.ndarray, states: int = STATES, rounds: int = START_ROUNDS, seed: int = 7) -> Chain:
-    """States from a sample: texts are first parted by a mixture of unigrams, then Baum-Welch runs on the sample."""
+def _e_tokens(chain: Chain, seqs: list[np.ndarray], classes: list[np.ndarray], tails: list[tuple[np.ndarray, list[str]]], size: int, most: int = 2048):
+    """Expected starts, moves and, of codes below size, states; and the tail's tokens with their states."""
+    parts, fresh, of, at = [], [], [], []
+    for d, c in enumerate(classes):
+        p, f = windows(c)
+        parts += p
+        fresh += f
+        of += [d] * len(p)
+        at += range(0, len(c), WINDOW)
+    k = len(chain.start)
+    start, moves, known, words_, probs = np.zeros(k), np.zeros((k, k)), np.zeros((size, k)), [], []
+    by_length = sorted(range(len(parts)), key=lambda i: -len(parts[i]))
+    for first in range(0, len(by_length), most):
+        some = by_length[first : first + most]
+        s, m, _, gamma, order = chain.states([parts[i] for i in some], [fresh[i] for i in some])
+        start += s
+        moves += m
+        for j, i in enumerate(order):
+            w = some[i]
+            code, g = seqs[of[w]][at[w] : at[w] + WINDOW], gamma[: len(parts[w]), j]
+            head = code < size
+            np.add.at(known, code[head], g[head])
+            pos, tokens = tails[of[w]]
+            low, high = np.searchsorted(pos, (at[w], at[w] + WINDOW))
+            if high > low:
+                words_ += tokens[low:high]
+                probs.append(g[pos[low:high] - at[w]])
+    return start, moves, known, words_, (np.concatenate(probs) if probs else np.zeros((0, k)))
+
+
+def started(beside: np.ndarray, places: np.ndarray, prior: np.ndarray, states: int = STATES, seed: int = 7) -> Chain:
+    """States from how often the classes at places stand beside each other: the classes are clustered by whom they stand
+    beside (more often than chance), and a state prefers those of its cluster."""
     rng = np.random.default_rng(seed)
-    resp = rng.dirichlet(np.full(states, 0.3), len(seqs)) if seqs else np.zeros((0, states))
-    chain = maximized(np.zeros(states), np.zeros((states, states)), np.zeros((len(prior), states)), prior)
-    if not seqs:
-        return chain
-    flat = np.concatenate(seqs)
-    of = np.repeat(np.arange(len(seqs)), [len(s) for s in seqs])
-    for _ in range(rounds):
-        ends = np.stack([np.bincount(flat, resp[of, s], len(prior)) for s in range(states)], 1)
-        chain = maximized(resp.sum(0), np.zeros((states, states)), ends, prior, SMOOTH / 10)
-        logs = np.log(np.maximum(chain.emit, 1e-300))
-        fit = np.stack([np.bincount(of, logs[flat, s], len(seqs)) for s in range(states)], 1) + np.log(chain.start)
-        fit = (fit - fit.max(1, keepdims=True)) * 0.2
-        resp = np.exp(fit)
-        resp /= resp.sum(1, keepdims=True)
-    chain.move = np.full((states, states), 0.1 / max(1, states - 1)) + np.eye(states) * (0.9 - 0.1 / max(1, states - 1))
-    for _ in range(rounds):
-        start, moves, ends = _e_step(chain, seqs)
-        chain = maximized(start, moves, ends, prior, SMOOTH / 10)
-    return chain
-
-
-def _sequences(column) -> list[np.ndarray]:
-    return [np.frombuffer(s, np.uint16).astype(np.int64) for s in column]
-
-
-def trained(encoded: DataFrame, prior: np.ndarray, states: int = STATES, passes: int = PASSES, start_docs: int = START_DOCS) -> Chain:
-    """Baum-Welch over the training rows of encoded texts (held_out, seq). Each task sums its expected counts, Spark sums
-    the tasks'; states x classes numbers come to the driver."""
-    spark = encoded.sparkSession
-    rows = encoded.filter(~F.col("held_out")).select("seq")
-    n = rows.count()
-    chosen = rows.filter(F.pmod(F.xxhash64("seq"), F.lit(1_000_003)) < F.lit(int(1_000_003 * min(1.0, start_docs / max(1, n)))))
-    sample = _sequences(r.seq for r in chosen.limit(4 * start_docs).collect())
-    chain = started(sample, prior, states)
+    both = beside + beside.T + 0.5
+    share = both.sum(1)
+    lift = np.maximum(0.0, np.log(both * both.sum() / np.outer(share, share)))
+    u, size, _ = np.linalg.svd(lift)
+    x = u[:, : 2 * states] * np.sqrt(size[: 2 * states])
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    centres = [x[int(share.argmax())]]
+    while len(centres) < min(states, len(x)):  # the farthest from those taken
+        centres.append(x[int((x @ np.array(centres).T).max(1).argmin())])
+    c = np.array(centres)
+    for _ in range(20):
+        of = (x @ c.T).argmax(1)
+        c = np.stack([x[of == i].mean(0) if (of == i).any() else x[rng.integers(len(x))] for i in range(len(c))])
+    emit = np.tile(prior[:, None], (1, states))
+    for i in range(states):
+        emit[places, i] *= np.where(of == i, PREFERS, 1 / PREFERS)
+    emit[UNKNOWN] = 0
+    emit = emit / np.maximum(emit.sum(0), 1e-300) * (1 - prior[UNKNOWN])
+    emit[UNKNOWN] = prior[UNKNOWN]
+    stay = np.full((states, states), 0.3 / max(1, states - 1)) + np.eye(states) * (0.7 - 0.3 / max(1, states - 1)) if states > 1 else np.ones((1, 1))
+    return Chain(np.full(states, 1 / states), stay, emit)
+
+
+def _codes(column) -> list[np.ndarray]:
+    return [np.frombuffer(s, np.int32).astype(np.int64) for s in column]
+
+
+def neighbourhoods(rows: DataFrame, vocab: Vocabulary, places: np.ndarray) -> np.ndarray:
+    """How often the classes at places stand directly beside each other, over all rows of coded texts (seq)."""
+    n = len(places)
+    local = np.full(len(vocab.prior), n)
+    local[places] = np.arange(n)
+    told = rows.sparkSession.sparkContext.broadcast(local[vocab.cls])
+
+    def count(batches):
+        sums = np.zeros((n + 1) * (n + 1))
+        for b in batches:
+            for s in _codes(b["seq"]):
+                x = told.value[s]
+                sums += np.bincount(x[:-1] * (n + 1) + x[1:], minlength=len(sums)) if len(x) > 1 else 0
+        at = np.flatnonzero(sums)
+        yield pd.DataFrame({"i": at, "v": sums[at]})
+
+    got = rows.mapInPandas(count, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
+    out = np.zeros((n + 1) * (n + 1))
+    out[got["i"].to_numpy()] = got["v"].to_numpy()
+    return out.reshape(n + 1, n + 1)[:n, :n]
+
+
+def trained(rows: DataFrame, vocab: Vocabulary, states: int = STATES, passes: int = PASSES) -> tuple[Chain, DataFrame, np.ndarray]:
+    """Baum-Welch over coded training texts (seq, tail_pos, tail_token): the chain (its start and moves), materialized
+    rows (token, g0, g1, ...: expected counts by state), and those of the end. Each task sums its expected counts, Spark
+    sums the tasks'."""
+    spark, prior = rows.sparkSession, vocab.prior
+    places = np.argsort(-np.where(np.arange(len(prior)) == UNKNOWN, -1, prior), kind="stable")[: min(NEIGHBOURS, max(1, len(prior) - 1))]
+    chain = started(neighbourhoods(rows.select("seq"), vocab, places), places, prior, states)
     k, c = states, len(prior)
-    for _ in range(passes if n else 0):
+    told = spark.sparkContext.broadcast(vocab)
+    for _ in range(passes - 1):
         held = spark.sparkContext.broadcast(chain)
 
         def e_step(batches, held=held):
             total = None
             for b in batches:
-                got = _e_step(held.value, _sequences(b["seq"]))
+                got = _e_step(held.value, [told.value.cls[s] for s in _codes(b["seq"])])
                 if got is not None:
                     total = got if total is None else tuple(x + y for x, y in zip(total, got, strict=True))
             if total is not None:
@@ -315,41 +379,81 @@ def trained(encoded: DataFrame, prior: np.ndarray, states: int = STATES, passes:
                 at = np.flatnonzero(v > 1e-12)
                 yield pd.DataFrame({"i": at, "v": v[at]})
 
-        sums = rows.mapInPandas(e_step, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
+        sums = rows.select("seq").mapInPandas(e_step, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
         v = np.zeros(k + k * k + c * k)
         v[sums["i"].to_numpy()] = sums["v"].to_numpy()
         chain = maximized(v[:k], v[k : k + k * k].reshape(k, k), v[k + k * k :].reshape(c, k), prior)
-    return chain
-
+        held.unpersist()
+    held = spark.sparkContext.broadcast(chain)
+    columns = [f"g{i}" for i in range(k)]
 
-def encoded(docs: DataFrame, vocab: Vocabulary, held_out: str, text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """Materialized rows of classes: carry, rid, held_out, n_words, seq (16-bit classes, the end last), the head's sums
+    def gather(batches):
+        vocab, size = told.value, told.value.end + 1
+        start, moves, known = np.zeros(k), np.zeros((k, k)), np.zeros((size, k))
+        for b in batches:
+            seqs = _codes(b["seq"])
+            tails = [(np.asarray(p, np.int64), list(t)) for p, t in zip(b["tail_pos"], b["tail_token"], strict=True)]
+            s, m, kn, tokens, probs = _e_tokens(held.value, seqs, [vocab.cls[x] for x in seqs], tails, size)
+            start, moves, known = start + s, moves + m, known + kn
+            if tokens:
+                tail = pd.DataFrame(np.where(probs < TRACE, 0.0, probs), columns=columns).groupby(pd.Series(tokens), sort=False).sum()
+                yield tail.rename_axis("token").reset_index().assign(kind=0)
+        at = np.flatnonzero(known.sum(1) > 0)
+        names = [vocab.tokens[i].decode("utf-8") if i < vocab.end else None for i in at]
+        yield pd.DataFrame(known[at], columns=columns).assign(token=names, kind=[0 if i < vocab.end else 1 for i in at])
+        yield pd.DataFrame(np.vstack([start, moves]), columns=columns).assign(token=[str(i) for i in range(k + 1)], kind=2)
+
+    schema = "token string, kind int, " + ", ".join(f"{x} double" for x in columns)
+    made = rows.select("seq", "tail_pos", "tail_token").mapInPandas(lambda b: (x[["token", "kind", *columns]].astype({"token": object}) for x in gather(b)), schema)
+    gathered = materialize(made.groupBy("kind", "token").agg(*(F.sum(x).alias(x) for x in columns)), "hmm-gathered")
+    few = gathered.filter("kind > 0").toPandas()  # the end, the starts and the moves
+    end = few.loc[few["kind"] == 1, columns].to_numpy(np.float64).sum(0)
+    rest = few[few["kind"] == 2].assign(at=lambda d: d["token"].astype(int)).sort_values("at")[columns].to_numpy(np.float64).reshape(-1, k)
+    if len(rest):
+        chain = Chain(*(lambda m: (m.start, m.move))(maximized(rest[0], rest[1:], np.zeros((c, k)), prior)), chain.emit)
+    return chain, gathered.filter("kind = 0").drop("kind"), end
+
+
+def coded(docs: DataFrame, vocab: Vocabulary, held_out: str, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """Materialized rows: carry, rid, held_out, n_words, seq (32-bit places of a code, the end last), the head's base sum
     and the tail's tokens with their places."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(vocab)
 
-    @F.pandas_udf("n_words long, seq binary, base double, within double, tail_pos array<int>, tail_token array<string>")
+    @F.pandas_udf("n_words long, seq binary, base double, tail_pos array<int>, tail_token array<string>")
     def encode(texts: pd.Series) -> pd.DataFrame:
         v = held.value
         get, rows = v.index().__getitem__, []
         for t in texts:
             w = words(t)
-            at = np.fromiter(map(get, w), np.int64, len(w))
-            seq = np.empty(len(w) + 1, np.uint16)
-            seq[-1] = END
+            at = np.fromiter(map(get, w), np.int32, len(w))
+            seq = np.append(at, np.int32(v.end))
             tail = np.flatnonzero(at < 0)
-            head = at[at >= 0]
-            if len(w):
-                seq[:-1] = v.cls[at] if len(v.cls) else UNKNOWN
             rare = [w[i] for i in tail]
             if rare:
-                seq[tail] = [FIRST + v.top + _bucket(x, v.buckets) for x in rare]
-            rows.append((len(w), seq.tobytes(), float(v.base[head].sum()), float(v.within[head].sum()), tail.tolist(), [x.decode("utf-8", "replace") for x in rare]))
-        return pd.DataFrame(rows, columns=["n_words", "seq", "base", "within", "tail_pos", "tail_token"])
+                seq[tail] = [v.end + 1 + _bucket(x, v.buckets) for x in rare]
+            rows.append((len(w), seq.astype(np.int32).tobytes(), float(v.base[at[at >= 0]].sum() + v.base[v.end]), tail.tolist(), [x.decode("utf-8", "replace") for x in rare]))
+        return pd.DataFrame(rows, columns=["n_words", "seq", "base", "tail_pos", "tail_token"])
 
     name = free_name(docs, "coded")
     rid = F.monotonically_increasing_id()
-    return materialize(docs.select(*(carry or []), F.col(held_out).alias("held_out"), rid.alias("rid"), encode(F.col(text)).alias(name)).select(*(carry or []), "held_out", "rid", f"{name}.*"), "hmm-encoded")
+    return materialize(docs.select(*(carry or []), F.col(held_out).alias("held_out"), rid.alias("rid"), encode(F.col(text)).alias(name)).select(*(carry or []), "held_out", "rid", f"{name}.*"), "hmm-coded")
+
+
+class Emissions:
+    """Emission probabilities of tokens. Of its occurrences a token has those that were expected in each state, and
+    BORROWED more in all states alike, so that what was met once is not bound to one state; a state emits tokens in
+    proportion to what it has of them."""
+
+    def __init__(self, part: np.ndarray, left: float):
+        self.part, self.left, self.totals = part, left, np.ones(len(part))
+
+    def weights(self, g: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return ((c + ADD) / (c + BORROWED))[:, None] * (g + BORROWED * self.part)
+
+    def of(self, g: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Of counts by state (token, state) and whole counts."""
+        return self.weights(g, c) / self.totals * self.left
 
 
 def score_documents(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text: str = "text", states: int = STATES, passes: int = PASSES, head: int = HEAD, top: int = TOP, buckets: int = BUCKETS) -> DataFrame:
@@ -362,37 +466,61 @@ def score_documents(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text
     train = docs.filter(~F.col(held_out))
     counts = materialize(token_counts(train, text), "hmm-counts")
     vocab = vocabulary(counts, train.count(), head, top, buckets)
-    rows = encoded(docs, vocab, held_out, text, [F.col(doc_id).alias("doc_id")])
-    chain = spark.sparkContext.broadcast(trained(rows, vocab.prior, states, passes))
-    mass = F.array(*(F.lit(float(m)) for m in vocab.mass))
+    rows = coded(docs, vocab, held_out, text, [F.col(doc_id).alias("doc_id")])
+    k, columns = states, [f"g{i}" for i in range(states)]
+    chain, gathered, end = trained(rows.filter(~F.col("held_out")), vocab, states, passes) if vocab.n else (None, None, None)
+    if chain is None:
+        known = counts.select("token", "c", F.array().cast("array<float>").alias("g"))
+        model = None
+    else:
+        known = materialize(counts.join(gathered.hint("merge"), "token").select("token", "c", F.array(*(F.col(x).cast("float") for x in columns)).alias("g")), "hmm-tokens")
+        by_state = np.array([r or 0.0 for r in known.agg(*(F.sum(F.col("g")[i].cast("double")) for i in range(k))).first()]) + end
+        emissions = Emissions(by_state / by_state.sum(), 1 - vocab.unknown)
+        weight = [F.sum((F.col("c") + ADD) / (F.col("c") + BORROWED) * (F.col("g")[i].cast("double") + BORROWED * emissions.part[i])) for i in range(k)]
+        emissions.totals = np.array([r or 0.0 for r in known.agg(*weight).first()]) + emissions.weights(end[None, :], np.array([float(vocab.docs)]))[0]
+        place = {t: i for i, t in enumerate(vocab.tokens)}
+        table = np.zeros((vocab.end + 2, k))  # head tokens, the end, unknown
+        found = _frequent(known, head)[0].toPandas()
+        at = np.array([place[t.encode("utf-8")] for t in found["token"]], np.int64)
+        if len(at):
+            table[at] = emissions.of(np.stack(found["g"].to_numpy()).astype(np.float64), found["c"].to_numpy(np.float64))
+        table[vocab.end] = emissions.of(end[None, :], np.array([float(vocab.docs)]))[0]
+        table[vocab.end + 1] = vocab.unknown
+        model = spark.sparkContext.broadcast((Chain(chain.start, chain.move, table), emissions, vocab.end))
     tail = rows.select("rid", F.explode(F.arrays_zip("tail_pos", "tail_token")).alias("t")).select("rid", F.col("t.tail_pos").alias("pos"), F.col("t.tail_token").alias("token"))
-    rare = counts.select("token", "c", F.log10((F.col("c") + ADD) / F.element_at(mass, (F.pmod(F.xxhash64("token"), F.lit(buckets)) + 1).cast("int"))).alias("w"))
-    met = tail.join(rare.hint("merge"), "token", "left")
-    known = F.col("c").isNotNull()
+    met = tail.join(known.hint("merge"), "token", "left")
     sums = met.groupBy("rid").agg(
-        F.sum(F.log10((F.coalesce("c", F.lit(0)) + ADD) / vocab.z)).alias("tail_base"),
-        F.sum(F.coalesce("w", F.lit(0.0))).alias("tail_within"),
-        F.count_if(~known).alias("n_unknown"),
-        F.collect_list(F.when(~known, F.col("pos"))).alias("unknown_at"),
+        F.sum(F.log10((F.coalesce("c", F.lit(0)) + ADD) / vocab.z)).alias("tail_base"), F.count_if(F.col("c").isNull()).alias("n_unknown"),
+        F.collect_list(F.struct("pos", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("g", F.array().cast("array<float>")).alias("g"))).alias("tail"),  # the tail of one text
     )
-    both = rows.drop("tail_pos", "tail_token").join(sums, "rid", "left")
+    sums = sums.select("rid", "tail_base", "n_unknown", F.col("tail.pos").alias("tail_pos"), F.col("tail.c").alias("tail_c"), F.flatten("tail.g").alias("tail_g"))
+    both = rows.drop("tail_pos", "tail_token").join(sums.hint("merge"), "rid", "left")
 
     @F.pandas_udf("double")
-    def likelihood(seq: pd.Series, unknown_at: pd.Series) -> pd.Series:
-        seqs = _sequences(seq)
-        for s, at in zip(seqs, unknown_at, strict=True):
-            if at is not None and len(at):
-                s[np.asarray(at, np.int64)] = UNKNOWN
-        return pd.Series(chain.value.log10(seqs) if vocab_n else np.zeros(len(seqs)))
-
-    vocab_n = vocab.n
+    def likelihood(seq: pd.Series, pos: pd.Series, c: pd.Series, g: pd.Series) -> pd.Series:
+        if model is None:
+            return pd.Series(np.zeros(len(seq)))
+        whole, emissions, last = model.value
+        seqs, extra, n = _codes(seq), [], last + 2
+        for s, p, cs, gs in zip(seqs, pos, c, g, strict=True):
+            if p is None or not len(p):
+                continue
+            p, cs = np.asarray(p, np.int64), np.asarray(cs, np.float64)
+            s[p] = last + 1
+            seen = cs > 0
+            if seen.any():
+                extra.append(emissions.of(np.asarray(gs, np.float64).reshape(-1, k), cs[seen]))
+                s[p[seen]] = n + np.arange(seen.sum())
+                n += int(seen.sum())
+        return pd.Series(Chain(whole.start, whole.move, np.vstack([whole.emit, *extra])).log10(seqs))
+
     zero = F.lit(0.0)
     end_known = 1 if vocab.docs else 0
     return both.select(
         "doc_id", "held_out", (F.col("n_words") + 1).alias("n_tokens"),
         (F.col("n_words") + end_known - F.coalesce("n_unknown", F.lit(0))).alias("n_known"), F.lit(vocab.n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("tail_base", zero) + F.lit(vocab.base_of_end())).alias("base_score"),
-        (likelihood(F.col("seq"), F.col("unknown_at")) + F.col("within") + F.coalesce("tail_within", zero)).alias("score"),
+        (F.col("base") + F.coalesce("tail_base", zero)).alias("base_score"),
+        likelihood(F.col("seq"), F.col("tail_pos"), F.col("tail_c"), F.col("tail_g")).alias("score"),
     )
 
 
