@@ -3,9 +3,10 @@
 The lexicon is learned from labelled rows: words, and stems of words, that toxic documents hold far more often than
 others. One automaton follows all terms at once: its state is the set of places in the trie, each with the edits spent
 to get there, so a misspelt or inflected word meets its term in one pass, and most words die after two letters. States
-are determinised when first met. What a hit weighs is learned per term and number of edits; quotation marks and words of
-reporting around it take weight away, words of address add some. A calibration learned on the same rows makes the sum
-a probability.
+are determinised when first met. What a hit weighs is learned per term and number of edits. What its context is worth,
+quotation marks around it and each word near it, is learned as well: how often documents with such a hit are toxic, against
+all documents with hits; where few rows tell, quotes and words of reporting count as little and words of address as more. A
+calibration learned on the same rows makes the sum a probability.
 """
 
 from __future__ import annotations
@@ -31,11 +32,14 @@ MOST_TERMS = 2000
 STEM_LETTERS = (4, 8)
 #: A term, or its misspellings, that weighs less is noise and counts 0; what counts that the sample never shows.
 LEAST_WEIGHT, UNSEEN = 1.5, (3.0, 1.5)
-#: Words to either side that count as context; what is left of a hit's weight if quoted; what address adds.
-WINDOW, QUOTED, ADDRESSED = 6, 0.25, 1.25
+#: Words to either side in which quotes are looked for, and words that are context themselves.
+WINDOW, NEAR = 6, 3
+#: What contexts leave of a hit's weight before rows tell (quoted or reported; addressed), as many documents' worth; the
+#: least and the most; contexts that are learned; documents that hold one at least.
+QUOTED, ADDRESSED, BELIEF, FACTORS, MOST_CONTEXTS, LEAST_CONTEXT = 0.25, 1.25, 5.0, (0.1, 1.5), 1000, 5
 #: From this score on a document is predicted toxic.
 THRESHOLD = 0.3
-#: Words of reporting, words of address, look-alikes of letters.
+#: Words of reporting and of address, whose worth is believed until rows tell; look-alikes of letters.
 REPORTING = frozenset("said says say quote quoted quotes called calling term word words phrase insult slur reported wrote defined means meaning".split())
 ADDRESS = frozenset("you your you're youre u du dich dein ihr tu toi ton vous tú usted eres".split())
 LOOKALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"})
@@ -57,7 +61,7 @@ def normal(token: str) -> str:
 
 def edits_for(length: int, stem: bool) -> int:
     """Edits that a term of this length allows."""
-    return (0 if length < 6 else 1) if stem else (0 if length < 5 else 1 if length < 8 else 2)
+    return (0 if length < 6 else 1) if stem else (0 if length < 4 else 1 if length < 8 else 2)
 
 
 class LexiconAutomaton:
@@ -174,39 +178,56 @@ class _Tokens(dict):
         return hit
 
 
+#: The context of a hit inside quotation marks.
+IN_QUOTES = '"'
+
+
+def believed(context: str) -> float:
+    """What a context is worth before rows tell."""
+    return QUOTED if context == IN_QUOTES or context in REPORTING else ADDRESSED if context in ADDRESS else 1.0
+
+
 class Scorer:
     """Hits, evidence and score of texts."""
 
-    def __init__(self, terms: list[tuple[str, bool]], weights: dict[tuple[int, int], float], scale: list[float]):
-        self.terms, self.weights, self.scale = terms, weights, scale
+    def __init__(self, terms: list[tuple[str, bool]], weights: dict[tuple[int, int], float], scale: list[float], contexts: dict[str, float] | None = None):
+        self.terms, self.weights, self.scale, self.contexts = terms, weights, scale, contexts or {}
 
     def __getstate__(self):
-        return self.terms, self.weights, self.scale
+        return self.terms, self.weights, self.scale, self.contexts
 
     def __setstate__(self, state):
-        self.terms, self.weights, self.scale = state
+        self.terms, self.weights, self.scale, self.contexts = state
 
     def _of(self) -> _Tokens:
         if not hasattr(self, "tokens"):
             self.tokens = _Tokens(LexiconAutomaton(self.terms))
         return self.tokens
 
-    def hits(self, text: str | None) -> list[tuple[int, int, float]]:
-        """(term, edits, context factor) of each hit; the context is the window of words around it."""
+    def found(self, text: str | None) -> list[tuple[int, int, set[str]]]:
+        """(term, edits, contexts) of each hit."""
         words = text.lower().split() if text else []
         found = [(i, h) for i, h in enumerate(map(self._of().__getitem__, words)) if h is not None]
-        return [(k, e, self._context(words, i)) for i, (k, e) in found]
+        return [(k, e, self._around(words, i)) for i, (k, e) in found]
+
+    def hits(self, text: str | None) -> list[tuple[int, int, float]]:
+        """(term, edits, factor of the context) of each hit."""
+        return [(k, e, self.worth(c)) for k, e, c in self.found(text)]
+
+    def worth(self, contexts: set[str]) -> float:
+        """The factor of a hit's contexts: the least of those that take away, else the most of those that add."""
+        factors = [self.contexts[c] if c in self.contexts else believed(c) for c in contexts]
+        low = min(factors, default=1.0)
+        return low if low < 1 else max(factors, default=1.0)
 
     @staticmethod
-    def _context(words: list[str], i: int) -> float:
+    def _around(words: list[str], i: int) -> set[str]:
         before, after = words[max(0, i - WINDOW) : i], words[i + 1 : i + 1 + WINDOW]
         word = words[i]
         opened = word[:1] in QUOTES or any(w[:1] in QUOTES and w[-1:] not in QUOTES for w in before)
         closed = word.rstrip(".,;:!?")[-1:] in QUOTES or any(w.rstrip(".,;:!?")[-1:] in QUOTES and w[:1] not in QUOTES for w in after)
-        near = {_EDGE.sub("", w) for w in before[-3:]} | {_EDGE.sub("", w) for w in after[:3]}
-        if (opened and closed) or near & REPORTING:
-            return QUOTED
-        return ADDRESSED if near & ADDRESS else 1.0
+        near = {_EDGE.sub("", w) for w in before[-NEAR:]} | {_EDGE.sub("", w) for w in after[:NEAR]}
+        return {w for w in near if 0 < len(w) <= 40} | ({IN_QUOTES} if opened and closed else set())
 
     def evidence(self, text: str | None) -> float:
         return sum(self.weights.get((k, min(e, 1)), 0.0) * c for k, e, c in self.hits(text))
@@ -260,9 +281,9 @@ def _totals(rows: DataFrame) -> tuple[float, int, int]:
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", sample_docs: int = SAMPLE_DOCS) -> Scorer:
     """Learn terms, their weights and the calibration from labelled documents; ids labelled twice count as toxic if one
     label says so; null ids, texts and labels are left out. Without any labels every score is 0.5 times the prior 0.
-    Terms and weights are
-    learned from one document, the least text, of each group of near copies under one label. The sample is written once; narrow passes read it. To the driver come terms (MOST_TERMS at most), one weight
-    for each term and edits, and N_STEPS steps."""
+    Terms, weights and contexts are learned from one document, the least text, of each group of near copies under one
+    label, so reruns learn the same. The sample is written once; narrow passes read it. To the driver come terms
+    (MOST_TERMS at most), one weight for each term and edits, MOST_CONTEXTS contexts and N_STEPS steps."""
     spark = docs.sparkSession
     small_batches(spark)
     of = labels.select(F.col(doc_id).alias("of_id"), F.col(toxic).cast("int").alias("y")).filter("of_id is not null and y is not null").groupBy("of_id").agg(F.max("y").alias("y"))
@@ -290,6 +311,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             if keys:
                 yield pd.DataFrame({"term": [k[0] for k in keys], "stem": [k[1] for k in keys], "n1": [got[1][k] for k in keys], "n0": [got[0][k] for k in keys]})
 
+    distinct = distinct.repartition(max(1, (n1 + n0) // 500))  # a bounded sample: by rows, not by bytes
     sums = distinct.mapInPandas(count, "term string, stem boolean, n1 long, n0 long").groupBy("term", "stem").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     lift = (F.col("n1") / F.lit(float(n1))) / ((F.col("n0") + 0.5) / F.lit(float(max(n0, 1))))
     toxic_part, held = n1 / (n1 + n0), F.col("n1") + F.col("n0")
@@ -318,7 +340,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             a, b = seen.get((k, e), (0, 0))
             w = min(5.0, math.log((a + 1.0) / n1 / ((b + 0.5) / max(n0, 1)))) if a + b else UNSEEN[e]
             weights[k, e] = w if w >= LEAST_WEIGHT else 0.0
-    weighed = Scorer(terms, weights, [0.0])
+    contexts = _contexts(distinct, bare, weights)
+    weighed = Scorer(terms, weights, [0.0], contexts)
 
     def bins(batches):
         held = np.zeros((N_STEPS, 2), np.int64)
@@ -334,7 +357,31 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         guess = prior * 0.5 if b == 0 else 1 / (1 + math.exp(2.0 - b / STEPS))
         rate.append((a + 2 * guess) / (a + c + 2))
         mass.append(a + c + 2)
-    return Scorer(terms, weights, _monotone(rate, mass))
+    return Scorer(terms, weights, _monotone(rate, mass), contexts)
+
+
+def _contexts(rows: DataFrame, bare: Scorer, weights: dict[tuple[int, int], float]) -> dict[str, float]:
+    """What contexts are worth: of rows (t, y) with a hit of some weight in a context the toxic share against that of all
+    rows with a hit, drawn to what is believed. To the driver come MOST_CONTEXTS rows at most."""
+
+    def count(batches):
+        held: dict[str | None, list[int]] = {}
+        for batch in batches:
+            for t, y in zip(batch["t"], batch["y"], strict=True):
+                some = [c for k, e, c in bare.found(t) if weights.get((k, min(e, 1)), 0.0) > 0]
+                for c in (set().union(*some) | {None}) if some else ():
+                    held.setdefault(c, [0, 0])[int(y > 0)] += 1
+        yield pd.DataFrame([(c, b, a) for c, (a, b) in held.items()], columns=["c", "n1", "n0"])
+
+    sums = materialize(rows.mapInPandas(count, "c string, n1 long, n0 long").groupBy("c").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")), "toxic-contexts")
+    whole = sums.filter("c is null").first()
+    if whole is None:
+        return {}
+    share = (whole.n1 + 1) / (whole.n1 + whole.n0 + 1)
+    n = F.col("n1") + F.col("n0")
+    strays = F.abs(F.col("n1") - n * share) >= 3 * F.sqrt(n * (share * (1 - share)))  # three deviations: a word that is merely there is no context
+    told = sums.filter(F.col("c").isNotNull() & (n >= LEAST_CONTEXT) & (strays | F.col("c").isin(IN_QUOTES, *sorted(REPORTING | ADDRESS)))).orderBy(F.desc(F.col("n1") + F.col("n0")), "c").limit(MOST_CONTEXTS).collect()
+    return {r.c: min(FACTORS[1], max(FACTORS[0], (r.n1 + BELIEF * share * believed(r.c)) / (r.n1 + r.n0 + BELIEF) / share)) for r in told}
 
 
 def score(docs: DataFrame, model: Scorer, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
