@@ -108,11 +108,16 @@ def hexdump(data: Column, offset: Column) -> Column:
 
 
 def timestamp(seconds: Column) -> Column:
-    """h:mm:ss.s, as a player shows it; 59.96 seconds print as 60.0, exact halves go up."""
+    """h:mm:ss.s, as a player shows it; 59.96 seconds print as 60.0. The binary value is rounded, and a tie goes to the
+    even digit, as `%.1f` does elsewhere: 0.25 prints as 0.2, 0.35 (which is a little less) as 0.3."""
     hours = F.floor(seconds / 3600)
     rest = seconds - hours * 3600
     minutes = F.floor(rest / 60)
-    return F.format_string("%d:%02d:%04.1f", hours, minutes, rest - minutes * 60)
+    x = rest - minutes * 60
+    up = F.floor(x * 10 + 0.5)
+    over = (x * 16 - (up * 2 - 1)) + x * 4  # the sign of 20 x - (2 up - 1), exact as both steps cancel
+    tenths = F.when(over > 0, up).when(over < 0, up - 1).otherwise(up - up % 2)
+    return F.format_string("%d:%02d:%02d.%d", hours, minutes, F.floor(tenths / 10), tenths % 10)
 
 
 def cue_line(text: Column, speaker: Column, source: Column) -> Column:
@@ -204,7 +209,8 @@ def crop_box(x: Column, y: Column, w: Column, h: Column, width: Column, height:
 
 def split_uri(uri: Column) -> Column:
     """The segments of a nested uri (`a.zip!b.txt`; `\\!` and `\\\\` are literal); null if one is empty."""
-    body = F.regexp_extract_all(uri, F.lit(r"((?:\\[!\\]|[^!])+)"), F.lit(1))
+    # possessive throughout: runs are taken in loops, so a segment of any length needs no stack
+    body = F.regexp_extract_all(uri, F.lit(r"((?:[^!\\]++|\\[!\\]?+)++)"), F.lit(1))
     covered = F.length(uri) == F.aggregate(body, F.lit(0), lambda a, s: a + F.length(s)) + F.size(body) - 1
     plain = F.transform(body, lambda s: F.regexp_replace(s, r"\\([!\\])", "$1"))
     return F.when((F.length(uri) > 0) & covered, plain)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions.text import cut
+from sieveline.operators.flatten import overlapping
 
 
 def chunk(rendered: DataFrame, size: int, overlap: int = 0) -> DataFrame:
@@ -27,8 +28,7 @@ def chunk(rendered: DataFrame, size: int, overlap: int = 0) -> DataFrame:
 def payloads(chunks: DataFrame, spans: DataFrame) -> DataFrame:
     """(uri, chunk, payloads): the payloads of spans (uri, span_start, span_end, payload) that touch each chunk, in order,
     each once; chunks that none touches have an empty list."""
-    touch = (F.col("span_start") < F.col("end")) & (F.col("start") < F.col("span_end"))
-    hit = chunks.select("uri", "chunk", "start", "end").join(spans, "uri").filter(touch)
+    hit = overlapping(chunks.select("uri", "chunk", "start", "end"), spans, "uri", ("start", "end"), ("span_start", "span_end"), 1024)
     first = hit.groupBy("uri", "chunk", "payload").agg(F.min(F.struct("span_start", "span_end")).alias("at"))
     lists = first.groupBy("uri", "chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "payload"))), lambda t: t["payload"]).alias("payloads"))
     return chunks.select("uri", "chunk").join(lists, ["uri", "chunk"], "left").withColumn("payloads", F.coalesce("payloads", F.array().cast("array<string>")))

@@ -1,12 +1,13 @@
 """What every format shares once it is parsed: flattening, budgets, resolving offsets, barriers.
 
 Chunks (uri, seq, chunk, locator) become segments (uri, seq, start, end, chunk, locator) by a running sum; segments of a
-source start at 0, have no gaps and end with its text. Windows are partitioned by uri, so a source is the unit of work.
+source start at 0, have no gaps and end with its text. Running sums and numbers are taken in runs of RUN chunks, whose
+totals are then summed, so a source that holds a third of all chunks is still the work of many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions.text import cut
@@ -14,11 +15,25 @@ from sieveline.functions.text import cut
 DEGRADATION = "struct<what:string,detail:string>"
 
 
+#: Neighbouring values of an order that are summed in one window.
+RUN = 4096
+
+
+def running(df: DataFrame, key: str, order: str, amount: Column, name: str) -> DataFrame:
+    """df with the sum of amount over the rows before each one, by key in the order of a whole number; rows that share a
+    place are summed in any order. Within runs it is a window; before a run it is the sum of the totals of runs."""
+    past = Window.partitionBy("_key").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy(F.col(key).alias("_key"), F.floor(F.col(order) / RUN).alias("_of")).agg(F.sum(amount).alias("_total"))
+    totals = totals.select("_key", "_of", F.coalesce(F.sum("_total").over(past), F.lit(0)).alias("_past"))
+    within = Window.partitionBy(key, "_run").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = df.withColumn("_run", F.floor(F.col(order) / RUN)).withColumn(name, F.coalesce(F.sum(amount).over(within), F.lit(0)))
+    out = out.join(totals, (F.col(key).eqNullSafe(F.col("_key"))) & (F.col("_run").eqNullSafe(F.col("_of"))))
+    return out.withColumn(name, (F.col(name) + F.col("_past")).cast("long")).drop("_run", "_key", "_of", "_past")
+
+
 def flatten(chunks: DataFrame) -> DataFrame:
     """Segments of chunks that are not empty; a chunk holds its own separator."""
-    before = Window.partitionBy("uri").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("chunk")).over(before), F.lit(0)).cast("long")
-    return chunks.withColumn("start", start).withColumn("end", F.col("start") + F.length("chunk"))
+    return running(chunks, "uri", "seq", F.length("chunk"), "start").withColumn("end", F.col("start") + F.length("chunk"))
 
 
 def fit(segments: DataFrame, max_chars: int | None) -> DataFrame:
@@ -62,14 +77,39 @@ def represent(segments: DataFrame, barriers: DataFrame | None = None, degradatio
 
 def resolve(segments: DataFrame, offsets: DataFrame) -> DataFrame:
     """The segment that holds each offset: rows of offsets (uri, offset, ...) with seq and locator. Offsets outside the
-    text find none. As segments have no gaps, this is an as-of join by equality of uri and a range."""
-    return offsets.join(segments.select("uri", "seq", "start", "end", "locator"), "uri").filter((F.col("start") <= F.col("offset")) & (F.col("offset") < F.col("end")))
+    text find none. An as-of join: segments and offsets are put in one order and the last segment is carried forward."""
+    asked = [c for c in offsets.columns if c not in ("uri", "offset")]
+    seg = F.struct("seq", "start", "end", "locator")
+    s = segments.select("uri", F.col("start").cast("long").alias("at"), F.lit(0).alias("turn"), seg.alias("seg"), *(F.lit(None).cast(offsets.schema[c].dataType).alias(c) for c in asked))
+    o = offsets.select("uri", F.col("offset").cast("long").alias("at"), F.lit(1).alias("turn"), F.lit(None).cast(segments.select(seg.alias("s")).schema["s"].dataType).alias("seg"), *asked)
+    before = Window.partitionBy("uri").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = s.unionByName(o).withColumn("seg", F.last("seg", ignorenulls=True).over(before)).filter((F.col("turn") == 1) & (F.col("at") < F.col("seg.end")))
+    return met.select("uri", F.col("at").alias("offset"), *asked, "seg.seq", "seg.start", "seg.end", "seg.locator")
+
+
+def overlapping(spans: DataFrame, asked: DataFrame, key: str, span: tuple[str, str], ask: tuple[str, str], least: float) -> DataFrame:
+    """Pairs of rows of one key whose half-open intervals overlap, with the columns of both (no other names in common).
+
+    An interval that is asked for lies in at most two cells of a power of two no shorter than itself (or least); spans
+    are dealt to cells of the widths that their key asks for, and the pair is counted in its first common cell. So a
+    pair that does not overlap hardly meets."""
+    width = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(float(least)), F.col(ask[1]) - F.col(ask[0])))))
+    a = asked.filter(F.col(ask[0]) < F.col(ask[1])).withColumn("_width", width)
+    widths = a.groupBy(F.col(key).alias("_key")).agg(F.collect_set("_width").alias("_widths"))
+    cell = lambda c: F.floor(F.col(c) / F.col("_width"))
+    cells = lambda s, e: F.sequence(cell(s), F.greatest(cell(s), F.ceil(F.col(e) / F.col("_width")) - 1))
+    s = spans.filter(F.col(span[0]) < F.col(span[1])).join(widths, F.col(key) == F.col("_key")).drop("_key").withColumn("_width", F.explode("_widths")).drop("_widths")
+    s = s.withColumn("_first", cell(span[0])).withColumn("_cell", F.explode(cells(*span)))
+    a = a.withColumn("_first_ask", cell(ask[0])).withColumn("_cell", F.explode(cells(*ask)))
+    met = s.join(a, [key, "_width", "_cell"])
+    touch = (F.col(span[0]) < F.col(ask[1])) & (F.col(ask[0]) < F.col(span[1])) & (F.col("_cell") == F.greatest("_first", "_first_ask"))
+    return met.filter(touch).drop("_width", "_cell", "_first", "_first_ask")
 
 
 def resolve_span(segments: DataFrame, spans: DataFrame) -> DataFrame:
     """All segments that each span (uri, span_start, span_end) touches, in document order (seq)."""
     s = segments.select("uri", "seq", "start", "end", "locator")
-    return spans.join(s, "uri").filter((F.col("start") < F.col("span_end")) & (F.col("span_start") < F.col("end")))
+    return overlapping(s, spans, "uri", ("start", "end"), ("span_start", "span_end"), 1024)
 
 
 def group_barriers(segments: DataFrame, group: str) -> DataFrame:

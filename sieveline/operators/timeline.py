@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions.locators import time_span
 from sieveline.functions.text import collapse, cue_line, timestamp
-from sieveline.operators.flatten import flatten
+from sieveline.operators.flatten import flatten, overlapping
 
 #: The least width of an entry on a transcript; seconds between sampled frames; apart past the end.
 MIN_CUE_S, SAMPLE_EVERY_S, PAST_END_S = 0.001, 5.0, 1e-9
@@ -80,7 +80,8 @@ def read_span(cues: DataFrame, requests: DataFrame) -> DataFrame:
     """Requests (uri, from_s, to_s) answered with the lines of the cues that overlap the window; the place is the window
     asked for. An empty or backward window, or one without words, gives a degraded row that says so."""
     ask = requests.select("uri", "from_s", "to_s")
-    hit = ask.join(cues.select("uri", "seq", "start_s", "end_s", "text"), "uri").filter((F.col("from_s") < F.col("to_s")) & (F.col("start_s") < F.col("to_s")) & (F.col("from_s") < F.col("end_s")) & (F.trim(collapse(F.col("text"))) != ""))
+    said = cues.select("uri", "seq", "start_s", "end_s", "text").filter(F.trim(collapse(F.col("text"))) != "")
+    hit = overlapping(said, ask.distinct(), "uri", ("start_s", "end_s"), ("from_s", "to_s"), 8)
     line = F.concat(F.lit("["), timestamp(F.col("start_s")), F.lit("] "), F.trim("text"))
     got = hit.groupBy("uri", "from_s", "to_s").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))), lambda t: t["line"]), "\n").alias("text"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sieveline.functions import text as T
 from sieveline.functions.locators import valid
 from sieveline.operators import cache, chunks, dispatch, flatten, formats, html, timeline
-from sieveline.plans import sql
+from sieveline.plans import file_queries, sql
 from sieveline.streaming import ingest
 
 
@@ -64,8 +64,8 @@ def html_blocks(s, d):
     return html.blocks(_pages(s, d))
 
 
-def _html_flat(s, d):
-    return html.segments(html.sections(html.blocks(_pages(s, d))))
+def _read(s, d):
+    return html.parsed(_pages(s, d))
 
 
 def html_card(s, d):
@@ -73,26 +73,27 @@ def html_card(s, d):
 
 
 def html_sections(s, d):
-    return html.outline(_html_flat(s, d))
+    return html.outline(_read(s, d))
 
 
 def html_segments(s, d):
-    return _html_flat(s, d).select("uri", "seq", "start", "end", "chunk", F.col("locator.start").alias("source_start"), F.col("locator.end").alias("source_end"))
+    return html.segments(_read(s, d)).select("uri", "seq", "start", "end", "chunk", F.col("locator.start").alias("source_start"), F.col("locator.end").alias("source_end"))
 
 
 def html_barriers(s, d):
-    return html.barriers(_html_flat(s, d))
+    return html.barriers(_read(s, d))
 
 
 def html_read_range(s, d):
-    flat = _html_flat(s, d)
-    ask = _pages(s, d).select("uri", F.lit(100).alias("start"), F.lit(700).alias("end"))
-    return flatten.read_range(flat, ask).select("uri", F.col("span_start"), F.col("span_end"), "text", F.col("first").alias("source_start"), F.col("last").alias("source_end"))
+    return html.read_range(_read(s, d), F.lit(100), F.lit(700)).select("uri", "span_start", "span_end", "text", F.col("first").alias("source_start"), F.col("last").alias("source_end"))
 
 
 def html_represent(s, d):
-    flat = _html_flat(s, d)
-    return flatten.represent(flat, html.barriers(flat), None, 2000).select("uri", "text", "n_segments", F.size("barriers").alias("n_barriers"))
+    return html.represent(_read(s, d)).select("uri", "text", "n_segments", F.array_join(F.col("barriers").cast("array<string>"), ",").alias("barriers"))
+
+
+def html_represent_budget(s, d):
+    return html.represent(_read(s, d), 2000).select("uri", "text", "n_segments", F.size("barriers").cast("long").alias("n_barriers"), F.try_element_at("degradations", F.lit(1))["detail"].alias("detail"))
 
 
 def conversation_segments(s, d):
@@ -224,13 +225,10 @@ def a1_names(s, d):
 
 
 def _entries(s, d):
-    """Documents as members of an archive for each source."""
-    from pyspark.sql import Window
-
-    docs = _t(s, d, "documents")
-    w = Window.partitionBy("source").orderBy("doc_id")
+    """Documents as members of an archive for each source, numbered by their ids."""
+    docs = flatten.running(_t(s, d, "documents"), "source", "doc_id", F.lit(1), "seq")
     size = F.octet_length("text").cast("long")
-    e = docs.select(F.col("source").alias("uri"), (F.row_number().over(w) - 1).cast("long").alias("seq"), F.concat(F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), size.alias("size_bytes"), F.floor(size / 3).alias("compressed_bytes"), F.lit(False).alias("is_dir"), (F.col("doc_id") % 11 == 0).alias("is_symlink"), F.col("doc_id"))
+    e = docs.select(F.col("source").alias("uri"), "seq", F.concat(F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), size.alias("size_bytes"), F.floor(size / 3).alias("compressed_bytes"), F.lit(False).alias("is_dir"), (F.col("doc_id") % 11 == 0).alias("is_symlink"), F.col("doc_id"))
     return e.withColumn("byte_offset", F.when(F.col("uri") != "src3", F.col("doc_id") * 10))
 
 
@@ -294,12 +292,12 @@ def chunk_origins(s, d):
 
 
 def locator_laws(s, d):
-    return _html_flat(s, d).groupBy("uri").agg(F.count_if(valid(F.col("locator"))).alias("sound"), F.count(F.lit(1)).alias("n"))
+    return html.segments(_read(s, d)).groupBy("uri").agg(F.count_if(valid(F.col("locator"))).alias("sound"), F.count(F.lit(1)).alias("n"))
 
 
 def queries() -> dict:
-    return {k: globals()[k] for k in sql.SQL} | {"html_represent": html_represent}
+    return {k: globals()[k] for k in sql.SQL} | file_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(sql.SQL)
+    return sql.SQL | file_queries.SQL

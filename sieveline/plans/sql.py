@@ -89,6 +89,11 @@ SQL: dict[str, str] = {
       a AS (SELECT uri, whole, greatest(0, least(100, length(whole) - 1))::BIGINT AS span_start FROM w), z AS (SELECT *, greatest(span_start + 1, least(700, length(whole)))::BIGINT AS span_end FROM a)
       SELECT z.uri, span_start, span_end, substr(whole, span_start + 1, span_end - span_start) AS text, min(f.start) AS source_start, max(f.stop) AS source_end
       FROM z JOIN f ON z.uri = f.uri AND f.pos < span_end AND span_start < f.upto GROUP BY ALL""",
+    "html_represent": f"""WITH {_HTML}, e AS (SELECT uri, section, min(pos) AS edge FROM f GROUP BY uri, section), x AS (SELECT uri, string_agg(edge::VARCHAR, ',' ORDER BY edge) AS barriers FROM e WHERE edge > 0 GROUP BY uri)
+      SELECT f.uri, string_agg(chunk, '' ORDER BY seq) AS text, count(*) AS n_segments, coalesce(any_value(barriers), '') AS barriers FROM f LEFT JOIN x USING (uri) GROUP BY f.uri""",
+    "html_represent_budget": f"""WITH {_HTML}, e AS (SELECT uri, section, min(pos) AS edge FROM f GROUP BY uri, section), x AS (SELECT uri, count(*) AS n_barriers FROM e WHERE edge > 0 AND edge < 2000 GROUP BY uri),
+      w AS (SELECT uri, string_agg(chunk, '' ORDER BY seq) AS whole, count(*) FILTER (pos < 2000) AS n_segments FROM f GROUP BY uri)
+      SELECT uri, substr(whole, 1, 2000) AS text, n_segments, coalesce(n_barriers, 0) AS n_barriers, CASE WHEN length(whole) > 2000 THEN 'kept 2000 of ' || length(whole) || ' characters' END AS detail FROM w LEFT JOIN x USING (uri)""",
     "conversation_segments": f'WITH {_TURNS} SELECT uri, seq, start, stop AS "end", chunk FROM f',
     "resolve_offsets": f"WITH {_TURNS}, o AS (SELECT DISTINCT uri, floor(n * i / 9)::BIGINT AS \"offset\" FROM n, range(10) r(i)) SELECT o.uri, o.\"offset\", f.seq, f.seq AS \"at\" FROM o JOIN f ON o.uri = f.uri AND start <= \"offset\" AND \"offset\" < stop",
     "resolve_spans": f"WITH {_TURNS}, a AS (SELECT uri, floor(n / 4)::BIGINT AS span_start, (floor(n / 4) + floor(n / 3) + 1)::BIGINT AS span_end FROM n) SELECT a.uri, span_start, span_end, f.seq FROM a JOIN f ON a.uri = f.uri AND f.start < span_end AND span_start < f.stop",

@@ -14,7 +14,7 @@ import lzma
 import stat
 import tarfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +24,7 @@ from sieveline.operators.dispatch import ARCHIVES
 from sieveline.sources.files import HEAD, NOT_A_FOLDER, detect, record_batch
 
 ENTRY = "uri string, seq long, path string, size_bytes long, compressed_bytes long, is_dir boolean, is_symlink boolean, byte_offset long, error string"
+READ = "uri string, member string, exists boolean, size_bytes long, data binary, error string"
 MEMBER = "container string, member string, content binary, error string"
 #: Limits of a container: levels, bytes of a member, bytes of a member for each stored byte, bytes of an archive.
 DEPTH, MEMBER_BYTES, RATIO, TOTAL_BYTES = 3, 1 << 30, 200, 4 << 30
@@ -69,32 +70,44 @@ def _bounded(open_, declared: int, stored: int, member_bytes: int, ratio: int) -
 _BROKEN = (zipfile.BadZipFile, tarfile.TarError, OSError, EOFError, ValueError, RuntimeError, NotImplementedError, lzma.LZMAError)
 
 
-def entries(archives: DataFrame, content: str = "content") -> DataFrame:
-    """Rows ENTRY of archives (uri, content); one that cannot be read gives a row with its error alone."""
+def _opened(archives: DataFrame, content: str, openers: Mapping[str, Callable] | None):
+    """The columns that a reader needs, and a function that gives the members of a row: by a caller's opener of its type
+    (mime), if there is one, else by its bytes."""
+    own = dict(openers or {})
+    kind = F.col("mime") if own and "mime" in archives.columns else F.lit(None).cast("string")
+    return archives.select("uri", F.col(content).alias("content"), kind.alias("mime")), lambda data, mime: own.get(mime, members)(data)
+
+
+def entries(archives: DataFrame, content: str = "content", openers: Mapping[str, Callable] | None = None) -> DataFrame:
+    """Rows ENTRY of archives (uri, content, mime if there are openers); one that cannot be read gives a row with its
+    error alone. openers: type to a function of bytes that yields what members yields."""
+    rows_in, opened = _opened(archives, content, openers)
 
     def read(batches):
         for b in batches:
-            for uri, data in zip(b["uri"].to_pylist(), b["content"].to_pylist(), strict=True):
+            for uri, data, mime in zip(b["uri"].to_pylist(), b["content"].to_pylist(), b["mime"].to_pylist(), strict=True):
                 rows = []
                 try:
-                    rows += [{"uri": uri, "seq": i, "error": None} | e for i, (e, _) in enumerate(members(data))]
+                    rows += [{"uri": uri, "seq": i, "error": None} | e for i, (e, _) in enumerate(opened(data, mime))]
                 except _BROKEN as x:
                     rows.append({"uri": uri, "seq": len(rows), "error": f"{type(x).__name__}: {x}"})
                 yield record_batch(rows, ENTRY)
 
-    return archives.select("uri", F.col(content).alias("content")).mapInArrow(read, ENTRY)
+    return rows_in.mapInArrow(read, ENTRY)
 
 
-def unpack(archives: DataFrame, member_bytes: int = MEMBER_BYTES, ratio: int = RATIO, total_bytes: int = TOTAL_BYTES) -> DataFrame:
+def unpack(archives: DataFrame, member_bytes: int = MEMBER_BYTES, ratio: int = RATIO, total_bytes: int = TOTAL_BYTES, openers: Mapping[str, Callable] | None = None) -> DataFrame:
     """(container, member, content, error): the files in archives; folders and links are left out. An archive is read
     once, from front to back; what breaks a limit comes with an error instead of bytes."""
 
+    rows_in, opened = _opened(archives, "content", openers)
+
     def read(batches):
         for b in batches:
-            for uri, data in zip(b["uri"].to_pylist(), b["content"].to_pylist(), strict=True):
+            for uri, data, mime in zip(b["uri"].to_pylist(), b["content"].to_pylist(), b["mime"].to_pylist(), strict=True):
                 total = 0
                 try:
-                    for e, open_ in members(data):
+                    for e, open_ in opened(data, mime):
                         if e["is_dir"] or e["is_symlink"]:
                             continue
                         body, error = None, None
@@ -109,24 +122,54 @@ def unpack(archives: DataFrame, member_bytes: int = MEMBER_BYTES, ratio: int = R
                 except _BROKEN as x:
                     yield record_batch([{"container": uri, "error": f"{type(x).__name__}: {x}"}], MEMBER)
 
-    return archives.select("uri", "content").mapInArrow(read, MEMBER)
+    return rows_in.mapInArrow(read, MEMBER)
+
+
+def read_member(archives: DataFrame, asked: DataFrame, openers: Mapping[str, Callable] | None = None) -> DataFrame:
+    """(uri, member, exists, size_bytes, data): for asked (uri, member, start, end) whether the archive holds such a file,
+    its inflated size and its bytes [start, end). Members that are asked for are inflated, and no others; of the bytes no
+    more are kept than were asked for."""
+    asks = asked.groupBy("uri").agg(F.collect_list(F.struct("member", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))).alias("asks"))
+    rows_in, opened = _opened(archives, "content", openers)
+
+    def read(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                todo: dict[str, list] = {}
+                for a in row["asks"]:
+                    todo.setdefault(a["member"], []).append((a["start"] or 0, a["end"]))
+                rows = []
+                try:
+                    for e, open_ in opened(row["content"], row["mime"]):
+                        ranges = todo.pop(e["path"], None) if not (e["is_dir"] or e["is_symlink"]) else None
+                        if ranges:
+                            data = _bounded(open_, e["size_bytes"], e["compressed_bytes"], MEMBER_BYTES, RATIO)
+                            rows += [{"uri": row["uri"], "member": e["path"], "exists": True, "size_bytes": len(data), "data": data[s:t]} for s, t in ranges]
+                    rows += [{"uri": row["uri"], "member": m, "exists": False} for m, ranges in todo.items() for _ in ranges]
+                except _BROKEN as x:
+                    rows = [{"uri": row["uri"], "member": a["member"], "exists": None, "error": f"{type(x).__name__}: {x}"} for a in row["asks"]]
+                yield record_batch(rows, READ)
+
+    return rows_in.join(asks, "uri").mapInArrow(read, READ)
 
 
-def is_folder(uri, mime_type):
+def is_folder(uri, mime_type, more: Iterable[str] = ()):
     """Whether an archive is descended into: an archive by its bytes, not a document by its type or name."""
     ext = F.lower(F.regexp_extract(uri, r"\.([A-Za-z0-9]+)$", 1))
-    return mime_type.isin(*ARCHIVES) & ~ext.isin(*NOT_A_FOLDER)
+    return mime_type.isin(*ARCHIVES, *more) & ~ext.isin(*NOT_A_FOLDER)
 
 
-def expand(files: DataFrame, depth: int = DEPTH, **limits) -> DataFrame:
+def expand(files: DataFrame, depth: int = DEPTH, openers: Mapping[str, Callable] | None = None, detector: Callable | None = None, **limits) -> DataFrame:
     """files (uri, content) and all that is inside their archives, down to so many levels: uri (nested, `a.zip!b`),
     container, depth, mime, content, error. Unsafe member paths come with an error and without bytes. A gzip that holds
     no tar is a file like any other. Each level is one more step of the plan; levels are bounded."""
-    kind = detect(F.substring("content", 1, HEAD), F.col("uri"))
+    head = F.substring("content", 1, HEAD)
+    kind = F.coalesce(detector(head, F.col("uri")), detect(head, F.col("uri"))) if detector else detect(head, F.col("uri"))
     level = files.select(join_uri(F.array("uri")).alias("uri"), F.lit(None).cast("string").alias("container"), F.lit(0).alias("depth"), F.col("content"), F.lit(None).cast("string").alias("error")).withColumn("mime", kind)
     out = level
     for d in range(1, depth + 1):
-        inside = unpack(level.filter(is_folder(F.col("uri"), F.col("mime"))).select("uri", "content"), **limits).filter("member is not null")
+        folders = level.filter(is_folder(F.col("uri"), F.col("mime"), openers or ())).select("uri", "content", "mime")
+        inside = unpack(folders, openers=openers, **limits).filter("member is not null")
         bad = unsafe_member(F.col("member"))
         level = inside.select(
             F.concat("container", F.lit("!"), join_uri(F.array("member"))).alias("uri"), "container", F.lit(d).alias("depth"),

@@ -13,18 +13,21 @@ import re
 import urllib.parse
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.operators.html import parsed
 from sieveline.sources.files import record_batch
 
-BLOCKS = "uri string, seq long, level int, text string, error string"
+BLOCKS = "uri string, seq long, level int, kind string, text string, error string"
 SLIDES = "uri string, page int, title string, body string, notes string, n_media int, error string"
 CELLS = "uri string, sheet string, sheet_no int, row int, col int, value string, formula string, error string"
-PARTS = "uri string, part_no int, part string, title string, html string, error string"
-_BROKEN = (zipfile.BadZipFile, ET.ParseError, KeyError, ValueError, IndexError)
+PARTS = "uri string, part_no int, part string, title string, html string, book_title string, author string, error string"
+MEDIA = "uri string, page int, picture int, mime string, size_bytes long, error string"
+_BROKEN = (zipfile.BadZipFile, ET.ParseError, KeyError, ValueError, IndexError, StopIteration, RuntimeError, NotImplementedError, zlib.error)
 
 
 def _xml(z: zipfile.ZipFile, name: str) -> ET.Element:
@@ -64,26 +67,27 @@ def _table(rows: list[list[str]]) -> str:
     return "\n".join(" | ".join(r) for r in rows)
 
 
-def word_blocks(data: bytes) -> Iterator[tuple[int, str]]:
-    """(level, text) of a word-processing document in order, tables in their places."""
+def word_blocks(data: bytes) -> Iterator[tuple[int, str, str]]:
+    """(level, kind, text) of a word-processing document in order, tables in their places."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         if _kind(z) == "odf":
             body = next(_all(_xml(z, "content.xml"), "text"))
             for e in body:
                 if _tag(e) == "h":
-                    yield int(_attr(e, "outline-level") or 1), _words(e)
+                    yield int(_attr(e, "outline-level") or 1), "heading", _words(e)
                 elif _tag(e) in ("p", "list"):
-                    yield 0, _words(e)
+                    yield 0, "paragraph", _words(e)
                 elif _tag(e) == "table":
-                    yield 0, _table([[_words(c) for c in _all(r, "table-cell")] for r in _all(e, "table-row")])
+                    yield 0, "table", _table([[_words(c) for c in _all(r, "table-cell")] for r in _all(e, "table-row")])
             return
         for e in next(_all(_xml(z, "word/document.xml"), "body")):
             if _tag(e) == "p":
                 style = next((_attr(s, "val") or "" for s in _all(e, "pStyle")), "")
                 m = re.fullmatch(r"(?i)heading ?(\d)", style)
-                yield int(m[1]) if m else 1 if style.lower() == "title" else 0, _runs(e)
+                level = int(m[1]) if m else 1 if style.lower() == "title" else 0
+                yield level, "heading" if level else "paragraph", _runs(e)
             elif _tag(e) == "tbl":
-                yield 0, _table([["\n".join(map(_runs, _all(c, "p"))) for c in r if _tag(c) == "tc"] for r in _all(e, "tr")])
+                yield 0, "table", _table([["\n".join(map(_runs, _all(c, "p"))) for c in r if _tag(c) == "tc"] for r in _all(e, "tr")])
 
 
 def comments(data: bytes) -> Iterator[tuple[str, str]]:
@@ -121,6 +125,25 @@ def slides(data: bytes) -> Iterator[tuple[str, str, str, int]]:
             yield title, "\n".join(body), notes, sum(1 for _ in _all(root, "pic"))
 
 
+#: Types of pictures by the end of their names.
+PICTURES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "bmp": "image/bmp", "tif": "image/tiff", "tiff": "image/tiff", "svg": "image/svg+xml", "emf": "image/x-emf", "wmf": "image/x-wmf"}
+
+
+def media(data: bytes) -> Iterator[tuple[int, int, str, int]]:
+    """(slide, picture, type, bytes) of the pictures of an OOXML deck; none of another."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        if _kind(z) == "odf":
+            return
+        sizes = {i.filename: i.file_size for i in z.infolist()}
+        names = sorted((n for n in sizes if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
+        for page, name in enumerate(names, 1):
+            rels = f"ppt/slides/_rels/{posixpath.basename(name)}.rels"
+            target = {_attr(r, "Id"): posixpath.normpath(posixpath.join("ppt/slides", _attr(r, "Target") or "")) for r in _xml(z, rels)} if rels in sizes else {}
+            blips = [next((_attr(b, "embed") for b in _all(pic, "blip")), None) for pic in _all(_xml(z, name), "pic")]
+            for k, part in enumerate(target.get(b) or "" for b in blips):
+                yield page, k, PICTURES.get(part.rpartition(".")[2].lower(), "application/octet-stream"), sizes.get(part, 0)
+
+
 def cells(data: bytes) -> Iterator[tuple[str, int, int, int, str | None, str | None]]:
     """(sheet, sheet number, row, column, value, formula) of the cells that are used."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
@@ -157,8 +180,9 @@ def cells(data: bytes) -> Iterator[tuple[str, int, int, int, str | None, str | N
                 yield _attr(s, "name") or f"Sheet{no + 1}", no, int(m[2]) - 1, col - 1, v, f
 
 
-def book_parts(data: bytes) -> Iterator[tuple[str, str, str]]:
-    """(part, title, markup) of a book's chapters in reading order; the title is the table of contents'."""
+def book_parts(data: bytes) -> Iterator[tuple[str, str, str, str, str]]:
+    """(part, title, markup, the book's title, its author) of a book's chapters in reading order; the chapter's title is
+    the table of contents'."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = set(z.namelist())
         if "META-INF/encryption.xml" in names:
@@ -167,6 +191,7 @@ def book_parts(data: bytes) -> Iterator[tuple[str, str, str]]:
         at = lambda base, href: posixpath.normpath(posixpath.join(posixpath.dirname(base), urllib.parse.unquote(href.partition("#")[0])))
         root = _xml(z, opf)
         items = {i.get("id"): i for i in _all(root, "item")}
+        said = [next((_words(e) for e in _all(root, k)), "") for k in ("title", "creator")]
         labels: dict[str, str] = {}
         for i in items.values():
             path = at(opf, i.get("href") or "")
@@ -182,7 +207,7 @@ def book_parts(data: bytes) -> Iterator[tuple[str, str, str]]:
             item = items.get(ref.get("idref"))
             path = at(opf, item.get("href") or "") if item is not None else None
             if path in names:
-                yield path, labels.get(path) or "", z.read(path).decode("utf-8", "replace")
+                yield path, labels.get(path) or "", z.read(path).decode("utf-8", "replace"), *said
 
 
 def _read(files: DataFrame, schema: str, rows: Callable[[bytes], Iterator[dict]]) -> DataFrame:
@@ -201,7 +226,7 @@ def _read(files: DataFrame, schema: str, rows: Callable[[bytes], Iterator[dict]]
 
 
 def read_word(files: DataFrame) -> DataFrame:
-    return _read(files, BLOCKS, lambda d: ({"seq": i, "level": lv, "text": t} for i, (lv, t) in enumerate(word_blocks(d))))
+    return _read(files, BLOCKS, lambda d: ({"seq": i, "level": lv, "kind": k, "text": t} for i, (lv, k, t) in enumerate(word_blocks(d))))
 
 
 def read_comments(files: DataFrame) -> DataFrame:
@@ -217,17 +242,17 @@ def read_cells(files: DataFrame) -> DataFrame:
 
 
 def read_books(files: DataFrame) -> DataFrame:
-    return _read(files, PARTS, lambda d: ({"part_no": i, "part": p, "title": t, "html": h} for i, (p, t, h) in enumerate(book_parts(d))))
+    return _read(files, PARTS, lambda d: ({"part_no": i, "part": p, "title": t, "html": h, "book_title": b, "author": a} for i, (p, t, h, b, a) in enumerate(book_parts(d))))
 
 
-def book_blocks(parts: DataFrame) -> DataFrame:
-    """Blocks of chapters (uri, part_no, part, seq, level, text, start, end), by the same tokenizer as web pages."""
-    from sieveline.operators.html import blocks
+def read_media(files: DataFrame) -> DataFrame:
+    return _read(files, MEDIA, lambda d: ({"page": p, "picture": k, "mime": m, "size_bytes": n} for p, k, m, n in media(d)))
 
-    key = F.to_json(F.struct("uri", "part_no", "part"))
-    b = blocks(parts.filter("error is null").select(key.alias("k"), "html"), "k")
-    k = F.from_json("uri", "uri string, part_no int, part string")
-    return b.withColumn("k", k).select("k.uri", "k.part_no", "k.part", "seq", "level", "text", "start", "end")
+
+def book_blocks(parts: DataFrame) -> DataFrame:
+    """Blocks of chapters (uri, part_no, part, seq, level, text, start, end), by the same reader as web pages."""
+    b = parsed(parts.filter("error is null").select("uri", "part_no", "part", "html")).select("uri", "part_no", "part", F.explode("blocks").alias("b"))
+    return b.select("uri", "part_no", "part", "b.seq", "b.level", "b.text", "b.start", "b.end")
 
 
 def by_function(rows: DataFrame, call: Callable[[dict], dict], schema: str, parallel: int | None = None) -> DataFrame:
@@ -248,6 +273,24 @@ def by_function(rows: DataFrame, call: Callable[[dict], dict], schema: str, para
     return (rows.repartition(parallel) if parallel else rows).mapInArrow(run, schema)
 
 
+def languages(streams) -> object:
+    """The languages that a column of streams names, each once, in order."""
+    return F.array_sort(F.array_distinct(F.array_compact(F.transform(streams, lambda s: s["language"]))))
+
+
+def frame_states(frames: DataFrame) -> DataFrame:
+    """(uri, state, n, first): of frames (uri, seq, described) how many were described, empty or not looked at, and the
+    first places of each."""
+    state = F.when(F.col("described").isNull(), "not looked at").when(F.trim("described") == "", "empty").otherwise("described")
+    return frames.withColumn("state", state).groupBy("uri", "state").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"))
+
+
+def described_frames(frames: DataFrame, descriptions: DataFrame) -> DataFrame:
+    """frames (uri, seq, start_s) with what was said of them (uri, seq, text); a frame without a word says so."""
+    said = F.coalesce(F.nullif(F.trim("text"), F.lit("")), F.lit("(no description was produced for this frame)"))
+    return frames.join(descriptions.select("uri", "seq", "text"), ["uri", "seq"], "left").withColumn("text", said)
+
+
 def probe_facts(probed: DataFrame) -> DataFrame:
     """(uri, duration_s, container, streams) of a media prober's JSON (uri, json): rates as numbers, 0/0 and absent
     values null."""

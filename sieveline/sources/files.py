@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +32,7 @@ NOT_A_FOLDER = ("docx", "docm", "pptx", "pptm", "xlsx", "xlsm", "odt", "odp", "o
 
 def record_batch(rows: list[dict], schema: str) -> pa.RecordBatch:
     """Rows as an Arrow batch of a flat schema such as `uri string, n long`; absent values are null."""
-    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "double": pa.float64()}
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "double": pa.float64(), "map<string,string>": pa.map_(pa.string(), pa.string())}
     fields = [pa.field(n, kinds[t]) for n, t in (c.split() for c in schema.split(", "))]
     return pa.RecordBatch.from_pylist(rows, schema=pa.schema(fields))
 
@@ -60,6 +62,17 @@ def read_byte_range(files: DataFrame, start: int, end: int) -> DataFrame:
     return files.select("uri", F.substring("content", start + 1, max(0, end - start)).alias("data"))
 
 
+def size(files: DataFrame) -> DataFrame:
+    """(uri, size_bytes) of files (uri, content)."""
+    return files.select("uri", F.length("content").cast("long").alias("size_bytes"))
+
+
+def exists(files: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (uri, ...) with whether there is such a file."""
+    there = files.select("uri").distinct().withColumn("exists", F.lit(True))
+    return asked.join(there, "uri", "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
+
+
 def suffix_type(uri: Column) -> Column:
     ext = F.lower(F.regexp_extract(uri, r"\.([A-Za-z0-9]+)$", 1))
     return F.element_at(F.create_map(*(F.lit(x) for kv in SUFFIXES.items() for x in kv)), F.nullif(ext, F.lit("")))
@@ -94,9 +107,11 @@ def detect(head: Column, uri: Column) -> Column:
     return out.when(named.isNotNull(), named).when(text & ~control, "text/plain").otherwise("application/octet-stream")
 
 
-def sources(files: DataFrame, content: str = "content") -> DataFrame:
-    """The sources table: uri, mime, type, subtype, suffix, content_hash, size_bytes, content."""
-    d = files.withColumn("mime", detect(F.substring(F.col(content), 1, HEAD), F.col("uri")))
+def sources(files: DataFrame, content: str = "content", detector: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """The sources table: uri, mime, type, subtype, suffix, content_hash, size_bytes, content. detector is asked first;
+    where it gives null, detect decides."""
+    head, uri = F.substring(F.col(content), 1, HEAD), F.col("uri")
+    d = files.withColumn("mime", F.coalesce(detector(head, uri), detect(head, uri)) if detector else detect(head, uri))
     m = mime(F.col("mime"))
     return d.select("uri", "mime", m["type"].alias("type"), m["subtype"].alias("subtype"), m["suffix"].alias("suffix"), F.sha2(content, 256).alias("content_hash"), F.length(content).cast("long").alias("size_bytes"), F.col(content).alias("content"))
 

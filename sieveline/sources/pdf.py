@@ -1,0 +1,200 @@
+"""The text layer of PDF files: one row a page.
+
+Objects are found by scanning for `n g obj`, with the members of object streams, so a broken cross-reference table does
+no harm; pages come in the order of the page tree. Text is what the operators of a page's content show, through each
+font's ToUnicode map where there is one, else as Windows-1252. Encrypted files and filters other than Flate are not read.
+"""
+
+from __future__ import annotations
+
+import re
+import zlib
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame
+
+from sieveline.sources.documents import _read
+
+PAGES = "uri string, page int, text string, has_image boolean, error string"
+#: Bytes that a stream may inflate to.
+MOST = 256 << 20
+_OBJECT = re.compile(rb"(?<![0-9])(\d+)\s+(\d+)\s+obj\b")
+_STREAM = re.compile(rb"stream\r?\n")
+_REF = re.compile(rb"(\d+)\s+\d+\s+R\b")
+_CODES = re.compile(rb"<([0-9A-Fa-f\s]*)>")
+#: Tokens of a content stream: strings, hex strings, names, numbers, operators, brackets.
+_CONTENT = re.compile(rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<<|>>|<[0-9A-Fa-f\s]*>|/[^\s/<>\[\](){}%]*|[-+]?\d*\.?\d+|[A-Za-z'\"*]+|[\[\]]", re.S)
+_ESCAPE = re.compile(rb"\\([nrtbf()\\]|[0-7]{1,3}|\r?\n)", re.S)
+_SINGLE = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def _inflated(data: bytes) -> bytes:
+    z = zlib.decompressobj()
+    out = z.decompress(data, MOST)
+    if z.unconsumed_tail:
+        raise ValueError("a stream inflates past its limit")
+    return out
+
+
+class _File:
+    def __init__(self, data: bytes):
+        if b"/Encrypt" in data[-4096:]:
+            raise ValueError("the file is encrypted")
+        self.body: dict[int, bytes] = {}
+        marks = list(_OBJECT.finditer(data))
+        for m, nxt in zip(marks, [*marks[1:], None], strict=True):
+            self.body[int(m[1])] = data[m.end() : nxt.start() if nxt else len(data)]
+        for body in [b for b in self.body.values() if b"/ObjStm" in b[:512]]:
+            head, n, first = body, self.number(body, b"N"), self.number(body, b"First")
+            raw = self.stream(head)
+            pairs = list(map(int, raw[:first].split()[: 2 * n]))
+            at = [*pairs[1::2], len(raw) - first]
+            for k, number in enumerate(pairs[::2]):
+                self.body.setdefault(number, raw[first + at[k] : first + at[k + 1]])
+
+    @staticmethod
+    def head(body: bytes) -> bytes:
+        m = _STREAM.search(body)
+        return body[: m.start()] if m else body
+
+    def number(self, body: bytes, key: bytes) -> int:
+        m = re.search(rb"/" + key + rb"\s+(\d+)", self.head(body))
+        return int(m[1]) if m else 0
+
+    def value(self, body: bytes, key: bytes) -> bytes:
+        """What follows a key, through a reference if it is one."""
+        head = self.head(body)
+        m = re.search(rb"/" + key + rb"(?![A-Za-z])\s*", head)
+        if not m:
+            return b""
+        rest = head[m.end() :]
+        r = _REF.match(rest)
+        return self.body.get(int(r[1]), b"") if r else rest
+
+    def refs(self, body: bytes, key: bytes) -> list[int]:
+        """The references of an array, or the one reference, that follows a key."""
+        m = re.search(rb"/" + key + rb"(?![A-Za-z])\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", self.head(body))
+        return [int(x) for x in _REF.findall(m[1])] if m else []
+
+    def stream(self, body: bytes) -> bytes:
+        m = _STREAM.search(body)
+        if not m:
+            return b""
+        raw = body[m.end() : body.rfind(b"endstream")]
+        head = self.head(body)
+        if b"/FlateDecode" in head or b"/Fl " in head:
+            return _inflated(raw)
+        return b"" if b"/Filter" in head else raw
+
+    def pages(self) -> Iterator[tuple[bytes, list[bytes]]]:
+        """Leaves of the page tree with their ancestors."""
+        root = next((b for b in self.body.values() if re.search(rb"/Type\s*/Catalog", self.head(b))), b"")
+        todo, seen = [(n, []) for n in self.refs(root, b"Pages")], set()
+        while todo:
+            n, above = todo.pop()
+            body = self.body.get(n, b"")
+            if n in seen or not body:
+                continue
+            seen.add(n)
+            kids = self.refs(body, b"Kids")
+            if kids:
+                todo += [(k, [*above, body]) for k in reversed(kids)]
+            elif re.search(rb"/Type\s*/Page(?![A-Za-z])", self.head(body)):
+                yield body, above
+
+    def resources(self, page: bytes, above: list[bytes]) -> bytes:
+        return next((r for b in [page, *reversed(above)] if (r := self.value(b, b"Resources"))), b"")
+
+
+def _unicode_map(cmap: bytes) -> tuple[int, dict[int, str]]:
+    """Bytes of a code and what codes stand for."""
+    out: dict[int, str] = {}
+    width = 1
+    said = lambda h: bytes.fromhex(h.translate(None, b" \r\n\t").decode()).decode("utf-16-be", "replace")
+    for part in re.findall(rb"begincodespacerange(.*?)endcodespacerange", cmap, re.S):
+        width = max([width, *(len(c.translate(None, b" \r\n\t")) // 2 for c in _CODES.findall(part))])
+    for part in re.findall(rb"beginbfchar(.*?)endbfchar", cmap, re.S):
+        codes = _CODES.findall(part)
+        out |= {int(a, 16): said(b) for a, b in zip(codes[::2], codes[1::2], strict=False)}
+    for part in re.findall(rb"beginbfrange(.*?)endbfrange", cmap, re.S):
+        for a, b, listed, first in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*(?:\[(.*?)\]|<([0-9A-Fa-f]+)>)", part, re.S):
+            low, high = int(a, 16), min(int(b, 16), int(a, 16) + 65_535)
+            if first:
+                start = said(first)
+                out |= {low + k: start[:-1] + chr(ord(start[-1]) + k) for k in range(high - low + 1) if start}
+            else:
+                out |= {low + k: said(c) for k, c in enumerate(_CODES.findall(listed))}
+    return width, out
+
+
+def _string(token: bytes) -> bytes:
+    if token.startswith(b"("):
+        return _ESCAPE.sub(lambda m: b"" if m[1][-1:] == b"\n" and m[1] != b"n" else _SINGLE.get(m[1]) or (bytes((int(m[1], 8) & 255,)) if m[1].isdigit() else m[1]), token[1:-1])
+    digits = token[1:-1].translate(None, b" \r\n\t\f")
+    return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+
+
+def _shown(content: bytes, fonts: dict[bytes, tuple[int, dict[int, str]]]) -> str:
+    """The text of a content stream: a new line where the position moves to one, a space where it jumps ahead."""
+    out: list[str] = []
+    stack: list[bytes] = []
+    font: tuple[int, dict[int, str]] | None = None
+
+    def show(raw: bytes) -> None:
+        if font and font[1]:
+            width, known = font
+            out.append("".join(known.get(int.from_bytes(raw[i : i + width], "big"), "") for i in range(0, len(raw), width)))
+        else:
+            out.append(raw.decode("cp1252", "replace"))
+
+    for m in _CONTENT.finditer(content):
+        t = m[0]
+        if not (t[:1].isalpha() or t in (b"'", b'"')):
+            stack.append(t)
+            continue
+        if t == b"Tf" and len(stack) > 1:
+            font = fonts.get(stack[-2][1:])
+        elif t in (b"Tj", b"'", b'"') and stack:
+            if t != b"Tj":
+                out.append("\n")
+            show(_string(stack[-1]))
+        elif t == b"TJ":
+            begin = max((i for i, x in enumerate(stack) if x == b"["), default=len(stack))
+            for x in stack[begin + 1 :]:
+                if x[:1] in b"(<":
+                    show(_string(x))
+                elif x[:1] == b"-" and float(x) < -180:
+                    out.append(" ")
+        elif t in (b"T*", b"ET") or (t in (b"Td", b"TD") and len(stack) > 1 and float(stack[-1]) != 0) or t == b"Tm":
+            out.append("\n")
+        elif t in (b"Td", b"TD"):
+            out.append(" ")
+        stack.clear()
+    lines = (" ".join(x.split()) for x in "".join(out).split("\n"))
+    return "\n".join(x for x in lines if x)
+
+
+def pages(data: bytes) -> Iterator[tuple[str, bool]]:
+    """(text, whether there is an image) of the pages of a file in order."""
+    if b"%PDF-" not in data[:1024]:
+        raise ValueError("not a PDF file")
+    f = _File(data)
+    maps: dict[int, tuple[int, dict[int, str]]] = {}
+    for page, above in f.pages():
+        res = f.resources(page, above)
+        table = f.value(res, b"Font")
+        fonts = {}
+        for name, n in re.findall(rb"/([^\s/<>\[\]()]+)\s+(\d+)\s+\d+\s+R", table[: table.find(b">>") + 2] if b">>" in table else table):
+            if int(n) not in maps:
+                of = f.refs(f.body.get(int(n), b""), b"ToUnicode")
+                maps[int(n)] = _unicode_map(f.stream(f.body.get(of[0], b""))) if of else (1, {})
+            fonts[name] = maps[int(n)]
+        content = b"\n".join(f.stream(f.body.get(n, b"")) for n in f.refs(page, b"Contents"))
+        objects = f.value(res, b"XObject")
+        image = b"/Image" in page or b" BI" in content or any(re.search(rb"/Subtype\s*/Image", f.head(f.body.get(int(n), b""))) for n in _REF.findall(objects[: objects.find(b">>") + 2]))
+        yield _shown(content, fonts), image
+
+
+def read_pages(files: DataFrame) -> DataFrame:
+    """Rows PAGES of files (uri, content), pages from 1; a file that cannot be read gives a row with its error alone."""
+    return _read(files, PAGES, lambda d: ({"page": i, "text": t, "has_image": image} for i, (t, image) in enumerate(pages(d), 1)))

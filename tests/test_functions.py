@@ -27,6 +27,13 @@ def test_uri_round_trip(spark):
     assert col(spark, ["a!!b", "!a", "a!", "", "a!b"], "string", T.split_uri(F.col("v"))) == [None, None, None, None, ["a", "b"]]
 
 
+@pytest.mark.parametrize("segment", ["x" * 10**6, "!" * 200_000, "\\" * 200_000, "a!\\b" * 100_000])
+def test_long_uris_need_no_stack(spark, segment):
+    df = spark.createDataFrame([(["c.zip", segment],)], "parts array<string>").withColumn("uri", T.join_uri(F.col("parts")))
+    r = df.select(T.split_uri(F.col("uri")).alias("back"), T.container_of(F.col("uri")).alias("c"), "parts").first()
+    assert r.back == r.parts and r.c == "c.zip"
+
+
 def test_unsafe_members(spark):
     bad = ["/etc/x", "\\x", "C:x", "../x", "a/../../x", "a\\..\\b", ".."]
     good = ["a/b", "a..b/c", "a/..b", "..."]
@@ -64,7 +71,7 @@ def test_hexdump(spark):
 
 
 def test_times_and_lines(spark):
-    secs = [0.0, 59.96, 61.23, 3600.0, 3725.5, 86399.9]
+    secs = [0.0, 59.96, 61.23, 3600.0, 3725.5, 86399.9, 0.25, 0.35, 0.75, 0.05, 119.95, 3600.65, *(i / 20 for i in range(200)), *(1234.0 + i / 40 for i in range(200))]
     want = []
     for s in secs:
         h, r = divmod(s, 3600)

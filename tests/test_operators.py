@@ -3,6 +3,8 @@
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sieveline.functions.locators import char_span
@@ -75,20 +77,72 @@ def test_blocks_of_the_corpus(spark):
     assert all(got.get(r.uri, []) == parsed_blocks(r.html) for r in pages.collect())
 
 
+PARTS = ["<p>", "</p>", "<h2>", "</h2>", "a ", "b", "&amp;", "&nbsp;", " ", "\n", "<b>", "</b>", "<br/>", '<p title="a>b">', "<div data-x='1 > 0'>", "<script>", "</script>", "<style>x</style>", "<!-- c <p> -->", "<!-- o ", "-->", "<", "<1", "&am",
+         "<title>", "</title>", "<li/>", "<p a=b>", "</ p>", '<img alt="x>', '"', ">", "<!doctype html>", "<?x?>", "<script/>", "<a href='", "</script >", "<pre>", '</pre x="1">']
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=12).map("".join))
+def test_runs_are_the_standard_parsers(page):
+    assert [r for r in html.runs(page) if r[0] >= 0] == parsed_blocks(page)
+
+
+@pytest.mark.parametrize("page", ["<!--" * 250_000, "<a " * 300_000, '<a ="' * 200_000 + ">", "<" * 10**6, "--" * 500_000 + ">", "<script>" * 100_000, "x" * 10**6])
+def test_hostile_pages_take_no_longer(page):
+    assert html.read_page(page) is not None
+
+
 def test_sections_and_card(spark):
     pages = page_frame(spark)
-    flat = html.segments(html.sections(html.blocks(pages)))
+    read = html.parsed(pages)
+    flat = html.segments(read)
     assert flatten.gapless(flat).count() == 0
-    titles = [(r.section, r.section_title, r.is_titled) for r in html.outline(flat).filter("uri = 'p0'").orderBy("section").collect()]
+    titles = [(r.section, r.section_title, r.is_titled) for r in html.outline(read).filter("uri = 'p0'").orderBy("section").collect()]
     assert titles == [(0, "(untitled)", False), (1, "One", True), (2, "Two", True)]
     card = {r.uri: r for r in html.card(pages).collect()}
     assert (card["p0"].title, card["p0"].heading_count) == ("My page", 2) and (card["p1"].title, card["p1"].block_count) == ("(untitled)", 0)
     text = {r.uri: r.text for r in flatten.text_of(flat).collect()}
     assert text["p0"].startswith("before\n\nOne\na bold wordnext\n\nTwo\n")
-    sec = html.read_section(html.sections(html.blocks(pages)), 1).filter("uri = 'p0'").first()
+    sec = html.read_section(read, F.lit(1)).filter("uri = 'p0'").first()
     assert sec.text == "One\na bold wordnext" and PAGES[0][sec.start : sec.end].startswith("One</h1>")
-    got = flatten.read_range(flat, spark.createDataFrame([("p0", 0, 3), ("p0", 900, 999)], "uri string, start long, end long")).orderBy("span_start").collect()
-    assert got[0].text == "bef" and got[1].span_end - got[1].span_start == 1
+    whole = {r.uri: r for r in html.represent(read).collect()}
+    assert {u: r.text for u, r in whole.items()} == text and whole["p0"].barriers == [r.start for r in html.outline(read).filter("uri = 'p0' and section > 0").orderBy("section").collect()]
+    cut = {r.uri: r for r in html.represent(read, 9).collect()}["p0"]
+    assert cut.text == text["p0"][:9] and cut.barriers == [8] and cut.degradations[0].detail == f"kept 9 of {len(text['p0'])} characters"
+    got = {r.uri: r for r in html.read_range(read, F.lit(900), F.lit(999)).collect()}["p0"]
+    assert got.span_end - got.span_start == 1 and got.text == text["p0"][-1]
+    old = flatten.read_range(flat, spark.createDataFrame([("p0", 0, 3)], "uri string, start long, end long")).first()
+    assert old.text == "bef"
+
+
+def test_repeated_pages_stay_rows_of_their_own(spark):
+    pages = spark.createDataFrame([("u", "<h1>a</h1><p>b"), ("u", "<h1>a</h1><p>b"), (None, "<p>c"), ("n", None)], "uri string, html string").withColumn("Blocks", F.lit("clash"))
+    assert sorted((r.uri or "", r.block_count) for r in html.card(pages).collect()) == [("", 1), ("n", 0), ("u", 2), ("u", 2)]
+    assert html.barriers(html.parsed(pages)).count() == 0 and html.represent(html.parsed(pages)).filter("uri = 'u'").count() == 2
+
+
+def test_running_sums_across_runs(spark, monkeypatch):
+    monkeypatch.setattr(flatten, "RUN", 4)
+    rows = [("a", i, "x" * (i % 5)) for i in range(30)] + [(None, 2, "yy"), (None, 7, "z")]
+    got = {(r.uri, r.seq): r.start for r in flatten.flatten(chunks_of(spark, rows)).collect()}
+    assert got == {(u, i): sum(len(c) for v, j, c in rows if v == u and j < i) for u, i, _ in rows}
+
+
+def test_one_long_document_is_resolved_in_order(spark):
+    n = 100_000
+    flat = spark.range(n).select(F.lit("d").alias("uri"), F.col("id").alias("seq"), (F.col("id") * 7).alias("start"), (F.col("id") * 7 + 7).alias("end"), char_span(F.col("id"), F.col("id") + 1).alias("locator"))
+    asks = spark.range(n).select(F.lit("d").alias("uri"), (F.col("id") * 7 + 3).alias("offset"))
+    assert flatten.resolve(flat, asks).filter("seq * 7 + 3 = offset").count() == n
+    spans = spark.range(n).select(F.lit("d").alias("uri"), (F.col("id") * 7 + 5).alias("span_start"), (F.col("id") * 7 + 9).alias("span_end"))
+    assert flatten.resolve_span(flat, spans).count() == 2 * n - 1
+
+
+def test_overlapping_is_the_range_join(spark):
+    r = random.Random(3)
+    a = [(r.choice("ab"), i, s, s + r.choice([1, 5, 300, 9000])) for i, s in enumerate(r.randrange(12_000) for _ in range(200))]
+    b = [(r.choice("ab"), i, s, s + r.choice([0, 1, 40, 5000])) for i, s in enumerate(r.randrange(12_000) for _ in range(200))]
+    got = flatten.overlapping(spark.createDataFrame(a, "k string, i int, s long, e long"), spark.createDataFrame(b, "k string, j int, t long, u long"), "k", ("s", "e"), ("t", "u"), 16).select("i", "j").collect()
+    assert sorted(map(tuple, got)) == sorted((i, j) for k, i, s, e in a for q, j, t, u in b if k == q and s < u and t < e and t < u)
 
 
 def tile_by_loop(starts, duration, w):

@@ -5,12 +5,14 @@ import io
 import json
 import tarfile
 import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
+from sieveline.plans import fixtures
 from sieveline.plans.perception import Perception, tools
-from sieveline.sources import containers, documents, files
+from sieveline.sources import containers, documents, files, pdf
 from sieveline.streaming import ingest
 
 
@@ -145,7 +147,7 @@ def test_questions(spark, listing):
     got = p.invoke(asks).collect()
     by = {(r.uri, r.name): r for r in got}
     assert len(got) == 7 and by["sub/a.txt", "read_range"].text == "la" and by["raw.bin", "hexdump"].text.startswith("00000010  10 11 12 13")
-    assert sorted(r.text for r in got if r.name == "read_section") == ["Hi\nthere", "section 7 does not exist"]
+    assert sorted(r.text for r in got if r.name == "read_section") == ["Hi\nthere", "section 7 does not exist; the page has 1 section(s)"]
     assert by["sub/a.txt", "fly"].error.startswith("unknown operation") and by["nowhere", "hexdump"].error == "no such source"
     assert "4 of 4 entries" in by["z.zip", "list_entries"].text
     k = p.keyed(asks.filter("uri = 'raw.bin'")).first()
@@ -156,6 +158,55 @@ def test_questions(spark, listing):
     assert said.ok and said.value == "located at characters 0-5:\nplain"
 
 
+def test_every_request_gets_one_row(spark, listing):
+    """Of every source every offered operation, and some twice: rows in are rows out."""
+    p = Perception(listing, ("vision", "ffmpeg", "asr", "document_render"), functions={("image", "describe_image"): lambda r: {"text": f"{len(r['content'])} bytes, {r['params']['ask']}"}, ("image", "ocr"): lambda r: 1 / 0})
+    cards = p.inspect().select("uri", F.explode("affordances").alias("name"))
+    asks = cards.withColumn("params", F.create_map(F.lit("ask"), F.lit("what")))
+    asks = asks.union(asks.limit(3)).union(spark.createDataFrame([("nowhere", "x", {}), ("d.docx", None, None)], "uri string, name string, params map<string,string>"))
+    got = p.invoke(asks).collect()
+    assert len(got) == asks.count() and all((r.text is None) == (r.error is not None) for r in got)
+    by = {(r.uri, r.name): r for r in got}
+    assert by["i.png", "describe_image"].text == f"{len(PNG)} bytes, what" and by["i.png", "ocr"].error.startswith("ZeroDivisionError")
+    assert by["i.png", "crop_region"].error == "operation crop_region needs a function that was not given"
+    assert by["d.docx", "list_comments"].text == "Ann: why?" and by["d.docx", "read_table"].text == "a | b" and by["s.pptx", "read_slide"].text == "Title\nBody\nSpeaker notes: Say it"
+    assert by["x.xlsx", "list_sheets"].text == "Data: A1:B2 (2 row(s), 2 column(s))" and by["x.xlsx", "read_sheet"].text == "region | 5\n | =B1*2"
+    assert by["b.epub", "read_chapter"].text == "beta" and by["doc.pdf", "read_page"].degraded and by["v.mp4", "read_transcript"].degraded
+
+
+def test_a_callers_handler_opener_and_detector(spark):
+    rows = [("a.box", bytearray(b"BOX one|two")), ("b.ini", bytearray(b"[x]"))]
+    df = spark.createDataFrame(rows, "uri string, content binary")
+
+    def open_box(data):
+        for i, part in enumerate(data[4:].split(b"|")):
+            yield {"path": f"{i}.txt", "size_bytes": len(part), "compressed_bytes": len(part), "is_dir": False, "is_symlink": False, "byte_offset": None}, (lambda part=part: io.BytesIO(part))
+
+    detector = lambda head, uri: F.when(head.startswith(F.lit(b"BOX ")), "application/x-box").when(uri.endswith(".ini"), "text/x-ini")
+    p = Perception(
+        df, detector=detector, openers={"application/x-box": open_box}, extra_handlers=[("ini", ("text/x-ini",), 1, 1, ()), ("archive", ("application/x-box",), 1, 1, ())],
+        extra_affordances=[("ini", "keys", (), "segment", {})],
+        functions={("ini", "keys"): lambda r: {"text": "x"}, ("ini", "represent"): lambda r: {"text": r["content"].decode()}, ("ini", "describe"): lambda r: {"facts": {"sections": "1"}}},
+    )
+    assert {r.uri: r.handler_id for r in p.list().collect()} == {"a.box": "archive", "a.box!0.txt": "text", "a.box!1.txt": "text", "b.ini": "ini"}
+    assert {r.uri: r.text for r in p.represent().collect()}["b.ini"] == "[x]"
+    cards = {r.uri: r for r in p.inspect().collect()}
+    assert cards["b.ini"].facts == {"sections": "1"} and cards["a.box"].facts["entry_count"] == "2"
+    got = p.invoke(spark.createDataFrame([("b.ini", "keys", {})], "uri string, name string, params map<string,string>")).first()
+    assert (got.text, got.error) == ("x", None)
+
+
+def test_pdf_pages(spark):
+    made = fixtures.pdf([("Title", "some (text) with é and 漢"), ("Two", "x")])
+    packed = zlib.compress(b"BT /F9 9 Tf (plain \\(cp\\) \\251) Tj 0 -9 Td [(spl) -30 (it) -400 (up)] TJ ET")
+    flate = b"%%PDF-1.4\n1 0 obj<</Type/Catalog/Pages 2 0 R>>endobj 2 0 obj<</Type/Pages/Kids[3 0 R 5 0 R]>>endobj 3 0 obj<</Type/Page/Contents 4 0 R>>endobj 4 0 obj<</Filter/FlateDecode/Length %d>>stream\n" % len(packed) + packed + b"\nendstream endobj 5 0 obj<</Type/Page/Resources<</XObject<</I 6 0 R>>>>>>endobj 6 0 obj<</Subtype/Image>>endobj"
+    df = spark.createDataFrame([("m", bytearray(made)), ("f", bytearray(flate)), ("e", bytearray(b"%PDF-1.4 /Encrypt")), ("n", bytearray(b"no"))], "uri string, content binary")
+    got = {(r.uri, r.page): r for r in pdf.read_pages(df).collect()}
+    assert got["m", 1].text == "Title\nsome (text) with é and 漢" and got["m", 3].text == ""
+    assert got["f", 1].text == "plain (cp) ©\nsplit up" and got["f", 2].has_image and not got["f", 2].text
+    assert "encrypted" in got["e", None].error and got["n", None].error
+
+
 def test_functions_are_gated(spark, listing):
     out = documents.by_function(listing.filter("uri in ('i.png', 'raw.bin')").select("uri"), lambda r: {"uri": r["uri"], "said": 1 / (r["uri"] == "i.png")}, "uri string, said double, error string", 1)
     got = {r.uri: (r.said, r.error) for r in out.collect()}
