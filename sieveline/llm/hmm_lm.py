@@ -23,19 +23,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import fold, free_name, materialize, small_batches, table
+from sieveline.llm.common import drop_files, fold, free_name, materialize, small_batches, table
 
 STATES, TOP, BUCKETS, HEAD = 8, 4000, 1024, 200_000
 #: Classes whose neighbourhoods start the states, how much a state prefers its own; Baum-Welch passes over all training
 #: texts, the last of which gathers every token.
-NEIGHBOURS, PREFERS, PASSES = 512, 8.0, 4
+NEIGHBOURS, PREFERS, PASSES = 512, 8.0, 3
 #: Tokens in a training window, and in a segment of the exact recursion over long texts.
 WINDOW, SEGMENT = 256, 512
 #: Counts that a state borrows from the corpus as a whole; occurrences in all states that a token borrows.
 SMOOTH, BORROWED = 200.0, 0.5
 ADD = 0.1
-#: Expected counts below this are left to smoothing.
-TRACE = 1e-3
+#: The tail's expected counts are gathered in steps of one part in so many of an occurrence: short numbers shuffle well.
+STEPS = 256
 UNKNOWN, END, FIRST = 0, 1, 2
 FLUSH = 400_000
 
@@ -275,32 +275,32 @@ def _e_step(chain: Chain, seqs: list[np.ndarray], most: int = 2048):
 
 def _e_tokens(chain: Chain, seqs: list[np.ndarray], classes: list[np.ndarray], tails: list[tuple[np.ndarray, list[str]]], size: int, most: int = 2048):
     """Expected starts, moves and, of codes below size, states; and the tail's tokens with their states."""
-    parts, fresh, of, at = [], [], [], []
+    parts, fresh, at = [], [], []
     for d, c in enumerate(classes):
         p, f = windows(c)
         parts += p
         fresh += f
-        of += [d] * len(p)
-        at += range(0, len(c), WINDOW)
+        at += [(d, i) for i in range(0, len(c), WINDOW)]
     k = len(chain.start)
-    start, moves, known, words_, probs = np.zeros(k), np.zeros((k, k)), np.zeros((size, k)), [], []
+    start, moves, known, tokens, probs = np.zeros(k), np.zeros((k, k)), np.zeros((size, k)), [], []
     by_length = sorted(range(len(parts)), key=lambda i: -len(parts[i]))
     for first in range(0, len(by_length), most):
         some = by_length[first : first + most]
         s, m, _, gamma, order = chain.states([parts[i] for i in some], [fresh[i] for i in some])
         start += s
         moves += m
-        for j, i in enumerate(order):
-            w = some[i]
-            code, g = seqs[of[w]][at[w] : at[w] + WINDOW], gamma[: len(parts[w]), j]
-            head = code < size
-            np.add.at(known, code[head], g[head])
-            pos, tokens = tails[of[w]]
-            low, high = np.searchsorted(pos, (at[w], at[w] + WINDOW))
-            if high > low:
-                words_ += tokens[low:high]
-                probs.append(g[pos[low:high] - at[w]])
-    return start, moves, known, words_, (np.concatenate(probs) if probs else np.zeros((0, k)))
+        there = np.arange(len(gamma))[None, :] < np.array([len(parts[some[i]]) for i in order])[:, None]
+        g = gamma.transpose(1, 0, 2)[there]  # window by window
+        code = np.concatenate([seqs[d][i : i + WINDOW] for d, i in (at[some[j]] for j in order)])
+        head = code < size
+        for z in range(k):
+            known[:, z] += np.bincount(code[head], g[head, z], size)
+        for d, i in (at[some[j]] for j in order):
+            pos, said = tails[d]
+            low, high = np.searchsorted(pos, (i, i + WINDOW))
+            tokens += said[low:high]
+        probs.append(g[~head])
+    return start, moves, known, tokens, (np.concatenate(probs) if probs else np.zeros((0, k)))
 
 
 def started(beside: np.ndarray, places: np.ndarray, prior: np.ndarray, states: int = STATES, seed: int = 7) -> Chain:
@@ -342,11 +342,10 @@ def neighbourhoods(rows: DataFrame, vocab: Vocabulary, places: np.ndarray) -> np
     told = rows.sparkSession.sparkContext.broadcast(local[vocab.cls])
 
     def count(batches):
-        sums = np.zeros((n + 1) * (n + 1))
+        sums, between = np.zeros((n + 1) * (n + 1)), np.array([n])
         for b in batches:
-            for s in _codes(b["seq"]):
-                x = told.value[s]
-                sums += np.bincount(x[:-1] * (n + 1) + x[1:], minlength=len(sums)) if len(x) > 1 else 0
+            x = np.concatenate([y for s in _codes(b["seq"]) for y in (told.value[s], between)])
+            sums += np.bincount(x[:-1] * (n + 1) + x[1:], minlength=len(sums))
         at = np.flatnonzero(sums)
         yield pd.DataFrame({"i": at, "v": sums[at]})
 
@@ -396,7 +395,7 @@ def trained(rows: DataFrame, vocab: Vocabulary, states: int = STATES, passes: in
             s, m, kn, tokens, probs = _e_tokens(held.value, seqs, [vocab.cls[x] for x in seqs], tails, size)
             start, moves, known = start + s, moves + m, known + kn
             if tokens:
-                tail = pd.DataFrame(np.where(probs < TRACE, 0.0, probs), columns=columns).groupby(pd.Series(tokens), sort=False).sum()
+                tail = pd.DataFrame(np.round(probs * STEPS) / STEPS, columns=columns).groupby(pd.Series(tokens), sort=False).sum()
                 yield tail.rename_axis("token").reset_index().assign(kind=0)
         at = np.flatnonzero(known.sum(1) > 0)
         names = [vocab.tokens[i].decode("utf-8") if i < vocab.end else None for i in at]
@@ -474,6 +473,8 @@ def score_documents(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text
         model = None
     else:
         known = materialize(counts.join(gathered.hint("merge"), "token").select("token", "c", F.array(*(F.col(x).cast("float") for x in columns)).alias("g")), "hmm-tokens")
+        drop_files(gathered)
+        drop_files(counts)
         by_state = np.array([r or 0.0 for r in known.agg(*(F.sum(F.col("g")[i].cast("double")) for i in range(k))).first()]) + end
         emissions = Emissions(by_state / by_state.sum(), 1 - vocab.unknown)
         weight = [F.sum((F.col("c") + ADD) / (F.col("c") + BORROWED) * (F.col("g")[i].cast("double") + BORROWED * emissions.part[i])) for i in range(k)]
