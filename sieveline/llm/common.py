@@ -29,9 +29,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this process has written to the shared folder. Results that read it must have been computed."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -76,7 +87,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def join_sized(left: DataFrame, right: DataFrame, on, how: str, rows: int = 100_000) -> DataFrame:
-    """Join with a right side that is already materialized: broadcast if it has at most so many (narrow) rows, else by
-    a shuffle whose hot partitions adaptive execution splits."""
-    return left.join(F.broadcast(right) if right.count() <= rows else right.hint("merge"), on, how)
+def join_sized(left: DataFrame, right: DataFrame, on, how: str, rows: int = 100_000, size: int = 16 << 20) -> DataFrame:
+    """Join with a right side that is already materialized: broadcast if it has at most so many rows and characters, else
+    by a shuffle whose hot partitions adaptive execution splits."""
+    r = right.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.to_json(F.struct(*(F.col(c) for c in right.columns))))).alias("size")).first()
+    return left.join(F.broadcast(right) if r.n <= rows and (r.size or 0) <= size else right.hint("merge"), on, how)

@@ -23,7 +23,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
 
     With sources ordered by size over weight, those that are capped come first: source k is capped if its cap per
     weight is at most what would be left per weight once it and all before it got theirs. The windows see one row per
-    source, not the documents."""
+    source, not the documents, in one task: that is meant for sources in the thousands (some bytes each), not for a column
+    that differs in every row."""
     by_name = Window.orderBy(F.col("source").isNull(), "source")
     at = (F.row_number().over(by_name) - 1) % len(weights)
     w = sizes.withColumn("weight", F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (at + 1).cast("int")))

@@ -180,6 +180,62 @@ def test_language_id(spark):
     assert language_id.predict(docs(spark, []), model).count() == 0
 
 
+def test_languages_by_brute_force(spark):
+    """Every prediction from the model's bits alone: each n-gram of each text is looked up for each language by itself."""
+    d = small(spark, "documents")
+    model = language_id.fit(d.filter("doc_id % 4 != 2"))
+    rows = d.filter("doc_id < 40").select("doc_id", "text").collect() + [r for r in docs(spark, ODD).select("doc_id", "text").collect() if len(r.text or "") < 10_000]
+    got = {(r.doc_id, r.text): r for r in language_id.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for i, t in rows:
+        r = got[i, t]
+        if not t or not any(c.isalpha() for c in t):
+            assert (r.lang_pred, r.score, r.share) == ("und", 0.0, 0.0)
+            continue
+        data = b" " + t.lower().encode() + b" "
+        seen = [int.from_bytes(data[k : k + 4], "little") for k in range(len(data) - 3)]
+        share = []
+        for n in range(len(model.langs)):
+            hits = 0
+            for x in seen:
+                slots = [((x + 1) * int(m) % 2**64) >> (64 - model.bits) for m in language_id._MIX]
+                hits += all(int(model.slices[n // 8][s]) >> (n % 8) & 1 for s in slots)
+            share.append(max(0.0, (hits - len(seen) * model.false[n]) / (1 - min(model.false[n], 0.999))) / len(seen))
+        assert r.lang_pred == model.langs[int(np.argmax(share))] and math.isclose(r.share, min(1.0, max(share)), abs_tol=1e-9)
+        lead = len(seen) * (sorted(share)[-1] - sorted(share)[-2]) / language_id.LEAD
+        assert math.isclose(r.score, 1 / (1 + math.exp(-min(40.0, lead))) if max(share) > 0 else 0.0, abs_tol=1e-9)
+
+
+def test_texts_of_megabytes(spark):
+    long_ = " ".join(prose(i, 2000) for i in range(120))
+    assert len(long_) > 1_200_000
+    d = docs(spark, [(1, long_), (2, long_ + " you idiot"), (3, "x" * 1_500_000), *((10 + i, prose(i, 30) + (" you idiot" if i % 2 else "")) for i in range(40))])
+    told = language_id.predict(d, language_id.fit(d.withColumn("lang", F.lit("en")))).collect()
+    assert all(r.lang_pred == "en" for r in told)
+    scored = {r.doc_id: r for r in hmm_lm.score_documents(d.withColumn("held_out", F.col("doc_id") == 2), "held_out", states=2, passes=2).collect()}
+    assert scored[1].n_tokens == 240_001 and math.isfinite(scored[2].score) and scored[2].score < scored[10].score
+    model = toxicity.fit(d, spark.createDataFrame([(10 + i, i % 2) for i in range(40)], "doc_id long, toxic int"))
+    got = {r.doc_id: r.predicted for r in toxicity.score(d, model).collect()}
+    assert (got[1], got[2], got[3]) == (0, 1, 0)
+
+
+def test_scratch_is_cleared(spark, tmp_path):
+    from sieveline.llm import common
+
+    df = common.materialize(spark.range(3).toDF("x"), "scratch")
+    files = df.inputFiles()
+    assert files and all(Path(f.removeprefix("file://").removeprefix("file:")).exists() for f in files)
+    common.clear(spark)
+    assert not any(Path(f.removeprefix("file://").removeprefix("file:")).exists() for f in files)
+
+
+def test_joins_are_sized_by_rows_and_bytes(spark):
+    from sieveline.llm import common
+
+    left, right = spark.createDataFrame([("a" * 50, 1)], "k string, x int"), spark.createDataFrame([("a" * 50, 2)], "k string, y int")
+    plan = lambda **how: common.join_sized(left, right, "k", "left", **how)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan() and "SortMergeJoin" in plan(rows=0) and "SortMergeJoin" in plan(size=10)
+
+
 # 3 -----------------------------------------------------------------------------------------------------------------
 
 RANKS = Path(public_tokenizers.path(bpe.VOCABULARY)).read_bytes()
@@ -397,6 +453,70 @@ def test_hmm_on_documents(spark):
     assert sum(r.score for r in long_) > sum(r.base_score for r in long_)
 
 
+def test_hmm_scores_are_those_of_a_single_process(spark):
+    """The whole fit by loops over one list of texts, and every score by the plain forward recursion."""
+    rows = [(i, prose(i, 30 + i % 7 * 60)) for i in range(40)] + [(i, " ".join(["zwei", "drei", f"wort{i}", "und"][(i * k) % 4] for k in range(50))) for i in range(40, 70)] + [(80, None), (81, "never met the")]
+    states, head, top, buckets, passes = 3, 25, 12, 5, 3
+    d = docs(spark, rows).withColumn("held_out", F.col("doc_id") % 10 == 1)
+    got = {r.doc_id: r.score for r in hmm_lm.score_documents(d, "held_out", states=states, passes=passes, head=head, top=top, buckets=buckets).collect()}
+
+    train = [t for i, t in rows if i % 10 != 1]
+    c = Counter(w for t in train for w in hmm_lm.words(t))
+    place = lambda n: math.floor(math.log2(n) * 16)
+    least = max(c.values()) + 1
+    for b in sorted({place(n) for n in c.values()}, reverse=True):
+        if sum(place(n) >= b for n in c.values()) > head:
+            break
+        least = b
+    first = sorted(((w.decode(), n) for w, n in c.items() if place(n) >= least), key=lambda x: (-x[1], x[0]))
+    mass = np.zeros(buckets)
+    for w, n in c.items():
+        if w.decode() not in dict(first[:top]):
+            mass[hmm_lm._bucket(w, buckets)] += n + 0.1
+    v = hmm_lm.Vocabulary(sum(c.values()) + len(train), len(c) + 1, len(train), sum(n == 1 for n in c.values()), first, mass, top)
+    at = {t: i for i, t in enumerate(v.tokens)}
+    code = lambda t: np.array([*(at.get(w, v.end + 1 + hmm_lm._bucket(w, buckets)) for w in hmm_lm.words(t)), v.end])
+    prior = v.prior
+    places = np.argsort(-np.where(np.arange(len(prior)) == hmm_lm.UNKNOWN, -1, prior), kind="stable")[: min(hmm_lm.NEIGHBOURS, len(prior) - 1)]
+    near, where = np.zeros((len(places), len(places))), {p: i for i, p in enumerate(places)}
+    for t in train:
+        x = v.cls[code(t)]
+        for a, b in zip(x, x[1:], strict=False):
+            near[where[a], where[b]] += 1
+    chain = hmm_lm.started(near, places, prior, states)
+    for _ in range(passes - 1):
+        start, moves, ends = np.zeros(states), np.zeros((states, states)), np.zeros((len(prior), states))
+        for t in train:
+            for w, fresh in zip(*hmm_lm.windows(v.cls[code(t)]), strict=True):
+                s, m, e = chain.counts([w], [fresh])
+                start, moves, ends = start + s, moves + m, ends + e
+        chain = hmm_lm.maximized(start, moves, ends, prior)
+    start, moves, g, end = np.zeros(states), np.zeros((states, states)), {}, np.zeros(states)
+    for t in train:
+        tokens, size = [*hmm_lm.words(t), None], v.end + 1
+        for n, (w, fresh) in enumerate(zip(*hmm_lm.windows(v.cls[code(t)]), strict=True)):
+            s, m, _, gamma, _ = chain.states([w], [fresh])
+            start, moves = start + s, moves + m
+            for token, p, k in zip(tokens[n * hmm_lm.WINDOW :], gamma[:, 0], code(t)[n * hmm_lm.WINDOW :], strict=False):
+                p = p if k < size else np.round(p * hmm_lm.STEPS) / hmm_lm.STEPS
+                if token is None:
+                    end = end + p
+                else:
+                    g[token] = g.get(token, 0) + p
+    last = hmm_lm.maximized(start, moves, np.zeros((len(prior), states)), prior)
+    part = sum(g.values()) + end
+    part = part / part.sum()
+    weight = lambda g, n: (n + 0.1) / (n + hmm_lm.BORROWED) * (g + hmm_lm.BORROWED * part)
+    total = sum(weight(x, c[w]) for w, x in g.items()) + weight(end, len(train))
+    for i, t in rows:
+        emit = [weight(g[w], c[w]) / total * (1 - v.unknown) if w in c else np.full(states, v.unknown) for w in hmm_lm.words(t)] + [weight(end, len(train)) / total * (1 - v.unknown)]
+        a, log = last.start * emit[0], 0.0
+        for e in emit[1:]:
+            log += math.log10(a.sum())
+            a = (a / a.sum() @ last.move) * e
+        assert math.isclose(got[i], log + math.log10(a.sum()), rel_tol=1e-5), i
+
+
 def test_hmm_is_a_distribution(spark):
     """Over one-token texts: known words, and one unknown, come to what texts of one token have in all."""
     d = docs(spark, [(i, t) for i, t in enumerate(["a b", "a c c", "b a d", "a"])]).withColumn("held_out", F.lit(False))
