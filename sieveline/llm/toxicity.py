@@ -311,7 +311,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             if keys:
                 yield pd.DataFrame({"term": [k[0] for k in keys], "stem": [k[1] for k in keys], "n1": [got[1][k] for k in keys], "n0": [got[0][k] for k in keys]})
 
-    distinct = distinct.repartition(max(1, (n1 + n0) // 500))  # a bounded sample: by rows, not by bytes
+    distinct = distinct.repartition(max(1, (n1 + n0) // 2000))  # a bounded sample: by rows, not by bytes
     sums = distinct.mapInPandas(count, "term string, stem boolean, n1 long, n0 long").groupBy("term", "stem").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     lift = (F.col("n1") / F.lit(float(n1))) / ((F.col("n0") + 0.5) / F.lit(float(max(n0, 1))))
     toxic_part, held = n1 / (n1 + n0), F.col("n1") + F.col("n0")
@@ -325,32 +325,34 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     terms = [(w, False) for w in words] + [(s, True) for s in chosen]
     bare = Scorer(terms, {}, [0.0])
 
-    def weigh(batches):
-        held: dict[tuple, list[int]] = {}
+    def find(batches):
         for batch in batches:
-            for t, y in zip(batch["t"], batch["y"], strict=True):
-                for key in {(k, min(e, 1)) for k, e, _ in bare.hits(t)}:
-                    held.setdefault(key, [0, 0])[int(y > 0)] += 1
-        yield pd.DataFrame([(k, e, a, b) for (k, e), (b, a) in held.items()], columns=["k", "e", "n1", "n0"])
+            hits = [[{"k": k, "e": min(e, 1), "contexts": sorted(c)} for k, e, c in bare.found(t)] for t in batch["t"]]
+            yield pd.DataFrame({"y": batch["y"], "hits": hits})
+
+    # the automaton meets the sample once; what follows reads its hits
+    held = materialize(distinct.mapInPandas(find, "y int, hits array<struct<k:int,e:int,contexts:array<string>>>"), "toxic-hits")
 
-    seen = {(r.k, r.e): (r.n1, r.n0) for r in distinct.mapInPandas(weigh, "k long, e long, n1 long, n0 long").groupBy("k", "e").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).collect()}
+    each = held.select("y", F.explode(F.array_distinct(F.transform("hits", lambda h: F.struct(h["k"].alias("k"), h["e"].alias("e"))))).alias("h"))
+    seen = {(r.k, r.e): (r.n1, r.n0) for r in each.groupBy("h.k", "h.e").agg(F.count_if(F.col("y") > 0).alias("n1"), F.count_if(F.col("y") <= 0).alias("n0")).collect()}
     weights = {}
     for k in range(len(terms)):
         for e in (0, 1):
             a, b = seen.get((k, e), (0, 0))
             w = min(5.0, math.log((a + 1.0) / n1 / ((b + 0.5) / max(n0, 1)))) if a + b else UNSEEN[e]
             weights[k, e] = w if w >= LEAST_WEIGHT else 0.0
-    contexts = _contexts(distinct, bare, weights)
+    contexts = _contexts(held, weights)
     weighed = Scorer(terms, weights, [0.0], contexts)
 
     def bins(batches):
-        held = np.zeros((N_STEPS, 2), np.int64)
+        counts = np.zeros((N_STEPS, 2), np.int64)
         for batch in batches:
-            for t, y in zip(batch["t"], batch["y"], strict=True):
-                held[min(round(max(0.0, weighed.evidence(t)) * STEPS), N_STEPS - 1), int(y > 0)] += 1
-        yield pd.DataFrame({"b": range(N_STEPS), "n0": held[:, 0], "n1": held[:, 1]})
+            for hits, y in zip(batch["hits"], batch["y"], strict=True):
+                at = sum(weights.get((h["k"], h["e"]), 0.0) * weighed.worth(set(h["contexts"])) for h in hits)
+                counts[min(round(max(0.0, at) * STEPS), N_STEPS - 1), int(y > 0)] += 1
+        yield pd.DataFrame({"b": range(N_STEPS), "n0": counts[:, 0], "n1": counts[:, 1]})
 
-    by = {r.b: (r.n1, r.n0) for r in sample.mapInPandas(bins, "b long, n0 long, n1 long").groupBy("b").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).collect()}
+    by = {r.b: (r.n1, r.n0) for r in held.mapInPandas(bins, "b long, n0 long, n1 long").groupBy("b").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).collect()}
     rate, mass = [], []
     for b in range(N_STEPS):
         a, c = by.get(b, (0, 0))
@@ -360,27 +362,27 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     return Scorer(terms, weights, _monotone(rate, mass), contexts)
 
 
-def _contexts(rows: DataFrame, bare: Scorer, weights: dict[tuple[int, int], float]) -> dict[str, float]:
-    """What contexts are worth: of rows (t, y) with a hit of some weight in a context the toxic share against that of all
-    rows with a hit, drawn to what is believed. To the driver come MOST_CONTEXTS rows at most."""
+def _contexts(held: DataFrame, weights: dict[tuple[int, int], float]) -> dict[str, float]:
+    """What contexts are worth: of rows (y, hits) with a hit of some weight in a context the toxic share against that of
+    all rows with a hit, drawn to what is believed. To the driver come MOST_CONTEXTS rows at most."""
 
     def count(batches):
-        held: dict[str | None, list[int]] = {}
+        sums: dict[str | None, list[int]] = {}
         for batch in batches:
-            for t, y in zip(batch["t"], batch["y"], strict=True):
-                some = [c for k, e, c in bare.found(t) if weights.get((k, min(e, 1)), 0.0) > 0]
+            for hits, y in zip(batch["hits"], batch["y"], strict=True):
+                some = [set(h["contexts"]) for h in hits if weights.get((h["k"], h["e"]), 0.0) > 0]
                 for c in (set().union(*some) | {None}) if some else ():
-                    held.setdefault(c, [0, 0])[int(y > 0)] += 1
-        yield pd.DataFrame([(c, b, a) for c, (a, b) in held.items()], columns=["c", "n1", "n0"])
+                    sums.setdefault(c, [0, 0])[int(y > 0)] += 1
+        yield pd.DataFrame([(c, b, a) for c, (a, b) in sums.items()], columns=["c", "n1", "n0"])
 
-    sums = materialize(rows.mapInPandas(count, "c string, n1 long, n0 long").groupBy("c").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")), "toxic-contexts")
+    sums = materialize(held.mapInPandas(count, "c string, n1 long, n0 long").groupBy("c").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")), "toxic-contexts")
     whole = sums.filter("c is null").first()
     if whole is None:
         return {}
     share = (whole.n1 + 1) / (whole.n1 + whole.n0 + 1)
     n = F.col("n1") + F.col("n0")
     strays = F.abs(F.col("n1") - n * share) >= 3 * F.sqrt(n * (share * (1 - share)))  # three deviations: a word that is merely there is no context
-    told = sums.filter(F.col("c").isNotNull() & (n >= LEAST_CONTEXT) & (strays | F.col("c").isin(IN_QUOTES, *sorted(REPORTING | ADDRESS)))).orderBy(F.desc(F.col("n1") + F.col("n0")), "c").limit(MOST_CONTEXTS).collect()
+    told = sums.filter(F.col("c").isNotNull() & (n >= LEAST_CONTEXT) & (strays | F.col("c").isin(IN_QUOTES, *sorted(REPORTING | ADDRESS)))).orderBy(F.desc(n), "c").limit(MOST_CONTEXTS).collect()
     return {r.c: min(FACTORS[1], max(FACTORS[0], (r.n1 + BELIEF * share * believed(r.c)) / (r.n1 + r.n0 + BELIEF) / share)) for r in told}
 
 
