@@ -144,6 +144,15 @@ def clip_cost(span_s: Column) -> Column:
     return F.when(span_s <= LINEAR_CLIP_S, linear).otherwise(F.lit(f"at least {PLATEAU_CLIP_TOKENS:,} prompt tokens; past {LINEAR_CLIP_S:g} s the cost no longer follows the length"))
 
 
+def reply_text(reply: Column) -> Column:
+    """The text of a model's reply in JSON: a string, or the text blocks of a list by line breaks; of any other shape null,
+    which is not an empty text."""
+    blocks = F.from_json(reply, "array<struct<type:string,text:string>>")
+    said = F.transform(F.filter(blocks, lambda b: (b["type"] == "text") & b["text"].isNotNull()), lambda b: b["text"])
+    whole = F.get_json_object(F.concat(F.lit('{"t":'), reply, F.lit("}")), "$.t")
+    return F.when(F.trim(reply).startswith('"'), whole).when(F.trim(reply).startswith("[") & (F.size(said) > 0), F.array_join(said, "\n"))
+
+
 # sheets ------------------------------------------------------------------------------------------------------------
 
 

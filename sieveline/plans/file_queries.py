@@ -11,7 +11,7 @@ from sieveline.functions import text as T
 from sieveline.operators import cache, dispatch, formats, html, timeline
 from sieveline.operators.flatten import text_of
 from sieveline.plans import fixtures
-from sieveline.plans.perception import Perception, cues_json, from_cues_json, from_rendition_json, rendition_json
+from sieveline.plans.perception import Perception, card_json, cues_json, from_cues_json, from_rendition_json, rendition_json, rendition_text
 from sieveline.plans.sql import _HTML
 from sieveline.sources import containers, documents, files, pdf
 
@@ -329,6 +329,42 @@ def part_texts(s, d):
     return text_of(_word_flat(_talks(s, d, "docx", fixtures.docx))).select("uri", F.md5("text").alias("text_md5"))
 
 
+def replies(s, d):
+    """Models' replies as text, as lists of blocks and in a shape that is none."""
+    c = _t(s, d, "conversations")
+    one = F.to_json(F.struct(F.col("text").alias("t")))
+    text = F.substring(one, F.lit(6), F.length(one) - 6)
+    blocks = F.to_json(F.array(*(F.struct(F.lit(k).alias("type"), v.alias("text")) for k, v in (("text", F.col("role")), ("image", F.lit("no")), ("text", F.col("text"))))))
+    reply = F.when(F.col("turn") % 3 == 0, text).when(F.col("turn") % 3 == 1, blocks).otherwise(F.lit('{"x":1}'))
+    return c.select("conv_id", "turn", T.reply_text(reply).alias("said"))
+
+
+def formulas_without_values(s, d):
+    g = _t(s, d, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list("c_custkey")).alias("rows"))
+    rows = g.select(_uri("nation/", "c_nationkey", ".xlsx").alias("uri"), "rows")
+    made = fixtures.made(rows, lambda r: fixtures.xlsx([[str(x), f"=A{i}*2"] for i, x in enumerate(r["rows"], 1)]))
+    return formats.uncomputed(documents.read_cells(made))
+
+
+def cues_outside(s, d):
+    c = _t(s, d, "conversations").select(_uri("talk/", "conv_id").alias("uri"), (F.col("turn") * 2.0).alias("start_s"), F.lit(5.5).alias("duration_s"))
+    return timeline.dropped(c)
+
+
+def card_texts(s, d):
+    """Cards as JSON, read back by Spark."""
+    p = Perception(_document_files(s, d), depth=0)
+    j = card_json(p.inspect().select("uri", "handler_id", "size_bytes", "affordances"))
+    one = F.from_json("json", "uri string, handler_id string, size_bytes bigint, affordances array<string>")
+    return j.select("uri", one["uri"].alias("told"), one["handler_id"].alias("handler_id"), one["size_bytes"].alias("size_bytes"), F.array_join(one["affordances"], ",").alias("affordances"))
+
+
+def rendition_texts(s, d):
+    p = Perception(_document_files(s, d), depth=0)
+    asks = _document_files(s, d).select("uri", F.when(F.col("uri").endswith("1.txt"), "fly").otherwise("read_range").alias("name"), F.create_map(F.lit("end"), F.lit("5")).alias("params"))
+    return rendition_text(p.invoke(asks))
+
+
 _TALKS = r"""t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i, role, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM conversations),
 g AS (SELECT conv_id, count(*) AS n, string_agg(i || ' | ' || role, chr(10) ORDER BY i) AS rows FROM t GROUP BY conv_id)"""
 _DOCX = _TALKS + r""",
@@ -409,6 +445,12 @@ SQL: dict[str, str] = {
     "frames_described": "SELECT 'talk/' || conv_id AS uri, turn AS seq, turn * 5.0::DOUBLE AS start_s, CASE WHEN role = 'user' THEN trim(text, ' ') ELSE '(no description was produced for this frame)' END AS text FROM conversations",
     "suggested_frames": "WITH w AS (SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations) SELECT 'talk/' || conv_id AS uri, turn * 20.0::DOUBLE + 4 + (nxt * 20.0::DOUBLE - turn * 20.0::DOUBLE - 4) / 2 AS at_s, 'silence' AS why FROM w WHERE nxt IS NOT NULL",
     "changed_files": "SELECT 'doc/' || doc_id AS path, length(text)::INT AS length, 1 AS modificationTime FROM documents WHERE length(text) % 2 = 1",
+    "replies": "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN role || chr(10) || text END AS said FROM conversations",
+    "formulas_without_values": """WITH b AS (SELECT 'nation/' || c_nationkey || '.xlsx' AS uri, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r FROM customer), g AS (SELECT uri, list('Data!B' || r ORDER BY r) AS names FROM b GROUP BY uri)
+      SELECT uri, 'formulas without cached values' AS what, len(names) || ' cell(s) hold a formula without a stored value (' || CASE WHEN len(names) <= 10 THEN array_to_string(names, ', ') ELSE array_to_string(names[1:10], ', ') || ' and ' || (len(names) - 10) || ' more' END || '); the formula is shown instead' AS detail FROM g""",
+    "cues_outside": "SELECT 'talk/' || conv_id AS uri, 'cues outside the file' AS what, count(*) || ' cue(s) started at or after the duration of 5.5s and were dropped' AS detail FROM conversations WHERE turn * 2.0 >= 5.5 GROUP BY conv_id",
+    "card_texts": "SELECT 'doc/' || doc_id || '.txt' AS uri, 'doc/' || doc_id || '.txt' AS told, 'text' AS handler_id, strlen(text)::BIGINT AS size_bytes, 'read_range' AS affordances FROM documents",
+    "rendition_texts": "SELECT 'doc/' || doc_id || '.txt' AS uri, doc_id % 10 <> 1 AS ok, CASE WHEN doc_id % 10 <> 1 THEN 'located at characters 0-' || least(5, length(text)) || ':' || chr(10) || substr(text, 1, 5) END AS value, CASE WHEN doc_id % 10 = 1 THEN 'unknown operation fly; known: read_range' END AS error FROM documents",
     "part_texts": f"WITH {_DOCX} SELECT 'talk/' || conv_id || '.docx' AS uri, md5(string_agg(chunk, '' ORDER BY i)) AS text_md5 FROM p GROUP BY conv_id",
 }
 

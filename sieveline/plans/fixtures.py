@@ -66,7 +66,12 @@ def pptx(parts: list[tuple[str, str]]) -> bytes:
 
 
 def xlsx(rows: list[list[str]], name: str = "Data") -> bytes:
-    cell = lambda r, c, v: f'<c r="{chr(65 + c)}{r + 1}" t="inlineStr"><is><t>{escape(v)}</t></is></c>'
+    """A sheet of rows; a value that begins with = is a formula without a stored value."""
+
+    def cell(r: int, c: int, v: str) -> str:
+        at = f"{chr(65 + c)}{r + 1}"
+        return f'<c r="{at}"><f>{escape(v[1:])}</f></c>' if v.startswith("=") else f'<c r="{at}" t="inlineStr"><is><t>{escape(v)}</t></is></c>'
+
     data = "".join(f"<row>{''.join(cell(r, c, v) for c, v in enumerate(row) if v is not None)}</row>" for r, row in enumerate(rows))
     return zipped([
         ("xl/workbook.xml", f'<workbook xmlns:r="urn:r"><sheets><sheet name="{escape(name)}" r:id="rId1"/></sheets></workbook>'),

@@ -37,10 +37,16 @@ def record_batch(rows: list[dict], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema=pa.schema(fields))
 
 
-def walk(spark: SparkSession, root: str, pattern: str = "*", content: bool = True) -> DataFrame:
+def walk(spark: SparkSession, root: str, pattern: str = "*", content: bool = True, empty: bool = False) -> DataFrame:
     """Files below root: uri (relative), path, length, modificationTime and, if asked, content. Content that no plan
-    selects is not read; files of no bytes are left out, as Spark's scans do. Sort by uri where order matters."""
+    selects is not read. Spark's scans leave files of no bytes out; if empty, they are told from the scan's list of names
+    (which the driver holds) and come without a time. Sort by uri where order matters."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    if empty:
+        names = spark.createDataFrame([(p,) for p in files.inputFiles()], "name string")
+        bare = lambda c: F.regexp_replace(c, "^file:/+", "/")
+        gone = names.join(files.select("path"), bare(F.col("name")) == bare(F.col("path")), "left_anti")
+        files = files.unionByName(gone.select(F.col("name").alias("path"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")), allowMissingColumns=True)
     base = root.rstrip("/").split("://")[-1].removeprefix("file:")
     uri = F.regexp_replace("path", r"^.*?" + "".join(f"\\{c}" if not c.isalnum() else c for c in base) + "/", "")
     cols = ["path", "length", "modificationTime"] + (["content"] if content else [])

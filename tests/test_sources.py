@@ -99,6 +99,15 @@ def test_walk_and_detect(spark, listing):
         files.checked_root("/a", "../b")
 
 
+def test_walk_with_empty_files(spark, tmp_path):
+    (tmp_path / "a b").mkdir()
+    (tmp_path / "a b" / "none.txt").write_bytes(b"")
+    (tmp_path / "one.txt").write_bytes(b"1")
+    assert {r.uri: r.length for r in files.walk(spark, str(tmp_path)).collect()} == {"one.txt": 1}
+    got = {r.uri.replace("%20", " "): (r.length, bytes(r.content)) for r in files.walk(spark, str(tmp_path), empty=True).collect()}
+    assert got == {"one.txt": (1, b"1"), "a b/none.txt": (0, b"")}
+
+
 def test_expand(spark, listing):
     got = {r.uri: r for r in containers.expand(listing.filter("uri in ('z.zip', 'd.docx', 'broken.zip')")).collect()}
     assert set(got) == {"z.zip", "d.docx", "broken.zip", "z.zip!in/a.txt", "z.zip!t.tar.gz", "z.zip!../evil", "z.zip!t.tar.gz!n.txt"}
