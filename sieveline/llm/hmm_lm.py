@@ -35,7 +35,7 @@ WINDOW, SEGMENT = 256, 512
 SMOOTH, BORROWED = 200.0, 0.5
 ADD = 0.1
 #: The tail's expected counts are gathered in steps of one part in so many of an occurrence: short numbers shuffle well.
-STEPS = 256
+STEPS = 32
 UNKNOWN, END, FIRST = 0, 1, 2
 FLUSH = 400_000
 
@@ -127,8 +127,8 @@ def vocabulary(counts: DataFrame, docs: int, head: int = HEAD, top: int = TOP, b
     """From materialized token counts and the number of training documents. To the driver come sizes, the head tokens
     and one number per bucket."""
     whole = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("s")).first()
-    found = _frequent(counts, head)[0].select("token", "c").toPandas()
-    first = sorted(zip(found["token"], found["c"].tolist(), strict=True), key=lambda x: (-x[1], x[0]))
+    found = _frequent(counts, head)[0].select("token", "c").toArrow()
+    first = sorted(zip(found["token"].to_pylist(), found["c"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
     mass = np.zeros(buckets)
     for r in counts.groupBy(F.pmod(F.xxhash64("token"), F.lit(buckets)).alias("b")).agg(F.sum(F.col("c") + ADD).alias("m")).collect():
         mass[r.b] = r.m
@@ -334,6 +334,14 @@ def _codes(column) -> list[np.ndarray]:
     return [np.frombuffer(s, np.int32).astype(np.int64) for s in column]
 
 
+def _summed(parts: DataFrame, size: int) -> np.ndarray:
+    """Sparse sums (i, v) of tasks as one array; they come to the driver as Arrow columns, not as rows."""
+    got = parts.groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+    out = np.zeros(size)
+    out[got["i"].to_numpy()] = got["v"].to_numpy()
+    return out
+
+
 def neighbourhoods(rows: DataFrame, vocab: Vocabulary, places: np.ndarray) -> np.ndarray:
     """How often the classes at places stand directly beside each other, over all rows of coded texts (seq)."""
     n = len(places)
@@ -349,16 +357,14 @@ def neighbourhoods(rows: DataFrame, vocab: Vocabulary, places: np.ndarray) -> np
         at = np.flatnonzero(sums)
         yield pd.DataFrame({"i": at, "v": sums[at]})
 
-    got = rows.mapInPandas(count, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
-    out = np.zeros((n + 1) * (n + 1))
-    out[got["i"].to_numpy()] = got["v"].to_numpy()
+    out = _summed(rows.mapInPandas(count, "i long, v double"), (n + 1) * (n + 1))
     return out.reshape(n + 1, n + 1)[:n, :n]
 
 
 def trained(rows: DataFrame, vocab: Vocabulary, states: int = STATES, passes: int = PASSES) -> tuple[Chain, DataFrame, np.ndarray]:
     """Baum-Welch over coded training texts (seq, tail_pos, tail_token): the chain (its start and moves), materialized
-    rows (token, g0, g1, ...: expected counts by state), and those of the end. Each task sums its expected counts, Spark
-    sums the tasks'."""
+    rows (token, c, g0, g1, ...: the count and expected counts by state) of the tail, and the states' expected counts of
+    the head and the end. Each task sums its expected counts, Spark sums the tasks'."""
     spark, prior = rows.sparkSession, vocab.prior
     places = np.argsort(-np.where(np.arange(len(prior)) == UNKNOWN, -1, prior), kind="stable")[: min(NEIGHBOURS, max(1, len(prior) - 1))]
     chain = started(neighbourhoods(rows.select("seq"), vocab, places), places, prior, states)
@@ -378,9 +384,7 @@ def trained(rows: DataFrame, vocab: Vocabulary, states: int = STATES, passes: in
                 at = np.flatnonzero(v > 1e-12)
                 yield pd.DataFrame({"i": at, "v": v[at]})
 
-        sums = rows.select("seq").mapInPandas(e_step, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
-        v = np.zeros(k + k * k + c * k)
-        v[sums["i"].to_numpy()] = sums["v"].to_numpy()
+        v = _summed(rows.select("seq").mapInPandas(e_step, "i long, v double"), k + k * k + c * k)
         chain = maximized(v[:k], v[k : k + k * k].reshape(k, k), v[k + k * k :].reshape(c, k), prior)
         held.unpersist()
     held = spark.sparkContext.broadcast(chain)
@@ -395,22 +399,23 @@ def trained(rows: DataFrame, vocab: Vocabulary, states: int = STATES, passes: in
             s, m, kn, tokens, probs = _e_tokens(held.value, seqs, [vocab.cls[x] for x in seqs], tails, size)
             start, moves, known = start + s, moves + m, known + kn
             if tokens:
-                tail = pd.DataFrame(np.round(probs * STEPS) / STEPS, columns=columns).groupby(pd.Series(tokens), sort=False).sum()
+                tail = pd.DataFrame(np.round(probs * STEPS) / STEPS, columns=columns).assign(c=1).groupby(pd.Series(tokens), sort=False).sum()
                 yield tail.rename_axis("token").reset_index().assign(kind=0)
         at = np.flatnonzero(known.sum(1) > 0)
-        names = [vocab.tokens[i].decode("utf-8") if i < vocab.end else None for i in at]
-        yield pd.DataFrame(known[at], columns=columns).assign(token=names, kind=[0 if i < vocab.end else 1 for i in at])
-        yield pd.DataFrame(np.vstack([start, moves]), columns=columns).assign(token=[str(i) for i in range(k + 1)], kind=2)
-
-    schema = "token string, kind int, " + ", ".join(f"{x} double" for x in columns)
-    made = rows.select("seq", "tail_pos", "tail_token").mapInPandas(lambda b: (x[["token", "kind", *columns]].astype({"token": object}) for x in gather(b)), schema)
-    gathered = materialize(made.groupBy("kind", "token").agg(*(F.sum(x).alias(x) for x in columns)), "hmm-gathered")
-    few = gathered.filter("kind > 0").toPandas()  # the end, the starts and the moves
-    end = few.loc[few["kind"] == 1, columns].to_numpy(np.float64).sum(0)
-    rest = few[few["kind"] == 2].assign(at=lambda d: d["token"].astype(int)).sort_values("at")[columns].to_numpy(np.float64).reshape(-1, k)
-    if len(rest):
-        chain = Chain(*(lambda m: (m.start, m.move))(maximized(rest[0], rest[1:], np.zeros((c, k)), prior)), chain.emit)
-    return chain, gathered.filter("kind = 0").drop("kind"), end
+        yield pd.DataFrame(known[at], columns=columns).assign(token=[str(i) for i in at], kind=1, c=0)
+        yield pd.DataFrame(np.vstack([start, moves]), columns=columns).assign(token=[str(i) for i in range(k + 1)], kind=2, c=0)
+
+    schema = "token string, kind int, c long, " + ", ".join(f"{x} double" for x in columns)
+    made = rows.select("seq", "tail_pos", "tail_token").mapInPandas(lambda b: (x[["token", "kind", "c", *columns]].astype({"token": object}) for x in gather(b)), schema)
+    gathered = materialize(made.groupBy("kind", "token").agg(F.sum("c").alias("c"), *(F.sum(x).alias(x) for x in columns)), "hmm-gathered")
+    few = gathered.filter("kind > 0").select("kind", F.col("token").cast("int").alias("at"), *columns).toArrow()  # the head, the end, the starts and the moves
+    kind, at = few["kind"].to_numpy(), few["at"].to_numpy()
+    values = np.stack([few[x].to_numpy() for x in columns], 1) if len(at) else np.zeros((0, k))
+    known, rest = np.zeros((vocab.end + 1, k)), np.zeros((k + 1, k))
+    known[at[kind == 1]] = values[kind == 1]
+    rest[at[kind == 2]] = values[kind == 2]
+    last = maximized(rest[0], rest[1:], np.zeros((c, k)), prior)
+    return Chain(last.start, last.move, chain.emit), gathered.filter("kind = 0").drop("kind"), known
 
 
 def coded(docs: DataFrame, vocab: Vocabulary, held_out: str, text: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -467,26 +472,18 @@ def score_documents(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text
     vocab = vocabulary(counts, train.count(), head, top, buckets)
     rows = coded(docs, vocab, held_out, text, [F.col(doc_id).alias("doc_id")])
     k, columns = states, [f"g{i}" for i in range(states)]
-    chain, gathered, end = trained(rows.filter(~F.col("held_out")), vocab, states, passes) if vocab.n else (None, None, None)
-    if chain is None:
-        known = counts.select("token", "c", F.array().cast("array<float>").alias("g"))
-        model = None
+    if not vocab.n:
+        known, model = counts.select("token", "c", F.array().cast("array<float>").alias("g")), None
     else:
-        known = materialize(counts.join(gathered.hint("merge"), "token").select("token", "c", F.array(*(F.col(x).cast("float") for x in columns)).alias("g")), "hmm-tokens")
-        drop_files(gathered)
+        chain, gathered, held = trained(rows.filter(~F.col("held_out")), vocab, states, passes)
         drop_files(counts)
-        by_state = np.array([r or 0.0 for r in known.agg(*(F.sum(F.col("g")[i].cast("double")) for i in range(k))).first()]) + end
+        known = gathered.select("token", "c", F.array(*(F.col(x).cast("float") for x in columns)).alias("g"))
+        summed = lambda *of: np.array([r or 0.0 for r in gathered.agg(*(F.sum(x) for x in of)).first()])  # noqa: E731  one number a state
+        by_state = summed(*columns) + held.sum(0)
         emissions = Emissions(by_state / by_state.sum(), 1 - vocab.unknown)
-        weight = [F.sum((F.col("c") + ADD) / (F.col("c") + BORROWED) * (F.col("g")[i].cast("double") + BORROWED * emissions.part[i])) for i in range(k)]
-        emissions.totals = np.array([r or 0.0 for r in known.agg(*weight).first()]) + emissions.weights(end[None, :], np.array([float(vocab.docs)]))[0]
-        place = {t: i for i, t in enumerate(vocab.tokens)}
-        table = np.zeros((vocab.end + 2, k))  # head tokens, the end, unknown
-        found = _frequent(known, head)[0].toPandas()
-        at = np.array([place[t.encode("utf-8")] for t in found["token"]], np.int64)
-        if len(at):
-            table[at] = emissions.of(np.stack(found["g"].to_numpy()).astype(np.float64), found["c"].to_numpy(np.float64))
-        table[vocab.end] = emissions.of(end[None, :], np.array([float(vocab.docs)]))[0]
-        table[vocab.end + 1] = vocab.unknown
+        weight = [(F.col("c") + ADD) / (F.col("c") + BORROWED) * (F.col(x) + BORROWED * emissions.part[i]) for i, x in enumerate(columns)]
+        emissions.totals = summed(*weight) + emissions.weights(held, vocab.c).sum(0)
+        table = np.vstack([emissions.of(held, vocab.c), np.full((1, k), vocab.unknown)])  # head tokens, the end, unknown
         model = spark.sparkContext.broadcast((Chain(chain.start, chain.move, table), emissions, vocab.end))
     tail = rows.select("rid", F.explode(F.arrays_zip("tail_pos", "tail_token")).alias("t")).select("rid", F.col("t.tail_pos").alias("pos"), F.col("t.tail_token").alias("token"))
     met = tail.join(known.hint("merge"), "token", "left")
