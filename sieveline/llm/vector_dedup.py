@@ -8,7 +8,7 @@ edge leaves for another home, and the angles of the way there leave room for a l
 the edge's end as a seed, as one row a query and home; rounds end when no search goes on. A class is met in its home alone,
 so no link is counted twice and no pairs leave a task: only numbers of links and roots do.
 
-Dense places, each with a thousandth of all classes or more, would be met by all of their members in all of their shards.
+Dense places, each with a 500th of all classes or more, would be met by all of their members in all of their shards.
 They are taken out first as balls of half the angle of a link: members of a ball are linked with each other for certain and
 are counted, not compared. What is near enough to a ball to be linked with some of it is compared with it exactly, in
 blocks. Recall is audited against brute force for every id divisible by 50; below RECALL the shards of a class are made

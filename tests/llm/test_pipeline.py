@@ -40,8 +40,8 @@ def test_pipeline_by_brute_force(spark, tmp_path):
     for r in kept:
         groups.setdefault("".join(r[1].split()), []).append(r)
     kept = [min(g, key=lambda r: (-len(r[1]), r[0])) for g in groups.values()]
-    fp = {r[0]: brute_fingerprint(r[1]) for r in kept}
-    comp = brute_components([(a, b) for a in fp for b in fp if bin(fp[a] ^ fp[b]).count("1") <= 2])
+    sets = {r[0]: shingles(r[1]) for r in kept}
+    comp = brute_components([(a, b) for a in sets for b in sets if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])])
     kept = [r for r in kept if comp[r[0]] == r[0]]
     plan = mixing.repetition_plan(spark.createDataFrame(kept, COLUMNS)).collect()
     copies = {r.doc_id: r.copies for r in plan}
