@@ -64,11 +64,11 @@ def of_pages(asked: DataFrame, read: DataFrame) -> DataFrame:
         r.filter("name = 'read_section'").withColumn("of", of).withColumn("n", n), F.array_join(F.transform("of", lambda x: x["text"]), "\n"),
         char_span(F.try_element_at("of", F.lit(1))["start"], F.try_element_at("of", F.lit(-1))["end"]), F.size("of") == 0, _say("section ", index, " does not exist; the page has ", F.col("n"), " section(s)"),
     )
-    some = r.filter("name = 'read_range'").withColumn("whole", html.whole_text(b))
-    s, e = clamp(number("start", 0), number("end", 4096), F.length("whole"))
+    some, whole_length = r.filter("name = 'read_range'"), html.total(b)
+    s, e = clamp(number("start", 0), number("end", 4096), whole_length)
     touched = F.filter(b, lambda x: (x["at"] < e) & (s < x["at"] + F.length(x["text"]) + F.when(x["is_last"], 2).otherwise(1)))
     located = char_span(F.array_min(F.transform(touched, lambda x: x["start"])), F.array_max(F.transform(touched, lambda x: x["end"])))
-    return section.unionByName(_answer(some, cut(F.col("whole"), s, e), located, F.length("whole") == 0, _say(F.col("uri"), " has no readable text; there is no range to read")))
+    return section.unionByName(_answer(some, cut(html.whole_text(b), s, e), located, whole_length == 0, _say(F.col("uri"), " has no readable text; there is no range to read")))
 
 
 def of_books(asked: DataFrame, read: DataFrame, segments: DataFrame) -> DataFrame:

@@ -159,6 +159,11 @@ def whole_text(blocks: Column) -> Column:
     return F.array_join(F.transform(blocks, _chunk), "")
 
 
+def total(blocks: Column) -> Column:
+    """The length of the flattened text, from the last block alone."""
+    return F.coalesce(_until(F.try_element_at(blocks, F.lit(-1))), F.lit(0).cast("long"))
+
+
 def segments(read: DataFrame) -> DataFrame:
     """Parsed pages flattened: (uri, seq, level, section, section_title, is_titled, is_last, start, end, chunk, text,
     locator); the locator is the block's place in the source."""
@@ -175,7 +180,7 @@ def _firsts(blocks: Column) -> Column:
 
 def outline(read: DataFrame) -> DataFrame:
     """(uri, section, section_title, is_titled, start, end): sections in the flattened text."""
-    firsts, n = _firsts(F.col("blocks")), F.length(whole_text(F.col("blocks"))).cast("long")
+    firsts, n = _firsts(F.col("blocks")), total(F.col("blocks"))
     s = read.select("uri", firsts.alias("s"), n.alias("n")).select("uri", "s", "n", F.posexplode("s").alias("i", "b"))
     end = F.coalesce(F.try_element_at("s", F.col("i") + 2)["at"], F.col("n"))
     return s.select("uri", "b.section", "b.section_title", "b.is_titled", F.col("b.at").alias("start"), end.alias("end"))
@@ -193,26 +198,26 @@ def barriers(read: DataFrame) -> DataFrame:
 def represent(read: DataFrame, max_chars: int | None = None) -> DataFrame:
     """(uri, text, n_segments, barriers, degradations) of parsed pages that hold a block; a budget cuts the text, drops
     what lies behind it and says so."""
-    r = read.filter(F.size("blocks") > 0).select("uri", "blocks", whole_text(F.col("blocks")).alias("whole"), _edges(F.col("blocks")).alias("edges"))
-    keep = F.length("whole") if max_chars is None else F.least(F.lit(max(1, max_chars)), F.length("whole"))
-    text = F.substring("whole", F.lit(1), keep)
-    note = F.struct(F.lit("text truncated").alias("what"), F.concat(F.lit("kept "), F.length(text).cast("string"), F.lit(" of "), F.length("whole").cast("string"), F.lit(" characters")).alias("detail"))
+    r, n = read.filter(F.size("blocks") > 0), total(F.col("blocks"))
+    keep = n if max_chars is None else F.least(F.lit(max(1, max_chars)).cast("long"), n)
+    text = whole_text(F.col("blocks"))
+    note = F.struct(F.lit("text truncated").alias("what"), F.concat(F.lit("kept "), keep.cast("string"), F.lit(" of "), n.cast("string"), F.lit(" characters")).alias("detail"))
     return r.select(
-        "uri", text.alias("text"), F.size(F.filter("blocks", lambda b: b["at"] < keep)).cast("long").alias("n_segments"), F.filter("edges", lambda e: e < keep).alias("barriers"),
-        F.when(F.length(text) < F.length("whole"), F.array(note)).otherwise(F.array().cast(f"array<{DEGRADATION}>")).alias("degradations"),
+        "uri", (text if max_chars is None else F.substring(text, F.lit(1), keep.cast("int"))).alias("text"), F.size(F.filter("blocks", lambda b: b["at"] < keep)).cast("long").alias("n_segments"),
+        F.filter(_edges(F.col("blocks")), lambda e: e < keep).alias("barriers"),
+        F.when(keep < n, F.array(note)).otherwise(F.array().cast(f"array<{DEGRADATION}>")).alias("degradations"),
     )
 
 
 def read_range(read: DataFrame, start: Column, end: Column) -> DataFrame:
     """Characters [start, end) of the flattened text, both ends moved into it: (uri, span_start, span_end, text, first,
     last), located from the first to the last block that is touched. Pages without a block give no row."""
-    r = read.filter(F.size("blocks") > 0).select("*", whole_text(F.col("blocks")).alias("whole"))
-    n = F.length("whole")
+    r, n = read.filter(F.size("blocks") > 0), total(F.col("blocks"))
     s = F.greatest(F.lit(0), F.least(start, n - 1)).cast("long")
     e = F.greatest(s + 1, F.least(end, n)).cast("long")
     touched = F.filter("blocks", lambda b: (b["at"] < e) & (s < _until(b)))
     return r.select(
-        "uri", s.alias("span_start"), e.alias("span_end"), cut(F.col("whole"), s, e).alias("text"),
+        "uri", s.alias("span_start"), e.alias("span_end"), cut(whole_text(F.col("blocks")), s, e).alias("text"),
         F.array_min(F.transform(touched, lambda b: b["start"])).alias("first"), F.array_max(F.transform(touched, lambda b: b["end"])).alias("last"),
     )
 

@@ -63,10 +63,9 @@ class Perception:
         self.probes = documents.probe_facts(probes if probes is not None else spark.createDataFrame([], PROBES))
         self.openers = dict(openers or {})
         if depth:
-            expanded = containers.expand(files, depth, openers=self.openers, detector=detector).select("uri", "error", "content")
+            expanded = containers.expand(files, depth, openers=self.openers, detector=detector, keep=lambda df: kept(df, "level")).select("uri", "error", "content")  # archives are inflated once
         else:
-            expanded = files.select("uri", F.lit(None).cast("string").alias("error"), "content")
-        expanded = kept(expanded, "expanded")  # archives are inflated once
+            expanded = kept(files.select("uri", F.lit(None).cast("string").alias("error"), "content"), "expanded")
         told = sources(expanded.filter("content is not null").select("uri", "content"), detector=detector)
         registry = available(handlers(spark, extra_handlers), self.capabilities)
         by_mime = dispatch(told, registry).select("mime", "handler_id", "version")

@@ -159,15 +159,19 @@ def is_folder(uri, mime_type, more: Iterable[str] = ()):
     return mime_type.isin(*ARCHIVES, *more) & ~ext.isin(*NOT_A_FOLDER)
 
 
-def expand(files: DataFrame, depth: int = DEPTH, openers: Mapping[str, Callable] | None = None, detector: Callable | None = None, **limits) -> DataFrame:
+def expand(files: DataFrame, depth: int = DEPTH, openers: Mapping[str, Callable] | None = None, detector: Callable | None = None, keep: Callable[[DataFrame], DataFrame] | None = None, **limits) -> DataFrame:
     """files (uri, content) and all that is inside their archives, down to so many levels: uri (nested, `a.zip!b`),
     container, depth, mime, content, error. Unsafe member paths come with an error and without bytes. A gzip that holds
-    no tar is a file like any other. Each level is one more step of the plan; levels are bounded."""
+    no tar is a file like any other. Each level is one more step of the plan; levels are bounded. keep writes a level down:
+    then none is computed twice, and a level without archives is the last."""
     head = F.substring("content", 1, HEAD)
     kind = F.coalesce(detector(head, F.col("uri")), detect(head, F.col("uri"))) if detector else detect(head, F.col("uri"))
     level = files.select(join_uri(F.array("uri")).alias("uri"), F.lit(None).cast("string").alias("container"), F.lit(0).alias("depth"), F.col("content"), F.lit(None).cast("string").alias("error")).withColumn("mime", kind)
+    level = keep(level) if keep else level
     out = level
     for d in range(1, depth + 1):
+        if keep and level.filter(is_folder(F.col("uri"), F.col("mime"), openers or ())).isEmpty():
+            break
         folders = level.filter(is_folder(F.col("uri"), F.col("mime"), openers or ())).select("uri", "content", "mime")
         inside = unpack(folders, openers=openers, **limits).filter("member is not null")
         bad = unsafe_member(F.col("member"))
@@ -175,5 +179,6 @@ def expand(files: DataFrame, depth: int = DEPTH, openers: Mapping[str, Callable]
             F.concat("container", F.lit("!"), join_uri(F.array("member"))).alias("uri"), "container", F.lit(d).alias("depth"),
             F.when(~bad, F.col("content")).alias("content"), F.when(bad, "unsafe member path").otherwise(F.col("error")).alias("error"),
         ).withColumn("mime", kind)
+        level = keep(level) if keep else level
         out = out.unionByName(level)
     return out
