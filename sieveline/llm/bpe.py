@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+from collections.abc import Iterator
 from contextlib import contextmanager
 from itertools import chain
 
@@ -242,6 +243,11 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.pieces.__getitem__, self.split(text))))
 
+    def forget(self) -> None:
+        """Drop the stores; they are filled anew as pieces come."""
+        self.pieces.clear()
+        self.pieces.machine._reset()
+
     def decode_bytes(self, ids: list[int], step: int = 65536):
         """The bytes of ids, in pieces of so many tokens."""
         for at in range(0, len(ids), step):
@@ -285,10 +291,15 @@ def encode(spark: SparkSession, text: Column, path: str | None = None, pattern:
     file = _shipped(spark, path)
 
     @F.pandas_udf("array<int>")
-    def ids(texts: pd.Series) -> pd.Series:
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = _codec(file.value, pattern)
-        with _uncollected():
-            return pd.Series([codec.encode(t or "") for t in texts])
+        try:
+            for texts in batches:
+                with _uncollected():
+                    out = pd.Series([codec.encode(t or "") for t in texts])
+                yield out
+        finally:  # workers that wait for other stages' tasks hold nothing but the vocabulary
+            codec.forget()
 
     return ids(text)
 
