@@ -22,8 +22,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sieveline.llm.common import drop_files, fold, free_name, materialize, small_batches, table
+from sieveline.llm.common import drop_files, fold, materialize, small_batches, table
 
 STATES, TOP, BUCKETS, HEAD = 8, 4000, 1024, 200_000
 #: Classes whose neighbourhoods start the states, how much a state prefers its own; Baum-Welch passes over all training
@@ -273,8 +274,9 @@ def _e_step(chain: Chain, seqs: list[np.ndarray], most: int = 2048):
     return total
 
 
-def _e_tokens(chain: Chain, seqs: list[np.ndarray], classes: list[np.ndarray], tails: list[tuple[np.ndarray, list[str]]], size: int, most: int = 2048):
-    """Expected starts, moves and, of codes below size, states; and the tail's tokens with their states."""
+def _e_tokens(chain: Chain, seqs: list[np.ndarray], classes: list[np.ndarray], pos: np.ndarray, first_of: np.ndarray, size: int, most: int = 2048):
+    """Expected starts, moves and, of codes below size, states; and the states of the tail's tokens, which lie at pos,
+    those of text d from first_of[d] on."""
     parts, fresh, at = [], [], []
     for d, c in enumerate(classes):
         p, f = windows(c)
@@ -282,7 +284,7 @@ def _e_tokens(chain: Chain, seqs: list[np.ndarray], classes: list[np.ndarray], t
         fresh += f
         at += [(d, i) for i in range(0, len(c), WINDOW)]
     k = len(chain.start)
-    start, moves, known, tokens, probs = np.zeros(k), np.zeros((k, k)), np.zeros((size, k)), [], []
+    start, moves, known, probs = np.zeros(k), np.zeros((k, k)), np.zeros((size, k)), np.zeros((len(pos), k))
     by_length = sorted(range(len(parts)), key=lambda i: -len(parts[i]))
     for first in range(0, len(by_length), most):
         some = by_length[first : first + most]
@@ -295,12 +297,14 @@ def _e_tokens(chain: Chain, seqs: list[np.ndarray], classes: list[np.ndarray], t
         head = code < size
         for z in range(k):
             known[:, z] += np.bincount(code[head], g[head, z], size)
-        for d, i in (at[some[j]] for j in order):
-            pos, said = tails[d]
-            low, high = np.searchsorted(pos, (i, i + WINDOW))
-            tokens += said[low:high]
-        probs.append(g[~head])
-    return start, moves, known, tokens, (np.concatenate(probs) if probs else np.zeros((0, k)))
+        if len(pos):
+            places = []
+            for d, i in (at[some[j]] for j in order):
+                own = pos[first_of[d] : first_of[d + 1]]
+                low, high = np.searchsorted(own, (i, i + WINDOW)) if len(own) else (0, 0)
+                places.append(np.arange(first_of[d] + low, first_of[d] + high))
+            probs[np.concatenate(places)] = g[~head]
+    return start, moves, known, probs
 
 
 def started(beside: np.ndarray, places: np.ndarray, prior: np.ndarray, states: int = STATES, seed: int = 7) -> Chain:
@@ -390,23 +394,31 @@ def trained(rows: DataFrame, vocab: Vocabulary, states: int = STATES, passes: in
     held = spark.sparkContext.broadcast(chain)
     columns = [f"g{i}" for i in range(k)]
 
+    names = ["token", "kind", "c", *columns]
+
+    def table(token, kind: int, c, values: np.ndarray) -> pa.RecordBatch:
+        n = len(values)
+        return pa.RecordBatch.from_arrays([token, pa.array(np.full(n, kind, np.int32)), pa.array(np.broadcast_to(np.asarray(c, np.int64), n)), *(pa.array(values[:, i]) for i in range(k))], names=names)
+
     def gather(batches):
         vocab, size = told.value, told.value.end + 1
         start, moves, known = np.zeros(k), np.zeros((k, k)), np.zeros((size, k))
         for b in batches:
-            seqs = _codes(b["seq"])
-            tails = [(np.asarray(p, np.int64), list(t)) for p, t in zip(b["tail_pos"], b["tail_token"], strict=True)]
-            s, m, kn, tokens, probs = _e_tokens(held.value, seqs, [vocab.cls[x] for x in seqs], tails, size)
+            seqs, pos, tokens = _codes(b.column(0).to_pylist()), b.column(1), b.column(2).flatten()
+            first_of = np.concatenate([[0], np.cumsum(pos.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            s, m, kn, probs = _e_tokens(held.value, seqs, [vocab.cls[x] for x in seqs], pos.flatten().to_numpy(zero_copy_only=False).astype(np.int64), first_of, size)
             start, moves, known = start + s, moves + m, known + kn
-            if tokens:
-                tail = pd.DataFrame(np.round(probs * STEPS) / STEPS, columns=columns).assign(c=1).groupby(pd.Series(tokens), sort=False).sum()
-                yield tail.rename_axis("token").reset_index().assign(kind=0)
+            if len(tokens):
+                rounded = np.round(probs * STEPS) / STEPS
+                t = pa.table([tokens, *(pa.array(rounded[:, i]) for i in range(k))], names=["token", *columns]).group_by("token").aggregate([([], "count_all"), *((x, "sum") for x in columns)]).combine_chunks()
+                for part in t.to_batches():
+                    yield table(part.column("token"), 0, part.column("count_all").to_numpy(), np.stack([part.column(f"{x}_sum").to_numpy() for x in columns], 1))
         at = np.flatnonzero(known.sum(1) > 0)
-        yield pd.DataFrame(known[at], columns=columns).assign(token=[str(i) for i in at], kind=1, c=0)
-        yield pd.DataFrame(np.vstack([start, moves]), columns=columns).assign(token=[str(i) for i in range(k + 1)], kind=2, c=0)
+        yield table(pa.array([str(i) for i in at], pa.string()), 1, 0, known[at])
+        yield table(pa.array([str(i) for i in range(k + 1)], pa.string()), 2, 0, np.vstack([start, moves]))
 
     schema = "token string, kind int, c long, " + ", ".join(f"{x} double" for x in columns)
-    made = rows.select("seq", "tail_pos", "tail_token").mapInPandas(lambda b: (x[["token", "kind", "c", *columns]].astype({"token": object}) for x in gather(b)), schema)
+    made = rows.select("seq", "tail_pos", "tail_token").mapInArrow(gather, schema)
     gathered = materialize(made.groupBy("kind", "token").agg(F.sum("c").alias("c"), *(F.sum(x).alias(x) for x in columns)), "hmm-gathered")
     few = gathered.filter("kind > 0").select("kind", F.col("token").cast("int").alias("at"), *columns).toArrow()  # the head, the end, the starts and the moves
     kind, at = few["kind"].to_numpy(), few["at"].to_numpy()
@@ -424,24 +436,35 @@ def coded(docs: DataFrame, vocab: Vocabulary, held_out: str, text: str = "text",
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(vocab)
 
-    @F.pandas_udf("n_words long, seq binary, base double, tail_pos array<int>, tail_token array<string>")
-    def encode(texts: pd.Series) -> pd.DataFrame:
+    made = "n_words long, seq binary, base double, tail_pos array<int>, tail_token array<string>"
+
+    def encode(batches):
         v = held.value
-        get, rows = v.index().__getitem__, []
-        for t in texts:
-            w = words(t)
-            at = np.fromiter(map(get, w), np.int32, len(w))
-            seq = np.append(at, np.int32(v.end))
-            tail = np.flatnonzero(at < 0)
-            rare = [w[i] for i in tail]
-            if rare:
-                seq[tail] = [v.end + 1 + _bucket(x, v.buckets) for x in rare]
-            rows.append((len(w), seq.astype(np.int32).tobytes(), float(v.base[at[at >= 0]].sum() + v.base[v.end]), tail.tolist(), [x.decode("utf-8", "replace") for x in rare]))
-        return pd.DataFrame(rows, columns=["n_words", "seq", "base", "tail_pos", "tail_token"])
-
-    name = free_name(docs, "coded")
-    rid = F.monotonically_increasing_id()
-    return materialize(docs.select(*(carry or []), F.col(held_out).alias("held_out"), rid.alias("rid"), encode(F.col(text)).alias(name)).select(*(carry or []), "held_out", "rid", f"{name}.*"), "hmm-coded")
+        get = v.index().__getitem__
+        for b in batches:
+            seqs, base, places, rare, n = [], [], [], [], []
+            for t in b.column(b.num_columns - 1).to_pylist():
+                w = words(t)
+                at = np.fromiter(map(get, w), np.int32, len(w))
+                seq = np.append(at, np.int32(v.end))
+                tail = np.flatnonzero(at < 0)
+                if len(tail):
+                    own = [w[i] for i in tail]
+                    seq[tail] = [v.end + 1 + _bucket(x, v.buckets) for x in own]
+                    rare += own
+                places.append(tail)
+                n.append(len(w))
+                seqs.append(seq.astype(np.int32).tobytes())
+                base.append(float(v.base[at[at >= 0]].sum() + v.base[v.end]))
+            cut = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in places])]).astype(np.int32))
+            pos = pa.ListArray.from_arrays(cut, pa.array(np.concatenate(places).astype(np.int32) if places else np.zeros(0, np.int32)))
+            tokens = pa.ListArray.from_arrays(cut, pa.array(rare, pa.binary()).cast(pa.string()))
+            out = [*b.columns[:-1], pa.array(n, pa.int64()), pa.array(seqs, pa.binary()), pa.array(base, pa.float64()), pos, tokens]
+            yield pa.RecordBatch.from_arrays(out, names=[*b.schema.names[:-1], *(c.split()[0] for c in made.split(", "))])
+
+    given = docs.select(*(carry or []), F.col(held_out).alias("held_out"), F.monotonically_increasing_id().alias("rid"), F.col(text).alias("_text"))
+    schema = T.StructType([*given.schema.fields[:-1], *T._parse_datatype_string(made).fields])
+    return materialize(given.mapInArrow(encode, schema), "hmm-coded")
 
 
 class Emissions:
