@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sieveline.llm import bpe, exact_dedup, hmm_lm, language_id, mixing, simhash, toxicity, url_filter, vector_dedup, warc
+from sieveline.llm import bpe, exact_dedup, hmm_lm, language_id, lexical, mixing, packing, simhash, toxicity, url_filter, vector_dedup, warc, whitening
 
 
 def queries() -> dict:
@@ -19,6 +19,9 @@ def queries() -> dict:
         "op9_simhash": simhash.op9_simhash,
         "pipeline": corpus_pipeline.run,
         "op10_mix_sources": mixing.op10_mix_sources,
+        "op11_whitening": whitening.op11_whitening,
+        "op12_wand": lexical.op12_wand,
+        "op13_packing": packing.op13_packing,
     }
 
 
@@ -28,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_exact_dedup": exact_dedup.OP6_SQL,
         "op7_url_filter": url_filter.OP7_SQL,
         "op10_mix_sources": mixing.OP10_SQL,
+        "op12_wand": lexical.OP12_SQL,
     }
