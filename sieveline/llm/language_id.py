@@ -11,16 +11,16 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.llm.common import fold, free_name, small_batches, table
 
 #: Bytes in an n-gram (of the lower-cased UTF-8 text with a space at either end).
 GRAM = 4
-#: The bound of the fit: labelled documents of a language that are read (chosen by a hash of the text), and the most
-#: frequent n-grams of a language that go into its slice.
-SAMPLE_DOCS, SLICE_GRAMS = 5000, 20_000
+#: The bound of the fit: labelled documents of a language that are read (chosen by a hash of the text). All their n-grams
+#: that were met so often go into the language's slice; the filter grows with them.
+SAMPLE_DOCS, LEAST_MET = 5000, 2
 #: Slots per n-gram held, hashes per n-gram.
 SLOTS_PER_GRAM, HASHES = 16, 2
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
@@ -81,9 +81,11 @@ class BitmaskFilter:
         return np.maximum(0.0, (hits - n * self.false) / (1 - np.minimum(self.false, 0.999))) / n, n
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS, slice_grams: int = SLICE_GRAMS, n: int = GRAM) -> BitmaskFilter:
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS, least_met: int = LEAST_MET, n: int = GRAM) -> BitmaskFilter:
     """Learn from rows with a text and a language; rows with a null in either are left out. Of each language at most
-    about sample_docs documents are read, whole; which, a hash of their text decides."""
+    about sample_docs documents are read, whole; which, a hash of their text decides. N-grams met least_met times or more
+    are held, however many: SLOTS_PER_GRAM bytes each for eight languages, and a lacking n-gram passes a slice with at most
+    the chance (HASHES / SLOTS_PER_GRAM) ^ HASHES, which counts are corrected for."""
     spark = labelled.sparkSession
     small_batches(spark)
     rows = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l")).filter("t is not null and l is not null")
@@ -101,9 +103,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_docs
                 yield pd.DataFrame({"l": of, "g": key.astype(np.int64), "n": times})
 
     sums = chosen.mapInPandas(count, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
-    first = Window.partitionBy("l").orderBy(F.desc("n"), "g")
-    top = sums.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= slice_grams)
-    found = top.select("l", "g").toPandas()  # slice_grams rows per language at most
+    found = sums.filter(F.col("n") >= least_met).select("l", "g").toPandas()  # of sample_docs documents per language
     langs = sorted(counts, key=lambda k: (-counts[k], k))
     return BitmaskFilter(langs, {k: found.loc[found["l"] == k, "g"].to_numpy(np.uint64) for k in langs}, n)
 
@@ -117,7 +117,7 @@ def predict(docs: DataFrame, model: BitmaskFilter, text: str = "text") -> DataFr
     that bears a name of the result is replaced."""
     spark = docs.sparkSession
     small_batches(spark)
-    held = spark.sparkContext.broadcast(model)  # SLICE_GRAMS x SLOTS_PER_GRAM bytes a language
+    held = spark.sparkContext.broadcast(model)  # SLOTS_PER_GRAM bytes an n-gram of the sample
 
     @F.pandas_udf("lang_pred string, score double, share double")
     def decide(texts: pd.Series, letter: pd.Series) -> pd.DataFrame:
