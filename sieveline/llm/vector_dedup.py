@@ -5,8 +5,9 @@ size does not grow with the table: a class has one home and up to three more sha
 robustly pruned, the adjacency lists that a class got in its shards are united, and the united graph is searched: each
 class starts at the medoids of its home, goes on greedily, then expands over all that is in range or nearly so. Where an
 edge leaves for another home, and the angles of the way there leave room for a link, the search goes on over there with
-the edge's end as a seed, as one row a query and home; rounds end when no search goes on. A class is met in its home alone,
-so no link is counted twice and no pairs leave a task: only numbers of links and roots do.
+the edge's end as a seed, as one row a query and home; rounds end when no search goes on. A class is met in its home alone.
+Links within a home are counted there, for both ends; links across homes leave the task as pairs of numbers, and each pair,
+whichever end found it, is counted once for both.
 
 Dense places, each with a 500th of all classes or more, would be met by all of their members in all of their shards.
 They are taken out first as balls of half the angle of a link: members of a ball are linked with each other for certain and
@@ -271,16 +272,14 @@ def _searched(h: Home, cid: np.ndarray, copies: np.ndarray, q: np.ndarray, vecto
             first = qi[new] + at
             parts.append(pd.DataFrame({"cid": cid[first], "to": home[new], "seeds": np.split(to, new[1:]), "copies": copies[first], "v": [vectors[i] for i in first]}))
     a, b = np.concatenate(link_q), np.concatenate(link_x)
-    if own:  # a link that one end found is the other's as well
-        key = np.unique(np.concatenate([a * len(q) + b, b * len(q) + a]))
-        a, b = key // len(q), key % len(q)
+    if not own:
+        across = pd.DataFrame({"cid": cid[a], "peer": h.cid[b], "links": h.copies[b], "copies": copies[a]})
+        return pd.concat([across, *parts], ignore_index=True)
+    key = np.unique(np.concatenate([a * len(q) + b, b * len(q) + a]))  # a link that one end found is the other's as well
+    a, b = key // len(q), key % len(q)
     np.add.at(links, a, h.copies[b])
     np.add.at(pairs, a, 1)
-    everyone = cid if own else np.concatenate([h.cid, cid])
-    root = everyone[_labels(len(everyone), a if own else a + len(h.cid), b)]
-    here = _found(cid, links, pairs, root if own else root[len(h.cid) :])
-    moved = [] if own else [_found(h.cid, 0, 0, root[: len(h.cid)])[root[: len(h.cid)] != h.cid]]
-    return pd.concat([here, *moved, *parts], ignore_index=True)
+    return pd.concat([_found(cid, links, pairs, cid[_labels(len(cid), a, b)]), *parts], ignore_index=True)
 
 
 def _none(*columns: str) -> pd.DataFrame:
@@ -288,11 +287,11 @@ def _none(*columns: str) -> pd.DataFrame:
 
 
 def _typed(out: pd.DataFrame) -> pd.DataFrame:
-    for c in ("links", "pairs", "root", "to", "copies"):
+    for c in ("links", "pairs", "root", "peer", "to", "copies"):
         out[c] = out[c].astype("Int64") if c in out else pd.array([None] * len(out), "Int64")
     for c in ("seeds", "v"):
         out[c] = out[c].astype(object).where(out[c].notna(), None) if c in out else pd.Series([None] * len(out), dtype=object, index=out.index)
-    return out[["cid", "links", "pairs", "root", "to", "seeds", "copies", "v"]]
+    return out[["cid", "links", "pairs", "root", "peer", "to", "seeds", "copies", "v"]]
 
 
 def _graph_links(classes: DataFrame, threshold: float, shard: int, cells: int) -> DataFrame:
@@ -383,7 +382,7 @@ def _graph_links(classes: DataFrame, threshold: float, shard: int, cells: int) -
     united = edges.groupBy("cid").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("near", "near_home", "near_angle")))  # a list for each shard of a class
     nodes = materialize(homed.select("cid", "copies", "v", "home").join(united.hint("merge"), "cid"), "vector-graph")
 
-    schema = f"{FOUND}, to long, seeds array<long>, copies long, v {vector}"
+    schema = f"{FOUND}, peer long, to long, seeds array<long>, copies long, v {vector}"
 
     def start(g: pd.DataFrame) -> pd.DataFrame:
         h = Home(g)
@@ -392,7 +391,7 @@ def _graph_links(classes: DataFrame, threshold: float, shard: int, cells: int) -
 
     def visit(g: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
         if not len(g) or not len(a):
-            return _none("cid", "links", "pairs", "root", "to", "seeds", "copies", "v")
+            return _none("cid", "links", "pairs", "root", "peer", "to", "seeds", "copies", "v")
         h = Home(g)
         seeds = []
         for s in a["seeds"]:
@@ -417,7 +416,13 @@ def _graph_links(classes: DataFrame, threshold: float, shard: int, cells: int) -
     found = rounds[0]
     for r in rounds[1:]:
         found = found.union(r)
-    found = materialize(found.filter("to is null").select("cid", "links", "pairs", "root"), "vector-found")
+    turned = F.col("cid") > F.col("peer")
+    ends = [F.when(turned, b).otherwise(a).alias(c) for c, a, b in (("a", F.col("cid"), F.col("peer")), ("b", F.col("peer"), F.col("cid")), ("of_a", F.col("copies"), F.col("links")), ("of_b", F.col("links"), F.col("copies")))]
+    across = found.filter("peer is not null").select(*ends).distinct()
+    end = lambda of, links: F.struct(F.col(of).alias("cid"), F.col(links).alias("links"), F.lit(1).cast("long").alias("pairs"), F.col("a").alias("root"))
+    across = across.select(F.explode(F.array(end("a", "of_b"), end("b", "of_a"))).alias("e")).select("e.*")
+    within = found.filter("to is null and peer is null").select("cid", "links", "pairs", "root")
+    found = materialize(within.union(across), "vector-found")
     for t in (celled, fitted, placed, homed, dealt, nodes, *rounds):
         drop_files(t)
     return found
