@@ -35,8 +35,6 @@ WINDOW, SEGMENT = 256, 512
 #: Counts that a state borrows from the corpus as a whole; occurrences in all states that a token borrows.
 SMOOTH, BORROWED = 200.0, 0.5
 ADD = 0.1
-#: The tail's expected counts are gathered in steps of one part in so many of an occurrence: short numbers shuffle well.
-STEPS = 32
 UNKNOWN, END, FIRST = 0, 1, 2
 FLUSH = 400_000
 
@@ -398,7 +396,7 @@ def trained(rows: DataFrame, vocab: Vocabulary, states: int = STATES, passes: in
 
     def table(token, kind: int, c, values: np.ndarray) -> pa.RecordBatch:
         n = len(values)
-        return pa.RecordBatch.from_arrays([token, pa.array(np.full(n, kind, np.int32)), pa.array(np.broadcast_to(np.asarray(c, np.int64), n)), *(pa.array(values[:, i]) for i in range(k))], names=names)
+        return pa.RecordBatch.from_arrays([token, pa.array(np.full(n, kind, np.int32)), pa.array(np.broadcast_to(np.asarray(c, np.int64), n)), *(pa.array(values[:, i].astype(np.float32)) for i in range(k))], names=names)
 
     def gather(batches):
         vocab, size = told.value, told.value.end + 1
@@ -409,17 +407,16 @@ def trained(rows: DataFrame, vocab: Vocabulary, states: int = STATES, passes: in
             s, m, kn, probs = _e_tokens(held.value, seqs, [vocab.cls[x] for x in seqs], pos.flatten().to_numpy(zero_copy_only=False).astype(np.int64), first_of, size)
             start, moves, known = start + s, moves + m, known + kn
             if len(tokens):
-                rounded = np.round(probs * STEPS) / STEPS
-                t = pa.table([tokens, *(pa.array(rounded[:, i]) for i in range(k))], names=["token", *columns]).group_by("token").aggregate([([], "count_all"), *((x, "sum") for x in columns)]).combine_chunks()
+                t = pa.table([tokens, *(pa.array(probs[:, i]) for i in range(k))], names=["token", *columns]).group_by("token").aggregate([([], "count_all"), *((x, "sum") for x in columns)]).combine_chunks()
                 for part in t.to_batches():
                     yield table(part.column("token"), 0, part.column("count_all").to_numpy(), np.stack([part.column(f"{x}_sum").to_numpy() for x in columns], 1))
         at = np.flatnonzero(known.sum(1) > 0)
         yield table(pa.array([str(i) for i in at], pa.string()), 1, 0, known[at])
         yield table(pa.array([str(i) for i in range(k + 1)], pa.string()), 2, 0, np.vstack([start, moves]))
 
-    schema = "token string, kind int, c long, " + ", ".join(f"{x} double" for x in columns)
+    schema = "token string, kind int, c long, " + ", ".join(f"{x} float" for x in columns)  # a task's sums, not cut but to a float's precision
     made = rows.select("seq", "tail_pos", "tail_token").mapInArrow(gather, schema)
-    gathered = materialize(made.groupBy("kind", "token").agg(F.sum("c").alias("c"), *(F.sum(x).alias(x) for x in columns)), "hmm-gathered")
+    gathered = materialize(made.groupBy("kind", "token").agg(F.sum("c").alias("c"), *(F.sum(x).cast("float").alias(x) for x in columns)), "hmm-gathered")
     few = gathered.filter("kind > 0").select("kind", F.col("token").cast("int").alias("at"), *columns).toArrow()  # the head, the end, the starts and the moves
     kind, at = few["kind"].to_numpy(), few["at"].to_numpy()
     values = np.stack([few[x].to_numpy() for x in columns], 1) if len(at) else np.zeros((0, k))
