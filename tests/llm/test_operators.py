@@ -336,6 +336,20 @@ def test_clusters_split_across_shards_are_linked(spark, monkeypatch):
     monkeypatch.setattr(vector_dedup, "DENSE_LEAST", 10_000)
     got = {g.vec_id: g for g in vector_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), shard=16).collect()}
     held_to(got, x)
+    assert sum(g.n_links for g in got.values()) % 2 == 0
+
+
+def test_links_across_homes_are_counted_at_both_ends(spark, monkeypatch):
+    """Wide groups that many homes share, so that most links cross: every link found counts for two, and all are found."""
+    for name, value in (("HOME", 32), ("BUILD", 128), ("DENSE_LEAST", 10_000)):
+        monkeypatch.setattr(vector_dedup, name, value)
+    r = np.random.default_rng(12)
+    x = np.concatenate([c + r.normal(size=(150, 8)) * 0.12 for c in np.linalg.qr(r.normal(size=(8, 8)))[0][:5]])
+    got = {g.vec_id: g for g in vector_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), shard=16).collect()}
+    held_to(got, x, 0.99)
+    n, _ = true_links(x)
+    assert n.sum() > 10_000 and sum(g.n_links for g in got.values()) % 2 == 0
+    assert sum(got[i].n_links == n[i] for i in range(len(x))) >= 0.95 * len(x)
 
 
 def test_dense_places_are_counted_and_their_edges_compared(spark):
@@ -493,12 +507,11 @@ def test_hmm_scores_are_those_of_a_single_process(spark):
         chain = hmm_lm.maximized(start, moves, ends, prior)
     start, moves, g, end = np.zeros(states), np.zeros((states, states)), {}, np.zeros(states)
     for t in train:
-        tokens, size = [*hmm_lm.words(t), None], v.end + 1
+        tokens = [*hmm_lm.words(t), None]
         for n, (w, fresh) in enumerate(zip(*hmm_lm.windows(v.cls[code(t)]), strict=True)):
             s, m, _, gamma, _ = chain.states([w], [fresh])
             start, moves = start + s, moves + m
-            for token, p, k in zip(tokens[n * hmm_lm.WINDOW :], gamma[:, 0], code(t)[n * hmm_lm.WINDOW :], strict=False):
-                p = p if k < size else np.round(p * hmm_lm.STEPS) / hmm_lm.STEPS
+            for token, p in zip(tokens[n * hmm_lm.WINDOW :], gamma[:, 0], strict=False):
                 if token is None:
                     end = end + p
                 else:
