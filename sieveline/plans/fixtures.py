@@ -125,3 +125,42 @@ def talks(conversations: DataFrame, suffix: str, make: Callable[[list[tuple[str,
     g = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", text.alias("text")))).alias("turns"))
     rows = g.select(F.concat(F.lit("talk/"), F.col("conv_id").cast("string"), F.lit(f".{suffix}")).alias("uri"), "turns")
     return made(rows, lambda r: make([(t["role"], t["text"]) for t in r["turns"]]))
+
+
+def spoiled(archive: bytes, member: str) -> bytes:
+    """A zip whose member's packed bytes are no Deflate stream; all else in it is as it was."""
+    with zipfile.ZipFile(io.BytesIO(archive)) as z:
+        e = z.getinfo(member)
+    at = e.header_offset + 30 + len(e.filename.encode())
+    return archive[:at] + b"\xff" * e.compress_size + archive[at + e.compress_size :]
+
+
+def written(rows: DataFrame, folder: str, many: int, suffix: str, pack: Callable[[list[dict]], bytes]) -> int:
+    """Files in folder, each packed from so many rows (at most) of one task; their number. A task that runs again writes
+    the same names."""
+    from pyarrow import fs
+
+    def run(batches):
+        import pyspark
+
+        part, n = pyspark.TaskContext.get().partitionId(), 0
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        held: list[dict] = []
+
+        def put():
+            with store.open_output_stream(f"{base}/part-{part:05d}-{n:05d}{suffix}") as f:
+                f.write(pack(held))
+
+        for b in batches:
+            for r in b.to_pylist():
+                held.append(r)
+                if len(held) == many:
+                    put()
+                    held, n = [], n + 1
+        if held:
+            put()
+            n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -12,8 +12,10 @@ import gzip
 import io
 import lzma
 import stat
+import struct
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Callable, Iterable, Iterator, Mapping
 
 from pyspark.sql import DataFrame
@@ -31,11 +33,12 @@ DEPTH, MEMBER_BYTES, RATIO, TOTAL_BYTES = 3, 1 << 30, 200, 4 << 30
 _STEP = 1 << 20
 
 
-def _plain(data: bytes) -> tuple[io.BufferedIOBase, bool]:
-    """A stream of a tar's own bytes; whether it was compressed as a whole."""
-    raw = io.BytesIO(data)
+def _plain(data) -> tuple[io.BufferedIOBase, bool]:
+    """A stream of a tar's own bytes, of bytes or of a file with peek; whether it was compressed as a whole."""
+    raw = io.BytesIO(data) if isinstance(data, bytes) else data
+    head = data if isinstance(data, bytes) else data.peek(6)
     for mark, open_ in ((b"\x1f\x8b", gzip.GzipFile), (b"BZh", bz2.BZ2File), (b"\xfd7zXZ\x00", lzma.LZMAFile)):
-        if data.startswith(mark):
+        if head.startswith(mark):
             return (open_(fileobj=raw) if open_ is gzip.GzipFile else open_(raw)), True
     return raw, False
 
@@ -52,6 +55,8 @@ def members(data: bytes) -> Iterator[tuple[dict, object]]:
     stream, solid = _plain(data)
     with tarfile.open(fileobj=stream, mode="r|" if solid else "r:") as t:
         for e in t:
+            if not (e.isreg() or e.isdir() or e.issym() or e.islnk()):  # devices and pipes hold nothing to read
+                continue
             yield {"path": e.name, "size_bytes": e.size, "compressed_bytes": e.size, "is_dir": e.isdir(), "is_symlink": e.issym() or e.islnk(), "byte_offset": None if solid else e.offset}, (lambda e=e: t.extractfile(e))
 
 
@@ -67,7 +72,8 @@ def _bounded(open_, declared: int, stored: int, member_bytes: int, ratio: int) -
     return b"".join(out)
 
 
-_BROKEN = (zipfile.BadZipFile, tarfile.TarError, OSError, EOFError, ValueError, RuntimeError, NotImplementedError, lzma.LZMAError)
+#: What damage raises in the decoders that are used here; each member's and each archive's stays in its row.
+_BROKEN = (zipfile.BadZipFile, tarfile.TarError, OSError, EOFError, ValueError, RuntimeError, NotImplementedError, LookupError, lzma.LZMAError, zlib.error, struct.error)
 
 
 def _opened(archives: DataFrame, content: str, openers: Mapping[str, Callable] | None):
@@ -117,7 +123,7 @@ def unpack(archives: DataFrame, member_bytes: int = MEMBER_BYTES, ratio: int = R
                             if total > total_bytes:
                                 body, error = None, "archive swells past its limit"
                         except _BROKEN as x:
-                            error = str(x)
+                            error = f"{type(x).__name__}: {x}"
                         yield record_batch([{"container": uri, "member": e["path"], "content": body, "error": error}], MEMBER)
                 except _BROKEN as x:
                     yield record_batch([{"container": uri, "error": f"{type(x).__name__}: {x}"}], MEMBER)
@@ -161,8 +167,8 @@ def is_folder(uri, mime_type, more: Iterable[str] = ()):
 
 def expand(files: DataFrame, depth: int = DEPTH, openers: Mapping[str, Callable] | None = None, detector: Callable | None = None, keep: Callable[[DataFrame], DataFrame] | None = None, **limits) -> DataFrame:
     """files (uri, content) and all that is inside their archives, down to so many levels: uri (nested, `a.zip!b`),
-    container, depth, mime, content, error. Unsafe member paths come with an error and without bytes. A gzip that holds
-    no tar is a file like any other. Each level is one more step of the plan; levels are bounded. keep writes a level down:
+    container, depth, mime, content, error. Unsafe member paths come with an error and without bytes, damaged members
+    likewise; an archive that cannot be read to its end gives, after what could be read, a row `a.zip!` with its error. Each level is one more step of the plan; levels are bounded. keep writes a level down:
     then none is computed twice, and a level without archives is the last."""
     head = F.substring("content", 1, HEAD)
     kind = F.coalesce(detector(head, F.col("uri")), detect(head, F.col("uri"))) if detector else detect(head, F.col("uri"))
@@ -173,10 +179,10 @@ def expand(files: DataFrame, depth: int = DEPTH, openers: Mapping[str, Callable]
         if keep and level.filter(is_folder(F.col("uri"), F.col("mime"), openers or ())).isEmpty():
             break
         folders = level.filter(is_folder(F.col("uri"), F.col("mime"), openers or ())).select("uri", "content", "mime")
-        inside = unpack(folders, openers=openers, **limits).filter("member is not null")
-        bad = unsafe_member(F.col("member"))
+        inside = unpack(folders, openers=openers, **limits)
+        bad = F.coalesce(unsafe_member(F.col("member")), F.lit(False))
         level = inside.select(
-            F.concat("container", F.lit("!"), join_uri(F.array("member"))).alias("uri"), "container", F.lit(d).alias("depth"),
+            F.concat("container", F.lit("!"), F.coalesce(join_uri(F.array("member")), F.lit(""))).alias("uri"), "container", F.lit(d).alias("depth"),
             F.when(~bad, F.col("content")).alias("content"), F.when(bad, "unsafe member path").otherwise(F.col("error")).alias("error"),
         ).withColumn("mime", kind)
         level = keep(level) if keep else level

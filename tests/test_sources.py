@@ -110,7 +110,7 @@ def test_walk_with_empty_files(spark, tmp_path):
 
 def test_expand(spark, listing):
     got = {r.uri: r for r in containers.expand(listing.filter("uri in ('z.zip', 'd.docx', 'broken.zip')")).collect()}
-    assert set(got) == {"z.zip", "d.docx", "broken.zip", "z.zip!in/a.txt", "z.zip!t.tar.gz", "z.zip!../evil", "z.zip!t.tar.gz!n.txt"}
+    assert set(got) == {"z.zip", "d.docx", "broken.zip", "broken.zip!", "z.zip!in/a.txt", "z.zip!t.tar.gz", "z.zip!../evil", "z.zip!t.tar.gz!n.txt"}
     assert bytes(got["z.zip!t.tar.gz!n.txt"].content) == b"notes" and got["z.zip!t.tar.gz!n.txt"].depth == 2
     assert got["z.zip!../evil"].content is None and got["z.zip!../evil"].error == "unsafe member path"
     assert set(r.depth for r in containers.expand(listing.filter("uri = 'z.zip'"), depth=1).collect()) == {0, 1}
