@@ -2,27 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterable, Iterator
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.functions.text import cut
 from sieveline.operators.flatten import overlapping
+from sieveline.sources.files import record_batch
+
+
+
+CHUNK = "uri string, chunk int, start long, end long, text string"
+#: Characters of chunks in one batch.
+OUT_CHARACTERS = 4 << 20
+
+
+def cuts(n: int, barriers: Iterable[int], size: int, overlap: int = 0) -> Iterator[tuple[int, int]]:
+    """Where a text of n characters is cut: (start, end) of each chunk, in order."""
+    step = max(1, size - overlap)
+    edges = sorted({0, n, *(b for b in barriers if 0 < b < n)})
+    for a, b in zip(edges, edges[1:], strict=False):
+        for k in range(max(1, -(-(b - a - overlap) // step))):
+            yield a + k * step, min(b, a + k * step + size)
 
 
 def chunk(rendered: DataFrame, size: int, overlap: int = 0) -> DataFrame:
     """(uri, chunk, start, end, text) of rendered (uri, text, barriers): pieces of at most size characters between
     neighbouring barriers; each but the first between two barriers begins overlap characters before the end of the one
-    before it. Together they cover the text; empty texts have none."""
-    step = max(1, size - overlap)
-    n = F.length("text")
-    edges = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0).cast("long")), F.filter("barriers", lambda b: (b > 0) & (b < n)), F.array(n.cast("long")))))
-    parts = rendered.filter(n > 0).select("uri", "text", F.explode(F.transform(F.sequence(F.lit(1), F.size(edges) - 1), lambda i: F.struct(F.element_at(edges, i).alias("a"), F.element_at(edges, i + 1).alias("b")))).alias("p"))
-    width = F.col("p.b") - F.col("p.a")
-    count = F.greatest(F.lit(1).cast("long"), F.ceil((width - F.lit(overlap)) / F.lit(float(step))))
-    c = parts.select("uri", "text", "p", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("k"))
-    c = c.withColumn("start", F.col("p.a") + F.col("k") * step).withColumn("end", F.least("p.b", F.col("start") + size))
-    order = Window.partitionBy("uri").orderBy("start", "end")
-    return c.select("uri", (F.row_number().over(order) - 1).alias("chunk"), "start", "end", cut(F.col("text"), F.col("start"), F.col("end")).alias("text"))
+    before it. Together they cover the text; empty texts have none. A text is cut where it is, in one pass."""
+
+    def run(batches):
+        rows, held = [], 0
+        for b in batches:
+            for uri, text, barriers in zip(b["uri"].to_pylist(), b["text"].to_pylist(), b["barriers"].to_pylist(), strict=True):
+                for i, (s, e) in enumerate(cuts(len(text or ""), barriers or (), size, overlap)):
+                    rows.append({"uri": uri, "chunk": i, "start": s, "end": e, "text": text[s:e]})
+                    held += e - s
+                    if held > OUT_CHARACTERS:
+                        yield record_batch(rows, CHUNK)
+                        rows, held = [], 0
+        if rows:
+            yield record_batch(rows, CHUNK)
+
+    return rendered.select("uri", "text", "barriers").mapInArrow(run, CHUNK)
 
 
 def payloads(chunks: DataFrame, spans: DataFrame) -> DataFrame:

@@ -76,15 +76,13 @@ def represent(segments: DataFrame, barriers: DataFrame | None = None, degradatio
 
 
 def resolve(segments: DataFrame, offsets: DataFrame) -> DataFrame:
-    """The segment that holds each offset: rows of offsets (uri, offset, ...) with seq and locator. Offsets outside the
-    text find none. An as-of join: segments and offsets are put in one order and the last segment is carried forward."""
-    asked = [c for c in offsets.columns if c not in ("uri", "offset")]
-    seg = F.struct("seq", "start", "end", "locator")
-    s = segments.select("uri", F.col("start").cast("long").alias("at"), F.lit(0).alias("turn"), seg.alias("seg"), *(F.lit(None).cast(offsets.schema[c].dataType).alias(c) for c in asked))
-    o = offsets.select("uri", F.col("offset").cast("long").alias("at"), F.lit(1).alias("turn"), F.lit(None).cast(segments.select(seg.alias("s")).schema["s"].dataType).alias("seg"), *asked)
-    before = Window.partitionBy("uri").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = s.unionByName(o).withColumn("seg", F.last("seg", ignorenulls=True).over(before)).filter((F.col("turn") == 1) & (F.col("at") < F.col("seg.end")))
-    return met.select("uri", F.col("at").alias("offset"), *asked, "seg.seq", "seg.start", "seg.end", "seg.locator")
+    """The segment that holds each offset: rows of offsets (uri, offset, ...) with seq, start, end and locator. Offsets
+    outside the text find none. An offset is a span of one character, so it meets the segments of its cell only, and a
+    source that holds most segments or offsets is the work of many tasks."""
+    at = F.col("offset").cast("long")
+    asked = offsets.withColumns({"offset": at, "_at": at, "_to": at + 1})
+    met = overlapping(segments.select("uri", "seq", "start", "end", "locator"), asked, "uri", ("start", "end"), ("_at", "_to"), 1024)
+    return met.select("uri", "offset", *(c for c in offsets.columns if c not in ("uri", "offset")), "seq", "start", "end", "locator")
 
 
 def overlapping(spans: DataFrame, asked: DataFrame, key: str, span: tuple[str, str], ask: tuple[str, str], least: float) -> DataFrame:
@@ -106,9 +104,9 @@ def overlapping(spans: DataFrame, asked: DataFrame, key: str, span: tuple[str, s
     return met.filter(touch).drop("_width", "_cell", "_first", "_first_ask")
 
 
-def resolve_span(segments: DataFrame, spans: DataFrame) -> DataFrame:
-    """All segments that each span (uri, span_start, span_end) touches, in document order (seq)."""
-    s = segments.select("uri", "seq", "start", "end", "locator")
+def resolve_span(segments: DataFrame, spans: DataFrame, *carry: str) -> DataFrame:
+    """All segments that each span (uri, span_start, span_end) touches, in document order (seq), with columns to carry."""
+    s = segments.select("uri", "seq", "start", "end", "locator", *carry)
     return overlapping(s, spans, "uri", ("start", "end"), ("span_start", "span_end"), 1024)
 
 
@@ -133,11 +131,14 @@ def gapless(segments: DataFrame) -> DataFrame:
 def read_range(segments: DataFrame, requests: DataFrame) -> DataFrame:
     """Requests (uri, start, end, in characters of the text) answered with the text and the union of the places that it
     touches: (uri, req_start, req_end, text, first, last)."""
-    whole = text_of(segments)
-    length = F.length("text")
-    r = requests.select("uri", F.col("start").alias("ask_start"), F.col("end").alias("ask_end")).join(whole, "uri").filter(length > 0)
+    length = F.col("length")
+    sizes = segments.groupBy("uri").agg(F.sum(F.length("chunk")).alias("length")).filter(length > 0)
+    r = requests.select("uri", F.col("start").alias("ask_start"), F.col("end").alias("ask_end")).join(sizes, "uri")
     s = F.greatest(F.lit(0), F.least("ask_start", length - 1))
-    r = r.withColumn("span_start", s.cast("long")).withColumn("span_end", F.greatest(F.col("span_start") + 1, F.least("ask_end", length)).cast("long"))
-    r = r.withColumn("text", cut(F.col("text"), F.col("span_start"), F.col("span_end")))
-    touched = resolve_span(segments, r)
-    return touched.groupBy("uri", "ask_start", "ask_end", "span_start", "span_end", "text").agg(F.min("locator.start").alias("first"), F.max("locator.end").alias("last"))
+    r = r.withColumn("span_start", s.cast("long")).withColumn("span_end", F.greatest(F.col("span_start") + 1, F.least("ask_end", length)).cast("long")).drop("length")
+    keys = ["uri", "ask_start", "ask_end", "span_start", "span_end"]
+    touched = resolve_span(segments.select("uri", "seq", "start", "end", "locator", "chunk"), r, "chunk")
+    # of each segment that is touched the part that was asked for: no text but the answer's is moved
+    part = cut(F.col("chunk"), F.greatest(F.lit(0), F.col("span_start") - F.col("start")), F.least("end", "span_end") - F.col("start"))
+    parts = touched.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", part.alias("part")))).alias("parts"), F.min("locator.start").alias("first"), F.max("locator.end").alias("last"))
+    return parts.select(*keys, F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("text"), "first", "last")

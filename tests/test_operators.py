@@ -277,3 +277,29 @@ def test_chunks(spark, size, overlap):
     spans = spark.createDataFrame([("a", 0, 5, "x"), ("a", 3, 16, "y"), ("a", 4, 5, "x")], "uri string, span_start long, span_end long, payload string")
     pay = chunks.payloads(chunks.chunk(r, 100), spans).orderBy("uri", "chunk").collect()
     assert [p.payloads for p in pay] == [["x", "y"], ["y"], ["y"], []]
+
+
+def test_chunks_of_a_long_text_take_time_in_proportion(spark):
+    """One document, none of it ASCII: sixteen times the text takes far less than sixteen times sixteen the time."""
+    import time
+
+    from sieveline.operators import chunks
+
+    took = []
+    for n in (250_000, 250_000, 4_000_000):
+        df = spark.createDataFrame([("long", "ä€" * (n // 2), [100, n // 2, n + 7])], "uri string, text string, barriers array<bigint>")
+        began = time.perf_counter()
+        got = chunks.chunk(df, 400).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("c"), F.max("chunk").alias("last"), F.max(F.length("text")).alias("most")).first()
+        took.append(time.perf_counter() - began)
+        assert (got.c, got.most, got.last + 1) == (n, 400, got.n)
+    assert took[2] < 5 + 40 * took[1]
+
+
+def test_chunks_overlap_and_keep_to_barriers(spark):
+    from sieveline.operators import chunks
+
+    text = "".join(chr(97 + i % 26) for i in range(100))
+    df = spark.createDataFrame([("a", text, [0, 30, 30, 100, 200]), ("b", "", []), ("c", None, None)], "uri string, text string, barriers array<bigint>")
+    got = sorted((r.chunk, r.start, r.end, r.text) for r in chunks.chunk(df, 20, 5).collect())
+    assert [(s, e) for _, s, e, _ in got] == [(0, 20), (15, 30), (30, 50), (45, 65), (60, 80), (75, 95), (90, 100)]
+    assert all(t == text[s:e] for _, s, e, t in got) and [c for c, *_ in got] == list(range(7))
