@@ -4,8 +4,8 @@ Sources are expanded, typed and dispatched once, by a join with the registry, an
 each family parses its own folder alone, and each question is a union of the families' answers in one schema. Which
 families there are is known from that writing, so a question plans no others; it computes nothing until it is read.
 
-What needs a program or a model comes from the caller: cues (captions or speech) and prober's JSON as frames, and
-functions by (handler, operation), which run in Arrow batches. A caller's handler is a row of the registry and functions
+What needs a program or a model comes from the caller: cues (speech, or captions from elsewhere) and a prober's JSON as
+frames, where a file's own container and embedded captions are not to be taken, and functions by (handler, operation), which run in Arrow batches. A caller's handler is a row of the registry and functions
 of its own operations, of `represent` and of `describe`.
 """
 
@@ -22,7 +22,7 @@ from sieveline.functions.text import word_count
 from sieveline.operators import answers, cache, formats, html, timeline
 from sieveline.operators.dispatch import affordances, available, dispatch, handlers, resolve_names
 from sieveline.operators.flatten import DEGRADATION, group_barriers, represent
-from sieveline.sources import containers, documents, pdf
+from sieveline.sources import containers, documents, media, pdf
 from sieveline.sources.files import image_facts, sources
 from sieveline.sources.workspace import kept
 
@@ -59,8 +59,6 @@ class Perception:
         to the built-in one. openers: type of a container to a function of its bytes, as containers.members."""
         spark = files.sparkSession
         self.capabilities, self.functions = tuple(capabilities), dict(functions or {})
-        self.cues = cues.select(*(c.split()[0] for c in CUES.split(", "))) if cues is not None else spark.createDataFrame([], CUES)
-        self.probes = documents.probe_facts(probes if probes is not None else spark.createDataFrame([], PROBES))
         self.openers = dict(openers or {})
         if depth:
             expanded = containers.expand(files, depth, openers=self.openers, detector=detector, keep=lambda df: kept(df, "level")).select("uri", "error", "content")  # archives are inflated once
@@ -71,6 +69,9 @@ class Perception:
         by_mime = dispatch(told, registry).select("mime", "handler_id", "version")
         self.sources = kept(told.join(F.broadcast(by_mime), "mime"), "sources", "handler_id")
         self.present = {r.handler_id for r in self.sources.select("handler_id").distinct().collect()}  # one row a handler
+        films = self.of("audio", "video").select("uri", "content")
+        self.cues = (cues if cues is not None else media.caption_cues(media.read_captions(films))).select(*(c.split()[0] for c in CUES.split(", ")))
+        self.probes = documents.probe_facts(probes) if probes is not None else media.read_facts(films).select("uri", "duration_s", "container", "streams")
         self.failed = expanded.filter("content is null").select("uri", "error")
         self.affordances = available(affordances(spark, extra_affordances), self.capabilities)
 
@@ -139,7 +140,7 @@ class Perception:
         leaf = lambda: formats.page_card(pdf.read_pages(self.of("pdf")).filter("error is null")).select("uri", _named("page_count", "text_pages", "characters").alias("facts"), none)
         image = lambda: image_facts(self.of("image")).select("uri", _named("decodable", "format", "width", "height").alias("facts"), none)
 
-        def media():
+        def film():
             streams = lambda kind: F.size(F.filter("streams", lambda s: s["kind"] == kind))
             cued = self.cues.groupBy("uri").agg(count.alias("cue_count"))
             said = F.nullif(F.array_join(documents.languages(F.col("streams")), ", "), F.lit(""))
@@ -148,7 +149,7 @@ class Perception:
             return m.select("uri", _named("duration_s", "container", "video_streams", "audio_streams", "languages", "cue_count").alias("facts"), none)
 
         other = lambda: formats.binary_card(self.of("binary")).select("uri", _named("size_bytes").alias("facts"), "excerpt")
-        families = {"text": text, "html": page, "archive": arch, "sheets": sheet, "slides": deck, "word": word, "epub": book, "pdf": leaf, "image": image, "audio": media, "video": media, "binary": other}
+        families = {"text": text, "html": page, "archive": arch, "sheets": sheet, "slides": deck, "word": word, "epub": book, "pdf": leaf, "image": image, "audio": film, "video": film, "binary": other}
         facts = self._union({f: None for h, f in families.items() if h in self.present}, "uri string, facts map<string,string>, excerpt string")
         own = self._called(self.sources.select("uri", "handler_id", "content"), "describe", "uri string, facts map<string,string>, error string")
         if own is not None:

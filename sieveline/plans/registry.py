@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sieveline.functions import text as T
 from sieveline.functions.locators import valid
 from sieveline.operators import cache, chunks, dispatch, flatten, formats, html, timeline
-from sieveline.plans import container_queries, file_queries, sql
+from sieveline.plans import container_queries, file_queries, media_queries, sql
 from sieveline.streaming import ingest
 
 
@@ -296,8 +296,8 @@ def locator_laws(s, d):
 
 
 def queries() -> dict:
-    return {k: globals()[k] for k in sql.SQL} | file_queries.queries() | container_queries.queries()
+    return {k: globals()[k] for k in sql.SQL} | file_queries.queries() | container_queries.queries() | media_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return sql.SQL | file_queries.SQL | container_queries.SQL
+    return sql.SQL | file_queries.SQL | container_queries.SQL | media_queries.SQL
