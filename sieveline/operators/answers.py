@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.functions.locators import byte_range, cell_range, char_span, page_ref, part_span, time_span
+from sieveline.functions.locators import bbox, byte_range, cell_range, char_span, page_ref, part_span, time_span
 from sieveline.functions.text import clamp, cut, hexdump, parse_a1
 from sieveline.operators import formats, html
 from sieveline.operators.flatten import text_of
@@ -198,6 +198,16 @@ def of_leaves(asked: DataFrame, pages: DataFrame) -> DataFrame:
     return _answer(r, F.col("t"), page_ref(F.greatest(F.lit(1), page)), F.col("t").isNull(), _say("page ", page, " does not exist; there are ", F.coalesce("n", F.lit(0)), " page(s)"))
 
 
+def of_regions(asked: DataFrame, region) -> DataFrame:
+    """page_region (page, x, y, w, h; parts of the page from its upper left corner) by region, a function of asked places
+    that gives (uri, page, x, y, w, h, text, n_pages)."""
+    part = lambda k, default: F.coalesce(seconds(k), F.lit(default))
+    r = named(asked, "pdf", "page_region").select("rid", "uri", number("page", 1).alias("page"), part("x", 0.0).alias("x"), part("y", 0.0).alias("y"), part("w", 1.0).alias("w"), part("h", 1.0).alias("h"))
+    keys = ["uri", "page", "x", "y", "w", "h"]
+    r = r.join(region(r.select(*keys).distinct()), keys, "left")
+    return _answer(r, F.col("text"), bbox(*(F.col(k) for k in "xywh"), page=F.col("page")), F.col("text").isNull(), _say("page ", F.col("page"), " does not exist; there are ", F.coalesce("n_pages", F.lit(0)), " page(s)"))
+
+
 def of_cues(asked: DataFrame, cues: DataFrame) -> DataFrame:
     """read_span of audio and read_transcript of video from cues (uri, seq, start_s, end_s, text); a window without an end
     goes to the last cue's."""

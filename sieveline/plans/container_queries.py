@@ -5,12 +5,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.plans import fixtures
-from sieveline.sources import archives, containers
-from sieveline.sources.workspace import shared_folder
+from sieveline.plans.file_queries import _TALKS
+from sieveline.plans.perception import Perception
+from sieveline.sources import archives, containers, pdf
+from sieveline.sources.workspace import kept, shared_folder
 
 
 def _t(spark, d: str, name: str) -> DataFrame:
@@ -51,11 +53,34 @@ def damaged_members(s, d):
     return e.select("uri", "container", F.col("error").isNotNull().alias("damaged"), F.sha2("content", 256).alias("content_hash"))
 
 
+def _laid_out(s, d) -> DataFrame:
+    return fixtures.talks(_t(s, d, "conversations"), "pdf", fixtures.laid_out)
+
+
+def pdf_layouts(s, d):
+    """Pages with titles in forms, columns and encodings of their own, in reading order."""
+    return pdf.read_pages(_laid_out(s, d)).select("uri", "page", "text", "has_image", "error")
+
+
+def pdf_regions(s, d):
+    """Of every page's left column what it says, and a page that is not there, as answers to requests."""
+    files = kept(_laid_out(s, d), "layouts")
+    pages = pdf.read_pages(files).select("uri", F.col("page").cast("string").alias("page"))
+    box = lambda page, x: F.create_map(*(c if isinstance(c, Column) else F.lit(c) for c in ("page", page, "x", x, "y", "0.2", "w", "0.5", "h", "0.8")))
+    asks = pages.select("uri", F.explode(F.array(box(F.col("page"), "0"), box(F.col("page"), "0.5"))).alias("params")).union(files.select("uri", box("9999", "0")))
+    return Perception(files, depth=0).invoke(asks.select("uri", F.lit("page_region").alias("name"), "params")).select("uri", "text", "degraded", F.col("locator.x").alias("x"), F.col("locator.page").alias("page"), "error")
+
+
+_PIECES = """h AS (SELECT *, md5(text) AS h FROM t), x AS (SELECT *, array_to_string([substr(h, 6 * k + 1, 3) FOR k IN range(5)], chr(10)) AS "left", array_to_string([substr(h, 6 * k + 4, 3) FOR k IN range(5)], chr(10)) AS "right" FROM h)"""
+
 SQL: dict[str, str] = {
     "archive_members": """SELECT 'doc/' || doc_id || '.txt' AS path, strlen(coalesce(text, ''))::BIGINT AS size_bytes, sha256(coalesce(text, '')) AS text_hash, true AS has_place, NULL::VARCHAR AS error FROM documents
       UNION ALL SELECT 'talk/' || conv_id || '/' || turn || '.txt', strlen(coalesce(text, '')), sha256(coalesce(text, '')), true, NULL FROM conversations""",
     "archive_ranges": """WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents)
       SELECT doc_id, 5 AS "start", sha256(from_hex(substr(h, 11, 70))) AS data_hash, NULL::VARCHAR AS error FROM b UNION ALL SELECT doc_id, 100, sha256(from_hex(substr(h, 201))), NULL FROM b""",
+    "pdf_layouts": f"""WITH {_TALKS}, {_PIECES} SELECT 'talk/' || conv_id || '.pdf' AS uri, (i + 1)::INT AS page, role || chr(10) || "left" || chr(10) || "right" AS text, true AS has_image, NULL::VARCHAR AS error FROM x""",
+    "pdf_regions": f"""WITH {_TALKS}, {_PIECES} SELECT 'talk/' || conv_id || '.pdf' AS uri, "left" AS text, false AS degraded, 0.0::DOUBLE AS x, (i + 1)::INT AS page, NULL::VARCHAR AS error FROM x
+      UNION ALL SELECT 'talk/' || conv_id || '.pdf', "right", false, 0.5, (i + 1)::INT, NULL FROM x UNION ALL SELECT 'talk/' || conv_id || '.pdf', 'page 9999 does not exist; there are ' || n || ' page(s)', true, NULL, NULL, NULL FROM g""",
     "damaged_members": """WITH z AS (SELECT doc_id, 'doc/' || doc_id || '.zip' AS zip, doc_id % 3 = 0 AS spoiled, doc_id % 3 <> 0 AND doc_id % 10 = 1 AS cut, coalesce(text, '') AS text FROM documents)
       SELECT zip || '!text.txt' AS uri, zip AS container, spoiled AS damaged, CASE WHEN NOT spoiled THEN sha256(text) END AS content_hash FROM z WHERE NOT cut
       UNION ALL SELECT zip || '!about.json', zip, false, sha256('{}') FROM z WHERE NOT cut UNION ALL SELECT zip || '!', zip, true, NULL FROM z WHERE cut""",

@@ -30,7 +30,7 @@ CUES = "uri string, seq long, start_s double, end_s double, text string, speaker
 PROBES = "uri string, json string"
 #: Operations that Perception answers by itself; all others need a function.
 ANSWERED = (
-    ("text", "read_range"), ("binary", "hexdump"), ("html", "read_section"), ("html", "read_range"), ("epub", "read_chapter"), ("epub", "read_range"), ("pdf", "read_page"),
+    ("text", "read_range"), ("binary", "hexdump"), ("html", "read_section"), ("html", "read_range"), ("epub", "read_chapter"), ("epub", "read_range"), ("pdf", "read_page"), ("pdf", "page_region"),
     ("word", "read_section"), ("word", "read_range"), ("word", "read_table"), ("word", "list_comments"), ("slides", "read_slide"), ("slides", "list_media"),
     ("sheets", "read_sheet"), ("sheets", "read_cells"), ("sheets", "list_sheets"), ("archive", "list_entries"), ("audio", "read_span"), ("video", "read_transcript"),
 )
@@ -229,6 +229,13 @@ class Perception:
             markup = F.coalesce(F.make_valid_utf8(F.col("content").cast("string")), F.lit(""))
             return answers.of_pages(good, html.parsed(own("html").select("uri", markup.alias("html"))))
 
+        def leaf():
+            whole = answers.of_leaves(good, pdf.read_pages(own("pdf")).filter("error is null"))
+            if good.filter("handler_id = 'pdf' and name = 'page_region'").isEmpty():
+                return whole
+            runs = pdf.read_runs(own("pdf")).filter("error is null")
+            return whole.unionByName(answers.of_regions(good, lambda asks: pdf.page_region(runs, asks)))
+
         said = lambda: answers.of_cues(good, self.cues.join(uris, "uri", "left_semi"))
         families = {
             "text": lambda: answers.of_texts(good, formats.decoded(own("text"))), "binary": lambda: answers.of_bytes(good, own("binary")), "html": page, "epub": book,
@@ -236,7 +243,7 @@ class Perception:
             "slides": lambda: answers.of_slides(good, documents.read_slides(own("slides")).filter("error is null"), documents.read_media(own("slides")).filter("error is null")),
             "sheets": lambda: answers.of_sheets(good, documents.read_cells(own("sheets")).filter("error is null")),
             "archive": lambda: answers.of_archives(good, containers.entries(own("archive"), openers=self.openers).filter("error is null")),
-            "pdf": lambda: answers.of_leaves(good, pdf.read_pages(own("pdf")).filter("error is null")), "audio": said, "video": said,
+            "pdf": leaf, "audio": said, "video": said,
         }
         out = self._union({f: None for h, f in families.items() if h in self.present}, f"rid bigint, text string, locator {LOCATOR}, degraded boolean")
         out = out.withColumn("failed", F.lit(None).cast("string"))
