@@ -8,10 +8,10 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.plans import fixtures
+from sieveline.plans import fixtures, legacy_fixtures
 from sieveline.plans.file_queries import _TALKS
 from sieveline.plans.perception import Perception
-from sieveline.sources import archives, containers, pdf
+from sieveline.sources import archives, containers, legacy, pdf
 from sieveline.sources.workspace import kept, shared_folder
 
 
@@ -53,6 +53,10 @@ def damaged_members(s, d):
     return e.select("uri", "container", F.col("error").isNotNull().alias("damaged"), F.sha2("content", 256).alias("content_hash"))
 
 
+def _talks(s, d, suffix: str, make) -> DataFrame:
+    return fixtures.talks(_t(s, d, "conversations"), suffix, make)
+
+
 def _laid_out(s, d) -> DataFrame:
     return fixtures.talks(_t(s, d, "conversations"), "pdf", fixtures.laid_out)
 
@@ -71,6 +75,26 @@ def pdf_regions(s, d):
     return Perception(files, depth=0).invoke(asks.select("uri", F.lit("page_region").alias("name"), "params")).select("uri", "text", "degraded", F.col("locator.x").alias("x"), F.col("locator.page").alias("page"), "error")
 
 
+def legacy_words(s, d):
+    """Conversations as .doc files, one paragraph for each role and text."""
+    f = _talks(s, d, "doc", lambda parts: legacy_fixtures.doc("".join(f"{a}\r{b}\r" for a, b in parts)))
+    return legacy.read_doc(f).select("uri", "seq", "kind", "text", "error")
+
+
+def legacy_slides(s, d):
+    f = _talks(s, d, "ppt", legacy_fixtures.ppt)
+    return legacy.read_ppt(f).select("uri", "page", "title", "body", "notes", "error")
+
+
+def legacy_cells(s, d):
+    """Customers as .xls files of a hundred: key, name, balance."""
+    c = _t(s, d, "customer").withColumn("book", F.floor(F.col("c_custkey") / 100))
+    g = c.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name", "c_acctbal"))).alias("rows"))
+    rows = g.select(F.concat(F.lit("book/"), F.col("book").cast("string"), F.lit(".xls")).alias("uri"), "rows")
+    f = fixtures.made(rows, lambda r: legacy_fixtures.xls([[x["c_custkey"], x["c_name"], float(x["c_acctbal"])] for x in r["rows"]]))
+    return legacy.read_xls(f).select("uri", "sheet", "row", "col", F.when(F.col("col") == 2, F.round(F.col("value").cast("double"), 2).cast("string")).otherwise(F.col("value")).alias("value"), "error")
+
+
 _PIECES = """h AS (SELECT *, md5(text) AS h FROM t), x AS (SELECT *, array_to_string([substr(h, 6 * k + 1, 3) FOR k IN range(5)], chr(10)) AS "left", array_to_string([substr(h, 6 * k + 4, 3) FOR k IN range(5)], chr(10)) AS "right" FROM h)"""
 
 SQL: dict[str, str] = {
@@ -81,6 +105,10 @@ SQL: dict[str, str] = {
     "pdf_layouts": f"""WITH {_TALKS}, {_PIECES} SELECT 'talk/' || conv_id || '.pdf' AS uri, (i + 1)::INT AS page, role || chr(10) || "left" || chr(10) || "right" AS text, true AS has_image, NULL::VARCHAR AS error FROM x""",
     "pdf_regions": f"""WITH {_TALKS}, {_PIECES} SELECT 'talk/' || conv_id || '.pdf' AS uri, "left" AS text, false AS degraded, 0.0::DOUBLE AS x, (i + 1)::INT AS page, NULL::VARCHAR AS error FROM x
       UNION ALL SELECT 'talk/' || conv_id || '.pdf', "right", false, 0.5, (i + 1)::INT, NULL FROM x UNION ALL SELECT 'talk/' || conv_id || '.pdf', 'page 9999 does not exist; there are ' || n || ' page(s)', true, NULL, NULL, NULL FROM g""",
+    "legacy_words": f"""WITH {_TALKS} SELECT 'talk/' || conv_id || '.doc' AS uri, 2 * i AS seq, 'paragraph' AS kind, role AS text, NULL::VARCHAR AS error FROM t UNION ALL SELECT 'talk/' || conv_id || '.doc', 2 * i + 1, 'paragraph', text, NULL FROM t""",
+    "legacy_slides": f"""WITH {_TALKS} SELECT 'talk/' || conv_id || '.ppt' AS uri, (i + 1)::INT AS page, role AS title, text AS body, CASE WHEN i = 0 THEN role ELSE '' END AS notes, NULL::VARCHAR AS error FROM t""",
+    "legacy_cells": """WITH r AS (SELECT 'book/' || (c_custkey // 100) || '.xls' AS uri, (row_number() OVER (PARTITION BY c_custkey // 100 ORDER BY c_custkey) - 1)::INT AS "row", * FROM customer)
+      SELECT uri, 'Data' AS sheet, "row", 0 AS col, c_custkey::VARCHAR AS "value", NULL::VARCHAR AS error FROM r UNION ALL SELECT uri, 'Data', "row", 1, c_name, NULL FROM r UNION ALL SELECT uri, 'Data', "row", 2, round(c_acctbal::DOUBLE, 2)::VARCHAR, NULL FROM r""",
     "damaged_members": """WITH z AS (SELECT doc_id, 'doc/' || doc_id || '.zip' AS zip, doc_id % 3 = 0 AS spoiled, doc_id % 3 <> 0 AND doc_id % 10 = 1 AS cut, coalesce(text, '') AS text FROM documents)
       SELECT zip || '!text.txt' AS uri, zip AS container, spoiled AS damaged, CASE WHEN NOT spoiled THEN sha256(text) END AS content_hash FROM z WHERE NOT cut
       UNION ALL SELECT zip || '!about.json', zip, false, sha256('{}') FROM z WHERE NOT cut UNION ALL SELECT zip || '!', zip, true, NULL FROM z WHERE cut""",

@@ -22,7 +22,7 @@ from sieveline.functions.text import word_count
 from sieveline.operators import answers, cache, formats, html, timeline
 from sieveline.operators.dispatch import affordances, available, dispatch, handlers, resolve_names
 from sieveline.operators.flatten import DEGRADATION, group_barriers, represent
-from sieveline.sources import containers, documents, media, pdf
+from sieveline.sources import containers, documents, legacy, media, pdf
 from sieveline.sources.files import image_facts, sources
 from sieveline.sources.workspace import kept
 
@@ -148,8 +148,16 @@ class Perception:
             m = m.withColumns({"video_streams": streams("video"), "audio_streams": streams("audio"), "languages": said})
             return m.select("uri", _named("duration_s", "container", "video_streams", "audio_streams", "languages", "cue_count").alias("facts"), none)
 
+        def old():
+            f = self.of("legacy")
+            words = legacy.read_doc(f).filter("error is null").groupBy("uri").agg(count.alias("paragraph_count"), F.sum(word_count(F.col("text"))).alias("word_count"))
+            grid = legacy.read_xls(f).filter("error is null").groupBy("uri").agg(F.count_distinct("sheet_no").alias("sheet_count"))
+            deck = legacy.read_ppt(f).filter("error is null").groupBy("uri").agg(count.alias("slide_count"))
+            told = legacy.read_kinds(f).select("uri", "kind").join(words, "uri", "left").join(grid, "uri", "left").join(deck, "uri", "left")
+            return told.select("uri", _named("kind", "paragraph_count", "word_count", "sheet_count", "slide_count").alias("facts"), none)
+
         other = lambda: formats.binary_card(self.of("binary")).select("uri", _named("size_bytes").alias("facts"), "excerpt")
-        families = {"text": text, "html": page, "archive": arch, "sheets": sheet, "slides": deck, "word": word, "epub": book, "pdf": leaf, "image": image, "audio": film, "video": film, "binary": other}
+        families = {"text": text, "html": page, "archive": arch, "sheets": sheet, "slides": deck, "word": word, "epub": book, "pdf": leaf, "image": image, "audio": film, "video": film, "legacy": old, "binary": other}
         facts = self._union({f: None for h, f in families.items() if h in self.present}, "uri string, facts map<string,string>, excerpt string")
         own = self._called(self.sources.select("uri", "handler_id", "content"), "describe", "uri string, facts map<string,string>, error string")
         if own is not None:
@@ -192,11 +200,18 @@ class Perception:
             flat = formats.page_segments(leaves)
             return represent(flat, group_barriers(flat, "seq"), formats.page_notes(leaves), max_chars)
 
+        def old():
+            f = self.of("legacy")
+            blocks = legacy.read_doc(f).filter("error is null and text != ''").select("uri", "seq", "level", "text", F.lit(0).alias("start"), F.lit(1).alias("end"))
+            parts = [formats.word_segments(html.sections(blocks)), formats.sheet_segments(legacy.read_xls(f).filter("error is null")), formats.slide_segments(legacy.read_ppt(f).filter("error is null"))]
+            made = [represent(p, group_barriers(p, "seq"), None, max_chars) for p in parts]
+            return made[0].unionByName(made[1]).unionByName(made[2])
+
         arch = lambda: represent(formats.archive_segments(containers.entries(self.of("archive"), openers=self.openers).filter("error is null")), None, None, max_chars)
         said = lambda: represent(self._spoken(), None, None, max_chars)
         families = {
             "text": lambda: plain(formats.text_represent(self._texts(), max_chars)), "binary": lambda: plain(formats.binary_represent(self.of("binary"), max_chars)),
-            "html": lambda: html.represent(html.parsed(self._pages()), max_chars), "sheets": sheet, "slides": deck, "word": word, "epub": book, "pdf": leaf, "archive": arch, "audio": said, "video": said,
+            "html": lambda: html.represent(html.parsed(self._pages()), max_chars), "sheets": sheet, "slides": deck, "word": word, "epub": book, "pdf": leaf, "archive": arch, "audio": said, "video": said, "legacy": old,
         }
         out = self._union({f: None for h, f in families.items() if h in self.present}, f"uri string, text string, n_segments bigint, barriers array<bigint>, degradations array<{DEGRADATION}>")
         own = self._called(self.sources.select("uri", "handler_id", "content"), "represent", "uri string, text string, error string")

@@ -10,6 +10,7 @@ from __future__ import annotations
 import io
 import posixpath
 import re
+import struct
 import urllib.parse
 import xml.etree.ElementTree as ET
 import zipfile
@@ -27,7 +28,7 @@ SLIDES = "uri string, page int, title string, body string, notes string, n_media
 CELLS = "uri string, sheet string, sheet_no int, row int, col int, value string, formula string, error string"
 PARTS = "uri string, part_no int, part string, title string, html string, book_title string, author string, error string"
 MEDIA = "uri string, page int, picture int, mime string, size_bytes long, error string"
-_BROKEN = (zipfile.BadZipFile, ET.ParseError, KeyError, ValueError, IndexError, StopIteration, RuntimeError, NotImplementedError, zlib.error)
+_BROKEN = (zipfile.BadZipFile, ET.ParseError, KeyError, ValueError, IndexError, StopIteration, RuntimeError, NotImplementedError, OverflowError, TypeError, zlib.error, struct.error)
 
 
 def _xml(z: zipfile.ZipFile, name: str) -> ET.Element:
