@@ -24,6 +24,7 @@ from sieveline.operators.dispatch import affordances, available, dispatch, handl
 from sieveline.operators.flatten import DEGRADATION, group_barriers, represent
 from sieveline.sources import containers, documents, legacy, media, pdf
 from sieveline.sources.files import image_facts, sources
+from sieveline.sources.store import ArtifactStore
 from sieveline.sources.workspace import kept
 
 CUES = "uri string, seq long, start_s double, end_s double, text string, speaker string, source string"
@@ -52,14 +53,15 @@ class Perception:
     def __init__(
         self, files: DataFrame, capabilities: Iterable[str] = (), depth: int = containers.DEPTH, extra_handlers: Iterable[tuple] = (), extra_affordances: Iterable[tuple] = (),
         functions: Mapping[tuple[str, str], Callable[[dict], dict]] | None = None, cues: DataFrame | None = None, probes: DataFrame | None = None,
-        detector: Callable[[Column, Column], Column] | None = None, openers: Mapping[str, Callable] | None = None,
+        detector: Callable[[Column, Column], Column] | None = None, openers: Mapping[str, Callable] | None = None, store: ArtifactStore | None = None,
     ):
         """functions: (handler, operation) to a function of a row (uri, content, params) that gives {"text": ...}, and for
         `describe` {"facts": {...}}. detector: a function of the columns head and uri that gives a type, null to leave it
-        to the built-in one. openers: type of a container to a function of its bytes, as containers.members."""
+        to the built-in one. openers: type of a container to a function of its bytes, as containers.members. store: where
+        answers are kept; what is kept there is not computed again."""
         spark = files.sparkSession
         self.capabilities, self.functions = tuple(capabilities), dict(functions or {})
-        self.openers = dict(openers or {})
+        self.openers, self.store = dict(openers or {}), store
         if depth:
             expanded = containers.expand(files, depth, openers=self.openers, detector=detector, keep=lambda df: kept(df, "level")).select("uri", "error", "content")  # archives are inflated once
         else:
@@ -224,7 +226,9 @@ class Perception:
     def invoke(self, requests: DataFrame) -> DataFrame:
         """Requests (uri, name, params map<string,string>) answered, one row each: uri, name, text, locator, degraded,
         error. A source that isn't there, an unknown name, one that is not offered, or one that needs a function that
-        was not given, gives an error that says so."""
+        was not given, gives an error that says so. With a store, answers that are kept there are taken from it, the
+        others are computed once for each key and kept, and the work is done here and now; a kept answer that cannot be
+        read counts as none, a failed one is not kept."""
         asked = requests.select("uri", "name", "params").join(self.sources.select("uri", "handler_id"), "uri", "left")
         asked = resolve_names(asked, self.affordances).withColumn("p", cache.with_defaults(F.col("params"), F.col("defaults")))
         answered = F.lit(False)
@@ -233,7 +237,19 @@ class Perception:
         wants = F.concat(F.lit("operation "), F.col("name"), F.lit(" needs a function that was not given"))
         error = F.when(F.col("handler_id").isNull(), "no such source").otherwise(F.coalesce("error", F.when(~answered, wants)))
         asked = kept(asked.select(F.monotonically_increasing_id().alias("rid"), "uri", "name", "handler_id", "p", error.alias("error")), "asked")
-        good = asked.filter("error is null")
+        good, found = asked.filter("error is null"), None
+        if self.store is not None:
+            keys = good.join(self.sources.select("uri", "version", "content_hash"), "uri")
+            none = F.create_map().cast("map<string,string>")
+            keys = kept(keys.select("rid", cache.artifact_key(F.col("content_hash"), F.col("handler_id"), F.col("version"), F.col("name"), F.col("p"), none).alias("artifact_key")), "keys")
+            told = from_rendition_json(self.store.get(keys).withColumnRenamed("artifact_key", "uri")).filter("text is not null").withColumnRenamed("uri", "artifact_key")
+            found = kept(keys.join(told, "artifact_key").select("rid", "text", "locator", "degraded"), "found")
+            # of requests that come to one key one is worked on
+            first = keys.join(found.select("rid"), "rid", "left_anti").groupBy("artifact_key").agg(F.min("rid").alias("rid"))
+            first = kept(first, "todo")
+            good = good.join(first.select("rid"), "rid", "left_semi")
+            if first.isEmpty():
+                return self._told(asked, found.withColumn("failed", F.lit(None).cast("string")))
         uris = good.select("uri").distinct()
         own = lambda h: self.of(h).join(uris, "uri", "left_semi")
         def book():
@@ -269,6 +285,15 @@ class Perception:
             ask = lambda r: {"rid": r["rid"], "text": pairs[r["handler_id"], r["name"]]({"uri": r["uri"], "content": r["content"], "params": {x["key"]: x["value"] for x in r["pairs"]}})["text"]}
             done = documents.by_function(rows, ask, "rid long, text string, error string")
             out = out.unionByName(done.select("rid", "text", F.lit(None).cast(LOCATOR).alias("locator"), F.lit(False).alias("degraded"), F.col("error").alias("failed")))
+        if self.store is not None:
+            made = kept(out.join(first, "rid").select("artifact_key", "text", "locator", "degraded", "failed"), "made")
+            good_ones = made.filter("failed is null and text is not null").withColumnRenamed("artifact_key", "uri")
+            self.store.put(rendition_json(good_ones).withColumnRenamed("uri", "artifact_key"))
+            out = found.withColumn("failed", F.lit(None).cast("string")).unionByName(keys.join(made, "artifact_key").drop("artifact_key"))
+        return self._told(asked, out)
+
+    @staticmethod
+    def _told(asked: DataFrame, out: DataFrame) -> DataFrame:
         joined = asked.join(out, "rid", "left")
         lost = F.when(F.col("text").isNull() & F.col("failed").isNull(), F.lit("no answer"))
         return joined.select("uri", "name", "text", "locator", F.coalesce("degraded", F.lit(False)).alias("degraded"), F.coalesce("error", "failed", lost).alias("error"))
