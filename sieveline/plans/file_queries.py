@@ -14,6 +14,7 @@ from sieveline.plans import fixtures
 from sieveline.plans.perception import Perception, card_json, cues_json, from_cues_json, from_rendition_json, rendition_json, rendition_text
 from sieveline.plans.sql import _HTML
 from sieveline.sources import containers, documents, files, pdf
+from sieveline.sources.workspace import kept
 
 
 def _t(spark, d: str, name: str) -> DataFrame:
@@ -174,7 +175,7 @@ def inspect_cards(s, d):
 
 
 def list_sources(s, d):
-    return Perception(_nested(s, d)).list()
+    return Perception(kept(_nested(s, d), "files")).list()
 
 
 def represent_files(s, d):
@@ -203,11 +204,11 @@ def invoke_office(s, d):
             ("epub", "read_chapter", {"index": "0"}), ("epub", "read_range", {"start": "0", "end": "4"}), ("pdf", "read_page", {"page": "1"}), ("pdf", "read_page", {"page": "0"})]
     table = s.createDataFrame(asks, "suffix string, name string, params map<string,string>")
     r = talks.crossJoin(F.broadcast(table)).select(F.concat(F.lit("talk/"), F.col("conv_id").cast("string"), F.lit("."), F.col("suffix")).alias("uri"), "name", "params")
-    return Perception(f, depth=0).invoke(r).select("uri", "name", "text", "degraded", "error")
+    return Perception(kept(f, "files"), depth=0).invoke(r).select("uri", "name", "text", "degraded", "error")
 
 
 def invoke_sheets(s, d):
-    books = _books(s, d)
+    books = kept(_books(s, d), "files")
     asks = s.createDataFrame([("list_sheets", {}), ("read_sheet", {"offset": "1", "limit": "2"}), ("read_cells", {"a1_range": "B2:A3"}), ("read_cells", {"a1_range": "?"}), ("read_sheet", {"name": "None"})], "name string, params map<string,string>")
     r = books.select("uri").crossJoin(F.broadcast(asks))
     return Perception(books, depth=0).invoke(r).select("uri", "name", "text", "degraded", "error")

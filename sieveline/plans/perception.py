@@ -1,8 +1,9 @@
 """A tree of files as four questions: what is there, what is each (inspect), read a part (invoke), read all (represent).
 
-Sources are expanded, typed and dispatched once, by a join with the registry, and written in a folder per handler; then
-each family parses its own folder alone, and each question is a union of the families' answers in one schema. Which
-families there are is known from that writing, so a question plans no others; it computes nothing until it is read.
+What is inside archives is inflated once and written in a folder per type; loose files stay where they are. Types meet the
+registry once, a row a type, so a source's handler is a lookup; each family reads its own types alone, and each question is
+a union of the families' answers in one schema. A question plans no family that isn't there, and computes nothing until
+it is read.
 
 What needs a program or a model comes from the caller: cues (speech, or captions from elsewhere) and a prober's JSON as
 frames, where a file's own container and embedded captions are not to be taken, and functions by (handler, operation), which run in Arrow batches. A caller's handler is a row of the registry and functions
@@ -62,23 +63,24 @@ class Perception:
         spark = files.sparkSession
         self.capabilities, self.functions = tuple(capabilities), dict(functions or {})
         self.openers, self.store = dict(openers or {}), store
-        if depth:
-            expanded = containers.expand(files, depth, openers=self.openers, detector=detector, keep=lambda df: kept(df, "level")).select("uri", "error", "content")  # archives are inflated once
-        else:
-            expanded = kept(files.select("uri", F.lit(None).cast("string").alias("error"), "content"), "expanded")
-        told = sources(expanded.filter("content is not null").select("uri", "content"), detector=detector)
+        loose = files.select("uri", F.lit(None).cast("string").alias("error"), "content")
+        levels = containers.expand(files, depth, openers=self.openers, detector=detector, keep=lambda df: kept(df, "level", "mime")).select("uri", "error", "content", "mime") if depth else loose
+        told = sources(levels.filter("content is not null"), detector=detector)
         registry = available(handlers(spark, extra_handlers), self.capabilities)
-        by_mime = dispatch(told, registry).select("mime", "handler_id", "version")
-        self.sources = kept(told.join(F.broadcast(by_mime), "mime"), "sources", "handler_id")
-        self.present = {r.handler_id for r in self.sources.select("handler_id").distinct().collect()}  # one row a handler
+        #: type to handler and version: a row for each type there is
+        self.types = {r.mime: (r.handler_id, r.version) for r in dispatch(told.select("mime"), registry).collect()}
+        look = lambda i, kind: F.element_at(F.create_map(*(x for m, t in self.types.items() for x in (F.lit(m), F.lit(t[i])))), F.col("mime")) if self.types else F.lit(None).cast(kind)
+        self.sources = told.withColumns({"handler_id": look(0, "string"), "version": look(1, "int")})
+        self.present = {h for h, _ in self.types.values()}
         films = self.of("audio", "video").select("uri", "content")
         self.cues = (cues if cues is not None else media.caption_cues(media.read_captions(films))).select(*(c.split()[0] for c in CUES.split(", ")))
         self.probes = documents.probe_facts(probes) if probes is not None else media.read_facts(films).select("uri", "duration_s", "container", "streams")
-        self.failed = expanded.filter("content is null").select("uri", "error")
+        self.failed = levels.filter("content is null").select("uri", "error")
         self.affordances = available(affordances(spark, extra_affordances), self.capabilities)
 
     def of(self, *ids: str) -> DataFrame:
-        return self.sources.filter(F.col("handler_id").isin(*ids))
+        """The sources of some handlers, by their types: of what was inside archives the folders of others are not read."""
+        return self.sources.filter(F.col("mime").isin(*(m for m, (h, _) in self.types.items() if h in ids)))
 
     def list(self) -> DataFrame:
         return self.sources.select("uri", "handler_id", "mime")

@@ -168,12 +168,12 @@ def is_folder(uri, mime_type, more: Iterable[str] = ()):
 def expand(files: DataFrame, depth: int = DEPTH, openers: Mapping[str, Callable] | None = None, detector: Callable | None = None, keep: Callable[[DataFrame], DataFrame] | None = None, **limits) -> DataFrame:
     """files (uri, content) and all that is inside their archives, down to so many levels: uri (nested, `a.zip!b`),
     container, depth, mime, content, error. Unsafe member paths come with an error and without bytes, damaged members
-    likewise; an archive that cannot be read to its end gives, after what could be read, a row `a.zip!` with its error. Each level is one more step of the plan; levels are bounded. keep writes a level down:
-    then none is computed twice, and a level without archives is the last."""
+    likewise; an archive that cannot be read to its end gives, after what could be read, a row `a.zip!` with its error. Each level is one more step of the plan; levels are bounded. keep writes down what a level
+    holds that was inside archives: then none is inflated twice, and a level without archives is the last. The files
+    themselves stay where they are."""
     head = F.substring("content", 1, HEAD)
     kind = F.coalesce(detector(head, F.col("uri")), detect(head, F.col("uri"))) if detector else detect(head, F.col("uri"))
     level = files.select(join_uri(F.array("uri")).alias("uri"), F.lit(None).cast("string").alias("container"), F.lit(0).alias("depth"), F.col("content"), F.lit(None).cast("string").alias("error")).withColumn("mime", kind)
-    level = keep(level) if keep else level
     out = level
     for d in range(1, depth + 1):
         if keep and level.filter(is_folder(F.col("uri"), F.col("mime"), openers or ())).isEmpty():

@@ -114,10 +114,10 @@ def detect(head: Column, uri: Column) -> Column:
 
 
 def sources(files: DataFrame, content: str = "content", detector: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """The sources table: uri, mime, type, subtype, suffix, content_hash, size_bytes, content. detector is asked first;
-    where it gives null, detect decides."""
+    """The sources table: uri, mime, type, subtype, suffix, content_hash, size_bytes, content. A type that files
+    have is taken as it is; else detector is asked first, and where it gives null, detect decides."""
     head, uri = F.substring(F.col(content), 1, HEAD), F.col("uri")
-    d = files.withColumn("mime", F.coalesce(detector(head, uri), detect(head, uri)) if detector else detect(head, uri))
+    d = files if "mime" in files.columns else files.withColumn("mime", F.coalesce(detector(head, uri), detect(head, uri)) if detector else detect(head, uri))
     m = mime(F.col("mime"))
     return d.select("uri", "mime", m["type"].alias("type"), m["subtype"].alias("subtype"), m["suffix"].alias("suffix"), F.sha2(content, 256).alias("content_hash"), F.length(content).cast("long").alias("size_bytes"), F.col(content).alias("content"))
 

@@ -251,7 +251,7 @@ class _File:
         for t in re.finditer(rb"trailer\s*(?=<<)", data):
             if isinstance(head := Lexer(data, t.end()).value(), dict):
                 self.trailers.append(head)
-        if any(b"Encrypt" in t for t in self.trailers):
+        if any(b"Encrypt" in t for t in self.trailers) or not self.trailers and b"/Encrypt" in data[-4096:]:
             raise ValueError("the file is encrypted")
 
     def _unpack(self, s: Stream) -> None:
@@ -643,7 +643,8 @@ def _box(f: _File, above: list[dict]) -> tuple[float, float, float, float]:
 
 
 def read(data: bytes) -> Iterator[tuple[list[Run], bool, tuple[float, float, float, float]]]:
-    """(runs, whether something is painted, box) of the pages of a file in order."""
+    """(runs, whether something is painted, box) of the pages of a file in order. A page that shows nothing, yet holds an
+    image, is not called blank."""
     if b"%PDF-" not in data[:1024]:
         raise ValueError("not a PDF file")
     f = _File(data)
@@ -654,6 +655,10 @@ def read(data: bytes) -> Iterator[tuple[list[Run], bool, tuple[float, float, flo
         parts = content if isinstance(content, list) else [content]
         resources = f.inherited(above, b"Resources")
         m.run(b"\n".join(f.decoded(f.true(p)) for p in parts), resources if isinstance(resources, dict) else {})
+        if not m.runs and not m.painted:
+            held = f.get(resources, b"XObject", dict) or {}
+            heads = [x.head if isinstance(x, Stream) else x for x in map(f.true, held.values())]
+            m.painted = any(f.get(x, b"Subtype") == b"Image" for x in heads)
         yield m.runs, m.painted, _box(f, above)
 
 
