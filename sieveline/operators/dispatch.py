@@ -68,6 +68,13 @@ def available(table: DataFrame, capabilities: Iterable[str]) -> DataFrame:
     return table.filter(satisfied(F.col("requires"), F.array(*map(F.lit, capabilities)).cast("array<string>")))
 
 
+def offered(sources: DataFrame, table: DataFrame) -> DataFrame:
+    """sources (handler_id, capabilities array<string>, ...) with each operation (name) that their own capabilities allow.
+    The registry is small and fixed, so it is broadcast."""
+    t = F.broadcast(table.select(F.col("handler_id").alias("of"), "name", "requires"))
+    return sources.join(t, (F.col("handler_id") == F.col("of")) & satisfied(F.col("requires"), F.col("capabilities"))).drop("of", "requires")
+
+
 def dispatch(mimes: DataFrame, registry: DataFrame) -> DataFrame:
     """One row per distinct mime of a column mime: handler_id and rank of the best pattern, then of the highest
     priority, then of the first registered. Types are few and the registry is fixed, so the pairs are few as well;

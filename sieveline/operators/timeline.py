@@ -133,9 +133,13 @@ def parse_srt(files: DataFrame, text: str = "text") -> DataFrame:
     return c.select("uri", seq.alias("seq"), "start_s", "end_s", "text", F.lit(None).cast("string").alias("speaker"), F.lit("captioned").alias("source"))
 
 
-def suggest_frames(cues: DataFrame, gap_s: float = 10.0) -> DataFrame:
+#: Words of English that point at something seen; another language's are a parameter.
+POINTING = r"(?i)\b(here|this|that|these|look|see|shown?|as you can see|on the (left|right|screen))\b"
+
+
+def suggest_frames(cues: DataFrame, gap_s: float = 10.0, pointing_words: str = POINTING) -> DataFrame:
     """(uri, at_s, why): moments worth looking at: cues that point at something, and long silences."""
-    pointing = cues.filter(F.col("text").rlike(r"(?i)\b(here|this|that|these|look|see|shown?|as you can see|on the (left|right|screen))\b"))
+    pointing = cues.filter(F.col("text").rlike(pointing_words))
     nxt = F.lead("start_s").over(Window.partitionBy("uri").orderBy("seq"))
     gaps = cues.withColumn("next_s", nxt).filter(F.col("next_s") - F.col("end_s") >= gap_s)
     return pointing.select("uri", F.col("start_s").alias("at_s"), F.lit("pointing").alias("why")).union(gaps.select("uri", (F.col("end_s") + (F.col("next_s") - F.col("end_s")) / 2).alias("at_s"), F.lit("silence").alias("why")))

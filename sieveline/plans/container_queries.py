@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from sieveline.plans import fixtures, legacy_fixtures
 from sieveline.plans.file_queries import _TALKS
-from sieveline.plans.perception import Perception
-from sieveline.sources import archives, containers, legacy, pdf
+from sieveline.plans.perception import Perception, tools
+from sieveline.sources import archives, containers, files, legacy, pdf
 from sieveline.sources.workspace import kept, shared_folder
 
 
@@ -75,6 +75,21 @@ def pdf_regions(s, d):
     return Perception(files, depth=0).invoke(asks.select("uri", F.lit("page_region").alias("name"), "params")).select("uri", "text", "degraded", F.col("locator.x").alias("x"), F.col("locator.page").alias("page"), "error")
 
 
+def walked_files(s, d):
+    """All documents as files of a tree, found and read again."""
+    folder = _folder(s)
+    fixtures.written(_t(s, d, "documents").select("text"), folder, 1, ".txt", lambda rows: (rows[0]["text"] or "").encode())
+    w = files.walk(s, folder)
+    return w.select(F.col("uri").endswith(".txt").alias("named"), F.col("length").cast("long").alias("length"), F.sha2("content", 256).alias("content_hash"))
+
+
+def tool_pack(s, d):
+    """The list of paths as a tool gives it, over documents and pages."""
+    docs = _t(s, d, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("uri"), F.encode("text", "UTF-8").alias("content"))
+    pages = _t(s, d, "pages").select(F.concat(F.lit("page/"), F.col("page_id").cast("string"), F.lit(".html")).alias("uri"), F.encode("html", "UTF-8").alias("content"))
+    return tools(Perception(docs.union(pages), depth=0))["list_paths"]()
+
+
 def legacy_words(s, d):
     """Conversations as .doc files, one paragraph for each role and text."""
     f = _talks(s, d, "doc", lambda parts: legacy_fixtures.doc("".join(f"{a}\r{b}\r" for a, b in parts)))
@@ -109,6 +124,8 @@ SQL: dict[str, str] = {
     "legacy_slides": f"""WITH {_TALKS} SELECT 'talk/' || conv_id || '.ppt' AS uri, (i + 1)::INT AS page, role AS title, text AS body, CASE WHEN i = 0 THEN role ELSE '' END AS notes, NULL::VARCHAR AS error FROM t""",
     "legacy_cells": """WITH r AS (SELECT 'book/' || (c_custkey // 100) || '.xls' AS uri, (row_number() OVER (PARTITION BY c_custkey // 100 ORDER BY c_custkey) - 1)::INT AS "row", * FROM customer)
       SELECT uri, 'Data' AS sheet, "row", 0 AS col, c_custkey::VARCHAR AS "value", NULL::VARCHAR AS error FROM r UNION ALL SELECT uri, 'Data', "row", 1, c_name, NULL FROM r UNION ALL SELECT uri, 'Data', "row", 2, round(c_acctbal::DOUBLE, 2)::VARCHAR, NULL FROM r""",
+    "walked_files": "SELECT true AS named, strlen(text)::BIGINT AS length, sha256(text) AS content_hash FROM documents WHERE text <> ''",
+    "tool_pack": "SELECT 'doc/' || doc_id || '.txt' AS uri, 'text' AS handler_id, 'text/plain' AS mime FROM documents UNION ALL SELECT 'page/' || page_id || '.html', 'html', 'text/html' FROM pages",
     "damaged_members": """WITH z AS (SELECT doc_id, 'doc/' || doc_id || '.zip' AS zip, doc_id % 3 = 0 AS spoiled, doc_id % 3 <> 0 AND doc_id % 10 = 1 AS cut, coalesce(text, '') AS text FROM documents)
       SELECT zip || '!text.txt' AS uri, zip AS container, spoiled AS damaged, CASE WHEN NOT spoiled THEN sha256(text) END AS content_hash FROM z WHERE NOT cut
       UNION ALL SELECT zip || '!about.json', zip, false, sha256('{}') FROM z WHERE NOT cut UNION ALL SELECT zip || '!', zip, true, NULL FROM z WHERE cut""",

@@ -231,7 +231,7 @@ def media_cards(s, d):
 
 def kept_renditions(s, d):
     """Renditions and cues through their JSON and back."""
-    docs = _t(s, d, "documents").select(_uri("doc/", "doc_id").alias("uri"), F.left("text", F.lit(40)).alias("text"), L.cell_range(F.col("source"), F.lit(1), F.lit(2), F.lit(3), F.lit(4)).alias("locator"), (F.col("doc_id") % 2 == 0).alias("degraded"))
+    docs = _t(s, d, "documents").select(_uri("doc/", "doc_id").alias("uri"), "text", L.cell_range(F.col("source"), F.lit(1), F.lit(2), F.lit(3), F.lit(4)).alias("locator"), (F.col("doc_id") % 2 == 0).alias("degraded"))
     return from_rendition_json(rendition_json(docs)).select("uri", "text", "degraded", L.describe(F.col("locator")).alias("at"))
 
 
@@ -315,7 +315,7 @@ def frames_described(s, d):
 
 
 def suggested_frames(s, d):
-    c = _t(s, d, "conversations").select(_uri("talk/", "conv_id").alias("uri"), F.col("turn").alias("seq"), (F.col("turn") * 20.0).alias("start_s"), (F.col("turn") * 20.0 + 4.0).alias("end_s"), F.lit("words").alias("text"))
+    c = _t(s, d, "conversations").select(_uri("talk/", "conv_id").alias("uri"), F.col("turn").alias("seq"), (F.col("turn") * 20.0).alias("start_s"), (F.col("turn") * 20.0 + 4.0).alias("end_s"), "text")
     return timeline.suggest_frames(c)
 
 
@@ -427,7 +427,7 @@ SQL: dict[str, str] = {
       UNION ALL SELECT uri, 'read_cells', '''?'' is not a cell or range in A1 notation, which looks like B2 or B2:D10', true FROM n UNION ALL SELECT uri, 'read_sheet', 'sheet ''None'' does not exist; the workbook has: Data', true FROM n)""",
     "media_cards": r"""WITH c AS (SELECT conv_id, count(*) AS n, max(turn) AS last, sum(length('[0:00:00.0] ' || trim(regexp_replace(text, '\s+', ' ', 'g'))) + 1)::BIGINT AS length, string_agg('[0:00:00.0] ' || trim(text), chr(10)) FILTER (turn = 0) AS first FROM conversations GROUP BY conv_id)
       SELECT 'talk/' || conv_id || '.m4a' AS uri, 'audio' AS handler_id, 'audio_streams=1;container=mov;cue_count=' || n || ';duration_s=' || (last * 2 + 2) || '.5;languages=de, en;video_streams=0' AS facts, length, n AS n_segments, coalesce(first, 'nothing was transcribed between 0:00:00.0 and 0:00:02.0') AS span, NULL::VARCHAR AS span_error FROM c""",
-    "kept_renditions": "SELECT 'doc/' || doc_id AS uri, substr(text, 1, 40) AS text, doc_id % 2 = 0 AS degraded, source || ' r1c2' AS \"at\" FROM documents",
+    "kept_renditions": "SELECT 'doc/' || doc_id AS uri, text, doc_id % 2 = 0 AS degraded, source || ' r1c2' AS \"at\" FROM documents",
     "kept_cues": "SELECT 'talk/' || conv_id AS uri, turn AS seq, turn / 4.0::DOUBLE AS start_s, text, role AS speaker FROM conversations",
     "fingerprints": "SELECT doc_id, sha256('asr' || chr(0) || lang || chr(0) || 'vision' || chr(0) || source || chr(0)) AS fingerprint FROM documents",
     "span_overlaps": "SELECT l_linenumber, l_linenumber * 3 < 20 AND 10 < l_linenumber * 3 + l_quantity AS touches, count(*) AS n FROM lineitem GROUP BY ALL",
@@ -444,7 +444,7 @@ SQL: dict[str, str] = {
     "distinct_languages": "SELECT source, string_agg(DISTINCT lang, ',' ORDER BY lang) AS languages FROM documents GROUP BY source",
     "frame_states": "SELECT 'talk/' || conv_id AS uri, CASE role WHEN 'user' THEN 'described' WHEN 'system' THEN 'empty' ELSE 'not looked at' END AS state, count(*) AS n, min(turn) AS first FROM conversations GROUP BY ALL",
     "frames_described": "SELECT 'talk/' || conv_id AS uri, turn AS seq, turn * 5.0::DOUBLE AS start_s, CASE WHEN role = 'user' THEN trim(text, ' ') ELSE '(no description was produced for this frame)' END AS text FROM conversations",
-    "suggested_frames": "WITH w AS (SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations) SELECT 'talk/' || conv_id AS uri, turn * 20.0::DOUBLE + 4 + (nxt * 20.0::DOUBLE - turn * 20.0::DOUBLE - 4) / 2 AS at_s, 'silence' AS why FROM w WHERE nxt IS NOT NULL",
+    "suggested_frames": rf"SELECT 'talk/' || conv_id AS uri, turn * 20.0::DOUBLE AS at_s, 'pointing' AS why FROM conversations WHERE regexp_matches(text, '{timeline.POINTING}') UNION ALL " "SELECT * FROM (WITH w AS (SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations) SELECT 'talk/' || conv_id AS uri, turn * 20.0::DOUBLE + 4 + (nxt * 20.0::DOUBLE - turn * 20.0::DOUBLE - 4) / 2 AS at_s, 'silence' AS why FROM w WHERE nxt IS NOT NULL)",
     "changed_files": "SELECT 'doc/' || doc_id AS path, length(text)::INT AS length, 1 AS modificationTime FROM documents WHERE length(text) % 2 = 1",
     "replies": "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN role || chr(10) || text END AS said FROM conversations",
     "formulas_without_values": """WITH b AS (SELECT 'nation/' || c_nationkey || '.xlsx' AS uri, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r FROM customer), g AS (SELECT uri, list('Data!B' || r ORDER BY r) AS names FROM b GROUP BY uri)

@@ -120,9 +120,9 @@ SQL: dict[str, str] = {
     "registry_dispatch": """WITH k(i, mime, handler_id, rank) AS (VALUES (0, 'text/plain', 'text', 3), (1, 'text/html', 'html', 0), (2, 'application/json', 'text', 0), (3, 'application/pdf', 'pdf', 0), (4, 'image/png', 'image', 3),
       (5, 'audio/mpeg', 'audio', 3), (6, 'video/mp4', 'video', 3), (7, 'application/zip', 'archive', 0), (8, 'application/x-unknown', 'binary', 4), (9, 'application/epub+zip', 'epub', 0))
       SELECT mime, handler_id, rank, count(*) AS n_sources FROM documents JOIN k ON doc_id % 10 = i GROUP BY ALL""",
-    "capability_filter": """SELECT * FROM (VALUES ('text', 1, 'read_range'), ('html', 2, 'read_range,read_section'), ('epub', 2, 'read_chapter,read_range'), ('image', 4, 'ask_about_image,crop_region,describe_image,ocr'),
-      ('pdf', 5, 'ask_about_image,ocr_page,page_image,page_region,read_page'), ('word', 4, 'list_comments,read_range,read_section,read_table'), ('slides', 3, 'describe_slide_image,list_media,read_slide'), ('sheets', 3, 'list_sheets,read_cells,read_sheet'),
-      ('legacy', 2, 'page_image,read_page'), ('video', 5, 'ask_about_image,describe_frame,frame_at,read_transcript,watch_segment'), ('archive', 1, 'list_entries'), ('binary', 1, 'hexdump')) t(handler_id, n, names)""",
+    "capability_filter": """SELECT doc_id, a.handler_id, a.name FROM documents JOIN (VALUES (0, 'text', 'read_range', false), (1, 'html', 'read_section', false), (1, 'html', 'read_range', false), (2, 'image', 'crop_region', false),
+      (2, 'image', 'describe_image', true), (2, 'image', 'ocr', true), (2, 'image', 'ask_about_image', true), (3, 'pdf', 'read_page', false), (3, 'pdf', 'page_region', false), (3, 'pdf', 'page_image', false), (3, 'pdf', 'ocr_page', true),
+      (3, 'pdf', 'ask_about_image', true)) a(k, handler_id, name, needs) ON doc_id % 4 = a.k AND (NOT a.needs OR coalesce(lang = 'en', false))""",
     "uri_split": r"""SELECT page_id, 'a\!' || page_id || '.zip!' || replace(replace(url, '\', '\\'), '!', '\!') AS uri, 2 AS n, url AS member, 'a\!' || page_id || '.zip' AS container FROM pages""",
     "hexdump": f"""WITH {_DOCS}, x AS (SELECT uri, lower(hex(encode(text))) AS h FROM d), y AS (SELECT uri, substr(h, 33, 200) AS h FROM x), l AS (SELECT uri, h, unnest(range((ceil(length(h) / 32.0))::BIGINT)) AS i FROM y),
       z AS (SELECT uri, i, substr(h, i * 32 + 1, 32) AS r FROM l),
