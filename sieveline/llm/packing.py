@@ -10,11 +10,15 @@ than k pieces of each) is laid end to end and cut at the capacity.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
+import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,8 +28,12 @@ from sieveline.llm.common import materialize, small_batches, table
 CAPACITY, END, VOCABULARY = 2048, 1, "word_bpe_49k.json"
 #: A piece is not cut if it leaves free at most this share of its class's share, nor below this share of a sequence.
 FREE, SHORT = 1 / 64, 1 / 16
-#: Words whose ids a worker keeps, and the bytes of a word that it keeps; bytes of ids in one batch of pieces.
-KEPT_WORDS, KEPT_BYTES, OUT_BYTES = 300_000, 64, 8 << 20
+#: Words whose ids a worker keeps (twice as many at most), the bytes of a word that it keeps, new words encoded at once;
+#: bytes of text that are split at once, bytes of ids in one batch of pieces.
+KEPT_WORDS, KEPT_BYTES, ENCODED, IN_BYTES, OUT_BYTES = 300_000, 64, 1000, 2 << 20, 4 << 20
+#: Words of printable ASCII, and their pre-tokens in lower case. The pattern of the tokenizer's file.
+_PLAIN = re.compile(rb"[\x21-\x7E]+").fullmatch
+_PRE_TOKENS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
 #: Sequence numbers: workers number theirs from their own place, bins of the rest have the highest bit but the sign's.
 _WORKER, _REST = 40, 1 << 62
 
@@ -48,27 +56,96 @@ def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 
 class _Words:
-    """A tokenizer that keeps the ids of words. Its pre-tokens never span white space, so a text's ids are its words'."""
+    """A tokenizer that keeps the ids of words. Its pre-tokens never span white space, so a text's ids are its words'.
+
+    Words that were met lately are in one dictionary, those of before in another: what is met again moves over, and when
+    the first is full the second is forgotten. New words are encoded many at a time, as one text, and told apart by the
+    places of their tokens."""
 
     def __init__(self, file: bytes):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task for each core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kept = Tokenizer.from_buffer(file), {}
+        self.tokenizer, self.late, self.before = Tokenizer.from_buffer(file), {}, {}
+
+    def _encoded(self, words: list[str]) -> Iterator[bytes]:
+        e = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        begins = np.cumsum([0, *(len(w) + 1 for w in words)])
+        cut = (4 * np.searchsorted(np.array([o for o, _ in e.offsets], np.int64), begins)).tolist()
+        ids = np.array(e.ids, "<u4").tobytes()
+        return (ids[i:j] for i, j in zip(cut, cut[1:], strict=False))
+
+    def _learn(self, new: set[bytes]) -> None:
+        """Ids of new words. Plain words are cut into the tokenizer's pre-tokens first, which many words share."""
+        rows, parts = {}, set()
+        for w in new:
+            if _PLAIN(w):
+                rows[w] = cut = _PRE_TOKENS(w.lower())
+                parts.update(cut)
+            else:
+                parts.add(w)
+        parts.difference_update(self.late)
+        for w in self.before.keys() & parts:
+            self.late[w] = self.before[w]
+            parts.discard(w)
+        some = list(parts)
+        for at in range(0, len(some), ENCODED):
+            part = some[at : at + ENCODED]
+            self.late.update(zip(part, self._encoded([w.decode("utf-8") for w in part]), strict=True))
+        get = self.late.__getitem__
+        for w, cut in rows.items():
+            if len(cut) > 1 or cut[0] != w:
+                self.late[w] = b"".join(map(get, cut))
 
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text in UTF-8."""
         words = [t.split() for t in texts]  # at space and U+0009 to U+000D
-        if len(self.kept) > KEPT_WORDS:
-            self.kept.clear()
-        new = list({w for ws in words for w in ws if w not in self.kept})
-        rare = {}
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch([w.decode("utf-8") for w in some], add_special_tokens=False), strict=True):
-                (self.kept if len(w) <= KEPT_BYTES else rare)[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        kept = self.kept.__getitem__ if not rare else (self.kept | rare).__getitem__
+        if len(self.late) > KEPT_WORDS:
+            self.late, self.before = {}, self.late
+        late, before = self.late, self.before
+        new = set().union(*words).difference(late)
+        for w in before.keys() & new:
+            late[w] = before[w]
+        new.difference_update(late)
+        self._learn(new)
+        found = late.__getitem__
         for ws in words:
-            yield b"".join(map(kept, ws))
+            yield b"".join(map(found, ws))
+        for w in new:
+            if len(w) > KEPT_BYTES:
+                late.pop(w, None)
+
+
+_words: dict[int, _Words] = {}
+
+
+def _worker_words(file: bytes) -> _Words:
+    """One tokenizer a worker, whatever tasks it runs."""
+    key = zlib.crc32(file)
+    if key not in _words:
+        _words.clear()
+        _words[key] = _Words(file)
+    return _words[key]
+
+
+def _slices(b: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
+    """The ids and texts of a batch's documents, some at a time."""
+    names, texts, size = [], [], 0
+    for name, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
+        names.append(name)
+        texts.append(t or b"")
+        size += len(texts[-1])
+        if size > IN_BYTES:
+            yield names, texts
+            names, texts, size = [], [], 0
+    if names:
+        yield names, texts
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "int": pa.int32()}
+    fields = [pa.field(n, kinds[t]) for n, t in (c.split() for c in PIECES.split(", "))]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=pa.schema(fields))
 
 
 def packed_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -83,37 +160,39 @@ def packed_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     with open(path or public_tokenizers.path(VOCABULARY), "rb") as f:
         file = spark.sparkContext.broadcast(f.read())  # the size of a vocabulary
     last, width = struct.pack("<I", end), 4
-    names = [c.split()[0] for c in PIECES.split(", ")]
 
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, worker, filled, rows, size = _Words(file.value), TaskContext.get().partitionId(), 0, [], 0
+    def fill(batches):
+        words, worker, filled = _worker_words(file.value), TaskContext.get().partitionId(), 0
         open_: dict[int, list[tuple]] = {}
-        for g in batches:
-            for name, ids in zip(g["doc_id"], words.ids([t.encode("utf-8") if t else b"" for t in g["text"]]), strict=True):
-                ids += last
-                n, start = len(ids) // width, 0
-                for length, k in cuts(n, capacity):
-                    bin_ = open_.setdefault(k, [])
-                    bin_.append((name, start, length, ids[start * width : (start + length) * width], n))
-                    start += length
-                    if len(bin_) == k:
-                        offset = 0
-                        for piece in bin_:
-                            rows.append((*piece, (worker << _WORKER) + filled, offset, k, worker, None))
-                            offset += piece[2]
-                        size += offset * width
-                        filled += 1
-                        open_[k] = []
+        rows: list[tuple] = []
+        size = 0
+        for b in batches:
+            for names, texts in _slices(b):
+                for name, ids in zip(names, words.ids(texts), strict=True):
+                    ids += last
+                    n, start = len(ids) // width, 0
+                    for length, k in cuts(n, capacity):
+                        bin_ = open_.setdefault(k, [])
+                        bin_.append((name, start, length, ids[start * width : (start + length) * width], n))
+                        start += length
+                        if len(bin_) == k:
+                            offset = 0
+                            for piece in bin_:
+                                rows.append((*piece, (worker << _WORKER) + filled, offset, k, worker, None))
+                                offset += piece[2]
+                            size += offset * width
+                            filled += 1
+                            open_[k] = []
                 if size > OUT_BYTES:
-                    yield pd.DataFrame(rows, columns=names)
+                    yield _batch(rows)
                     rows, size = [], 0
         rows += [(*piece, None, None, k, worker, i) for k, bin_ in open_.items() for i, piece in enumerate(bin_)]
         if rows:
-            yield pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("sequence_id", "offset", "place")})
+            yield _batch(rows)
 
     kind = docs.schema[doc_id].dataType.simpleString()
     named = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"))
-    pieces = materialize(named.mapInPandas(fill, PIECES).withColumn("doc_id", F.col("doc_id").cast(kind)), "packing-pieces")
+    pieces = materialize(named.mapInArrow(fill, PIECES).withColumn("doc_id", F.col("doc_id").cast(kind)), "packing-pieces")
     out = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
     return pieces.filter("sequence_id is not null").select(*out).union(_rest(pieces.filter("sequence_id is null"), capacity).select(*out))
 
