@@ -347,6 +347,7 @@ def encode_documents(docs: DataFrame, text: str = "text", path: str | None = Non
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns of all documents: null texts are empty, repeated rows come each, no documents give no rows."""
     docs = table(spark, sf_dir, "documents")
     out = docs.select("doc_id", round_trip_digests(spark, F.col("text")).alias("d"))
     return out.select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")

@@ -91,6 +91,7 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", car
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns of all documents; an empty table gives no rows."""
     return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 

@@ -543,5 +543,6 @@ def score_documents(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text
 
 
 def op5_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns of all documents; without any to learn from every token is unknown, no documents give no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", fold("doc_id", 10, 0).alias("held_out"))
     return score_documents(docs, "held_out")

@@ -141,6 +141,7 @@ def predict(docs: DataFrame, model: BitmaskFilter, text: str = "text") -> DataFr
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns of all documents; without labelled ones all are `und`, no documents give no rows."""
     docs = table(spark, sf_dir, "documents")
     held_out = fold("doc_id", 4, 2)
     model = fit(docs.filter(~held_out))

@@ -65,7 +65,8 @@ def repetition_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """The mixed documents themselves: every row of docs, with all of its columns, as often as its plan says."""
+    """The mixed documents themselves: every row of docs, with all of its columns, as often as its plan says. An empty
+    table gives an empty result."""
     kept = [free_name(docs, f"keep_{i}") for i in range(len(docs.columns))]
     plain = docs.select(*(F.col(c).alias(k) for c, k in zip(docs.columns, kept, strict=True)))
     name = dict(zip(docs.columns, kept, strict=True))
@@ -75,6 +76,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns of all documents; an empty table gives no rows."""
     plan = repetition_plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 

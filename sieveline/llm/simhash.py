@@ -110,5 +110,6 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns of all documents; an empty table gives no rows."""
     out = simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")

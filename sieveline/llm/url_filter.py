@@ -100,6 +100,7 @@ def drawn_entries(hosts: DataFrame) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for each page by the entries that were active when it was fetched; an empty table gives no rows."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", (F.col("page_id") % 365).cast("int").alias("fetch_day"))
     hosts = pages.select(host_of(F.col("url")).alias("host")).filter("host is not null").distinct()
     out = evaluate(pages, intervals(drawn_entries(hosts)))

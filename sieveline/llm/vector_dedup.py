@@ -607,4 +607,5 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
 
 
 def op4_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns of all vectors, with the audit's; an empty table gives no rows."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))

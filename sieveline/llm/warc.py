@@ -320,6 +320,7 @@ def write_warc(records: DataFrame, path: str) -> None:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns of all pages, read back from the archives; an empty table gives no rows."""
     path = shared_path(spark, "warc")
     write_warc(plan_records(table(spark, sf_dir, "pages")), path)
     return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
