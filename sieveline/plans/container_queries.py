@@ -13,6 +13,7 @@ from sieveline.plans.file_queries import _TALKS
 from sieveline.plans.perception import Perception, tools
 from sieveline.sources import archives, containers, files, legacy, pdf
 from sieveline.sources.workspace import kept, shared_folder
+from sieveline.streaming import narrate
 
 
 def _t(spark, d: str, name: str) -> DataFrame:
@@ -75,6 +76,13 @@ def pdf_regions(s, d):
     return Perception(files, depth=0).invoke(asks.select("uri", F.lit("page_region").alias("name"), "params")).select("uri", "text", "degraded", F.col("locator.x").alias("x"), F.col("locator.page").alias("page"), "error")
 
 
+def narrated_operations(s, d):
+    """Views as operations that clicks report on and purchases finish, timed out after two days of silence."""
+    kinds = {"view": narrate.STARTED, "click": narrate.PROGRESSED, "purchase": narrate.FINISHED}
+    said = narrate.narrated_batch(narrate.narration_events(_t(s, d, "events"), "user_id", "event_type", "ts", "event_id", kinds), 2 * 86_400)
+    return said.select("key", "state", F.date_format(F.timestamp_micros("at_us"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "n_progress", "elapsed_us")
+
+
 def walked_files(s, d):
     """All documents as files of a tree, found and read again."""
     folder = _folder(s)
@@ -126,6 +134,16 @@ SQL: dict[str, str] = {
       SELECT uri, 'Data' AS sheet, "row", 0 AS col, c_custkey::VARCHAR AS "value", NULL::VARCHAR AS error FROM r UNION ALL SELECT uri, 'Data', "row", 1, c_name, NULL FROM r UNION ALL SELECT uri, 'Data', "row", 2, round(c_acctbal::DOUBLE, 2)::VARCHAR, NULL FROM r""",
     "walked_files": "SELECT true AS named, strlen(text)::BIGINT AS length, sha256(text) AS content_hash FROM documents WHERE text <> ''",
     "tool_pack": "SELECT 'doc/' || doc_id || '.txt' AS uri, 'text' AS handler_id, 'text/plain' AS mime FROM documents UNION ALL SELECT 'page/' || page_id || '.html', 'html', 'text/html' FROM pages",
+    "narrated_operations": """WITH e AS (SELECT user_id::VARCHAR AS key, CASE event_type WHEN 'view' THEN 'started' WHEN 'click' THEN 'progressed' ELSE 'finished' END AS kind, epoch_us(ts) AS at_us, event_id AS number FROM events WHERE event_type IN ('view', 'click', 'purchase')),
+      g AS (SELECT *, lag(at_us) OVER w AS before, lead(at_us) OVER w AS after FROM e WINDOW w AS (PARTITION BY key ORDER BY at_us, number)),
+      p AS (SELECT *, sum(CASE WHEN at_us - before > 172800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY at_us, number ROWS UNBOUNDED PRECEDING) AS part FROM g),
+      q AS (SELECT *, last_value(CASE WHEN kind <> 'progressed' THEN kind END IGNORE NULLS) OVER v AS edge_kind, last_value(CASE WHEN kind <> 'progressed' THEN at_us END IGNORE NULLS) OVER v AS edge_at FROM p
+        WINDOW v AS (PARTITION BY key, part ORDER BY at_us, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+      o AS (SELECT *, CASE WHEN kind = 'started' THEN at_us ELSE edge_at END AS began FROM q WHERE kind = 'started' OR edge_kind = 'started'),
+      n AS (SELECT *, sum((kind = 'progressed')::BIGINT) OVER (PARTITION BY key, part, began ORDER BY at_us, number ROWS UNBOUNDED PRECEDING)::BIGINT AS n FROM o),
+      r AS (SELECT key, kind AS state, at_us, n AS n_progress, at_us - began AS elapsed_us FROM n
+        UNION ALL SELECT key, 'timed out', at_us + 172800000000, n, at_us + 172800000000 - began FROM n WHERE kind <> 'finished' AND CASE WHEN after IS NOT NULL THEN after > at_us + 172800000000 ELSE at_us + 172800000000 < (SELECT max(at_us) FROM e) END)
+      SELECT key, state, strftime(make_timestamp(at_us), '%Y-%m-%d %H:%M:%S.%f') AS "at", n_progress, elapsed_us FROM r""",
     "damaged_members": """WITH z AS (SELECT doc_id, 'doc/' || doc_id || '.zip' AS zip, doc_id % 3 = 0 AS spoiled, doc_id % 3 <> 0 AND doc_id % 10 = 1 AS cut, coalesce(text, '') AS text FROM documents)
       SELECT zip || '!text.txt' AS uri, zip AS container, spoiled AS damaged, CASE WHEN NOT spoiled THEN sha256(text) END AS content_hash FROM z WHERE NOT cut
       UNION ALL SELECT zip || '!about.json', zip, false, sha256('{}') FROM z WHERE NOT cut UNION ALL SELECT zip || '!', zip, true, NULL FROM z WHERE cut""",
