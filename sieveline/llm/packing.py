@@ -31,9 +31,10 @@ FREE, SHORT = 1 / 64, 1 / 16
 #: Words whose ids a worker keeps (twice as many at most), the bytes of a word that it keeps, new words encoded at once;
 #: bytes of text that are split at once, bytes of ids in one batch of pieces.
 KEPT_WORDS, KEPT_BYTES, ENCODED, IN_BYTES, OUT_BYTES = 300_000, 64, 1000, 2 << 20, 4 << 20
-#: Words of printable ASCII, and their pre-tokens in lower case. The pattern of the tokenizer's file.
-_PLAIN = re.compile(rb"[\x21-\x7E]+").fullmatch
-_PRE_TOKENS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
+#: Words of printable ASCII and the accented letters of U+00C0 to U+00FF, and their pre-tokens in lower case. Fixed
+#: values: the pattern of the tokenizer's file.
+_PLAIN = re.compile(rb"(?:[\x21-\x7E]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+").fullmatch
+_PRE_TOKENS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿ]+|[0-9]|[^a-z0-9à-öø-ÿ]+").findall
 #: Sequence numbers: workers number theirs from their own place, bins of the rest have the highest bit but the sign's.
 _WORKER, _REST = 40, 1 << 62
 
@@ -67,6 +68,8 @@ class _Words:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.late, self.before = Tokenizer.from_buffer(file), {}, {}
+        own = [re.escape(t.content.encode("utf-8")) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile(b"|".join(own) or b"(?!)").search  # tokens that no pattern cuts
 
     def _encoded(self, words: list[str]) -> Iterator[bytes]:
         e = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
@@ -79,8 +82,8 @@ class _Words:
         """Ids of new words. Plain words are cut into the tokenizer's pre-tokens first, which many words share."""
         rows, parts = {}, set()
         for w in new:
-            if _PLAIN(w):
-                rows[w] = cut = _PRE_TOKENS(w.lower())
+            if _PLAIN(w) and not self.whole(w):
+                rows[w] = cut = [p.encode("utf-8") for p in _PRE_TOKENS(w.decode("utf-8").lower())]
                 parts.update(cut)
             else:
                 parts.add(w)

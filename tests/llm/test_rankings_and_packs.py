@@ -237,6 +237,16 @@ def test_pieces_fill_their_class(n, capacity):
         assert length * k <= capacity < length * (k + 1)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(["a<|endoftext|>b <|startoftext|>", "IT'S we'Ve <|x|>"]), st.text(st.one_of(st.sampled_from("abzAZ019'stlmdre.,-_ÀÖ×ØÞßàö÷øÿŸİ漢é \n\x0b\x1c\u00a0"), st.characters(blacklist_categories=("Cs",))), max_size=30)), max_size=4))
+def test_ids_by_words_are_ids_by_text(texts):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, "rb") as f:
+        words = packing._worker_words(f.read())
+    want = [np.array(e.ids, "<u4").tobytes() for e in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert list(words.ids([t.encode("utf-8") for t in texts])) == want
+
+
 def test_documents_of_the_tables_are_packed_with_little_padding(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     got = packing.packed_pieces(df).collect()
