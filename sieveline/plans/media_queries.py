@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.plans import fixtures, media_fixtures
 from sieveline.plans.file_queries import _TALKS
 from sieveline.plans.perception import Perception
-from sieveline.sources import media
+from sieveline.sources import images, media
 from sieveline.sources.workspace import kept
 
 
@@ -49,7 +50,20 @@ def caption_timelines(s, d):
     return card.join(p.represent().select("uri", F.md5("text").alias("text_md5"), "n_segments"), "uri")
 
 
+def image_crops(s, d):
+    """A grey picture of eight by eight for each document, the digits of its text's SHA-256; of each its middle."""
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    rows = _t(s, d, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("uri"), digest.alias("digest"))
+    pictures = fixtures.made(rows, lambda r: media_fixtures.png(np.frombuffer(r["digest"].encode(), np.uint8).reshape(8, 8, 1), 8, 0))
+    quarter = lambda c: F.lit(c).alias
+    asked = rows.select("uri", quarter(0.25)("x"), quarter(0.25)("y"), quarter(0.5)("w"), quarter(0.5)("h"))
+    crops = images.crop_regions(pictures, asked)
+    shown = fixtures.made(crops.select("uri", "png"), lambda r: images.pixels(r["png"])[0].tobytes())
+    return shown.select("uri", F.decode("content", "UTF-8").alias("shown")).join(crops.select("uri", "width", "height", "error"), "uri")
+
+
 SQL: dict[str, str] = {
+    "image_crops": "WITH x AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents) SELECT 'doc/' || doc_id AS uri, substr(h, 19, 4) || substr(h, 27, 4) || substr(h, 35, 4) || substr(h, 43, 4) AS shown, 4 AS width, 4 AS height, NULL::VARCHAR AS error FROM x",
     "media_captions": f"""WITH {_TALKS} SELECT 'talk/' || conv_id || e.suffix AS uri, i AS seq, i * 2.0::DOUBLE AS start_s, i * 2.0::DOUBLE + 1.5 AS end_s, text, 'captioned' AS source FROM t, (VALUES ('.mp4'), ('.mkv')) e(suffix)""",
     "media_facts": """WITH k AS (SELECT p_partkey AS k FROM part)
       SELECT 'part/' || k || '.mp4' AS uri, 'mp4' AS container, ((k % 200 + 1) * 40)::BIGINT AS ms, 3 AS n_streams, 'video' AS kind, NULL::INT AS channels, 640 AS width, NULL::VARCHAR AS error FROM k

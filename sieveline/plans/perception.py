@@ -23,8 +23,8 @@ from sieveline.functions.text import word_count
 from sieveline.operators import answers, cache, formats, html, timeline
 from sieveline.operators.dispatch import affordances, available, dispatch, handlers, resolve_names
 from sieveline.operators.flatten import DEGRADATION, group_barriers, represent
-from sieveline.sources import containers, documents, legacy, media, pdf
-from sieveline.sources.files import image_facts, sources
+from sieveline.sources import containers, documents, images, legacy, media, pdf
+from sieveline.sources.files import sources
 from sieveline.sources.store import ArtifactStore
 from sieveline.sources.workspace import kept
 
@@ -142,7 +142,7 @@ class Perception:
             return g.select("uri", _named("title", "author", "chapter_count", "word_count").alias("facts"), none)
 
         leaf = lambda: formats.page_card(pdf.read_pages(self.of("pdf")).filter("error is null")).select("uri", _named("page_count", "text_pages", "characters").alias("facts"), none)
-        image = lambda: image_facts(self.of("image")).select("uri", _named("decodable", "format", "width", "height").alias("facts"), none)
+        image = lambda: images.read_sizes(self.of("image").select("uri", "content")).select("uri", _named("decodable", "format", "width", "height").alias("facts"), none)
 
         def film():
             streams = lambda kind: F.size(F.filter("streams", lambda s: s["kind"] == kind))
