@@ -3,8 +3,6 @@ both reach them, then listed and read by seeks."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from sieveline.plans import fixtures, legacy_fixtures
 from sieveline.plans.file_queries import _TALKS
 from sieveline.plans.perception import Perception, tools
 from sieveline.sources import archives, containers, files, legacy, pdf
-from sieveline.sources.workspace import kept, shared_folder
+from sieveline.sources.workspace import kept, new_folder
 from sieveline.streaming import narrate
 
 
@@ -21,7 +19,7 @@ def _t(spark, d: str, name: str) -> DataFrame:
 
 
 def _folder(s) -> str:
-    return f"{shared_folder(s)}/archives-{uuid.uuid4().hex}"
+    return new_folder(s, "archives")
 
 
 def archive_members(s, d):

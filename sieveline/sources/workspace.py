@@ -23,8 +23,14 @@ def shared_folder(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which clear deletes with the others."""
+    _written.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
 def clear(spark: SparkSession) -> None:
-    """Delete what kept has written for this process. Results that read it must have been computed."""
+    """Delete what was written here for this process. Results that read it must have been computed."""
     while _written:
         path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -33,8 +39,7 @@ def clear(spark: SparkSession) -> None:
 def kept(df: DataFrame, name: str, *by: str) -> DataFrame:
     """df written once as Parquet, in a folder for each value of the columns by, and read again: later plans scan the
     folders and columns they ask for, and a lost executor costs nothing that was done before."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    path = new_folder(df.sparkSession, name)
     writer = df.write
     if by:
         writer = writer.partitionBy(*by)
