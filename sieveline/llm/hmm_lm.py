@@ -365,7 +365,7 @@ def neighbourhoods(rows: DataFrame, vocab: Vocabulary, places: np.ndarray) -> np
 
 def trained(rows: DataFrame, vocab: Vocabulary, states: int = STATES, passes: int = PASSES) -> tuple[Chain, DataFrame, np.ndarray]:
     """Baum-Welch over coded training texts (seq, tail_pos, tail_token): the chain (its start and moves), materialized
-    rows (token, c, g0, g1, ...: the count and expected counts by state) of the tail, and the states' expected counts of
+    rows (token, c, g0, g1, ...: the count and expected counts by state, the last of which is what the others leave) of the tail, and the states' expected counts of
     the head and the end. Each task sums its expected counts, Spark sums the tasks'."""
     spark, prior = rows.sparkSession, vocab.prior
     places = np.argsort(-np.where(np.arange(len(prior)) == UNKNOWN, -1, prior), kind="stable")[: min(NEIGHBOURS, max(1, len(prior) - 1))]
@@ -409,7 +409,9 @@ def trained(rows: DataFrame, vocab: Vocabulary, states: int = STATES, passes: in
             if len(tokens):
                 t = pa.table([tokens, *(pa.array(probs[:, i]) for i in range(k))], names=["token", *columns]).group_by("token").aggregate([([], "count_all"), *((x, "sum") for x in columns)]).combine_chunks()
                 for part in t.to_batches():
-                    yield table(part.column("token"), 0, part.column("count_all").to_numpy(), np.stack([part.column(f"{x}_sum").to_numpy() for x in columns], 1))
+                    values = np.stack([part.column(f"{x}_sum").to_numpy() for x in columns], 1)
+                    values[:, -1] = 0  # is what the count and the others leave, so it needn't be shuffled
+                    yield table(part.column("token"), 0, part.column("count_all").to_numpy(), values)
         at = np.flatnonzero(known.sum(1) > 0)
         yield table(pa.array([str(i) for i in at], pa.string()), 1, 0, known[at])
         yield table(pa.array([str(i) for i in range(k + 1)], pa.string()), 2, 0, np.vstack([start, moves]))
@@ -424,7 +426,8 @@ def trained(rows: DataFrame, vocab: Vocabulary, states: int = STATES, passes: in
     known[at[kind == 1]] = values[kind == 1]
     rest[at[kind == 2]] = values[kind == 2]
     last = maximized(rest[0], rest[1:], np.zeros((c, k)), prior)
-    return Chain(last.start, last.move, chain.emit), gathered.filter("kind = 0").drop("kind"), known
+    left = F.greatest(F.lit(0.0), F.col("c") - sum((F.col(x).cast("double") for x in columns[:-1]), F.lit(0.0)))
+    return Chain(last.start, last.move, chain.emit), gathered.filter("kind = 0").drop("kind").withColumn(columns[-1], left), known
 
 
 def coded(docs: DataFrame, vocab: Vocabulary, held_out: str, text: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -461,7 +464,7 @@ def coded(docs: DataFrame, vocab: Vocabulary, held_out: str, text: str = "text",
 
     given = docs.select(*(carry or []), F.col(held_out).alias("held_out"), F.monotonically_increasing_id().alias("rid"), F.col(text).alias("_text"))
     schema = T.StructType([*given.schema.fields[:-1], *T._parse_datatype_string(made).fields])
-    return materialize(given.mapInArrow(encode, schema), "hmm-coded")
+    return materialize(given.mapInArrow(encode, schema), "hmm-coded", "zstd")
 
 
 class Emissions:
@@ -497,7 +500,7 @@ def score_documents(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text
     else:
         chain, gathered, held = trained(rows.filter(~F.col("held_out")), vocab, states, passes)
         drop_files(counts)
-        known = gathered.select("token", "c", F.array(*(F.col(x).cast("float") for x in columns)).alias("g"))
+        known = gathered.select("token", "c", F.array(*(F.col(x).cast("float") for x in columns[:-1])).cast("array<float>").alias("g"))
         summed = lambda *of: np.array([r or 0.0 for r in gathered.agg(*(F.sum(x) for x in of)).first()])  # noqa: E731  one number a state
         by_state = summed(*columns) + held.sum(0)
         emissions = Emissions(by_state / by_state.sum(), 1 - vocab.unknown)
@@ -527,7 +530,9 @@ def score_documents(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text
             s[p] = last + 1
             seen = cs > 0
             if seen.any():
-                extra.append(emissions.of(np.asarray(gs, np.float64).reshape(-1, k), cs[seen]))
+                most = np.asarray(gs, np.float64).reshape(int(seen.sum()), k - 1)
+                whole_g = np.concatenate([most, np.maximum(0.0, cs[seen][:, None] - most.sum(1, keepdims=True))], 1)
+                extra.append(emissions.of(whole_g, cs[seen]))
                 s[p[seen]] = n + np.arange(seen.sum())
                 n += int(seen.sum())
         return pd.Series(Chain(whole.start, whole.move, np.vstack([whole.emit, *extra])).log10(seqs))
