@@ -530,6 +530,21 @@ def test_hmm_scores_are_those_of_a_single_process(spark):
         assert math.isclose(got[i], log + math.log10(a.sum()), rel_tol=1e-5), i
 
 
+def test_more_states_beat_one_on_known_tokens(spark):
+    """Texts in two sets of words: what unknown tokens get is the same for any number of states, so all of the gain over
+    one state is on known tokens; two states know which set a text goes on in."""
+    r = random.Random(4)
+    sets = [[f"a{i}" for i in range(40)], [f"b{i}" for i in range(40)]]
+    rows = [(i, " ".join(r.choice(sets[i % 2]) for _ in range(60)) + (" never seen" if i % 5 == 0 else "")) for i in range(120)]
+    d = docs(spark, rows).withColumn("held", F.col("doc_id") % 5 == 0)
+    sums = {}
+    for states in (1, 2):
+        got = hmm_lm.score_documents(d, "held", states=states).filter("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base"), F.sum(F.col("n_tokens") - F.col("n_known")).alias("unknown"), F.sum("n_known").alias("known")).first()
+        sums[states] = got
+    assert sums[1].unknown == sums[2].unknown > 0
+    assert (sums[2].score - sums[1].score) / sums[2].known > 0.2  # of log10(2) = 0.301 that the set is worth
+
+
 def test_hmm_is_a_distribution(spark):
     """Over one-token texts: known words, and one unknown, come to what texts of one token have in all."""
     d = docs(spark, [(i, t) for i, t in enumerate(["a b", "a c c", "b a d", "a"])]).withColumn("held_out", F.lit(False))
