@@ -34,7 +34,7 @@ KEPT_WORDS, KEPT_BYTES, ENCODED, IN_BYTES, OUT_BYTES = 300_000, 64, 1000, 2 << 2
 #: Words of printable ASCII and the accented letters of U+00C0 to U+00FF, and their pre-tokens in lower case. Fixed
 #: values: the pattern of the tokenizer's file.
 _PLAIN = re.compile(rb"(?:[\x21-\x7E]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+").fullmatch
-_PRE_TOKENS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿ]+|[0-9]|[^a-z0-9à-öø-ÿ]+").findall
+_PRE_TOKENS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
 #: Sequence numbers: workers number theirs from their own place, bins of the rest have the highest bit but the sign's.
 _WORKER, _REST = 40, 1 << 62
 
@@ -87,7 +87,7 @@ class _Words:
                 parts.update(cut)
             else:
                 parts.add(w)
-        parts.difference_update(self.late)
+        parts = parts.difference(self.late)  # looks parts up; difference_update would pass over all that is kept
         for w in self.before.keys() & parts:
             self.late[w] = self.before[w]
             parts.discard(w)
