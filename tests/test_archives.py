@@ -181,3 +181,16 @@ def test_an_archive_that_is_none_says_so(spark):
     files = spark.createDataFrame([("cut.zip", zipped([("a", b"a" * 5000)])[:40]), ("ok.zip", zipped([("a", b"a")]))], "uri string, content binary")
     got = {r.uri: r for r in containers.expand(files, depth=1).filter("depth = 1").collect()}
     assert "BadZipFile" in got["cut.zip!"].error and got["ok.zip!a"].content == b"a"
+
+
+def test_packed_bytes_that_are_like_an_office_name_make_no_document(spark):
+    from sieveline.sources import files
+
+    odd = zipped([("0.txt", b"one xl/ two ppt/ three word/"), ("b.txt", b"b")], zipfile.ZIP_STORED)
+    mixed = zipped([("0.txt", b"bee\xa7\x86\xc2\xf0")], zipfile.ZIP_STORED)  # 786C2F across half bytes
+    books = [("a.zip", odd), ("b.zip", mixed), *((f"{n}.bin", zipped([("[Content_Types].xml", b"<Types/>"), (f"{n}/x.xml", b"<x/>")])) for n in ("xl", "ppt", "word"))]
+    f = spark.createDataFrame(books, "uri string, content binary")
+    got = {r.uri: r.mime for r in f.select("uri", files.detect(F.substring("content", 1, files.HEAD), F.col("uri")).alias("mime")).collect()}
+    assert got["a.zip"] == got["b.zip"] == "application/zip"
+    assert [got[f"{n}.bin"].rpartition(".")[2] for n in ("xl", "ppt", "word")] == ["sheet", "presentation", "document"]
+    assert {r.uri for r in containers.expand(f.filter("uri = 'a.zip'")).collect()} == {"a.zip", "a.zip!0.txt", "a.zip!b.txt"}
