@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from sieveline.functions.locators import char_span
 from sieveline.functions.text import cut, word_count
 from sieveline.operators.flatten import DEGRADATION
+from sieveline.sources.files import small_batches
 
 #: Tags that end one run of prose and begin another.
 BLOCK_TAGS = (
@@ -130,14 +131,14 @@ def parsed(pages: DataFrame, source: str = "html") -> DataFrame:
     carry = [c for c in pages.columns if c != source and c.lower() not in made]
 
     def read(batches):
-        for b in batches:
+        for b in batches:  # of few pages
             got = [read_page(s) for s in b.column(0).to_pylist()]
             title, blocks = pa.array([t for t, _ in got], pa.string()), pa.array([x for _, x in got], pa.list_(_BLOCK))
             yield pa.RecordBatch.from_arrays([*b.columns[2:], title, b.column(1), blocks], names=[*carry, "title", "size_bytes", "blocks"])
 
     schema = T.StructType([*(pages.schema[c] for c in carry), *T._parse_datatype_string(f"title string, size_bytes bigint, blocks array<{BLOCK}>").fields])
     size = F.coalesce(F.octet_length(source), F.lit(0)).cast("long")
-    return pages.select(F.col(source).alias("_markup"), size.alias("_size"), *carry).mapInArrow(read, schema)
+    return small_batches(pages).select(F.col(source).alias("_markup"), size.alias("_size"), *carry).mapInArrow(read, schema)
 
 
 def blocks(pages: DataFrame, uri: str = "uri", source: str = "html") -> DataFrame:

@@ -38,7 +38,7 @@ def media_facts(s, d):
         "mp3": lambda k: media_fixtures.mp3(k % 50 + 4, k % 2 + 1, k % 3 == 0), "ogg": lambda k: media_fixtures.ogg(k % 2 + 1, k * 48),
     }
     kinds = F.explode(F.array(*map(F.lit, makes))).alias("kind")
-    rows = _t(s, d, "part").select("p_partkey", kinds).select(F.concat(F.lit("part/"), F.col("p_partkey").cast("string"), F.lit("."), F.col("kind")).alias("uri"), "p_partkey", "kind")
+    rows = fixtures.spread(_t(s, d, "part").select("p_partkey"), "p_partkey").select("p_partkey", kinds).select(F.concat(F.lit("part/"), F.col("p_partkey").cast("string"), F.lit("."), F.col("kind")).alias("uri"), "p_partkey", "kind")
     f = media.read_facts(fixtures.made(rows, lambda r: makes[r["kind"]](r["p_partkey"])))
     return f.select("uri", "container", F.round(F.col("duration_s") * 1000).cast("long").alias("ms"), F.size("streams").alias("n_streams"), F.col("streams")[0]["kind"].alias("kind"), F.col("streams")[0]["channels"].alias("channels"), F.col("streams")[0]["width"].alias("width"), "error")
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions.text import join_uri, unsafe_member
 from sieveline.operators.dispatch import ARCHIVES
-from sieveline.sources.files import HEAD, NOT_A_FOLDER, detect, record_batch
+from sieveline.sources.files import HEAD, NOT_A_FOLDER, detect, gathered, small_batches
 
 ENTRY = "uri string, seq long, path string, size_bytes long, compressed_bytes long, is_dir boolean, is_symlink boolean, byte_offset long, error string"
 READ = "uri string, member string, exists boolean, size_bytes long, data binary, error string"
@@ -97,9 +97,9 @@ def entries(archives: DataFrame, content: str = "content", openers: Mapping[str,
                     rows += [{"uri": uri, "seq": i, "error": None} | e for i, (e, _) in enumerate(opened(data, mime))]
                 except _BROKEN as x:
                     rows.append({"uri": uri, "seq": len(rows), "error": f"{type(x).__name__}: {x}"})
-                yield record_batch(rows, ENTRY)
+                yield from rows
 
-    return rows_in.mapInArrow(read, ENTRY)
+    return small_batches(rows_in).mapInArrow(lambda batches: gathered(read(batches), ENTRY), ENTRY)
 
 
 def unpack(archives: DataFrame, member_bytes: int = MEMBER_BYTES, ratio: int = RATIO, total_bytes: int = TOTAL_BYTES, openers: Mapping[str, Callable] | None = None) -> DataFrame:
@@ -124,11 +124,11 @@ def unpack(archives: DataFrame, member_bytes: int = MEMBER_BYTES, ratio: int = R
                                 body, error = None, "archive swells past its limit"
                         except _BROKEN as x:
                             error = f"{type(x).__name__}: {x}"
-                        yield record_batch([{"container": uri, "member": e["path"], "content": body, "error": error}], MEMBER)
+                        yield {"container": uri, "member": e["path"], "content": body, "error": error}
                 except _BROKEN as x:
-                    yield record_batch([{"container": uri, "error": f"{type(x).__name__}: {x}"}], MEMBER)
+                    yield {"container": uri, "error": f"{type(x).__name__}: {x}"}
 
-    return rows_in.mapInArrow(read, MEMBER)
+    return small_batches(rows_in).mapInArrow(lambda batches: gathered(read(batches), MEMBER), MEMBER)
 
 
 def read_member(archives: DataFrame, asked: DataFrame, openers: Mapping[str, Callable] | None = None) -> DataFrame:
@@ -154,9 +154,9 @@ def read_member(archives: DataFrame, asked: DataFrame, openers: Mapping[str, Cal
                     rows += [{"uri": row["uri"], "member": m, "exists": False} for m, ranges in todo.items() for _ in ranges]
                 except _BROKEN as x:
                     rows = [{"uri": row["uri"], "member": a["member"], "exists": None, "error": f"{type(x).__name__}: {x}"} for a in row["asks"]]
-                yield record_batch(rows, READ)
+                yield from rows
 
-    return rows_in.join(asks, "uri").mapInArrow(read, READ)
+    return small_batches(rows_in).join(asks, "uri").mapInArrow(lambda batches: gathered(read(batches), READ), READ)
 
 
 def is_folder(uri, mime_type, more: Iterable[str] = ()):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from sieveline.functions.text import mime
 
 HEAD = 4096
+#: Rows and bytes of an Arrow batch, to Python and back: files may be long, so batches stay small.
+ROWS, BYTES = 1000, 4 << 20
 OOXML, ODF = "application/vnd.openxmlformats-officedocument.", "application/vnd.oasis.opendocument."
 #: Signatures (offset, hex, type), the first that matches.
 SIGNATURES = (
@@ -37,6 +39,28 @@ def record_batch(rows: list[dict], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema=pa.schema(fields))
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in whose session Arrow batches are bounded from here on. Results are computed when they are read, so the two
+    settings stay in the caller's session."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES))
+    return df
+
+
+def gathered(rows: Iterable[dict], schema: str | pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows, as they come, in batches of at most ROWS rows and about BYTES bytes of texts and contents."""
+    made = record_batch if isinstance(schema, str) else pa.RecordBatch.from_pylist
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += sum(len(v) for v in r.values() if isinstance(v, (str, bytes)))
+        if len(held) >= ROWS or size > BYTES:
+            yield made(held, schema)
+            held, size = [], 0
+    if held:
+        yield made(held, schema)
+
+
 def walk(spark: SparkSession, root: str, pattern: str = "*", content: bool = True, empty: bool = False) -> DataFrame:
     """Files below root: uri (relative), path, length, modificationTime and, if asked, content. Content that no plan
     selects is not read. Spark's scans leave files of no bytes out; if empty, they are told from the scan's list of names

@@ -244,3 +244,18 @@ def test_operation_pairs(spark):
     e = spark.createDataFrame([(1, "2024-01-01 00:00:00", "view"), (1, "2024-01-01 00:00:05", "purchase"), (1, "2024-01-01 00:00:09", "purchase"), (2, "2024-01-01 00:00:00", "click")], "user_id long, ts string, event_type string").withColumn("ts", F.to_timestamp("ts"))
     assert [(r.elapsed_us) for r in ingest.operation_pairs(e).orderBy("finished_at").collect()] == [5_000_000, None]
     assert ingest.stream_counts(e).count() == 3
+
+
+def test_batches_of_files_are_bounded_and_keys_are_dealt_over_tasks(spark):
+    from sieveline.plans import fixtures
+    from sieveline.sources import files as f
+
+    rows = [{"uri": str(i), "content": bytes(f.BYTES // 2)} for i in range(7)]
+    got = list(f.gathered(iter(rows), "uri string, content binary"))
+    assert [b.num_rows for b in got] == [3, 3, 1] and [r["uri"] for b in got for r in b.to_pylist()] == [str(i) for i in range(7)]
+    assert [b.num_rows for b in f.gathered(({"uri": "u"} for _ in range(2500)), "uri string")] == [1000, 1000, 500] and not list(f.gathered([], "uri string"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    keys = spark.range(0, 3000, 1, 1).select(F.col("id").cast("string").alias("uri"))
+    sizes = fixtures.made(keys, lambda r: bytes(4)).mapInArrow(lambda bs: bs, "uri string, content binary")
+    assert sizes.count() == 3000 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == str(f.ROWS)
+    assert fixtures.spread(keys, "uri", each=500).rdd.getNumPartitions() == 6
