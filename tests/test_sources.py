@@ -252,7 +252,7 @@ def test_batches_of_files_are_bounded_and_keys_are_dealt_over_tasks(spark):
 
     rows = [{"uri": str(i), "content": bytes(f.BYTES // 2)} for i in range(7)]
     got = list(f.gathered(iter(rows), "uri string, content binary"))
-    assert [b.num_rows for b in got] == [3, 3, 1] and [r["uri"] for b in got for r in b.to_pylist()] == [str(i) for i in range(7)]
+    assert [b.num_rows for b in got] == [2, 2, 2, 1] and [r["uri"] for b in got for r in b.to_pylist()] == [str(i) for i in range(7)]
     assert [b.num_rows for b in f.gathered(({"uri": "u"} for _ in range(2500)), "uri string")] == [1000, 1000, 500] and not list(f.gathered([], "uri string"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     keys = spark.range(0, 3000, 1, 1).select(F.col("id").cast("string").alias("uri"))
