@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from html.entities import html5
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -35,6 +36,8 @@ _TOKEN = re.compile(
     rf"|<(?P<open>[a-z][^\s/>]*){_REST}|<(?!!--)[!?][^>]*>|(?P<text>[^<]+|<(?:!--|[a-z])[^>]*>|<)",
     re.I | re.S,
 )
+#: A character reference that ends with its semicolon.
+_CLOSED = re.compile(r"&#?\w+;")
 _COMMENT_END = re.compile(r"--\s*>")
 #: A block as a column: its place among the page's blocks, in the markup (start, end), in its section and in the
 #: flattened text (at); is_last ends a section.
@@ -63,12 +66,20 @@ def _tokens(source: str) -> Iterator[tuple[str | None, str, int, int]]:
             yield "text", "", start, end
 
 
-def runs(source: str) -> Iterator[tuple[int, str, int, int]]:
+def _unescaped(words: str, bare: bool) -> str:
+    """Words with their character references read. Browsers read some without a semicolon too (&amp at a text's end)."""
+    if bare or "&" not in words:
+        return html.unescape(words)
+    return _CLOSED.sub(lambda m: html.unescape(m[0]) if m[0][1] == "#" or m[0][1:] in html5 else m[0], words)
+
+
+def runs(source: str, bare: bool = True) -> Iterator[tuple[int, str, int, int]]:
     """(level, text, start, end) of the runs of prose of a page, and (-1, title, 0, 0) for each title.
 
     A block tag, a script or a style ends the run before it; a block's start tag begins one behind itself, with the level
     of a heading; other text begins one where it stands, unless it is white space. Inline tags and comments don't part a
-    run; what looks like markup but has no end is text. Runs without words are not there."""
+    run; what looks like markup but has no end is text. Runs without words are not there. bare: whether character
+    references count that lack their semicolon."""
     said, title, start, level = [], None, None, 0
 
     def ended(at: int):
@@ -80,7 +91,7 @@ def runs(source: str) -> Iterator[tuple[int, str, int, int]]:
     for kind, tag, at, end in _tokens(source):
         if kind == "text":
             words = source[at:end]
-            words = html.unescape(words) if "&" in words else words
+            words = _unescaped(words, bare) if "&" in words else words
             if title is not None:
                 title.append(words)
                 continue
@@ -103,10 +114,10 @@ def runs(source: str) -> Iterator[tuple[int, str, int, int]]:
     yield from ended(len(source))
 
 
-def read_page(source: str | None) -> tuple[str | None, list[dict]]:
+def read_page(source: str | None, bare: bool = True) -> tuple[str | None, list[dict]]:
     """The last title that has words, and the blocks in the form of BLOCK."""
     title, blocks, section, headed, at = None, [], 0, None, 0
-    for level, text, start, end in runs(source or ""):
+    for level, text, start, end in runs(source or "", bare):
         if level < 0:
             title = text or title
             continue
@@ -124,7 +135,7 @@ def read_page(source: str | None) -> tuple[str | None, list[dict]]:
     return title, blocks
 
 
-def parsed(pages: DataFrame, source: str = "html") -> DataFrame:
+def parsed(pages: DataFrame, source: str = "html", bare: bool = True) -> DataFrame:
     """pages without the column of markup, with title, size_bytes and blocks (array of BLOCK); one row for each row.
     Null and empty pages have no blocks; a column that bears a name of the result is replaced."""
     made = ("title", "size_bytes", "blocks")
@@ -132,7 +143,7 @@ def parsed(pages: DataFrame, source: str = "html") -> DataFrame:
 
     def read(batches):
         for b in batches:  # of few pages
-            got = [read_page(s) for s in b.column(0).to_pylist()]
+            got = [read_page(s, bare) for s in b.column(0).to_pylist()]
             title, blocks = pa.array([t for t, _ in got], pa.string()), pa.array([x for _, x in got], pa.list_(_BLOCK))
             yield pa.RecordBatch.from_arrays([*b.columns[2:], title, b.column(1), blocks], names=[*carry, "title", "size_bytes", "blocks"])
 
@@ -141,9 +152,9 @@ def parsed(pages: DataFrame, source: str = "html") -> DataFrame:
     return small_batches(pages).select(F.col(source).alias("_markup"), size.alias("_size"), *carry).mapInArrow(read, schema)
 
 
-def blocks(pages: DataFrame, uri: str = "uri", source: str = "html") -> DataFrame:
+def blocks(pages: DataFrame, uri: str = "uri", source: str = "html", bare: bool = True) -> DataFrame:
     """Rows (uri, seq, level, text, start, end) of pages; start and end are offsets into the source."""
-    b = parsed(pages.select(F.col(uri).alias("uri"), source), source).select("uri", F.explode("blocks").alias("b"))
+    b = parsed(pages.select(F.col(uri).alias("uri"), source), source, bare).select("uri", F.explode("blocks").alias("b"))
     return b.select("uri", "b.seq", "b.level", "b.text", "b.start", "b.end")
 
 
@@ -223,9 +234,9 @@ def read_range(read: DataFrame, start: Column, end: Column) -> DataFrame:
     )
 
 
-def card(pages: DataFrame, uri: str = "uri", source: str = "html") -> DataFrame:
+def card(pages: DataFrame, uri: str = "uri", source: str = "html", bare: bool = True) -> DataFrame:
     """One row per page: title, heading_count, block_count, word_count, characters, size_bytes."""
-    read, b = parsed(pages.select(F.col(uri).alias("uri"), source), source), F.col("blocks")
+    read, b = parsed(pages.select(F.col(uri).alias("uri"), source), source, bare), F.col("blocks")
     words = F.aggregate(b, F.lit(0).cast("long"), lambda a, x: a + word_count(x["text"]))
     last = F.try_element_at(b, F.lit(-1))
     return read.select(

@@ -170,7 +170,7 @@ def srt_cues(s, d):
 
 
 def inspect_cards(s, d):
-    p = Perception(_document_files(s, d).union(_page_files(s, d)))
+    p = Perception(_document_files(s, d).union(_page_files(s, d)), bare=False)
     return p.inspect().select("uri", "handler_id", "mime", "size_bytes", F.try_element_at("facts", F.lit("lines")).alias("lines"), F.try_element_at("facts", F.lit("block_count")).alias("blocks"), F.array_join("affordances", ",").alias("affordances"))
 
 
@@ -179,14 +179,14 @@ def list_sources(s, d):
 
 
 def represent_files(s, d):
-    p = Perception(_document_files(s, d).union(_page_files(s, d)))
+    p = Perception(_document_files(s, d).union(_page_files(s, d)), bare=False)
     return p.represent().select("uri", F.length("text").cast("long").alias("length"), F.md5("text").alias("text_md5"), "n_segments", F.size("barriers").cast("long").alias("n_barriers"))
 
 
 def invoke_answers(s, d):
     """Of every document a range, of every page a section that is there and one that is not, and an unknown operation."""
     docs, pages = _document_files(s, d), _page_files(s, d)
-    p = Perception(docs.union(pages), depth=0)
+    p = Perception(docs.union(pages), depth=0, bare=False)
     ask = lambda f, name, **params: f.select("uri", F.lit(name).alias("name"), F.create_map(*(F.lit(x) for kv in params.items() for x in kv)).cast("map<string,string>").alias("params"))
     asks = ask(docs, "read_range", start="3", end="12").union(ask(docs, "fly")).union(ask(pages, "read_section", index="0")).union(ask(pages, "read_section", index="99999"))
     return p.invoke(asks).select("uri", "name", "text", "degraded", "error")

@@ -54,15 +54,16 @@ class Perception:
     def __init__(
         self, files: DataFrame, capabilities: Iterable[str] = (), depth: int = containers.DEPTH, extra_handlers: Iterable[tuple] = (), extra_affordances: Iterable[tuple] = (),
         functions: Mapping[tuple[str, str], Callable[[dict], dict]] | None = None, cues: DataFrame | None = None, probes: DataFrame | None = None,
-        detector: Callable[[Column, Column], Column] | None = None, openers: Mapping[str, Callable] | None = None, store: ArtifactStore | None = None,
+        detector: Callable[[Column, Column], Column] | None = None, openers: Mapping[str, Callable] | None = None, store: ArtifactStore | None = None, bare: bool = True,
     ):
         """functions: (handler, operation) to a function of a row (uri, content, params) that gives {"text": ...}, and for
         `describe` {"facts": {...}}. detector: a function of the columns head and uri that gives a type, null to leave it
         to the built-in one. openers: type of a container to a function of its bytes, as containers.members. store: where
-        answers are kept; what is kept there is not computed again."""
+        answers are kept; what is kept there is not computed again. bare: whether character references of pages count that
+        lack their semicolon."""
         spark = files.sparkSession
         self.capabilities, self.functions = tuple(capabilities), dict(functions or {})
-        self.openers, self.store = dict(openers or {}), store
+        self.openers, self.store, self.bare = dict(openers or {}), store, bare
         loose = files.select("uri", F.lit(None).cast("string").alias("error"), "content")
         levels = containers.expand(files, depth, openers=self.openers, detector=detector, keep=lambda df: kept(df, "level", "mime")).select("uri", "error", "content", "mime") if depth else loose
         told = sources(levels.filter("content is not null"), detector=detector)
@@ -112,7 +113,7 @@ class Perception:
         none = F.lit(None).cast("string").alias("excerpt")
         count = F.count(F.lit(1))
         text = lambda: formats.text_card(self._texts()).select("uri", _named("lines", "characters").alias("facts"), "excerpt")
-        page = lambda: html.card(self._pages()).select("uri", _named("title", "heading_count", "block_count", "word_count", "characters").alias("facts"), none)
+        page = lambda: html.card(self._pages(), bare=self.bare).select("uri", _named("title", "heading_count", "block_count", "word_count", "characters").alias("facts"), none)
 
         def arch():
             e = containers.entries(self.of("archive"), openers=self.openers).filter("error is null")
@@ -215,7 +216,7 @@ class Perception:
         said = lambda: represent(self._spoken(), None, None, max_chars)
         families = {
             "text": lambda: plain(formats.text_represent(self._texts(), max_chars)), "binary": lambda: plain(formats.binary_represent(self.of("binary"), max_chars)),
-            "html": lambda: html.represent(html.parsed(self._pages()), max_chars), "sheets": sheet, "slides": deck, "word": word, "epub": book, "pdf": leaf, "archive": arch, "audio": said, "video": said, "legacy": old,
+            "html": lambda: html.represent(html.parsed(self._pages(), bare=self.bare), max_chars), "sheets": sheet, "slides": deck, "word": word, "epub": book, "pdf": leaf, "archive": arch, "audio": said, "video": said, "legacy": old,
         }
         out = self._union({f: None for h, f in families.items() if h in self.present}, f"uri string, text string, n_segments bigint, barriers array<bigint>, degradations array<{DEGRADATION}>")
         own = self._called(self.sources.select("uri", "handler_id", "content"), "represent", "uri string, text string, error string")
@@ -260,7 +261,7 @@ class Perception:
 
         def page():
             markup = F.coalesce(F.make_valid_utf8(F.col("content").cast("string")), F.lit(""))
-            return answers.of_pages(good, html.parsed(own("html").select("uri", markup.alias("html"))))
+            return answers.of_pages(good, html.parsed(own("html").select("uri", markup.alias("html")), bare=self.bare))
 
         def leaf():
             whole = answers.of_leaves(good, pdf.read_pages(own("pdf")).filter("error is null"))

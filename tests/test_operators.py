@@ -303,3 +303,11 @@ def test_chunks_overlap_and_keep_to_barriers(spark):
     got = sorted((r.chunk, r.start, r.end, r.text) for r in chunks.chunk(df, 20, 5).collect())
     assert [(s, e) for _, s, e, _ in got] == [(0, 20), (15, 30), (30, 50), (45, 65), (60, 80), (75, 95), (90, 100)]
     assert all(t == text[s:e] for _, s, e, t in got) and [c for c, *_ in got] == list(range(7))
+
+
+def test_pages_are_read_as_their_sql_does_where_a_reference_lacks_its_semicolon(spark):
+    source = "<title>a &amp; b&amp</title><h1>x &amp;&copy; y&amp</h1><p>&#233; &nosuch; &amp</p>"
+    assert [t for _, t, _, _ in html.runs(source)] == ["a & b&", "x &\u00a9 y&", "\u00e9 &nosuch; &"]  # as browsers
+    assert [t for _, t, _, _ in html.runs(source, bare=False)] == ["a & b&amp", "x &\u00a9 y&amp", "\u00e9 &nosuch; &amp"]
+    pages = spark.createDataFrame([("u", source)], "uri string, html string")
+    assert [r.text for r in html.blocks(pages, bare=False).collect()] == ["x &\u00a9 y&amp", "\u00e9 &nosuch; &amp"]
