@@ -109,7 +109,7 @@ def legacy_slides(s, d):
 
 def legacy_cells(s, d):
     """Customers as .xls files of a hundred: key, name, balance."""
-    c = _t(s, d, "customer").withColumn("book", F.floor(F.col("c_custkey") / 100))
+    c = _t(s, d, "customer").withColumn("book", F.expr("c_custkey div 100"))
     g = c.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name", "c_acctbal"))).alias("rows"))
     rows = g.select(F.concat(F.lit("book/"), F.col("book").cast("string"), F.lit(".xls")).alias("uri"), "rows")
     f = fixtures.made(rows, lambda r: legacy_fixtures.xls([[x["c_custkey"], x["c_name"], float(x["c_acctbal"])] for x in r["rows"]]))

@@ -82,3 +82,9 @@ def test_kinds_and_the_questions(spark):
     facts = {r.uri: dict(r.facts) for r in p.inspect().collect()}
     assert facts["a.doc"] == {"kind": "doc", "paragraph_count": "2", "word_count": "4"} and facts["b.xls"] == {"kind": "xls", "sheet_count": "1"} and facts["c.ppt"] == {"kind": "ppt", "slide_count": "1"}
     assert {r.uri for r in Perception(f, (), depth=0).represent().filter("text like '%0000%'").collect()}  # without the capability they are bytes
+
+
+def test_cells_hold_whole_numbers_of_any_size(spark):
+    keys = [7, -7, 2**29, 10**15 + 1, -(2**53), 2**53 + 1, 2**62 + 1]
+    got = legacy.read_xls(files(spark, **{"b.xls": made.xls([[k] for k in keys])})).orderBy("row").collect()
+    assert [r.value for r in got] == [str(k) for k in keys] and {r.error for r in got} == {None}
