@@ -311,3 +311,19 @@ def test_pages_are_read_as_their_sql_does_where_a_reference_lacks_its_semicolon(
     assert [t for _, t, _, _ in html.runs(source, bare=False)] == ["a & b&amp", "x &\u00a9 y&amp", "\u00e9 &nosuch; &amp"]
     pages = spark.createDataFrame([("u", source)], "uri string, html string")
     assert [r.text for r in html.blocks(pages, bare=False).collect()] == ["x &\u00a9 y&amp", "\u00e9 &nosuch; &amp"]
+
+
+@pytest.mark.parametrize("name", ["html_card", "html_read_range", "html_represent", "html_represent_budget", "html_sections"])
+def test_queries_of_pages_give_their_sql_where_a_reference_lacks_its_semicolon(spark, tmp_path, name):
+    import duckdb
+
+    import __spark_entry__
+
+    page = "<title>a &amp; b&amp</title><p>before &amp</p><h1>x &amp;&copy; y&amp</h1><p>" + "words &middot; &amp " * 150 + "</p><h2>cut &am</h2><p>z&copy</p>"
+    spark.createDataFrame([(1, "u", page), (2, "v", page.replace("&amp<", "&amp;<"))], "page_id long, url string, html string").write.parquet(f"file://{tmp_path}/pages.parquet")
+    got = __spark_entry__.queries()[name](spark, f"file://{tmp_path}")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    found = con.execute(__spark_entry__.oracle_sql()[name])
+    names = [c[0] for c in found.description]
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(found.fetchall())
