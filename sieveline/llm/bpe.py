@@ -29,9 +29,10 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 KEPT_MOVES, KEPT_PIECES = 300_000, 400_000
 #: Bytes that may be pending before the transducer looks which tokens are certain; it emits those and goes on.
 LOOKAHEAD = 24
+#: Bytes of a piece whose moves are made in one go.
+AHEAD = 64
 _NEVER = 1 << 60
 _BYTES = [bytes((i,)) for i in range(256)]
-_UNKNOWN = (None, False)
 
 
 class Transducer:
@@ -39,11 +40,22 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        #: of each token and each beginning of one: the id or None, whether a longer token begins so
-        self.known: dict[bytes, tuple[int | None, bool]] = {t: (i, False) for t, i in ranks.items()}
-        for t in ranks:
-            for i in range(1, len(t)):
-                self.known[t[:i]] = (ranks.get(t[:i]), True)
+        #: the beginnings of tokens as a tree: from a node by a byte to the next; of each node the token's id (or None) and
+        #: whether a longer token begins so
+        self.next: dict[int, int] = {}
+        self.ends: list[int | None] = [None]
+        self.grows: list[bool] = [True]
+        for t, rank in ranks.items():
+            node = 0
+            for byte in t:
+                self.grows[node] = True
+                to = self.next.get(node << 8 | byte)
+                if to is None:
+                    to = self.next[node << 8 | byte] = len(self.ends)
+                    self.ends.append(None)
+                    self.grows.append(False)
+                node = to
+            self.ends[node] = rank
         self.size = {i: len(t) for t, i in ranks.items()}
         self._spines: dict[int, tuple | None] = {}
         self._beside: dict[int, bool] = {}
@@ -52,8 +64,9 @@ class Transducer:
     def _reset(self) -> None:
         #: the next state, or with it the tokens that come out
         self._moves: dict[int, int | tuple[int, tuple[int, ...]]] = {}
-        #: what states hold: token before, bytes pending, last token at each place, places where a token may start
-        self._body: list[tuple] = [(None, b"", (None,), (0,))]
+        #: what states hold: token before, how many bytes are pending, last token at each place up to there (in a list that
+        #: states behind this one may have written on), places where a token may start, each with the node it has come to
+        self._body: list[tuple] = [(None, 0, [None], [(0, 0)])]
         #: states behind an emission, where different pasts meet
         self._met: dict[tuple, int] = {}
 
@@ -98,14 +111,14 @@ class Transducer:
         self._beside[a << 32 | b] = ok
         return ok
 
-    def _path(self, last: tuple, end: int) -> list[int]:
+    def _path(self, last: list, end: int) -> list[int]:
         """The token borders from end back to the start of what is pending."""
         borders = [end]
         while borders[-1] > 0:
             borders.append(borders[-1] - self.size[last[borders[-1]]])
         return borders[::-1]
 
-    def _certain(self, last: tuple, live: tuple) -> int:
+    def _certain(self, last: list, live: list) -> int:
         """The border up to which all continuations agree: what the paths to every place share at which a token that
         ends later may start."""
         sure = 0
@@ -115,68 +128,79 @@ class Transducer:
             sure = borders[0]
         return sure
 
-    def _step(self, state: int, byte: int) -> int | tuple[int, tuple[int, ...]]:
-        before, tail, last, live = self._body[state]
-        tail += _BYTES[byte]
-        found, still = None, []
-        for s in live:
-            token = tail[s:]
-            rank, longer = self.known.get(token, _UNKNOWN)
-            if longer:
-                still.append(s)
-            if found is None and rank is not None:
-                spine = self._spines.get(rank, 0)
-                if spine == 0:
-                    spine = self._spine(rank, token)
-                if spine is None:
+    def _read_on(self, state: int, piece: bytes, at: int, out: list[int]) -> tuple[int, int]:
+        """Makes the moves of a piece from a state that has none for the byte at this place, up to the end, the next
+        emission or AHEAD bytes: the state that is reached and the place behind it."""
+        before, n, last, live = self._body[state]
+        moves, bodies, step, ends, grows, spines, known = self._moves, self._body, self.next.get, self.ends, self.grows, self._spines, self._beside.get
+        if len(last) > n + 1:  # written on from here before
+            last = last[: n + 1]
+        for at, byte in enumerate(piece[at : at + AHEAD], at + 1):
+            found, still = None, []
+            for s, node in live:
+                node = step(node << 8 | byte)
+                if node is None:
                     continue
-                left = last[s] if s else before
-                fits = True if left is None else self._beside.get(left << 32 | rank)
-                if fits is None:
-                    fits = self.beside(left, rank)
-                if fits:
-                    found = rank
-        if found is None:
-            raise ValueError(f"no token for byte {byte}")
-        n = len(tail)
-        still.append(n)
-        last, live = (*last, found), tuple(still)
-        sure = self._certain(last, live) if n > LOOKAHEAD else 0
-        if not sure:
-            self._body.append((before, tail, last, live))
-            return len(self._body) - 1
-        out = tuple(last[b] for b in self._path(last, sure)[1:])
-        before, tail, last = out[-1], tail[sure:], (None, *last[sure + 1 :])
-        to = self._met.get((before, tail))
-        if to is None:
-            to = self._met[before, tail] = len(self._body)
-            self._body.append((before, tail, last, tuple(s - sure for s in live)))
-        return to, out
+                if grows[node]:
+                    still.append((s, node))
+                if found is None and (rank := ends[node]) is not None:
+                    left = last[s] if s else before
+                    fits = None if left is None else known(left << 32 | rank)
+                    if fits is None:
+                        spine = spines[rank] if rank in spines else self._spine(rank, piece[at - n - 1 + s : at])
+                        fits = spine is not None and (left is None or self.beside(left, rank))
+                    if fits:
+                        found = rank
+            if found is None:
+                raise ValueError(f"no token for byte {byte}")
+            n += 1
+            still.append((n, 0))
+            last.append(found)
+            live = still
+            key, state = state << 8 | byte, len(bodies)
+            sure = self._certain(last, [s for s, _ in live]) if n > LOOKAHEAD else 0
+            if sure:
+                emitted = tuple(last[b] for b in self._path(last, sure)[1:])
+                out.extend(emitted)
+                before, n = emitted[-1], n - sure
+                met = before, piece[at - n : at]
+                state = self._met.setdefault(met, state)
+                if state == len(bodies):
+                    bodies.append((before, n, [None, *last[sure + 1 :]], [(s - sure, node) for s, node in live]))
+                moves[key] = state, emitted
+                break
+            bodies.append((before, n, last, live))
+            moves[key] = state
+        return state, at
 
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
         """Token ids of one piece; a piece that is a token whole is that token."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        state, out, moves = 0, [], self._moves
-        for byte in piece:
-            move = moves.get(state << 8 | byte)
-            if move is None:
-                if len(moves) >= KEPT_MOVES:  # start anew from where we are
+        state, out, at, moves = 0, [], 0, self._moves.get
+        while at < len(piece):
+            for byte in memoryview(piece)[at:] if at else piece:
+                move = moves(state << 8 | byte)
+                if move is None:
+                    break
+                at += 1
+                if type(move) is int:
+                    state = move
+                else:
+                    state, emitted = move
+                    out.extend(emitted)
+            if at < len(piece):
+                if len(self._moves) >= KEPT_MOVES:  # start anew from where we are
                     body = self._body[state]
                     self._reset()
-                    moves, state = self._moves, 0
+                    moves, state = self._moves.get, 0
                     if body[1] or body[0] is not None:
                         self._body.append(body)
                         state = 1
-                move = moves[state << 8 | byte] = self._step(state, byte)
-            if type(move) is int:
-                state = move
-            else:
-                state, emitted = move
-                out.extend(emitted)
-        _, tail, last, _ = self._body[state]
-        at, ids = len(tail), []
+                state, at = self._read_on(state, piece, at, out)
+        _, at, last, _ = self._body[state]
+        ids = []
         while at:
             ids.append(last[at])
             at -= self.size[last[at]]

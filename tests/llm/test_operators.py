@@ -827,3 +827,15 @@ def test_mix(spark):
     assert mixed.columns == d.columns and mixed.count() == sum(r.copies for r in plan)
     assert sorted(map(str, mixing.mix(d).collect())) == sorted(map(str, mixed.collect()))
     assert mixing.repetition_plan(d.drop("size").limit(0)).count() == 0
+
+
+def test_new_pieces_are_read_on_alike_however_their_moves_were_made(monkeypatch):
+    words = [f" {a}{b}{c}" for a in ("of", "ti", "ü", "x") for b in ("relyly", "heheer", "öge", "rrñ") for c in ("", "wh", "onstha", "ß" * 40)] + ["ab" * 500, "a" * 300, "onshonsh" * 30]
+    enc = tiktoken.Encoding("own", pat_str=".+", mergeable_ranks=CODEC.ranks, special_tokens={})
+    want = [tuple(enc.encode_ordinary(w)) for w in words]
+    for ahead, kept in ((64, 300_000), (1, 300_000), (3, 50)):
+        monkeypatch.setattr(bpe, "AHEAD", ahead)
+        monkeypatch.setattr(bpe, "KEPT_MOVES", kept)
+        machine = bpe.Transducer(CODEC.ranks)
+        for step in (1, -1, 1):
+            assert [machine.encode_piece(w.encode()) for w in words[::step]] == want[::step]
