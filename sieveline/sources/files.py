@@ -22,6 +22,10 @@ SIGNATURES = (
     (0, "425A68", "application/x-bzip2"), (0, "FD377A585A00", "application/x-xz"), (257, "7573746172", "application/x-tar"), (0, "494433", "audio/mpeg"), (0, "FFFB", "audio/mpeg"),
     (0, "664C6143", "audio/flac"), (0, "4F676753", "audio/ogg"), (0, "1A45DFA3", "video/x-matroska"), (0, "7B5C727466", "application/rtf"),
 )
+#: Signatures of letters, which a text may have at their place by chance. What they stand for has bytes beside them that are
+#: in no text; a PDF with its version and RTF may be text throughout, so those count.
+_WORDS = [(at, s) for at, s, _ in SIGNATURES if all(32 <= b < 127 for b in bytes.fromhex(s))] + [(4, "66747970")]
+LETTERS = "^(?!255044462D3[0-9]|7B5C727466)(?:" + "|".join(f".{{{2 * at}}}{s}" for at, s in _WORDS) + ")"
 #: Types by the end of a name, for bytes that say nothing.
 SUFFIXES = {
     "html": "text/html", "htm": "text/html", "xhtml": "application/xhtml+xml", "json": "application/json", "xml": "application/xml", "csv": "text/csv", "md": "text/markdown",
@@ -122,8 +126,9 @@ def zip_document(head: Column) -> Column:
 def detect(head: Column, uri: Column) -> Column:
     """The media type of a file by its first HEAD bytes, then by its name, then by whether they are text.
 
-    Order: nothing at all; an ISO media box (audio only if the name says so); office documents and books in zips; a
-    signature; the name; UTF-8 without control characters; else bytes."""
+    Order: nothing at all; the name, of a text that has a signature's letters at its place; an ISO media box (audio only if
+    the name says so); office documents and books in zips; a signature; the name; UTF-8 without control characters; else
+    bytes."""
     h = F.hex(head)
     named = suffix_type(uri)
     # up to three bytes of a character may be cut off at the end of the head
@@ -131,7 +136,8 @@ def detect(head: Column, uri: Column) -> Column:
     for short in (1, 2, 3):
         text = text | ((F.length(head) == HEAD) & F.is_valid_utf8(F.substring(head, F.lit(1), F.length(head) - short).cast("string")))
     control = h.rlike("^(?:..)*(?:0[0-8EF]|1[0-9A-F])")
-    out = F.when(F.length(head) == 0, "application/octet-stream").when(F.substring(head, 5, 4) == F.lit(b"ftyp"), F.when(named.startswith("audio/"), named).otherwise("video/mp4"))
+    by_chance = named.isNotNull() & F.hex(F.substring(head, 1, 262)).rlike(LETTERS) & text & ~control
+    out = F.when(F.length(head) == 0, "application/octet-stream").when(by_chance, named).when(F.substring(head, 5, 4) == F.lit(b"ftyp"), F.when(named.startswith("audio/"), named).otherwise("video/mp4"))
     out = out.when(zip_document(head).isNotNull(), zip_document(head))
     for at, signature, kind in SIGNATURES:
         out = out.when(F.substring(h, at * 2 + 1, len(signature)) == signature, kind)

@@ -1,8 +1,10 @@
 """Detection, archives, office packages, the four questions and streams, on files made here."""
 
+import bz2
 import gzip
 import io
 import json
+import struct
 import tarfile
 import zipfile
 import zlib
@@ -259,3 +261,32 @@ def test_batches_of_files_are_bounded_and_keys_are_dealt_over_tasks(spark):
     sizes = fixtures.made(keys, lambda r: bytes(4)).mapInArrow(lambda bs: bs, "uri string, content binary")
     assert sizes.count() == 3000 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == str(f.ROWS)
     assert fixtures.spread(keys, "uri", each=500).rdd.getNumPartitions() == 6
+
+
+LIKE_SIGNATURES = ("BM und der", "ID3 es", "BZh so", "GIF8 x", "%PDF, none", "OggS a", "fLaC b", "abcdftyp und", "12345678AVI so", "12345678WEBP", "12345678WAVE\n", "é" * 128 + "xustar", "II und MM")
+
+
+def test_a_text_that_begins_like_a_signature_goes_by_its_name(spark):
+    texts = [t.encode() for t in LIKE_SIGNATURES]
+    real = {"image/bmp": b"BM" + struct.pack("<IHHI", 58, 0, 0, 54), "application/pdf": b"%PDF-1.7\n1 0 obj", "application/rtf": b"{\\rtf1 a}", "audio/mpeg": b"ID3\x03\x00", "video/mp4": b"\0\0\0 ftypiso5", "application/x-bzip2": bz2.compress(b"text")}
+    df = spark.createDataFrame([(f"{i}{end}", bytearray(b)) for i, b in enumerate([*texts, *real.values()]) for end in (".txt", "")], "uri string, content binary")
+    got = {r.uri: r.mime for r in files.sources(df).collect()}
+    assert [got[f"{i}.txt"] for i in range(len(texts) + len(real))] == ["text/plain"] * len(texts) + list(real)
+    assert [got["0"], got["7"], got["8"], got[f"{len(texts) - 1}"]] == ["image/bmp", "video/mp4", "video/x-msvideo", "text/plain"]  # where no name says otherwise
+
+
+@pytest.mark.parametrize("name", ["tool_pack"])
+def test_queries_of_documents_that_begin_like_a_signature_give_their_sql(spark, tmp_path, name):
+    import duckdb
+
+    import __spark_entry__
+
+    spark.createDataFrame([(i, t) for i, t in enumerate(LIKE_SIGNATURES)], "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "<p>a</p>"), (2, "<h1>b</h1>c")], "page_id long, html string").write.parquet(f"file://{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    for table in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+    found = con.execute(__spark_entry__.oracle_sql()[name])
+    names = [c[0] for c in found.description]
+    got = __spark_entry__.queries()[name](spark, f"file://{tmp_path}").select(*names).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, found.fetchall()))
