@@ -275,7 +275,7 @@ def test_a_text_that_begins_like_a_signature_goes_by_its_name(spark):
     assert [got["0"], got["7"], got["8"], got[f"{len(texts) - 1}"]] == ["image/bmp", "video/mp4", "video/x-msvideo", "text/plain"]  # where no name says otherwise
 
 
-@pytest.mark.parametrize("name", ["card_texts", "inspect_cards", "invoke_answers", "rendition_texts", "tool_pack"])
+@pytest.mark.parametrize("name", ["card_texts", "inspect_cards", "invoke_answers", "rendition_texts", "represent_files", "tool_pack"])
 def test_queries_of_documents_that_begin_like_a_signature_give_their_sql(spark, tmp_path, name):
     import duckdb
 
