@@ -108,9 +108,9 @@ def legacy_slides(s, d):
 
 
 def legacy_cells(s, d):
-    """Customers as .xls files of a hundred: key, name, balance."""
-    c = _t(s, d, "customer").withColumn("book", F.expr("c_custkey div 100"))
-    g = c.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name", "c_acctbal"))).alias("rows"))
+    """Customers as .xls files of a hundred: key, name, balance; rows of one key stand as they do in the table."""
+    c = _t(s, d, "customer").select("*", F.expr("c_custkey div 100").alias("book"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    g = c.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "file", "place", "c_name", "c_acctbal"))).alias("rows"))
     rows = g.select(F.concat(F.lit("book/"), F.col("book").cast("string"), F.lit(".xls")).alias("uri"), "rows")
     f = fixtures.made(rows, lambda r: legacy_fixtures.xls([[x["c_custkey"], x["c_name"], float(x["c_acctbal"])] for x in r["rows"]]))
     return legacy.read_xls(f).select("uri", "sheet", "row", "col", F.when(F.col("col") == 2, F.round(F.col("value").cast("double"), 2).cast("string")).otherwise(F.col("value")).alias("value"), "error")

@@ -88,3 +88,23 @@ def test_cells_hold_whole_numbers_of_any_size(spark):
     keys = [7, -7, 2**29, 10**15 + 1, -(2**53), 2**53 + 1, 2**62 + 1]
     got = legacy.read_xls(files(spark, **{"b.xls": made.xls([[k] for k in keys])})).orderBy("row").collect()
     assert [r.value for r in got] == [str(k) for k in keys] and {r.error for r in got} == {None}
+
+
+def test_customers_of_one_key_stand_as_in_the_table(spark, tmp_path):
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    import __spark_entry__
+
+    keys = [250, 7, 150, 7, 101, 7, 150]
+    rows = [(k, f"Customer#{9 - i}", 1.25 * ((5 * i) % 7)) for i, k in enumerate(keys)]
+    (tmp_path / "customer.parquet").mkdir()
+    for i, part in enumerate((rows[:4], rows[4:])):
+        pq.write_table(pa.Table.from_pylist([dict(zip(("c_custkey", "c_name", "c_acctbal"), r, strict=True)) for r in part]), tmp_path / "customer.parquet" / f"part-{i}.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM read_parquet('{tmp_path}/customer.parquet/*.parquet')")
+    found = con.execute(__spark_entry__.oracle_sql()["legacy_cells"])
+    names = [c[0] for c in found.description]
+    got = __spark_entry__.queries()["legacy_cells"](spark, f"file://{tmp_path}").select(*names).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, found.fetchall()))
