@@ -80,6 +80,17 @@ def test_near_copies_are_all_texts_of_similar_shingles(spark, bucket, monkeypatc
     assert sum(bin(fp[i] ^ fp[j]).count("1") <= 2 for i, j in links if i < j) < sum(i < j for i, j in links) / 2
 
 
+def test_near_copies_without_a_band_in_common_are_found_too(spark, monkeypatch):
+    sketches = near_copies._sketches
+    monkeypatch.setattr(near_copies, "_sketches", lambda *of: sketches(*of).withField("keys", F.array(F.monotonically_increasing_id())))
+    texts = [edited(prose(g, 120), 100 * g + k, 0.03 * k / 8) for g in range(4) for k in range(6)] + [prose(50, 60) + " " + prose(1000 + k, 60) for k in range(20)]
+    sets = [shingles(t) for t in texts]
+    comp = brute_components([(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if 5 * len(a & b) >= 4 * len(a | b)])
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    got = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, COLUMNS), "").collect()}
+    assert got == set(comp.values()) and len(got) < len(texts)
+
+
 def test_stages_take_odd_tables(spark):
     odd = [(None, "no id at all here", "en", None, 1), (1, None, None, "s", None), (2, "", "en", "s", 0), (3, "the same", "en", "s", 8), (3, "the same", "en", "s", 8), (4, "x" * 30_000, "en", "s", 30_000), (5, prose(5), "en", "s", 0), (None, None, None, None, None)]
     for rows in (odd, []):
